@@ -26,6 +26,12 @@ LONG = 100
 #: Words whose codes a task keeps.
 KEPT = 1 << 19
 _NONE = 1 << 60
+#: Letters of Unicode 16.0, which the tokenizers library knows and unicodedata here does not.
+LETTERS_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85),
+    (0x10EC2, 0x10EC4), (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+]
 _LETTER = regex.compile(r"\p{L}").match
 
 
@@ -58,7 +64,8 @@ class Codec(dict):
         pattern = next(x["pattern"]["Regex"] for x in steps if x["type"] == "Split")
         self.find_latin = regex.compile(pattern).findall
         # Characters that regex knows from a later Unicode than the tokenizers library; there they are no letters.
-        late = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn" and _LETTER(c))
+        known = {i for a, b in LETTERS_16 for i in range(a, b + 1)}
+        late = "".join(chr(i) for i in range(0x110000) if unicodedata.category(chr(i)) == "Cn" and i not in known and _LETTER(chr(i)))
         self.find_any = regex.compile("(?V1)" + pattern.replace(r"\p{L}", rf"[\p{{L}}--[{late}]]")).findall if late else self.find_latin
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
 
