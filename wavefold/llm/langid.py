@@ -121,25 +121,41 @@ class Model:
 
     def judge(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Entropies per character by language, the squares' means, numbers of characters, and which texts have letters."""
-        x, first, has = characters(texts)
         total = np.zeros((len(texts), len(self.langs)))
-        square = np.zeros_like(total)
-        lens = np.diff(first) - (ORDER - 1)
-        done = 0
-        while done < len(texts):
-            till = max(done + 1, int(np.searchsorted(first, first[done] + (1 << 19), "right")) - 1)
-            a, b = int(first[done]), int(first[till])
-            logs = self.logs(x[a:b])
-            where = first[done:till] - a
+        square, lens, has = np.zeros_like(total), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        for owner, pieces in _pieces(texts):
+            x, first, letters = characters(pieces)
+            logs = self.logs(x)
             for j in range(1, ORDER):  # positions over a bound, in the padding of the next text
-                logs[where[1:] - j] = 0
-            total[done:till] = -np.add.reduceat(logs, where, axis=0, dtype=np.float64)
-            square[done:till] = np.add.reduceat(np.square(logs), where, axis=0, dtype=np.float64)
-            done = till
+                logs[first[1:-1] - j] = 0
+            np.add.at(total, owner, -np.add.reduceat(logs, first[:-1], axis=0, dtype=np.float64))
+            np.add.at(square, owner, np.add.reduceat(np.square(logs), first[:-1], axis=0, dtype=np.float64))
+            np.add.at(lens, owner, np.diff(first) - (ORDER - 1))
+            np.logical_or.at(has, owner, letters)
         n = np.maximum(lens, 1)[:, None]
         return total / n, square / n, lens, has
 
 
+#: Texts are read in pieces of at most so many characters, and about so many together.
+PIECE = 1 << 19
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """All texts in small batches: which text each piece is of, and the pieces."""
+    owner, pieces, size = [], [], 0
+    for i, t in enumerate(texts):
+        for at in range(0, max(len(t or ""), 1), PIECE):
+            piece = (t or "")[at : at + PIECE]
+            if size and size + len(piece) > PIECE:
+                yield np.array(owner), pieces
+                owner, pieces, size = [], [], 0
+            owner.append(i)
+            pieces.append(piece)
+            size += len(piece)
+    if pieces:
+        yield np.array(owner), pieces
+
+
 def _some(c: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n characters that end at the places ``at``; as grams() has them."""
     out = c[at - n + 1].copy()
@@ -194,10 +210,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         langs = np.array(batch.column(0).to_pylist(), object)
         texts = batch.column(1).to_pylist()
-        for lang in sorted(set(langs)):
-            x, first, _ = characters([t for t, own in zip(texts, langs, strict=True) if own == lang])
-            if len(x) < ORDER:
-                continue
+        for lang, pieces in ((lang, p) for lang in sorted(set(langs)) for _, p in _pieces([t for t, own in zip(texts, langs, strict=True) if own == lang])):
+            x, first, _ = characters(pieces)
             cells = np.lib.stride_tricks.sliding_window_view(x, ORDER)
             keep = np.ones(len(cells), bool)
             for j in range(1, ORDER):

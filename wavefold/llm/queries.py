@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, langid, sharding, topk
+from . import bpe, decontaminate, jaccard, langid, pii, sharding, topk, url_rules, warc, wrappers
+from .common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -24,6 +25,20 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+#: Rules for op1: verdict, host and path.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = scratch(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), to)
+    return warc.read(spark, to, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -40,6 +55,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -49,11 +68,19 @@ def op8_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
+    n = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = ["email", "ip", "card", "phone"]
+    return found.select("doc_id", *map(n, base), F.sha2(line(F.filter("pii", lambda s: s["kind"].isin(base))), 256).alias("base_sha256"), line(F.col("pii")).alias("spans"))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op4_bpe, op5_language, op7_topk, op8_shards, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_warc, op3_decontaminate, op4_bpe, op5_language, op6_main_text, op7_topk, op8_shards, op9_pii, op10_jaccard)}
 
 ORACLES: dict[str, str] = {}
 
@@ -100,3 +127,12 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN c ON c.node = w.doc_id
 
 
 ORACLES["op10_jaccard"] = _jaccard_sql(4, 85, 100)
+
+_B32 = "||".join(f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * j}) & 31)]" for i in range(8) for j in range(4))
+ORACLES["op2_warc"] = f"""
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT h AS kh, max(page_id) AS keep FROM p GROUP BY h)
+SELECT page_id, n AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM p JOIN k ON h = kh
+"""
