@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 LONG = 100
 #: Words whose codes a task keeps.
@@ -141,7 +141,7 @@ def codec(path: str) -> Codec:
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of each whole text as an array<int> column, in place of any column of that name."""
     keep = [c for c in docs.columns if c != ids_col]
-    schema = docs.select(*keep).schema.add(ids_col, "array<int>")
+    schema = docs.select(*keep).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path)
