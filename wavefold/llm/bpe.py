@@ -5,7 +5,8 @@ its boundary is deleted and the two neighbouring ranks are refreshed. Words of m
 that would be quadratic, take the same merges from a heap. Words repeat, so each task keeps the codes of those it met.
 
 Edge cases: null and empty texts have no tokens and decode to the empty string; the vocabulary's special strings in a
-text become their ids; texts of any length are encoded whole; each row gives one row.
+text become their ids; texts of any length are encoded whole; characters newer than unicodedata's tables keep their
+case and composition; each row gives one row.
 """
 
 from __future__ import annotations

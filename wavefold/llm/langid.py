@@ -125,7 +125,7 @@ class Model:
         square, lens, has = np.zeros_like(total), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
         for owner, pieces in _pieces(texts):
             x, first, letters = characters(pieces)
-            logs = self.logs(x)
+            logs = np.concatenate([self.logs(x), np.zeros((ORDER - 1, len(self.langs)), np.float32)])
             for j in range(1, ORDER):  # positions over a bound, in the padding of the next text
                 logs[first[1:-1] - j] = 0
             np.add.at(total, owner, -np.add.reduceat(logs, first[:-1], axis=0, dtype=np.float64))
