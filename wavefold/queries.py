@@ -411,3 +411,52 @@ def best_amplitude_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = compare.iou(a, b, times).select(F.lit("amplitude").alias("method"), F.lit(t).alias("threshold"), "time", "iou", "agree")
         runs = one if runs is None else runs.unionByName(one)
     return rounded(compare.best_threshold(compare.sweep(runs)), "mean_iou")
+
+
+# whole plans
+
+
+@query()
+def identified_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of the field, from extrema to footprints."""
+    from .config import Config
+    from .plans.identify import identify
+
+    c = Config.default(min_latitude=20.0, max_latitude=80.0, extrema_threshold=15.0, edge_pruning_threshold=0.02)
+    return identify(adapters.field(spark, sf_dir), c, n_lon=adapters.NLON, pixels=128)["rwps"].drop("geometry_wkb")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node as a feature of its packet's run, with a box of 40 x 20 degrees as footprint."""
+    corner = lambda a, b: F.struct((F.col("lon") + a).alias("x"), (F.col("lat") + b).alias("y"))
+    ring = F.array(corner(-20, -10), corner(20, -10), corner(20, 10), corner(-20, 10))
+    return adapters.nodes(spark, sf_dir).select(F.col("rwp_id").cast("string").alias("run"), "time", F.col("cluster_id").alias("id"), F.lit("max").alias("node_type"), "lon", "lat", "scalar", ring.alias("ring"), geo.strength("scalar", 60).alias("strength"))
+
+
+@query()
+def feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import features
+
+    return features.track(_features(spark, sf_dir), most_shift=40.0)
+
+
+@query()
+def feature_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import features
+
+    return rounded(features.phase_velocity(features.track(_features(spark, sf_dir), most_shift=40.0), 24.0), "degrees_per_hour")
+
+
+@query()
+def streamed_feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same tracks from a stream of feature files."""
+    from .operators import features
+    from .sources.staging import path as new_path
+
+    source = new_path(spark, "features")
+    _features(spark, sf_dir).write.parquet(source)
+    stream = features.stream_track(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), most_shift=40.0)
+    out = new_path(spark, "streamed")
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)

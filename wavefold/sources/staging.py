@@ -5,17 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def save(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written once under spark.checkpoint.dir (a new local folder where that is unset) and read again: what
-    follows starts from the files, whatever executors are lost."""
-    spark = df.sparkSession
+def path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir, or under a new local folder where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         at = "file://" + tempfile.mkdtemp(prefix="wavefold-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written once to such a path and read again: what follows starts from the files, whatever executors are
+    lost."""
+    to = path(df.sparkSession, name)
+    df.write.parquet(to)
+    return df.sparkSession.read.schema(df.schema).parquet(to)
