@@ -136,3 +136,30 @@ SELECT page_id, n AS payload_bytes, {_B32} AS payload_digest, CASE WHEN page_id
        CASE WHEN page_id <> keep THEN keep END AS refers_to
 FROM p JOIN k ON h = kh
 """
+
+_LUHN = "list_sum(list_transform(range(1, length({d}) + 1), lambda i: CASE WHEN i % 2 = 0 THEN CASE WHEN CAST(substr(reverse({d}), i, 1) AS INTEGER) > 4 THEN CAST(substr(reverse({d}), i, 1) AS INTEGER) * 2 - 9 ELSE CAST(substr(reverse({d}), i, 1) AS INTEGER) * 2 END ELSE CAST(substr(reverse({d}), i, 1) AS INTEGER) END)) % 10 = 0"
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+#: Kinds with their plain patterns and tests; \b stands for the look-around of the iban pattern, which SQL here lacks.
+_PII = {
+    "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "TRUE"),
+    "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(nullif(right(p, 3), '') AS INTEGER), 0) > 255)) = 0"),
+    "card": (r"[0-9]([\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND " + _LUHN.format(d=_DIGITS)),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15"),
+    "iban": (r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b", "list_reduce(list_prepend(0, list_transform(string_split(substr(replace(m, ' ', ''), 5) || left(m, 4), ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)), lambda s, v: (s * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"),
+}
+
+
+def _pii_sql() -> str:
+    parts = []
+    for n, (kind, (pattern, test)) in enumerate(_PII.items()):
+        parts.append(f"""SELECT doc_id, {n} AS k, '{kind}' AS kind, s, s + length(m) AS e FROM (
+  SELECT doc_id, m[i] AS m, list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS g FROM d), LATERAL (SELECT unnest(range(1, len(m) + 1)) AS i) u) WHERE {test}""")
+    counts = ", ".join(f"CAST(count(*) FILTER (kind = '{k}') AS BIGINT) AS n_{k}" for k in list(_PII)[:4])
+    line = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)}),
+a AS (SELECT doc_id, {counts}, string_agg({line}, ',' ORDER BY k, s) FILTER (k < 4) AS base, string_agg({line}, ',' ORDER BY k, s) AS spans FROM f GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in list(_PII)[:4])}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
+ORACLES["op9_pii"] = _pii_sql()
