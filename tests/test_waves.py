@@ -211,7 +211,8 @@ def test_streamed_tracks_equal_batch(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("steps").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = {tuple(r) for r in spark.table("steps").collect()}
-    assert {r for r in batch if r[3] < 4} <= {r for r in got if r[1]} | set() or {r[1:5] for r in batch if r[3] < 4} == {r[1:5] for r in got if r[1]}
+    # the last step waits for a later one
+    assert {r for r in batch if r[3] < 4} == got
 
 
 def test_catalogue_on_disk(spark, tmp_path):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo
@@ -15,9 +17,8 @@ def _xyz(lat: str, lon: str) -> list:
 def nearest(points: DataFrame, extrema: DataFrame, name: str) -> DataFrame:
     """For each point the nearest extremum of its time step (by chord, ties to the smaller id) as column ``name``.
 
-    Both sides are cut into 30-degree columns of longitude and bands of latitude; candidates come from the point's own
-    cell and those around it first, and a point whose nearest there is further than the cells reach looks at all of its
-    time step."""
+    Both sides are cut into cells of 30 degrees. Candidates come from a point's own cell and those around it; a point
+    whose nearest there is further than the cells surely reach looks at all extrema of its time step."""
     size = 30
     cells = lambda lat, lon: (F.floor(lat / size).cast("int").alias("band"), F.floor(F.pmod(lon, F.lit(360.0)) / size).cast("int").alias("column"))
     e = extrema.select("time", F.col("id").alias(name), F.col("lat").alias("elat"), F.col("lon").alias("elon"))
@@ -28,10 +29,11 @@ def nearest(points: DataFrame, extrema: DataFrame, name: str) -> DataFrame:
     dist = sum((a - b) * (a - b) for a, b in zip(_xyz("lat", "lon"), _xyz("elat", "elon"), strict=True))
     best = lambda df: df.groupBy("time", "pid").agg(F.min(F.struct(dist.alias("d"), F.col(name))).alias("best"))
     local = best(p.join(around, ["time", "band", "column"]))
-    # the way to the border of the cells around is at least 30 degrees of latitude, or of longitude at the point's latitude
-    reach = F.pow(2 * F.sin(F.radians(F.lit(size / 2))) * F.cos(F.radians("lat")), 2)
+    # what is in no cell around is at least 30 degrees of latitude or of longitude away; the shorter of the two ways, that
+    # to the meridian, as a squared chord
+    reach = 2 - 2 * F.sqrt(1 - F.pow(math.sin(math.radians(size)) * F.cos(F.radians("lat")), 2))
     known = p.join(local, ["time", "pid"], "left")
-    sure = known.filter((F.col("best.d") <= reach) & (F.abs("lat") < 60))
+    sure = known.filter(F.col("best.d") < reach)
     rest = known.join(sure.select("time", "pid"), ["time", "pid"], "left_anti").select("time", "pid", "lat", "lon")
     far = best(rest.join(e, "time"))
     return sure.select("time", "pid", f"best.{name}").unionByName(far.select("time", "pid", f"best.{name}"))

@@ -177,12 +177,38 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association.weigh(pairs, high, low)
 
 
-@query()
+def _extrema_cte(name: str, agg: str, both: str, test: str) -> str:
+    return f"""{name} AS (SELECT p.time, p.lat_idx * 144 + p.lon_idx AS id, lat, coalesce(360.0 * p.lon_idx / nullif(n_lon - 1, 0), 0) AS lon, v FROM p JOIN (
+  SELECT a.time, a.lat_idx, a.lon_idx, {agg}(b.v) AS m FROM p a JOIN field b ON b.time = a.time AND abs(b.lat_idx - a.lat_idx) <= 1 AND (abs(b.lon_idx - a.lon_idx) <= 1 OR abs(b.lon_idx - a.lon_idx) = a.n_lon - 1) GROUP BY 1, 2, 3) m
+  USING (time, lat_idx, lon_idx) WHERE v = CASE WHEN p.lat_idx IN (0, n_lat - 1) THEN {both}(m, 0) ELSE m END AND {test})"""
+
+
+def _nearest_cte(name: str, of: str) -> str:
+    xyz = lambda t: (f"cos(radians({t}.lat)) * cos(radians({t}.lon))", f"cos(radians({t}.lat)) * sin(radians({t}.lon))", f"sin(radians({t}.lat))")
+    d = " + ".join(f"pow({a} - {b}, 2)" for a, b in zip(xyz("z"), xyz("e"), strict=True))
+    return f"{name} AS (SELECT time, lat, lon, id FROM (SELECT z.time, z.lat, z.lon, e.id, row_number() OVER (PARTITION BY z.time, z.lat, z.lon ORDER BY {d}, e.id) AS r FROM z JOIN {of} e USING (time)) WHERE r = 1)"
+
+
+_ENDS = ("h.lat", "h.lon", "l.lat", "l.lon")
+GRAPH = f"""{FIELD}, p AS (SELECT f.*, n_lon, n_lat FROM field f JOIN (SELECT time, max(lon_idx) + 1 AS n_lon, max(lat_idx) + 1 AS n_lat FROM field GROUP BY time) USING (time)),
+{_extrema_cte('hi', 'max', 'greatest', 'v > 20')}, {_extrema_cte('lo', 'min', 'least', 'v < -20 AND p.lat_idx > 0')},
+z AS (SELECT DISTINCT a.time, a.lat + a.v / (a.v - b.v) * (b.lat - a.lat) AS lat, a.lon + a.v / (a.v - b.v) * (b.lon - a.lon) AS lon FROM field a JOIN field b ON b.time = a.time
+  AND ((b.lat_idx = a.lat_idx AND b.lon_idx = a.lon_idx + 1) OR (b.lat_idx = a.lat_idx + 1 AND b.lon_idx = a.lon_idx)) WHERE (a.v < 0) <> (b.v < 0)),
+{_nearest_cte('zh', 'hi')}, {_nearest_cte('zl', 'lo')},
+pr AS (SELECT DISTINCT zh.time, zh.id AS max_id, zl.id AS min_id FROM zh JOIN zl USING (time, lat, lon)),
+w AS (SELECT pr.*, h.lat AS max_lat, h.lon AS max_lon, h.v AS max_v, l.lat AS min_lat, l.lon AS min_lon, l.v AS min_v, {hav(*_ENDS)} AS distance, least(abs(h.lon - l.lon) % 360, 360 - abs(h.lon - l.lon) % 360) AS dlon, abs(h.lat - l.lat) AS dlat
+  FROM pr JOIN hi h ON h.time = pr.time AND h.id = max_id JOIN lo l ON l.time = pr.time AND l.id = min_id),
+g AS (SELECT * EXCLUDE (dlat), (max_v - min_v) / greatest(distance, 1e-6) * dlon / greatest(sqrt(dlon * dlon + dlat * dlat), 1e-6) AS weight, dlat / greatest(dlon, 1e-6) AS aspect FROM w)"""
+
+
+@query(f"""WITH {GRAPH} SELECT time, CAST(max_id AS BIGINT) AS max_id, CAST(min_id AS BIGINT) AS min_id, max_lat, round(max_lon, 6) AS max_lon, max_v, min_lat, round(min_lon, 6) AS min_lon, min_v,
+round(distance, 6) AS distance, round(weight, 6) AS weight, round(dlon, 6) AS dlon, round(aspect, 6) AS aspect FROM g""")
 def association_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_edges(spark, sf_dir), "distance", "weight", "dlon", "aspect", "max_lon", "min_lon")
 
 
-@query()
+@query(f"""WITH {GRAPH} SELECT time, count(*) AS n_edges, round(avg(distance), 6) AS mean_km, round(quantile_cont(distance, 0.5), 6) AS median_km, round(max(distance), 6) AS max_km FROM g
+WHERE least(max_v, -min_v) BETWEEN 20 AND 100 AND dlon > 6 AND aspect <= 1.5 AND weight BETWEEN 3e-5 AND 1 GROUP BY time""")
 def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = association.prune_edges(association.prune_nodes(_edges(spark, sf_dir), 20.0), 3e-5, 1.0)
     return rounded(association.length_stats(kept), "mean_km", "median_km", "max_km")
