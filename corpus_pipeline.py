@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again as the
 next stage's docs. All but the last keep the columns of documents.
 
-Null ids: such rows can be no one's copy and stay. Rows that repeat an id are told apart by their text, and one of each
-group stays.
+Null ids: such rows are no one's copy and stay. Rows that repeat an id are told apart by their text; one of each text
+stays. Null texts are rejected with the texts without letters; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the least id."""
     found = jaccard.join(docs, k=5, num=80, den=100)
-    goes = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(goes, "doc_id", "left_anti").select(*docs.columns)
-    # what is left can still hold rows that repeat an id; those of one text are one document
-    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
-    w = Window.partitionBy("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)).orderBy(*(F.col(c) for c in docs.columns if c not in ("doc_id", "text")))
-    more = kept.join(again, "doc_id").select(*docs.columns).withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    goes = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "text_hash").distinct()
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    kept = keyed.join(goes, ["doc_id", "text_hash"], "left_anti")
+    # of rows that repeat an id and its text one stays; they are told apart by nothing else
+    again = kept.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash")
+    once = kept.join(again, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    w = Window.partitionBy("doc_id", "text_hash").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
+    more = kept.join(again, ["doc_id", "text_hash"]).withColumn("nth", F.row_number().over(w)).filter("nth = 1").select(*docs.columns)
     return once.unionByName(more)
 
 

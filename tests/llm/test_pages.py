@@ -132,7 +132,7 @@ def test_wrappers_take_optional_and_repeated_groups():
     two = wrappers.fold(wrappers.Page("<ul><li>a</li></ul><h2>t</h2><p>x</p>").symbols)
     w = wrappers.align(one, two)
     assert (("<li", "#", "</li"), True, False) in w
-    assert [g for g in w if g[2]] == [(("<h2",), False, True), (("#",), False, True), (("</h2",), False, True)] or {g[0] for g in w if g[2]} >= {("<h2",), ("</h2",)}
+    assert {g[0] for g in w if g[2]} >= {("<h2",), ("</h2",)}
     assert wrappers.unpack(wrappers.pack(w)) == w and wrappers.align(w, one) == w
 
 

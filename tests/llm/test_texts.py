@@ -50,7 +50,7 @@ def brute_components(texts, k, num, den):
 @pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
 def test_jaccard_components(spark, docs, sf_docs, k, num):
     all_ = docs.select("doc_id", "text").unionByName(sf_docs.select((F.col("doc_id") + 100).alias("doc_id"), "text"))
-    got = Counter(map(tuple, jaccard.join(all_, k=k, num=num, den=100).collect()))
+    got = Counter(tuple(r)[:3] for r in jaccard.join(all_, k=k, num=num, den=100).collect())
     assert got == brute_components([tuple(r) for r in all_.collect()], k, num, 100)
 
 
@@ -61,7 +61,7 @@ def test_jaccard_chains_and_groups_larger_than_a_block(spark):
     rows += [(1000 + i, " ".join([*(f"v{j}" for j in range(100)), f"own{i}"])) for i in range(600)]
     rows += [(5000 + i, " ".join(f"v{j}" if j % 17 != i else f"z{i}" for j in range(100))) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = Counter(map(tuple, jaccard.join(df, k=4, num=85, den=100).collect()))
+    got = Counter(tuple(r)[:3] for r in jaccard.join(df, k=4, num=85, den=100).collect())
     assert got == brute_components(rows, 4, 85, 100)
 
 
@@ -144,10 +144,8 @@ def test_language_probabilities_add_up(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = langid.learn(docs, F.lit(True))
     letters = "abcdefghijklmnopqrstuvwxyz éèêçñíóäöüßà"
-    x, _, _ = langid.characters(["the " + c for c in letters])
-    assert len(x)
     for context in ("   ", "the", "qzx"):
-        total = sum(np.exp(model.logs(np.frombuffer((context + c).encode("utf-32-le"), "<u4"))[0]) for c in letters if True)
+        total = sum(np.exp(model.logs(np.frombuffer((context + c).encode("utf-32-le"), "<u4"))[0]) for c in letters)
         assert (total <= 1.0001).all() and (total > 0.5).all()
 
 

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,7 +35,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """From now on the session gives Python at most so many rows at once: rows that hold whole texts or token sets are
+    large, and a batch is held on both sides of the pipe. What returns lazily runs later, so this stays set."""
+    if not 0 < int(spark.conf.get(ROWS_KEY)) <= rows:
+        spark.conf.set(ROWS_KEY, str(rows))
+
+
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -113,15 +123,16 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of at most ``most`` bytes of text (or one longer document), each with its texts in UTF-8; null is empty."""
     for batch in batches:
-        texts = [x or b"" for x in batch.column(batch.schema.get_field_index(text)).cast(pa.binary()).to_pylist()]
+        at = batch.schema.get_field_index(text)
+        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(at).cast(pa.binary())), 0).to_pylist()
         begin, size = 0, 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > most:
-                yield batch.slice(begin, i - begin), texts[begin:i]
+        for i, n in enumerate([*lengths, most]):
+            if i == len(lengths) or size and size + n > most:
+                if begin < i:
+                    part = batch.slice(begin, i - begin)
+                    yield part, [x or b"" for x in part.column(at).cast(pa.binary()).to_pylist()]
                 begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
+            size += n
 
 
 def signed(x: np.ndarray) -> np.ndarray:

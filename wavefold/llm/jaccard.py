@@ -7,9 +7,10 @@ Documents with equal shingle sets form a class, and one row stands for it. What
 2. Similar classes are put into groups of bounded size: those with the same least hash (under two orders), dealt out
    by a hash where a group is large. Inside a group all links are found, and linked classes join a component.
 3. A class can link outside its component only if enough of its shingles occur in another component. Those classes are
-   grouped again by component, again in groups of bounded size, and each group's union of shingles is stored. A query
-   class meets the groups whose union holds one of its rarest shingles; its overlap with the union bounds that with any
-   member, and only groups whose bound reaches the threshold are opened and their members compared.
+   grouped again, by component or, where they are alone in theirs, by similarity, again in groups of bounded size. Two
+   groups meet if their token matrices share one of the rarest shingles of members of both. Then each class of the one
+   is held against the union of the other's shingles, which bounds its overlap with any member, and only where the
+   bound reaches the threshold is the group opened and its members compared.
 
 Shingles are 64-bit hashes of words. Edge cases: null or empty texts and texts without words have no shingles and no
 links; texts of fewer than ``k`` words have the whole as one shingle; a null id gives a null component and no links;
@@ -26,10 +27,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import NOT_SPACE, blocks, grams, materialise, mix, signed, words
+from .common import NOT_SPACE, blocks, grams, materialise, mix, signed, small_batches, words
 from .graph import components
 
-#: Most members of a group, and most queries that are compared with one at a time.
+#: About as many members has a group at most.
 GROUP = 256
 #: Share of a set by which the prefix is longer than the plain filter needs, for more than one shared shingle.
 EXTRA = 0.12
@@ -101,10 +102,11 @@ def _deal(group: np.ndarray, token: np.ndarray, buckets: int, into: list) -> np.
     return shared
 
 
-_DEALT = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("groups", pa.binary())])
-DEALT = "bucket long, kind int, id long, grp long, n long, tokens binary, groups binary"
-MET = "kind int, id long, grp long, n long"
-#: Kinds of rows: a document (id, its set's signature as grp, size n); a count n of shared tokens of grp; blobs.
+_DEALT = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("tokens", pa.binary()), ("groups", pa.binary())])
+DEALT = "bucket long, kind int, id long, grp long, n long, key long, tokens binary, groups binary"
+MET = "kind int, id long, grp long, n long, key long"
+#: Kinds of rows: a document (id, its set's signature as grp, size n, its text's hash as key); a count n of shared tokens
+#: of grp; blobs.
 DOC, COUNT, BLOB = 0, 1, 2
 
 
@@ -120,7 +122,7 @@ def _blobs(dealt: list[tuple]) -> Iterator[pa.RecordBatch]:
     if dealt:
         b, t, g = zip(*dealt, strict=True)
         no = pa.nulls(len(b), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(np.full(len(b), BLOB, np.int32)), no, no, no, pa.array(t, pa.binary()), pa.array(g, pa.binary())], schema=_DEALT)
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(np.full(len(b), BLOB, np.int32)), no, no, no, no, pa.array(t, pa.binary()), pa.array(g, pa.binary())], schema=_DEALT)
 
 
 def _dealt(groups: list[int], tokens: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -131,7 +133,7 @@ def _dealt(groups: list[int], tokens: list[np.ndarray], buckets: int) -> Iterato
     dealt: list = []
     shared = _deal(np.repeat(np.array(groups, np.int64), sizes), np.concatenate(tokens), buckets, dealt)
     n = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-    yield from _rows(COUNT, [(None, g, c) for g, c in zip(groups, n.tolist(), strict=True) if c], buckets)
+    yield from _rows(COUNT, [(None, g, c, None) for g, c in zip(groups, n.tolist(), strict=True) if c], buckets)
     yield from _blobs(dealt)
 
 
@@ -139,11 +141,11 @@ def _first_pass(th: Threshold, buckets: int):
     """Each document's (id, signature, size), and its first shingles dealt by token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "text", 1 << 24):
+        for batch, texts in blocks(batches, "text"):
             own, first = [], {}
-            for i, x in zip(batch.column(0).to_pylist(), shingle_sets(texts, th.k), strict=True):
+            for i, key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(texts, th.k), strict=True):
                 s = _signature(x)
-                own.append((i, s, len(x)))
+                own.append((i, s, len(x), key))
                 if len(x) and i is not None and s not in first:
                     first[s] = x[: th.prefix(len(x))]
             yield from _rows(DOC, own, buckets)
@@ -161,7 +163,7 @@ def _set_pass(buckets: int):
             at = 0
             while at < len(tokens):
                 till, size = at, 0
-                while till < len(tokens) and (till == at or size + len(tokens[till]) < 2_000_000):
+                while till < len(tokens) and (till == at or size + len(tokens[till]) < 400_000):
                     size += len(tokens[till])
                     till += 1
                 yield from _dealt(comps[at:till], tokens[at:till], buckets)
@@ -177,10 +179,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blob = batch.column(1).to_numpy(zero_copy_only=False) == BLOB
         if not blob.all():
             own = batch.filter(pa.array(~blob))
-            yield pa.RecordBatch.from_arrays([own.column(i) for i in (1, 2, 3, 4)], names=["kind", "id", "grp", "n"])
+            yield pa.RecordBatch.from_arrays([own.column(i) for i in range(1, 6)], names=["kind", "id", "grp", "n", "key"])
         picked = batch.filter(pa.array(blob))
-        tokens += [np.frombuffer(x, _U) for x in picked.column(5).to_pylist()]
-        groups += [np.frombuffer(x, np.int64) for x in picked.column(6).to_pylist()]
+        tokens += [np.frombuffer(x, _U) for x in picked.column(6).to_pylist()]
+        groups += [np.frombuffer(x, np.int64) for x in picked.column(7).to_pylist()]
     if not tokens:
         return
     t, g = np.concatenate(tokens), np.concatenate(groups)
@@ -193,7 +195,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     shared = np.repeat(several, np.diff(np.concatenate([at, [len(t)]])))
     ids, n = np.unique(g[shared & (g != 0)], return_counts=True)
     if len(ids):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), COUNT, np.int32)), pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(n.astype(np.int64))], names=["kind", "id", "grp", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), COUNT, np.int32)), pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(n.astype(np.int64)), pa.nulls(len(ids), pa.int64())], names=["kind", "id", "grp", "n", "key"])
 
 
 def _local_links(th: Threshold):
@@ -238,45 +240,60 @@ def link_block(sets: list[np.ndarray], n: np.ndarray, th: Threshold) -> np.ndarr
     return label
 
 
+def _links_to(th: Threshold, sets: list[np.ndarray], n: np.ndarray, comps: np.ndarray, queries: list[np.ndarray], sizes: np.ndarray, own: np.ndarray) -> set[tuple[int, int]]:
+    """Links (component, component) of queries with members of a group: first the bound by the group's union."""
+    cat = np.concatenate(sets)
+    order = np.argsort(cat, kind="stable")
+    t, o = cat[order], np.repeat(np.arange(len(sets)), n)[order]
+    at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+    union, ends = t[at], np.concatenate([at[1:], [len(t)]])
+    out = set()
+    for x, size, comp in zip(queries, sizes.tolist(), own.tolist(), strict=True):
+        place = np.minimum(np.searchsorted(union, x), len(union) - 1)
+        place = place[union[place] == x]
+        if len(place) < th.least(size):
+            continue
+        w = ends[place] - at[place]
+        every = np.repeat(at[place] - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
+        linked = th.linked(np.bincount(o[every], minlength=len(sets)), size, n) & (comps != comp)
+        out |= {(comp, int(c)) for c in comps[linked]}
+    return out
+
+
 def _open(th: Threshold):
-    """Queries against the members of one group: first the bound by the group's union, then the members themselves."""
-
-    def run(key, members, queries):
-        a, b = [], []
-        if len(members) and len(queries):
-            sets = [np.frombuffer(x, _U) for x in members["tokens"]]
-            n, comp = members["n"].to_numpy(), int(members["comp"].iloc[0])
-            cat = np.concatenate(sets)
-            order = np.argsort(cat, kind="stable")
-            t, o = cat[order], np.repeat(np.arange(len(sets)), n)[order]
-            union = t[np.concatenate([[True], t[1:] != t[:-1]])]
-            for q, size, other in zip(queries["tokens"], queries["n"], queries["comp"], strict=True):
-                x = np.frombuffer(q, _U)
-                place = np.minimum(np.searchsorted(union, x), len(union) - 1)
-                x = x[union[place] == x]
-                if len(x) < th.least(int(size)):
-                    continue
-                low, high = np.searchsorted(t, x, "left"), np.searchsorted(t, x, "right")
-                w = high - low
-                at = np.repeat(low - np.concatenate([[0], np.cumsum(w)[:-1]]), w) + np.arange(w.sum())
-                if th.linked(np.bincount(o[at], minlength=len(sets)), int(size), n).any():
-                    a.append(int(other))
-                    b.append(comp)
-        return pd.DataFrame({"a": pd.Series(a, dtype="int64"), "b": pd.Series(b, dtype="int64")}).drop_duplicates()
+    """Links between the components of two groups of sets."""
+
+    def run(key, one, other):
+        found = set()
+        if len(one) and len(other):
+            a, b = ([np.frombuffer(x, _U) for x in pdf["tokens"]] for pdf in (one, other))
+            found = _links_to(th, a, one["n"].to_numpy(), one["comp"].to_numpy(), b, other["n"].to_numpy(), other["comp"].to_numpy())
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _inside(th: Threshold):
+    """Links between the components inside one group."""
+
+    def run(key, pdf):
+        sets = [np.frombuffer(x, _U) for x in pdf["tokens"]]
+        n, comps = pdf["n"].to_numpy(), pdf["comp"].to_numpy()
+        return pd.DataFrame(sorted(_links_to(th, sets, n, comps, sets, n, comps)), columns=["a", "b"], dtype="int64")
 
     return run
 
 
 def _tokenise(th: Threshold):
-    """The sets of documents whose signature is as given."""
+    """The sets of documents, with their least hashes under two orders."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("key1", pa.int64()), ("key2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in blocks(batches, "text"):
+        for _, texts in blocks(batches, "text"):
             rows = []
-            for sig, x in zip(batch.column(0).to_pylist(), shingle_sets(texts, th.k), strict=True):
-                if len(x) and _signature(x) == sig:
-                    rows.append((sig, len(x), x.tobytes(), int(x[:1].view(np.int64)[0]), int(mix(x ^ _U(0x0123456789ABCDEF)).min(keepdims=True).view(np.int64)[0])))
+            for x in shingle_sets(texts, th.k):
+                if len(x):
+                    rows.append((_signature(x), len(x), x.tobytes(), int(x[:1].view(np.int64)[0]), int(mix(x ^ _U(0x0123456789ABCDEF)).min(keepdims=True).view(np.int64)[0])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -298,18 +315,19 @@ def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(th: Threshold, counts):
-    """(token, id) for the rarest tokens of each set, as many as a linked set must meet."""
+    """(token, grp, comp, n) for the rarest tokens of each set, as many as a linked set must meet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens = [], []
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            tokens = []
+            for x in batch.column(3).to_pylist():
                 t = np.frombuffer(x, _U)
                 order = np.lexsort((t, counts.value[(t % _U(SKETCH)).astype(np.int64)]))
                 tokens.append(t[order[: len(t) - th.least(len(t)) + 1]])
-                ids.append(np.full(len(tokens[-1]), i, np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(signed(np.concatenate(tokens)))], names=["id", "token"])
+            if tokens:
+                lens = [len(t) for t in tokens]
+                rest = [pa.array(np.repeat(batch.column(i).to_numpy(zero_copy_only=False), lens)) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(tokens))), *rest], names=["token", "grp", "comp", "n"])
 
     return run
 
@@ -322,53 +340,86 @@ def _grouped(sets: DataFrame, key: str, seed: int) -> DataFrame:
 
 
 def _across(sets: DataFrame, th: Threshold) -> DataFrame:
-    """Links (a, b) between components of ``sets`` (id, comp, n, tokens), through the token-group matrix."""
+    """Links (a, b) between components of ``sets`` (id, comp, n, tokens, key1, key2), through the token-group matrix."""
     spark = sets.sparkSession
     tally = sets.select("tokens").mapInArrow(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     table = tally.toArrow()  # at most SKETCH rows
     counts = np.zeros(SKETCH, np.int64)
     counts[table["slot"].to_numpy()] = table["n"].to_numpy()
-    sizes = sets.groupBy("comp").agg(F.count("*").alias("members"))
-    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / GROUP))
-    sets = materialise(sets.join(materialise(sizes, "sizes"), "comp").withColumn("grp", F.xxhash64("comp", part)), "members")
-    prefix = sets.select("id", "tokens").mapInArrow(_prefixes(th, spark.sparkContext.broadcast(counts)), "id long, token long")
-    prefix = materialise(prefix.join(sets.select("id", "comp", "grp", "n", "members"), "id"), "prefix")
-    matrix = prefix.groupBy("token", "grp").agg(F.first("comp").alias("g_comp"), F.first("members").alias("g_members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    # of two components the smaller asks
-    asks = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g_comp")))
-    fits = (F.col("n") * th.num <= F.col("high") * th.den) & (F.col("low") * th.num <= F.col("n") * th.den)
-    met = prefix.drop("grp").join(materialise(matrix, "matrix"), "token").filter(asks & fits & (F.col("comp") != F.col("g_comp"))).select("id", "grp").distinct()
-    met = materialise(met, "met")
-    asked = materialise(met.groupBy("grp").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "asked")
-    queries = met.join(sets.select("id", "comp", "n", "tokens"), "id").join(asked, "grp").withColumn("part", F.pmod(F.xxhash64("id", F.lit(7)), "parts"))
-    members = sets.join(asked, "grp").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    cols = [F.col(c).alias(c) for c in ("grp", "part", "comp", "n", "tokens")]  # anew, as both sides come of one table
-    return members.select(*cols).groupBy("grp", "part").cogroup(queries.select(*cols).groupBy("grp", "part")).applyInPandas(_open(th), "a long, b long")
+    # sets of one component together; those alone in theirs by the more frequent of their least hashes
+    slim = sets.select("id", "comp", "key1", "key2")
+    for key in ("comp", "key1", "key2"):
+        slim = slim.join(materialise(slim.groupBy(key).agg(F.count("*").alias(f"n_{key}")), "sizes"), key)
+    alike = F.when(F.struct("n_key1", "key1") >= F.struct("n_key2", "key2"), F.struct("n_key1", "key1")).otherwise(F.struct(F.col("n_key2").alias("n_key1"), F.col("key2").alias("key1")))
+    about = F.when(F.col("n_comp") > 1, F.struct(F.col("n_comp").alias("n_key1"), F.col("comp").alias("key1"))).otherwise(alike)
+    part = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(about["n_key1"] / GROUP))
+    groups = materialise(slim.select("id", F.xxhash64(about["key1"], F.col("n_comp") > 1, part).alias("grp")), "groups")
+    sets = materialise(sets.join(groups, "id").select("grp", "comp", "n", "tokens"), "members")
+    prefix = sets.mapInArrow(_prefixes(th, spark.sparkContext.broadcast(counts)), "token long, grp long, comp long, n long")
+    matrix = prefix.groupBy("token", "grp").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("low"), F.max("n").alias("high"))
+    matrix = materialise(matrix, "matrix")
+    a, b = (matrix.select("token", *(F.col(c).alias(f"{c}_{x}") for c in matrix.columns if c != "token")) for x in "ab")
+    fits = (F.col("low_a") * th.num <= F.col("high_b") * th.den) & (F.col("low_b") * th.num <= F.col("high_a") * th.den)
+    alone = (F.col("c1_a") == F.col("c2_a")) & (F.col("c1_b") == F.col("c2_b")) & (F.col("c1_a") == F.col("c1_b"))
+    met = materialise(a.join(b, "token").filter((F.col("grp_a") < F.col("grp_b")) & fits & ~alone).select("grp_a", "grp_b").distinct(), "met")
+    cols = ["grp_a", "grp_b", "comp", "n", "tokens"]
+    one, other = (met.join(sets, met[g] == sets["grp"]).select(*(F.col(c).alias(c) for c in cols)).groupBy("grp_a", "grp_b") for g in ("grp_a", "grp_b"))
+    between = one.cogroup(other).applyInPandas(_open(th), "a long, b long")
+    mixed = sets.groupBy("grp").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).filter("c1 <> c2").select("grp")
+    inside = sets.join(materialise(mixed, "mixed"), "grp", "left_semi").groupBy("grp").applyInPandas(_inside(th), "a long, b long")
+    return between.unionByName(inside)
+
+
+#: Bits of the filter for the ids of documents that are read again; at most as many numbers come to the driver.
+FILTER_BITS = 1 << 22
+
+
+def _again(slim: DataFrame, left: DataFrame) -> DataFrame:
+    """Rows of ``slim`` whose id may be in ``left``: all that are, and others by chance."""
+    spark = slim.sparkSession
+    slot = F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    found = left.select(slot.cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
+    bits = np.zeros(FILTER_BITS, np.uint8)
+    bits[found] = 1
+    sent = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            keep = batch.filter(pa.array(mask[batch.column(0).to_numpy(zero_copy_only=False)]))
+            if keep.num_rows:
+                yield keep
+
+    return slim.filter("id IS NOT NULL").select(slot.cast("int").alias("slot"), "text").mapInArrow(run, "slot int, text string").select("text")
 
 
 def join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id reachable by links)."""
+    """One row per row of ``docs``: doc_id, n_shingles, component_id (the least doc_id reachable by links), and text_hash
+    (xxhash64 of the text), which tells rows of one id apart."""
     spark = docs.sparkSession
     th = Threshold(k, num, den)
+    small_batches(spark)
     # many more buckets than partitions, so that these are even
     buckets = max(2048, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = materialise(slim.mapInArrow(_first_pass(th, buckets), DEALT).repartition("bucket").mapInArrow(_meet, MET), "first")
-    base = met.filter(F.col("kind") == DOC).select("id", F.col("grp").alias("sig"), "n")
+    keyed = slim.withColumn("key", F.xxhash64("text"))
+    met = materialise(keyed.mapInArrow(_first_pass(th, buckets), DEALT).repartition("bucket").mapInArrow(_meet, MET), "first")
+    base = met.filter(F.col("kind") == DOC).select("id", F.col("grp").alias("sig"), "n", F.col("key").alias("text_hash"))
     counts = met.filter(F.col("kind") == COUNT).groupBy("grp").agg(F.sum("n").alias("shared"))
     classes = materialise(base.filter("id IS NOT NULL AND n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
     least = F.ceil(F.col("n") * th.num / th.den)
     needs = 1 + F.floor(F.lit(EXTRA) * least).cast("long")
     left = classes.join(counts, F.col("sig") == F.col("grp")).filter(F.col("shared") >= needs).select(F.col("rep").alias("id"), "sig")
-    texts = slim.join(materialise(left, "left"), "id")
+    left = materialise(left, "left")
     run, schema = _tokenise(th)
-    sets = materialise(texts.select("sig", "text").mapInArrow(run, schema).dropDuplicates(["id"]), "sets")
+    again = _again(slim, left).mapInArrow(run, schema)
+    sets = materialise(again.join(left.select(F.col("sig").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "sets")
     edges = None
     for key, seed in (("key1", 1), ("key2", 2)):
         found = _grouped(sets, key, seed).select("grp", "id", "n", "tokens").groupBy("grp").applyInPandas(_local_links(th), "a long, b long").filter("a <> b")
         edges = found if edges is None else edges.unionByName(found)
     local = materialise(components(edges, "a", "b"), "local")
-    sets = sets.select("id", "n", "tokens").join(local, sets["id"] == local["node"], "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "tokens")
+    sets = sets.join(local, sets["id"] == local["node"], "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "tokens", "key1", "key2")
     sets = materialise(sets, "labelled")
     cross = sets.select("comp", "tokens").mapInArrow(_set_pass(buckets), DEALT).repartition("bucket").mapInArrow(_meet, MET)
     cross = cross.groupBy("grp").agg(F.sum("n").alias("shared"))
@@ -382,4 +433,4 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
     ids = named.join(least_of, "comp").select("sig", "component_id")
     full = materialise(classes.join(ids, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("class_id")), "components")
     out = base.join(full, "sig", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("class_id"))).otherwise(F.col("id")).alias("component_id"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("class_id"))).otherwise(F.col("id")).alias("component_id"), "text_hash")

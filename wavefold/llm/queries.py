@@ -77,7 +77,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+    return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_rules, op2_warc, op3_decontaminate, op4_bpe, op5_language, op6_main_text, op7_topk, op8_shards, op9_pii, op10_jaccard)}
