@@ -23,6 +23,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import small_batches
+
 LONG = 100
 #: Words whose codes a task keeps.
 KEPT = 1 << 19
@@ -141,6 +143,7 @@ def codec(path: str) -> Codec:
 
 def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """``docs`` with the token ids of each whole text as an array<int> column, in place of any column of that name."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != ids_col]
     schema = docs.select(*keep).schema.add(ids_col, T.ArrayType(T.IntegerType()))
 
@@ -158,6 +161,7 @@ def encode(docs: DataFrame, path: str, *, text_col: str = "text", ids_col: str =
 
 def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``tokens`` with the text that its ids stand for; null ids give the empty string."""
+    small_batches(tokens.sparkSession)
     keep = [c for c in tokens.columns if c != text_col]
     schema = tokens.select(*keep).schema.add(text_col, "string")
 
@@ -173,6 +177,7 @@ def decode(tokens: DataFrame, path: str, *, ids_col: str = "ids", text_col: str
 
 def round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row the digests of its ids and of what they decode to: encode and decode in one pass over the texts."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = codec(path)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ALNUM, blocks, grams, materialise, mix, signed, words
+from .common import ALNUM, blocks, grams, materialise, mix, signed, small_batches, words
 
 K = 5
 #: Bits of the filter that is sent to every task; at most as many bucket numbers come to the driver.
@@ -142,6 +142,7 @@ def covered(spans: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside any shared window), items (sorted as strings)."""
     spark = docs.sparkSession
+    small_batches(spark)
     run, schema = _items(window)
     items = materialise(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(run, schema), "items")
     buckets = np.array([r[0] for r in items.select(F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))).distinct().toLocalIterator()], np.int64)

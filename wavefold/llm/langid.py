@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import grams, mix
+from .common import grams, mix, small_batches
 
 ORDER = 4
 #: Bytes of text for each language from which n-grams are counted.
@@ -223,6 +223,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, learnable: Column, *, max_bytes: int = MAX_BYTES, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
     """A model from the rows of ``docs`` for which ``learnable`` holds; None if there are none."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))  # a row for each language
@@ -259,6 +260,7 @@ def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text") ->
     schema = docs.select(*keep).schema
     for name, kind in zip(new, ["string", "double", "double", "boolean"], strict=True):
         schema = schema.add(name, kind)
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
