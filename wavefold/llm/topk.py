@@ -72,13 +72,18 @@ def _above(lists: int):
     return run
 
 
+def _matrix(rows: pa.StructArray, lists: list[str]) -> list[np.ndarray]:
+    """Columns of a block's rows as arrays; ``part`` as a matrix."""
+    cols = dict(zip((f.name for f in rows.type), rows.flatten(), strict=True))
+    out = [cols["id"].to_numpy(zero_copy_only=False), cols["part"].flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)]
+    return out + [cols[c].fill_null(-(1 << 62)).to_numpy(zero_copy_only=False) for c in lists]
+
+
 def _local(batches: Iterator[pa.RecordBatch]):
     for batch in batches:
-        for row in batch.to_pylist():
-            q, c = row["q_rows"], row["c_rows"]
-            q_ids, c_ids = (np.array([x["id"] for x in rows], np.int64) for rows in (q, c))
-            a, b = (np.array([x["part"] for x in rows], np.int64).reshape(len(rows), -1) for rows in (q, c))
-            cutoff = np.array([x["cutoff"] if x["cutoff"] is not None else -(1 << 62) for x in q], np.int64)
+        for q, c in zip(batch.column(0), batch.column(1), strict=True):
+            q_ids, a, cutoff = _matrix(q.values, ["cutoff"])
+            c_ids, b = _matrix(c.values, [])
             yield q_ids, c_ids, _product(a, b), cutoff
 
 
@@ -117,7 +122,9 @@ def search(vectors: DataFrame, is_query: Column, *, k: int = 5, lists: int = LIS
     asking = materialise(rows.filter("asks").select("vec_id", "v").join(classes.select("v", F.col("c").alias("q")), "v").select("vec_id", "q").distinct(), "asking")
     spread = classes.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     cand = materialise(classes.join(F.broadcast(spread), "dim").select(F.col("c").alias("id"), "dim", "v", F.pmod(F.xxhash64("c"), "blocks").alias("block")), "candidates")
-    ask = materialise(cand.join(asking.select(F.col("q").alias("id")).distinct(), "id", "left_semi"), "queries")
+    ask = cand.drop("block").join(asking.select(F.col("q").alias("id")).distinct(), "id", "left_semi")
+    spread = ask.groupBy("dim").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    ask = materialise(ask.join(F.broadcast(spread), "dim").withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).drop("blocks"), "queries")
     # k + 1 classes hold k rows besides the query itself
     top = materialise(_pairs(ask.withColumn("cutoff", F.lit(None).cast("long")), cand, lists).mapInArrow(_best(k + 1), "q long, c long, local long"), "phase1")
     named = top.select("q", "c").distinct()
