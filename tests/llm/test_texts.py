@@ -94,6 +94,13 @@ def test_decontaminate(spark, docs, sf_docs):
     assert got == want
 
 
+def test_decontaminate_item_without_id(spark, docs):
+    """Its words hit as any item's do; only the names leave it out."""
+    bench = spark.createDataFrame([(None, "alpha BETA, gamma delta epsilon zeta eta theta iota kappa lambda"), (7, "pi rho sigma tau upsilon phi chi psi omega one two"), (None, "two words")], "item_id long, text string")
+    got = Counter((r["doc_id"], r["n_hit"], tuple(r["items"])) for r in decontaminate.decontaminate(docs, bench).collect() if r["n_hit"])
+    assert got == Counter({(1, 22, ("7",)): 1, (2, 22, ("7",)): 1, (3, 22, ("7",)): 2, (None, 22, ("7",)): 1, (8, 2, ()): 1})
+
+
 def test_decontaminate_empty(spark, empty, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.decontaminate(empty, none).collect() == []

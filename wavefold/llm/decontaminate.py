@@ -5,7 +5,8 @@ that hold it), so that any shared span of ``window`` words has a fingerprint in
 those of the benchmark in a Spark join, and each meeting is extended word by word, which settles it exactly.
 
 Edge cases: null and empty texts have no words and no hits; a null item text gives no window; items of fewer than
-``window`` words count as one window of their own length; each input row gives one row, repeated rows and ids included.
+``window`` words count as one window of their own length; an item without an id hits like any other and is left out of
+``items``; each input row gives one row, repeated rows and ids included.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def _items(window: int):
             ids = batch.column(0).to_pylist()
             for i, item in enumerate(ids):
                 a, b = int(w.first[i]), int(w.first[i + 1])
-                if a == b or item is None:
+                if a == b:
                     continue
                 kind = min(window, b - a)
                 k = min(K, kind) if kind == window else kind
@@ -120,12 +121,12 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin, end, item = [], [], []
         for kind, pos, name, b1, a1, b2, a2 in zip(*(rows[c] for c in ("kind", "pos", "item", "before", "after", "item_before", "item_after")), strict=True):
             left = right = 0
-            if name is not None:
+            if b2 is not None:  # an item's name may be null, the words around its fingerprint are not
                 while left < min(len(b1), len(b2)) and b1[-1 - left] == b2[-1 - left]:
                     left += 1
                 while right < min(len(a1), len(a2)) and a1[right] == a2[right]:
                     right += 1
-            found = name is not None and left + right >= kind
+            found = b2 is not None and left + right >= kind
             begin.append(pos - left if found else None)
             end.append(pos + right if found else None)
             item.append(name if found else None)
