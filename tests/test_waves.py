@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from wavefold import schema
+from wavefold import queries, schema
 from wavefold.config import Config
 from wavefold.operators import compare, features, frames, stencil, tracking
 from wavefold.plans.catalogue import Catalogue, histogram
@@ -215,6 +215,27 @@ def test_streamed_tracks_equal_batch(spark, tmp_path):
     assert {r for r in batch if r[3] < 4} == got
 
 
+def test_streamed_tracks_equal_batch_to_the_end(spark, tmp_path):
+    """Runs of several lengths, one of a single step, with the ends of the runs as the last file."""
+    rows = [(str(run), *feature(t, i, 20 * i + t)[1:]) for run, n in enumerate((5, 1, 3)) for t in range(n) for i in range(3)]
+    df = spark.createDataFrame(rows, FEATURE)
+    src = str(tmp_path / "in")
+    for t in range(5):
+        spark.createDataFrame([r for r in rows if r[1] == t], FEATURE).coalesce(1).write.mode("append").parquet(src)
+    features.ends(df).coalesce(1).write.mode("append").parquet(src)
+    stream = features.stream_track(spark.readStream.schema(FEATURE).option("maxFilesPerTrigger", 1).parquet(src))
+    q = stream.writeStream.format("memory").queryName("all_steps").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    batch, got = (sorted((tuple(map(str, r)) for r in d.collect())) for d in (features.track(df), spark.table("all_steps")))
+    assert got == batch and len(got) == 27
+
+
+def test_streamed_query_gives_all_tracks(spark):
+    at = "/root/testdata/sf0.001"
+    batch, got = (sorted(tuple(map(str, r)) for r in queries.QUERIES[q](spark, at).collect()) for q in ("feature_tracks", "streamed_feature_tracks"))
+    assert got == batch and got
+
+
 def test_catalogue_on_disk(spark, tmp_path):
     nodes = spark.createDataFrame([(0, 1, 2, "max", 10.0, 50.0, 5.0, 2, 0)], schema.TABLES["nodes"])
     catalogue_io.save({"nodes": nodes}, str(tmp_path), {"dt_hours": 12})

@@ -88,22 +88,37 @@ def roots(steps: DataFrame, save) -> DataFrame:
         up = more.drop("moved")
 
 
+#: Strength of a row that is no feature but says that its run has come, up to and with its time. It has to come last.
+END = "end"
+
+
+def ends(features: DataFrame) -> DataFrame:
+    """A row of strength ``END`` for each run, to be written behind the run's features."""
+    last = features.groupBy("run").agg(F.max("time").alias("time"))
+    known = {"run": F.col("run"), "time": F.col("time"), "id": F.lit(0), "strength": F.lit(END)}
+    return last.select(*(known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in features.schema))
+
+
 def stream_track(features: DataFrame, **options) -> DataFrame:
-    """The same steps from a stream of features. A time step is worked off when a later one of its run has come; rows
-    that come after theirs was worked off are returned with a null track_id."""
+    """The same steps from a stream of features. A time step is worked off when a later one of its run has come, or a row
+    of strength ``END`` of its time (see ``ends``); rows that come after theirs was worked off are returned with a null
+    track_id."""
     columns = [c.split(" ")[0] for c in STEPS.split(", ")]
 
     def run(key, pdfs, state):
         old = json.loads(state.get[0]) if state.exists else {"live": [], "wait": [], "done": None}
         late, wait = [], [x | {"ring": [tuple(p) for p in x["ring"]]} for x in old["wait"]]
         live = [x | {"ring": [tuple(p) for p in x["ring"]]} for x in old["live"]]
+        end = []
         for pdf in pdfs:
-            for r in _rows(pdf):
+            mark = pdf["strength"] == END
+            end += pdf.loc[mark, "time"].tolist()
+            for r in _rows(pdf[~mark]):
                 (wait if old["done"] is None or r["time"] > old["done"] else late).append(r)
         out = [{"track_id": None, "parent_id": None, "time": r["time"], "id": r["id"], "lon": r["lon"], "lat": r["lat"], "recovered": False} for r in late]
         done = old["done"]
         if wait:
-            last = max(r["time"] for r in wait)
+            last = max(*(r["time"] for r in wait), *(int(t) + 1 for t in end), wait[0]["time"])
             for t in range(min(r["time"] for r in wait) if done is None else done + 1, last):
                 live, steps = advance(live, sorted((r for r in wait if r["time"] == t), key=lambda r: r["id"]), **options)
                 out += steps

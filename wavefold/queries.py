@@ -475,12 +475,13 @@ def feature_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def streamed_feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same tracks from a stream of feature files."""
+    """The same tracks from a stream of feature files, whose last ones hold the ends of the runs."""
     from .operators import features
     from .sources.staging import path as new_path
 
     source = new_path(spark, "features")
     _features(spark, sf_dir).write.parquet(source)
+    features.ends(spark.read.parquet(source)).write.mode("append").parquet(source)
     stream = features.stream_track(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), most_shift=40.0)
     out = new_path(spark, "streamed")
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start()
