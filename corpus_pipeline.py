@@ -3,17 +3,17 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again as the
 next stage's docs. All but the last keep the columns of documents.
 
-Null ids: such rows are no one's copy and stay. Rows that repeat an id are told apart by their text; one of each text
-stays. Null texts are rejected with the texts without letters; an empty table passes through.
+Rows are told apart by id and text, a null id being one id, so that a hit or a group drops the rows it is about and no
+others of their id. Rows without id are no copies of rows that have one; of each group of them one stays. Null texts are rejected with the texts without letters; an empty table passes through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from wavefold.llm import bpe, decontaminate as winnow, jaccard, langid, pii
-from wavefold.llm.common import scratch
+from wavefold.llm.common import materialise, scratch
 from wavefold.llm.queries import held_out, table, tokenizer_path
 
 
@@ -23,25 +23,39 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).filter(~F.col("rejected")).select(*docs.columns)
 
 
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    """Rows of one id and one text; a null id is one id."""
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the least id."""
-    found = jaccard.join(docs, k=5, num=80, den=100)
-    goes = found.filter(F.col("doc_id") != F.col("component_id")).select("doc_id", "text_hash").distinct()
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the least id, and of
+    rows of one id that of the least text hash."""
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    kept = keyed.join(goes, ["doc_id", "text_hash"], "left_anti")
+    # texts, not ids, are what is linked: component_id is the least hash of a group, whatever ids its rows have
+    found = jaccard.join(keyed.select("text_hash", "text"), k=5, num=80, den=100, id_col="text_hash")
+    groups = found.groupBy("text_hash").agg(F.first("component_id").alias("component"), F.max("n_shingles").alias("n"))
+    pairs = keyed.select("doc_id", "text_hash").distinct().join(groups, "text_hash")
+    # texts without words are no copies of another id's
+    lone = F.when(F.col("n") == 0, F.col("doc_id"))
+    pairs = materialise(pairs.select("doc_id", "text_hash", F.xxhash64("component", F.col("doc_id").isNull(), lone).alias("grp")), "pairs")
+    first = pairs.groupBy("grp").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("best")).filter("n > 1")
+    goes = pairs.join(first, "grp").filter(~F.struct("doc_id", "text_hash").eqNullSafe(F.col("best"))).select("doc_id", "text_hash")
+    kept = keyed.join(goes, _same(keyed, goes), "left_anti")
     # of rows that repeat an id and its text one stays; they are told apart by nothing else
-    again = kept.filter("doc_id IS NOT NULL").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash")
-    once = kept.join(again, ["doc_id", "text_hash"], "left_anti").select(*docs.columns)
+    again = keyed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash")
+    once = kept.join(again, _same(kept, again), "left_anti").select(*docs.columns)
     w = Window.partitionBy("doc_id", "text_hash").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
-    more = kept.join(again, ["doc_id", "text_hash"]).withColumn("nth", F.row_number().over(w)).filter("nth = 1").select(*docs.columns)
+    more = kept.join(again, _same(kept, again), "left_semi").withColumn("nth", F.row_number().over(w)).filter("nth = 1").select(*docs.columns)
     return once.unionByName(more)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten consecutive words with the benchmark."""
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
     found = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    hit = found.filter("n_hit > 0").select("doc_id", "text_hash").distinct()
+    return keyed.join(hit, _same(keyed, hit), "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

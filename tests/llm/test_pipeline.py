@@ -107,3 +107,24 @@ def test_empty_table(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         df = stage(spark, df, sf_dir)
         assert df.collect() == []
+
+
+def test_rows_and_not_ids_are_dropped(spark, tmp_path):
+    """Null ids, and ids that are repeated with other texts."""
+    words = [f"w{i}" for i in range(40)]
+    text, near, other = " ".join(words), " ".join([*words, "more"]), " ".join(f"v{i}" for i in range(40))
+    alone = " ".join(f"u{i}" for i in range(40))
+    rows = [(1, text), (1, near), (1, other), (2, near), (None, alone), (None, alone), (None, alone + " more"), (None, "a b c"), (3, " "), (4, " "), (None, None), (5, None), (6, ""), (6, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, df, "").collect())
+    firsts = lambda *some: [t for t in some if got[t]]
+    assert len(firsts((1, text), (1, near))) == 1 and len(firsts((None, alone), (None, alone + " more"))) == 1
+    assert got[(1, other)] == 1 and got[(None, "a b c")] == 1 and (2, near) not in got
+    assert got[(3, " ")] == got[(4, " ")] == got[(None, None)] == got[(5, None)] == got[(6, "")] == 1
+    assert sum(got.values()) == 9
+
+    bench = " ".join(words[3:15])
+    spark.createDataFrame([(1, bench)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, df.unionByName(df.filter("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))), f"file://{tmp_path}").collect())
+    hit = {text, near}
+    assert got == Counter((i, t) for i, t in [*rows, (None, other)] if t not in hit)

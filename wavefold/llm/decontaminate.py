@@ -84,7 +84,7 @@ def _items(window: int):
 def _texts(window: int, short: list[int], bits):
     """Per document a row of its own, and one for each fingerprint that passes the filter."""
 
-    schema = pa.schema([("hash", pa.int64()), ("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("pos", pa.int64()), ("before", CONTEXT), ("after", CONTEXT)])
+    schema = pa.schema([("hash", pa.int64()), ("kind", pa.int32()), ("rid", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int64()), ("before", CONTEXT), ("after", CONTEXT)])
     wanted = bits.value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,7 +98,7 @@ def _texts(window: int, short: list[int], bits):
             own = np.arange(rid, rid + n)
             rid += n
             no = pa.nulls(n, CONTEXT)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(own.astype(np.uint64)))), pa.array(np.zeros(n, np.int32)), pa.array(own), pa.array(ids, pa.int64()), pa.array(count.astype(np.int64)), pa.nulls(n, pa.int64()), no, no], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(mix(own.astype(np.uint64)))), pa.array(np.zeros(n, np.int32)), pa.array(own), pa.array(ids, pa.int64()), pa.array(count.astype(np.int64)), batch.column(2), pa.nulls(n, pa.int64()), no, no], schema=schema)
             rows = []
             for kind in [window, *short]:
                 k = min(K, kind) if kind == window else kind
@@ -107,11 +107,11 @@ def _texts(window: int, short: list[int], bits):
                 doc = np.searchsorted(w.first, at[hit], side="right") - 1
                 for h, p, d in zip(signed(g[hit]).tolist(), at[hit].tolist(), doc.tolist(), strict=True):
                     a, b = int(w.first[d]), int(w.first[d + 1])
-                    rows.append((h, kind, int(own[d]), None, None, p - a, _context(w.data, w.start, w.end, max(a, p + k - window), p), _context(w.data, w.start, w.end, p, min(b, p + window))))
+                    rows.append((h, kind, int(own[d]), None, None, None, p - a, _context(w.data, w.start, w.end, max(a, p + k - window), p), _context(w.data, w.start, w.end, p, min(b, p + window))))
             for i in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 5000], strict=True), schema.types, strict=True)], schema=schema)
 
-    return run, "hash long, kind int, rid long, doc_id long, n_words long, pos long, before array<binary>, after array<binary>"
+    return run, "hash long, kind int, rid long, doc_id long, n_words long, text_hash long, pos long, before array<binary>, after array<binary>"
 
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +130,7 @@ def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin.append(pos - left if found else None)
             end.append(pos + right if found else None)
             item.append(name if found else None)
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("n_words"), pa.array(item, pa.string()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["rid", "doc_id", "n_words", "item", "begin", "end"])
+        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("n_words"), batch.column("text_hash"), pa.array(item, pa.string()), pa.array(begin, pa.int64()), pa.array(end, pa.int64())], names=["rid", "doc_id", "n_words", "text_hash", "item", "begin", "end"])
 
 
 def covered(spans: Column) -> Column:
@@ -141,7 +141,8 @@ def covered(spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside any shared window), items (sorted as strings)."""
+    """One row per row of ``docs``: doc_id, n_words, n_hit (words inside any shared window), items (sorted as strings),
+    and text_hash (xxhash64 of the text), which tells rows of one id apart."""
     spark = docs.sparkSession
     small_batches(spark)
     run, schema = _items(window)
@@ -152,9 +153,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     mask[buckets] = 1
     bits = spark.sparkContext.broadcast(np.packbits(mask))
     run, schema = _texts(window, short, bits)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, schema)
     right = items.select("hash", "kind", "item", F.col("before").alias("item_before"), F.col("after").alias("item_after"))
-    met = texts.join(right, ["hash", "kind"], "left").mapInArrow(_extend, "rid long, doc_id long, n_words long, item string, begin long, end long")
+    met = texts.join(right, ["hash", "kind"], "left").mapInArrow(_extend, "rid long, doc_id long, n_words long, text_hash long, item string, begin long, end long")
     span = F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))
-    per = met.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"), F.collect_set("item").alias("items"))
-    return per.select("doc_id", "n_words", covered(F.sort_array("spans")).alias("n_hit"), F.sort_array("items").alias("items"))
+    per = met.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("text_hash").alias("text_hash"), F.collect_set(span).alias("spans"), F.collect_set("item").alias("items"))
+    return per.select("doc_id", "n_words", covered(F.sort_array("spans")).alias("n_hit"), F.sort_array("items").alias("items"), "text_hash")
