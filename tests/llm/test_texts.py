@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -192,6 +193,33 @@ def test_pii_spans(spark, docs, sf_docs):
     assert [(s["kind"], s["start"], s["end"], s["score"]) for s in iban if s["kind"] == "iban"] == [("iban", 5, 32, 1.0)]
 
 
+def test_pii_many_matches_take_time_in_proportion(spark):
+    """Very many matches that fail, and very many that hold, in one text; masked as well."""
+    texts = ["12345," * 35_000, "12345," * 350_000, "call é +1 222 333 4444; mail a@b.cd, and " * 5_000, "x" * 3000 + "card 4111 1111 1111 1111 " * 700]
+    found = pii.find(spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "text string, m_card int"))
+    begin = time.monotonic()
+    rows = {r["m_card"]: r for r in found.collect()}
+    assert time.monotonic() - begin < 60
+    for i, t in enumerate(texts):
+        assert [(s["kind"], s["start"], s["end"]) for s in rows[i]["pii"] if s["kind"] in BASE] == brute_pii(t)
+    masked = {r["m_card"]: r["text"] for r in pii.redact(found).collect()}
+    assert masked[1] == texts[1] and masked[2] == "call é [PHONE]; mail [EMAIL], and " * 5_000
+    assert masked[3] == "x" * 3000 + "card [CARD] " * 700
+
+
+def test_pii_redaction_merges_overlaps(spark):
+    """Spans of several kinds over blocks' bounds, against a plain version."""
+    texts = ["é" * (i * 7) + " +1 222.1.1.1 4111 1111 1111 1111 a1.2.3.4@x.yz " * (i * 9) for i in range(1, 9)]
+    rows = pii.find(spark.createDataFrame([(t,) for t in texts], "text string")).withColumn("old", F.col("text"))
+    for r in pii.redact(rows).collect():
+        out, to = [], 0
+        for kind, a, b in sorted(((s["kind"], s["start"], s["end"]) for s in r["pii"]), key=lambda s: (s[1], s[2], s[0].upper())):
+            if a >= to:
+                out.append(r["old"][to:a] + f"[{kind.upper()}]")
+            to = max(to, b)
+        assert r["text"] == "".join(out) + r["old"][to:]
+
+
 def test_pii_redaction(spark, empty):
     rows = [("a@b.c, é +1 222 333 4444 end",), (None,), ("nothing",), ("4111 1111 1111 1111",)]
     got = [r["text"] for r in pii.redact(pii.find(spark.createDataFrame(rows, "text string"))).collect()]
