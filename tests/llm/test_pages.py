@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import random
+import re
 import struct
+import time
 from collections import Counter
 
 import pytest
@@ -108,7 +111,7 @@ CASES = [
     ("http://a.com/1", page("<nav><ul><li><a>Home</a></li><li>x</li></ul></nav><div class='ad'>Buy</div><article><h1>T &amp; U</h1><p>One\n  two<br>three</p><p>Four <b>bold</b></p></article><footer>f</footer>"), "T & U\nOne two three\nFour bold"),
     ("http://a.com/2", page("<nav><ul><li><a>Home</a></li></ul></nav><article><h1>T</h1><p><b>One<br><p>Two</article><footer>f</footer>"), "T\nOne\nTwo"),
     ("http://a.com/3", page("<article><p>A</p><aside>no</aside><form>no<input></form><div class='comments'><p>no</p></div><p>B</p></article><div id=comments>no</div>"), "A\nB"),
-    ("http://a.com/4", page("<div>no article here</div>"), ""),
+    ("http://a.com/4", page("<nav><ul><li>x</li></ul></nav><div>no article here</div><footer>f</footer>"), "no article here"),
     ("http://b.com/1", page("<header>H</header><div class='sidebar-left'>s</div><div id='content'><p>Text &lt;p&gt; 1 < 2</p></div><div class='cookie-notice'>c</div>"), "Text <p> 1 < 2"),
     (None, None, ""),
     (None, "", ""),
@@ -127,13 +130,98 @@ def test_main_text(spark):
     assert wrappers.extract(df.filter("false")).collect() == []
 
 
+def wrapper_of(*texts):
+    w = wrappers.fold(wrappers.read(wrappers.Page(texts[0]).symbols))
+    for x in texts[1:]:
+        w, _ = wrappers.align(w, wrappers.fold(wrappers.read(wrappers.Page(x).symbols)))
+    return w
+
+
 def test_wrappers_take_optional_and_repeated_groups():
-    one = wrappers.fold(wrappers.Page("<ul><li>a</li><li>b</li></ul><p>x</p>").symbols)
-    two = wrappers.fold(wrappers.Page("<ul><li>a</li></ul><h2>t</h2><p>x</p>").symbols)
-    w = wrappers.align(one, two)
-    assert (("<li", "#", "</li"), True, False) in w
-    assert {g[0] for g in w if g[2]} >= {("<h2",), ("</h2",)}
-    assert wrappers.unpack(wrappers.pack(w)) == w and wrappers.align(w, one) == w
+    w = wrapper_of("<ul><li>a</li><li>b</li></ul><p>x</p>", "<ul><li>a</li></ul><h2>t</h2><p>x</p>", "<ul><li>a</li></ul><dl><dt>a<dd>b<dt>a<dd>b</dl><p>x</p>")
+    assert wrappers.pack(w) == "11ul +1li 11# > > > 1?h2 11# > > 1?dl +1( 11dt 11# > > 11dd 11# > > > > 11p 11# > >"
+    assert wrappers.pack(wrappers.unpack(wrappers.pack(w))) == wrappers.pack(w)
+    same, common = wrappers.align(w, wrappers.fold(wrappers.read(wrappers.Page("<ul><li>a</li></ul><p>x</p>").symbols)))
+    assert wrappers.pack(same) == wrappers.pack(w) and common == 5
+
+
+def accepts(w, symbols):
+    """Whether a plain regular expression of the wrapper fits a stream."""
+    code = {}
+    letter = lambda s: code.setdefault(s, chr(0x4E00 + len(code)))
+
+    def plain(nodes):
+        out = ""
+        for x in nodes:
+            one = letter("#") if x.label == "#" else plain(x.parts) if x.label == "(" else letter("<" + x.label) + plain(x.parts) + letter("</" + x.label)
+            out += f"(?:{one})" + {(0, 0): "", (0, 1): "?", (1, 0): "+", (1, 1): "*"}[x.repeated, x.optional]
+        return out
+
+    pattern = plain(w)
+    return re.fullmatch(pattern, "".join(letter(s) for s in symbols)) is not None
+
+
+def test_wrappers_accept_every_stream_they_come_from():
+    """Against a plain regular expression of the wrapper, on random pages; and each text has a slot of its element."""
+    rng = random.Random(5)
+    kinds = ["<p>t</p>", "<p>t<b>u</b></p>", "<ul><li>t</li><li>t</li></ul>", "<h2>t</h2>", "<div class=c><p>t</p><p>t</p></div>", "t", "<table><tr><td>t</td><td>t</td></tr></table>", "<div><h2>t</h2></div>", "<dl><dt>t<dd>t<dt>t<dd>t</dl>"]
+    lost = texts = 0
+    for _ in range(60):
+        pages = ["<body><nav>t</nav><div>" + "".join(rng.choice(kinds) * rng.choice([1, 1, 2, 5]) for _ in range(rng.randrange(7))) + "</div></body>" for _ in range(6)]
+        w = wrapper_of(*pages)
+        elements, slots = wrappers.tree_of(w)
+        for x in (wrappers.Page(x).symbols for x in pages):
+            assert accepts(w, x)
+            got, own = wrappers.place(w, x), wrappers.tree_of(wrappers.read(x))
+            assert len(got) == x.count("#") == len(own[1])
+            assert all(i < 0 or elements[slots[i].element].sign == own[0][s.element].sign for i, s in zip(got, own[1], strict=True))
+            texts, lost = texts + len(got), lost + got.count(-1)
+    assert lost < 0.05 * texts
+
+
+def news(i, host):
+    """A page of two templates that name nothing: what is which can only be told from how the host's pages differ."""
+    words = lambda n, seed: " ".join(f"{random.Random(f'{host}{i}{seed}{j}').randrange(10**6):x}" for j in range(n))
+    body = [words(30 + i, p) for p in range(2 + i % 3)]
+    notice, links = f"This site {host} stores data on your device to serve you better. " * 8, "".join(f"<li><a href=/{w}>{w}</a></li>" for w in words(4, "l").split())
+    if host == "one":
+        html = f"<body><div><p>{notice}</p></div><div><ul>{links}</ul></div><div><h1>{words(4, 'h')}</h1><div>{''.join(f'<p>{p}</p>' for p in body)}</div></div><div><p>All rights reserved by {host}</p></div></body>"
+    else:
+        html = f"<body><table><tr><td><ul>{links}</ul></td><td><h1>{words(4, 'h')}</h1>{''.join(f'<p>{p}</p>' for p in body)}</td></tr></table><div>{notice}</div></body>"
+    return html, "\n".join([words(4, "h"), *body])
+
+
+def test_wrappers_decide_where_nothing_is_named(spark):
+    """Without what the host's other pages say the texts differ; with it they are right. Equal pages, however many, and a
+    page alone on its host say nothing new."""
+    rows = [(f"http://{host}.com/{i}", *news(i, host)) for host in ("one", "two") for i in range(12)]
+    copies = [rows[3]] * 40
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate([*rows, *copies])], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    for i, (u, _, want) in enumerate([*rows, *copies]):
+        assert got[i] == want, u
+    # each page a host of its own: nothing can be learnt from the others
+    alone = {r["page_id"]: r["text"] for r in wrappers.extract(df.withColumn("url", F.concat(F.lit("http://h"), F.col("page_id").cast("string"), F.lit(".com/")))).collect()}
+    assert sum(alone[i] != got[i] for i in range(24)) >= 12
+
+
+def test_wrappers_of_a_hot_host_and_of_streams_that_differ(spark):
+    """More streams than one task aligns; deep nesting; a host of pages with little in common; pages without a host."""
+    rng = random.Random(1)
+    tags = ["p", "h2", "div", "section", "pre", "blockquote"]
+    rows = []
+    for i in range(300):
+        inner = "".join(f"<{t}>w{i} {j} x</{t}>" for j, t in enumerate(rng.choice(tags) for _ in range(8)))
+        rows.append(("http://hot.com/a", f"<body><nav><ul><li>n</li></ul></nav><article>{inner}</article><footer>f</footer></body>", "\n".join(f"w{i} {j} x" for j in range(8))))
+    rows += [(None, f"<article><p>a{i}</p><h2>b</h2></article>", f"a{i}\nb") for i in range(20)]
+    rows += [("http://odd.com/", "<article>" + f"<{t}>" * 30 + "<p>x</p>" + f"</{t}>" * 30 + "</article>", "x") for t in tags[2:]]
+    rows.append(("http://deep.com/", "<article>" + "<div>x" * 20_000, "\n".join(["x"] * 20_000)))
+    df = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(rows)], "page_id long, url string, html string")
+    begin = time.monotonic()
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+    assert time.monotonic() - begin < 90
+    for i, (u, _, want) in enumerate(rows):
+        assert got[i] == want, (i, u)
 
 
 def test_topk(spark):
