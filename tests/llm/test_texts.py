@@ -4,6 +4,7 @@ import hashlib
 import re
 import time
 import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -262,3 +263,42 @@ def test_shards(spark, docs, sf_docs, empty):
     same = spark.range(3000).selectExpr("id AS doc_id", "'x' AS text", "'en' AS lang", "'s' AS source")
     n = Counter(r["shard"] for r in sharding.shard(same, shards=5).collect())
     assert max(n.values()) - min(n.values()) <= 2
+
+
+def test_shards_sizes_and_slots_by_brute_force(spark, docs, sf_docs):
+    """Sizes, checksums and the numbering of slots, on awkward rows, ids and texts that repeat, and clashing names."""
+    for all_ in (docs, sf_docs):
+        rows = all_.select("doc_id", "text").collect()
+        out = sharding.shard(all_, shards=7).collect()
+        want = Counter((r["doc_id"], len((r["text"] or "").encode()) + 16, zlib.crc32((r["text"] or "").encode())) for r in rows)
+        assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == want
+        for shard in {r["shard"] for r in out}:
+            assert 0 <= shard < 7 and sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+
+
+def brute_split(rows, leaves, first=0):
+    """{row number: shard} for rows (number, size, keys): the k-d tree by its definition."""
+    if leaves == 1 or not rows:
+        return {n: first for n, _, _ in rows}
+    width = [max(k[i] for _, _, k in rows) - min(k[i] for _, _, k in rows) for i in range(len(rows[0][2]))]
+    dim = width.index(max(width))
+    goal, before, cut = sum(s for _, s, _ in rows) * (leaves // 2) / leaves, 0, 0
+    by = defaultdict(int)
+    for _, s, k in rows:
+        by[k[dim]] += s
+    for key in sorted(by):
+        if before <= goal:
+            cut = key
+        before += by[key]
+    low, high = [r for r in rows if r[2][dim] < cut], [r for r in rows if r[2][dim] >= cut]
+    return brute_split(low, leaves // 2, first) | brute_split(high, leaves - leaves // 2, first + leaves // 2)
+
+
+@pytest.mark.parametrize(("n", "shards"), [(500, 11), (2000, 10_000)])
+def test_shards_are_those_of_a_k_d_tree(spark, n, shards):
+    """Few and very many shards, ties in every dimension, rows without size."""
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.integers(0, 900)) * (i % 7 > 0), [int(rng.integers(0, 1 << 60)), int(rng.integers(0, 40)) << 50, int(rng.integers(0, 3)) << 58 | i]) for i in range(n)]
+    df = spark.createDataFrame([(i, s, *k) for i, s, k in rows], "n long, size long, a long, b long, c long")
+    got = {r["n"]: r["shard"] for r in sharding.split(df, ["a", "b", "c"], "size", shards).collect()}
+    assert got == brute_split(rows, shards)

@@ -3,7 +3,8 @@
 The rows are split again and again, at the distributed weighted median (or other share) of the dimension that is widest
 in its node, until each leaf holds about the target bytes. A dimension's values become whole numbers whose last bits are
 a hash of the row, so that equal values can be split too; the median is found digit by digit from sums of bytes per
-digit, for all nodes of a level at once. Only the tree, of as many nodes as shards, comes to the driver.
+digit, for all nodes of a level at once. Rows carry their node, and a level's splits are a table that they are joined
+with, so that neither plan nor driver holds a tree, however many shards there are.
 
 Edge cases: null texts have no bytes (only ``overhead``), null metadata counts as 0; rows that are equal in everything
 the hash sees go to one side; an empty table gives no rows; extra columns are left alone.
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 from .common import materialise
 
 #: Bits of a dimension's value, and of the hash below it; digits of so many bits are looked at in turn.
-VALUE_BITS, HASH_BITS, DIGIT = 24, 36, 12
+VALUE_BITS, HASH_BITS, DIGIT = 24, 36, 15
 #: About so many rows are numbered together.
 RUN = 50_000
 
@@ -29,65 +30,46 @@ def _scaled(value: Column, low: float, high: float, tie: Column) -> Column:
     return F.shiftleft(x, HASH_BITS).bitwiseOR(tie)
 
 
+#: Tables of at most so many nodes are sent to every task; larger ones are joined by shuffles.
+SENT = 50_000
+
+
+def _join(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+    """``rows`` with what ``nodes`` (of which there are at most ``n``) say of the node of each."""
+    return rows.join(F.broadcast(nodes) if n <= SENT else nodes, "first")
+
+
 def split(rows: DataFrame, dims: list[str], size: str, shards: int) -> DataFrame:
-    """``rows`` (materialised, with long dimensions from _scaled()) with a column shard from 0 to shards - 1."""
-    # open nodes: number -> (leaves below, first shard); numbers are those of a complete binary tree
-    open_, done, splits = {1: (shards, 0)}, {}, {}
-    while open_:
-        for n in [n for n, (leaves, _) in open_.items() if leaves == 1]:
-            done[n] = open_.pop(n)[1]
-        if not open_:
-            break
-        node = _node(splits, dims)
-        at = rows.withColumn("node", node).filter(F.col("node").isin(list(open_)))
-        ranges = at.groupBy("node").agg(F.sum(size).alias("bytes"), *(F.min(d).alias(f"low{i}") for i, d in enumerate(dims)), *(F.max(d).alias(f"high{i}") for i, d in enumerate(dims))).collect()
-        goal, widest, prefix = {}, {}, {}
-        for r in ranges:
-            n = r["node"]
-            widest[n] = max(range(len(dims)), key=lambda i: ((r[f"high{i}"] - r[f"low{i}"]), -i))
-            leaves = open_[n][0]
-            goal[n], prefix[n] = r["bytes"] * (leaves // 2) / leaves, 0
-        if not goal:
-            break
-        key = F.create_map(*(x for n, i in widest.items() for x in (F.lit(n), F.col(dims[i]))))[F.col("node")]
-        keyed = at.filter(F.col("node").isin(list(goal))).withColumn("key", key)
+    """``rows`` (with long dimensions from _scaled()) with a column first, the shard from 0 to shards - 1. A row carries its
+    node: the first shard below it and the number of its leaves. A level of the tree is one plan: each open node's
+    widest dimension and goal, the digits of its split, and each row's node below. The number of levels comes from
+    that of shards; no part of the tree comes to the driver."""
+    rows = rows.withColumn("first", F.lit(0)).withColumn("leaves", F.lit(shards))
+    largest, open_ = shards, 1
+    while largest > 1:
+        # a node's leaves come from those of its parent alone, so that all tasks agree
+        at = rows.filter("leaves > 1")
+        ends = at.groupBy("first", "leaves").agg(F.sum(size).alias("bytes"), *(F.min(d).alias(f"low{i}") for i, d in enumerate(dims)), *(F.max(d).alias(f"high{i}") for i, d in enumerate(dims)))
+        width = [F.struct((F.col(f"high{i}") - F.col(f"low{i}")).alias("w"), F.lit(-i).alias("i")) for i in range(len(dims))]
+        half = F.floor(F.col("leaves") / 2)
+        nodes = ends.select("first", (-F.greatest(*width)["i"]).alias("dim"), (F.col("bytes") * half / F.col("leaves")).alias("goal"), F.lit(0).cast("long").alias("prefix"))
+        key = F.lit(None).cast("long")
+        for i, d in enumerate(dims):
+            key = F.when(F.col("dim") == i, F.col(d)).otherwise(key)
         for shift in range(VALUE_BITS + HASH_BITS - DIGIT, -1, -DIGIT):
-            same = F.create_map(*(x for n, p in prefix.items() for x in (F.lit(n), F.lit(p).cast("long"))))[F.col("node")]
-            if shift + DIGIT < VALUE_BITS + HASH_BITS:
-                digits = keyed.filter(F.shiftright("key", shift + DIGIT) == same)
-            else:
-                digits = keyed
-            sums = digits.groupBy("node", F.shiftright("key", shift).alias("digit")).agg(F.sum(size).alias("bytes"))
+            keyed = _join(at, nodes, open_).withColumn("key", key).filter(F.shiftright("key", shift + DIGIT) == F.col("prefix"))
+            sums = keyed.groupBy("first", "dim", "goal", F.shiftright("key", shift).alias("digit")).agg(F.sum(size).alias("bytes"))
             # the digit in which the goal lies, from at most 2 ** DIGIT sums a node
-            run = Window.partitionBy("node").orderBy("digit")
-            wanted = F.create_map(*(x for n, g in goal.items() for x in (F.lit(n), F.lit(float(g)))))[F.col("node")]
-            cum = sums.withColumn("before", F.sum("bytes").over(run) - F.col("bytes")).filter(F.col("before") <= wanted)
-            for r in cum.groupBy("node").agg(F.max_by(F.struct("digit", "before"), "digit").alias("x")).collect():
-                prefix[r["node"]] = r["x"]["digit"]
-                goal[r["node"]] -= r["x"]["before"]
-        for n in goal:
-            leaves, first = open_.pop(n)
-            # rows below the key that holds the goal go low
-            splits[n] = (widest[n], prefix[n])
-            open_[2 * n] = (leaves // 2, first)
-            open_[2 * n + 1] = (leaves - leaves // 2, first + leaves // 2)
-        for n in [n for n in open_ if n not in (2 * m for m in goal) and n not in (2 * m + 1 for m in goal)]:
-            done[n] = open_.pop(n)[1]
-    return rows.withColumn("shard", _shard(1, splits, done | {n: f for n, (_, f) in open_.items()}, dims))
-
-
-def _node(splits: dict, dims: list[str], n: int = 1) -> Column:
-    if n not in splits:
-        return F.lit(n)
-    dim, at = splits[n]
-    return F.when(F.col(dims[dim]) < F.lit(at), _node(splits, dims, 2 * n)).otherwise(_node(splits, dims, 2 * n + 1))
-
-
-def _shard(n: int, splits: dict, done: dict, dims: list[str]) -> Column:
-    if n not in splits:
-        return F.lit(done.get(n, 0))
-    dim, at = splits[n]
-    return F.when(F.col(dims[dim]) < F.lit(at), _shard(2 * n, splits, done, dims)).otherwise(_shard(2 * n + 1, splits, done, dims))
+            cum = sums.withColumn("before", F.sum("bytes").over(Window.partitionBy("first").orderBy("digit")) - F.col("bytes")).filter(F.col("before") <= F.col("goal"))
+            found = cum.groupBy("first", "dim", "goal").agg(F.max_by(F.struct("digit", "before"), "digit").alias("x"))
+            nodes = found.select("first", "dim", (F.col("goal") - F.col("x.before")).alias("goal"), F.col("x.digit").alias("prefix"))
+        # rows below the key that holds the goal go low
+        low = key < F.col("prefix")
+        half = F.floor(F.col("leaves") / 2).cast("int")
+        below = _join(at, nodes, open_).select(*(c for c in rows.columns if c not in ("first", "leaves")), F.when(low, F.col("first")).otherwise(F.col("first") + half).alias("first"), F.when(low, half).otherwise(F.col("leaves") - half).alias("leaves"))
+        rows = materialise(rows.filter("leaves = 1").unionByName(below), "level")
+        largest, open_ = largest - largest // 2, 2 * open_
+    return rows.drop("leaves").withColumnRenamed("first", "shard")
 
 
 def shard(docs: DataFrame, *, shards: int | None = None, target_bytes: int | None = None, overhead: int = 16, id_col: str = "doc_id", text_col: str = "text", words: tuple[str, ...] = ("lang", "source")) -> DataFrame:
@@ -109,14 +91,14 @@ def shard(docs: DataFrame, *, shards: int | None = None, target_bytes: int | Non
     rows = raw.select("doc_id", "size", "text_crc32", *(_scaled(v, ends[f"low{i}"], ends[f"high{i}"], tie).alias(d) for i, (v, d) in enumerate(zip(values, dims, strict=True))))
     rows = materialise(rows, "dimensions")
     placed = split(rows, dims, "size", shards).select("doc_id", "size", "text_crc32", "shard")
-    return slots(placed)
+    return slots(placed, shards)
 
 
-def slots(placed: DataFrame) -> DataFrame:
+def slots(placed: DataFrame, shards: int) -> DataFrame:
     """A number from 0 without gaps for each row of a shard: rows are numbered in runs, behind the rows of the runs before."""
     n = placed.groupBy("shard").agg(F.ceil(F.count("*") / RUN).alias("runs"))  # a row for each shard
     run = F.pmod(F.xxhash64("doc_id", "text_crc32"), "runs")
-    rows = placed.join(F.broadcast(n), "shard").withColumn("run", run)
+    rows = placed.join(F.broadcast(n) if shards <= SENT else n, "shard").withColumn("run", run)
     counts = rows.groupBy("shard", "run").agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("shard").orderBy("run")) - F.col("n")).drop("n")
     numbered = rows.withColumn("at", F.row_number().over(Window.partitionBy("shard", "run").orderBy("doc_id", "text_crc32", "size")))
