@@ -67,6 +67,21 @@ def test_jaccard_chains_and_groups_larger_than_a_block(spark):
     assert got == brute_components(rows, 4, 85, 100)
 
 
+def test_jaccard_of_a_hot_cluster_that_shares_tokens_with_others(spark):
+    """Very many near copies, a few others that link with some of them only, and others that share much without a link."""
+    base = [f"v{j}" for j in range(60)]
+    rows = [(i, " ".join([*base, f"own{i}"])) for i in range(3000)]
+    rows += [(4000 + i, " ".join([*base, f"own{i}", *(f"p{i} {j}" for j in range(2 + i))])) for i in range(12)]
+    rows += [(5000 + i, " ".join([*base[: 30 + i], *(f"q{j}" for j in range(30 - i))])) for i in range(25)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r)[:3] for r in jaccard.join(df, k=4, num=85, den=100).collect())
+    # a tenth of the copies says as much by brute force
+    few = [(i, t) for i, t in rows if i < 300 or i >= 4000]
+    want = brute_components(few, 4, 85, 100)
+    assert Counter({k: n for k, n in got.items() if k[0] < 300 or k[0] >= 4000}) == want
+    assert all(k[2] == 0 for k in got if k[0] < 3000)
+
+
 def test_jaccard_empty(empty):
     assert jaccard.join(empty).collect() == []
 

@@ -12,7 +12,7 @@ Documents with equal shingle sets form a class, and one row stands for it. What
    is held against the union of the other's shingles, which bounds its overlap with any member, and only where the
    bound reaches the threshold is the group opened and its members compared.
 
-Shingles are 64-bit hashes of words. Edge cases: null or empty texts and texts without words have no shingles and no
+Shingles are 64-bit hashes of words; classes are told apart by digests of 128 bits. Edge cases: null or empty texts and texts without words have no shingles and no
 links; texts of fewer than ``k`` words have the whole as one shingle; a null id gives a null component and no links;
 repeated rows and ids are one class and give one row each.
 """
@@ -32,6 +32,8 @@ from .graph import components
 
 #: About as many members has a group at most.
 GROUP = 256
+#: About so many bytes of text have their tokens met in one partition.
+PART_BYTES = 1 << 25
 #: Share of a set by which the prefix is longer than the plain filter needs, for more than one shared shingle.
 EXTRA = 0.12
 _U = np.uint64
@@ -73,12 +75,12 @@ def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, _U)
 
 
-def _signature(x: np.ndarray) -> int:
-    """A 64-bit digest of a set."""
+def _signature(x: np.ndarray) -> tuple[int, int]:
+    """A digest of a set, in two halves of 64 bits; the first is 0 for the empty set only."""
     if not len(x):
-        return 0
-    a, b = mix(x + _U(len(x))).sum(dtype=_U, keepdims=True), mix(x ^ _U(0x5555555555555555)).sum(dtype=_U, keepdims=True)
-    return int((a ^ (b * _U(31))).view(np.int64)[0])
+        return 0, 0
+    a, b = (mix(mix(x ^ _U(seed)).sum(dtype=_U, keepdims=True) + _U(len(x))).view(np.int64)[0] for seed in (0, 0x5555555555555555))
+    return int(a) or 1, int(b)
 
 
 def _deal(group: np.ndarray, token: np.ndarray, buckets: int, into: list) -> np.ndarray:
@@ -102,11 +104,11 @@ def _deal(group: np.ndarray, token: np.ndarray, buckets: int, into: list) -> np.
     return shared
 
 
-_DEALT = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("tokens", pa.binary()), ("groups", pa.binary())])
-DEALT = "bucket long, kind int, id long, grp long, n long, key long, tokens binary, groups binary"
-MET = "kind int, id long, grp long, n long, key long"
-#: Kinds of rows: a document (id, its set's signature as grp, size n, its text's hash as key); a count n of shared tokens
-#: of grp; blobs.
+_DEALT = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("id", pa.int64()), ("grp", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("sig2", pa.int64()), ("tokens", pa.binary()), ("groups", pa.binary())])
+DEALT = "bucket long, kind int, id long, grp long, n long, key long, sig2 long, tokens binary, groups binary"
+MET = "kind int, id long, grp long, n long, key long, sig2 long"
+#: Kinds of rows: a document (id, its set's digest as grp and sig2, size n, its text's hash as key); a count n of shared
+#: tokens of grp; blobs.
 DOC, COUNT, BLOB = 0, 1, 2
 
 
@@ -122,7 +124,7 @@ def _blobs(dealt: list[tuple]) -> Iterator[pa.RecordBatch]:
     if dealt:
         b, t, g = zip(*dealt, strict=True)
         no = pa.nulls(len(b), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(np.full(len(b), BLOB, np.int32)), no, no, no, no, pa.array(t, pa.binary()), pa.array(g, pa.binary())], schema=_DEALT)
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(np.full(len(b), BLOB, np.int32)), no, no, no, no, no, pa.array(t, pa.binary()), pa.array(g, pa.binary())], schema=_DEALT)
 
 
 def _dealt(groups: list[int], tokens: list[np.ndarray], buckets: int) -> Iterator[pa.RecordBatch]:
@@ -133,7 +135,7 @@ def _dealt(groups: list[int], tokens: list[np.ndarray], buckets: int) -> Iterato
     dealt: list = []
     shared = _deal(np.repeat(np.array(groups, np.int64), sizes), np.concatenate(tokens), buckets, dealt)
     n = np.add.reduceat(shared, np.concatenate([[0], np.cumsum(sizes)[:-1]]), dtype=np.int64)
-    yield from _rows(COUNT, [(None, g, c, None) for g, c in zip(groups, n.tolist(), strict=True) if c], buckets)
+    yield from _rows(COUNT, [(None, g, c, None, None) for g, c in zip(groups, n.tolist(), strict=True) if c], buckets)
     yield from _blobs(dealt)
 
 
@@ -144,8 +146,8 @@ def _first_pass(th: Threshold, buckets: int):
         for batch, texts in blocks(batches, "text"):
             own, first = [], {}
             for i, key, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingle_sets(texts, th.k), strict=True):
-                s = _signature(x)
-                own.append((i, s, len(x), key))
+                s, second = _signature(x)
+                own.append((i, s, len(x), key, second))
                 if len(x) and i is not None and s not in first:
                     first[s] = x[: th.prefix(len(x))]
             yield from _rows(DOC, own, buckets)
@@ -172,30 +174,55 @@ def _set_pass(buckets: int):
     return run
 
 
+#: Buckets are settled together up to about so many tokens.
+TOGETHER = 1_000_000
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many tokens of each group another group has too; other rows pass."""
-    tokens, groups = [], []
+    """How many tokens of each group another group has too, from rows in order of buckets, of which few are held at once;
+    other rows pass."""
+    tokens, groups, held, last = [], [], 0, None
+    counts: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
         blob = batch.column(1).to_numpy(zero_copy_only=False) == BLOB
         if not blob.all():
             own = batch.filter(pa.array(~blob))
-            yield pa.RecordBatch.from_arrays([own.column(i) for i in range(1, 6)], names=["kind", "id", "grp", "n", "key"])
+            yield pa.RecordBatch.from_arrays([own.column(i) for i in range(1, 7)], names=["kind", "id", "grp", "n", "key", "sig2"])
         picked = batch.filter(pa.array(blob))
-        tokens += [np.frombuffer(x, _U) for x in picked.column(6).to_pylist()]
-        groups += [np.frombuffer(x, np.int64) for x in picked.column(7).to_pylist()]
-    if not tokens:
-        return
+        for bucket, t, g in zip(picked.column(0).to_pylist(), picked.column(7).to_pylist(), picked.column(8).to_pylist(), strict=True):
+            if bucket != last and held >= TOGETHER:
+                counts.append(_shared(tokens, groups))
+                tokens, groups, held = [], [], 0
+                if sum(len(x) for x, _ in counts) >= TOGETHER:
+                    yield _counted(counts)
+                    counts = []
+            last = bucket
+            tokens.append(np.frombuffer(t, _U))
+            groups.append(np.frombuffer(g, np.int64))
+            held += len(tokens[-1])
+    if tokens:
+        counts.append(_shared(tokens, groups))
+    if counts:
+        yield _counted(counts)
+
+
+def _shared(tokens: list[np.ndarray], groups: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Groups, and how many of their tokens others have too."""
     t, g = np.concatenate(tokens), np.concatenate(groups)
-    del tokens, groups
     order = np.argsort(t, kind="stable")
     t, g = t[order], g[order]
     at = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
     several = np.minimum.reduceat(g, at) != np.maximum.reduceat(g, at)
     several |= np.maximum.reduceat((g == 0).astype(np.int8), at) > 0
     shared = np.repeat(several, np.diff(np.concatenate([at, [len(t)]])))
-    ids, n = np.unique(g[shared & (g != 0)], return_counts=True)
-    if len(ids):
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), COUNT, np.int32)), pa.nulls(len(ids), pa.int64()), pa.array(ids), pa.array(n.astype(np.int64)), pa.nulls(len(ids), pa.int64())], names=["kind", "id", "grp", "n", "key"])
+    return np.unique(g[shared & (g != 0)], return_counts=True)
+
+
+def _counted(counts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    ids, place = np.unique(np.concatenate([x for x, _ in counts]), return_inverse=True)
+    n = np.bincount(place, np.concatenate([y for _, y in counts]), len(ids)).astype(np.int64)
+    no = pa.nulls(len(ids), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), COUNT, np.int32)), no, pa.array(ids), pa.array(n), no, no], names=["kind", "id", "grp", "n", "key", "sig2"])
 
 
 def _local_links(th: Threshold):
@@ -286,18 +313,18 @@ def _inside(th: Threshold):
 
 def _tokenise(th: Threshold):
     """The sets of documents, with their least hashes under two orders."""
-    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("key1", pa.int64()), ("key2", pa.int64())])
+    schema = pa.schema([("sig", pa.int64()), ("sig2", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("key1", pa.int64()), ("key2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in blocks(batches, "text"):
             rows = []
             for x in shingle_sets(texts, th.k):
                 if len(x):
-                    rows.append((_signature(x), len(x), x.tobytes(), int(x[:1].view(np.int64)[0]), int(mix(x ^ _U(0x0123456789ABCDEF)).min(keepdims=True).view(np.int64)[0])))
+                    rows.append((*_signature(x), len(x), x.tobytes(), int(x[:1].view(np.int64)[0]), int(mix(x ^ _U(0x0123456789ABCDEF)).min(keepdims=True).view(np.int64)[0])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return run, "id long, n long, tokens binary, key1 long, key2 long"
+    return run, "sig long, sig2 long, n long, tokens binary, key1 long, key2 long"
 
 
 #: Counters of the token order. Any order is right; by these counts rare tokens come first.
@@ -358,10 +385,19 @@ def _across(sets: DataFrame, th: Threshold) -> DataFrame:
     prefix = sets.mapInArrow(_prefixes(th, spark.sparkContext.broadcast(counts)), "token long, grp long, comp long, n long")
     matrix = prefix.groupBy("token", "grp").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = materialise(matrix, "matrix")
+    # tokens of one component alone join nothing; of a token's groups those wholly of its most frequent component are
+    # only held against the others, so that a large component's groups don't all meet one another
+    pure = F.when(F.col("c1") == F.col("c2"), F.col("c1"))
+    by_comp = matrix.groupBy("token", pure.alias("c")).agg(F.count("*").alias("m"), F.min("c1").alias("c1"), F.max("c2").alias("c2"))
+    main = by_comp.groupBy("token").agg(F.max_by("c", F.struct(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0), "c")).alias("main"), F.min("c1").alias("least"), F.max("c2").alias("most"))
+    matrix = matrix.join(main.filter("least <> most").select("token", "main"), "token").withColumn("at_main", F.coalesce(pure == F.col("main"), F.lit(False))).drop("main")
+    matrix = materialise(matrix, "shared_tokens")
     a, b = (matrix.select("token", *(F.col(c).alias(f"{c}_{x}") for c in matrix.columns if c != "token")) for x in "ab")
     fits = (F.col("low_a") * th.num <= F.col("high_b") * th.den) & (F.col("low_b") * th.num <= F.col("high_a") * th.den)
     alone = (F.col("c1_a") == F.col("c2_a")) & (F.col("c1_b") == F.col("c2_b")) & (F.col("c1_a") == F.col("c1_b"))
-    met = materialise(a.join(b, "token").filter((F.col("grp_a") < F.col("grp_b")) & fits & ~alone).select("grp_a", "grp_b").distinct(), "met")
+    once = F.col("at_main_a") | (F.col("grp_a") < F.col("grp_b"))
+    pairs = a.join(b.filter("NOT at_main_b"), "token").filter(once & (F.col("grp_a") != F.col("grp_b")) & fits & ~alone)
+    met = materialise(pairs.select(F.least("grp_a", "grp_b").alias("grp_a"), F.greatest("grp_a", "grp_b").alias("grp_b")).distinct(), "met")
     cols = ["grp_a", "grp_b", "comp", "n", "tokens"]
     one, other = (met.join(sets, met[g] == sets["grp"]).select(*(F.col(c).alias(c) for c in cols)).groupBy("grp_a", "grp_b") for g in ("grp_a", "grp_b"))
     between = one.cogroup(other).applyInPandas(_open(th), "a long, b long")
@@ -399,21 +435,24 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
     spark = docs.sparkSession
     th = Threshold(k, num, den)
     small_batches(spark)
-    # many more buckets than partitions, so that these are even
-    buckets = max(2048, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # partitions follow the data; many more buckets than partitions, so that these are even
+    parts = max(8, -(-(docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // PART_BYTES))
+    buckets = max(2048, 16 * parts)
+    meet = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet, MET)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     keyed = slim.withColumn("key", F.xxhash64("text"))
-    met = materialise(keyed.mapInArrow(_first_pass(th, buckets), DEALT).repartition("bucket").mapInArrow(_meet, MET), "first")
-    base = met.filter(F.col("kind") == DOC).select("id", F.col("grp").alias("sig"), "n", F.col("key").alias("text_hash"))
+    met = materialise(meet(keyed.mapInArrow(_first_pass(th, buckets), DEALT)), "first")
+    base = met.filter(F.col("kind") == DOC).select("id", F.col("grp").alias("sig"), "sig2", "n", F.col("key").alias("text_hash"))
     counts = met.filter(F.col("kind") == COUNT).groupBy("grp").agg(F.sum("n").alias("shared"))
-    classes = materialise(base.filter("id IS NOT NULL AND n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes = materialise(base.filter("id IS NOT NULL AND n > 0").groupBy("sig", "sig2").agg(F.min("id").alias("rep"), F.first("n").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     least = F.ceil(F.col("n") * th.num / th.den)
     needs = 1 + F.floor(F.lit(EXTRA) * least).cast("long")
-    left = classes.join(counts, F.col("sig") == F.col("grp")).filter(F.col("shared") >= needs).select(F.col("rep").alias("id"), "sig")
+    left = classes.join(counts, F.col("sig") == F.col("grp")).filter(F.col("shared") >= needs).select(F.col("rep").alias("id"), "sig", "sig2", "cls")
     left = materialise(left, "left")
     run, schema = _tokenise(th)
     again = _again(slim, left).mapInArrow(run, schema)
-    sets = materialise(again.join(left.select(F.col("sig").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    sets = again.join(left.select("sig", "sig2", F.col("cls").alias("id")), ["sig", "sig2"]).drop("sig", "sig2")
+    sets = materialise(sets.dropDuplicates(["id"]), "sets")
     edges = None
     for key, seed in (("key1", 1), ("key2", 2)):
         found = _grouped(sets, key, seed).select("grp", "id", "n", "tokens").groupBy("grp").applyInPandas(_local_links(th), "a long, b long").filter("a <> b")
@@ -421,16 +460,17 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
     local = materialise(components(edges, "a", "b"), "local")
     sets = sets.join(local, sets["id"] == local["node"], "left").select("id", F.coalesce("component", "id").alias("comp"), "n", "tokens", "key1", "key2")
     sets = materialise(sets, "labelled")
-    cross = sets.select("comp", "tokens").mapInArrow(_set_pass(buckets), DEALT).repartition("bucket").mapInArrow(_meet, MET)
+    # component 0 would be the mark of shared tokens
+    cross = meet(sets.select((F.col("comp") + 1).alias("comp"), "tokens").mapInArrow(_set_pass(buckets), DEALT)).withColumn("grp", F.col("grp") - 1)
     cross = cross.groupBy("grp").agg(F.sum("n").alias("shared"))
     low = sets.groupBy("comp").agg(F.min("n").alias("low"))
     some = low.join(cross, F.col("comp") == F.col("grp")).filter(F.col("shared") >= F.ceil(F.col("low") * th.num / th.den)).select("comp")
     sets_left = materialise(sets.join(materialise(some, "some"), "comp", "left_semi"), "open")
     more = materialise(components(_across(sets_left, th), "a", "b"), "more")
-    names = sets.select(F.col("id").alias("sig"), "comp").join(more, F.col("comp") == F.col("node"), "left").select("sig", F.coalesce("component", "comp").alias("comp"))
-    named = materialise(names.join(classes, "sig").select("sig", "comp", "rep"), "named")
+    names = sets.select(F.col("id").alias("cls"), "comp").join(more, F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("component", "comp").alias("comp"))
+    named = materialise(names.join(classes, "cls").select("cls", "comp", "rep"), "named")
     least_of = materialise(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
-    ids = named.join(least_of, "comp").select("sig", "component_id")
-    full = materialise(classes.join(ids, "sig", "left").select("sig", F.coalesce("component_id", "rep").alias("class_id")), "components")
-    out = base.join(full, "sig", "left")
+    ids = named.join(least_of, "comp").select("cls", "component_id")
+    full = materialise(classes.join(ids, "cls", "left").select("sig", "sig2", F.coalesce("component_id", "rep").alias("class_id")), "components")
+    out = base.join(full, ["sig", "sig2"], "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("class_id"))).otherwise(F.col("id")).alias("component_id"), "text_hash")
