@@ -200,6 +200,23 @@ def test_language_awkward_rows(docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs, None).collect()} == {"und"}
 
 
+def test_language_keeps_each_labelled_language(spark, docs):
+    """A language with one text, whatever its hash or size, is learnt; and what has no letters is not learnt from."""
+    words = {"pl": "zażółć gęślą jaźń chrząszcz brzmi w trzcinie", "hu": "árvíztűrő tükörfúrógép öt szép szűzlány őrült írót nyúz", "en": "the quick brown fox jumps over the lazy dog again and again"}
+    for seed in range(12):
+        rows = [(seed * 100 + i, (words["en"] + f" {i} ") * 20, "en") for i in range(60)]
+        rows += [(seed * 100 + 70, words["pl"] * 5, "pl"), (seed * 100 + 71, words["hu"] * 3000, "hu"), (seed * 100 + 72, "12 34", "xx"), (seed * 100 + 73, None, "yy")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = langid.learn(df, F.lit(True), max_bytes=20_000)
+        assert model.langs == ["en", "hu", "pl"]
+    out = {r["doc_id"] % 100: (r["lang_pred"], r["rejected"]) for r in langid.identify(df, model).collect()}
+    assert out[70] == ("pl", False) and out[71] == ("hu", False) and out[72] == out[73] == ("und", True)
+    few = langid.learn(df, F.lit(True), most_bytes=3_000)
+    assert few.langs == ["en", "hu", "pl"]
+    # columns of docs that are called as those in between
+    assert langid.learn(df.withColumn("place", F.lit(1)).withColumn("least", F.lit("x")).withColumn("share", F.lit(None)), F.lit(True)).langs == ["en", "hu", "pl"]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 

@@ -1,14 +1,15 @@
 """Language identification by interpolated Kneser-Ney character models.
 
 Counts of character 4-grams are summed by Spark over a bounded sample of labelled texts (``max_bytes`` for each
-language, chosen by a hash of the id). The driver turns them into interpolated probabilities; each order is one sorted
+language, and ``most_bytes`` for all, chosen by a hash of the id; the first text by that hash is always in it and never
+in the calibration part, so that each labelled language is learnt). The driver turns them into interpolated probabilities; each order is one sorted
 array of 64-bit n-gram hashes with a column for each language. Every text goes to the language of lowest cross-entropy
 per character. The calibration part of the sample (a tenth, not counted) has, for each language, the usual entropy of
-its own texts and that of the others. A text is rejected if its entropy is above the middle of the two and also beyond
-what its language and length lead to expect.
+its own texts and that of the others; a language without calibration texts takes the loosest of the others'. A text is
+rejected if its entropy is above the middle of the two and also beyond what its language and length lead to expect.
 
-Edge cases: null texts and texts without letters are ``und`` with score 0 and rejected; with nothing to learn from all
-texts are; ties go to the first language by name; rows with a null id are judged but not learnt from; each row gives
+Edge cases: null texts and texts without letters are ``und`` with score 0 and rejected, and not learnt from; with
+nothing to learn from all texts are; ties go to the first language by name; rows with a null id are judged but not learnt from; each row gives
 one row, and long texts are read whole.
 """
 
@@ -23,11 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import grams, mix, small_batches
+from .common import grams, materialise, mix, small_batches
 
 ORDER = 4
 #: Bytes of text for each language from which n-grams are counted.
 MAX_BYTES = 4_000_000
+#: And for all languages together: where there are many, each has an equal share.
+MOST_BYTES = 200_000_000
 #: A text is rejected beyond so many standard deviations from its language's usual entropy.
 DEVIATIONS = 8.0
 _TOP = 20
@@ -220,17 +223,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array([str(g).ljust(ORDER) for g in grams_], pa.string()), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
-def learn(docs: DataFrame, learnable: Column, *, max_bytes: int = MAX_BYTES, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
+def learn(docs: DataFrame, learnable: Column, *, max_bytes: int = MAX_BYTES, most_bytes: int = MOST_BYTES, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model | None:
     """A model from the rows of ``docs`` for which ``learnable`` holds; None if there are none."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))  # a row for each language
-    share = sizes.select("lang", F.least(F.lit(1.0), F.try_divide(F.lit(float(max_bytes)), F.col("bytes"))).alias("share"))
-    part = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1_000_000)) / 1e6
-    some = known.join(F.broadcast(share), "lang").filter(part(1) < F.coalesce("share", F.lit(1.0)))
-    counted = some.filter(part(2) >= 0.1).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
+    known = docs.filter(learnable & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    part = lambda seed: F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1) / float(1 << 63)
+    known = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("place", part(1))
+    sizes = known.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"), F.min("place").alias("least"))  # a row for each language
+    sizes = materialise(sizes, "languages")
+    each = min(float(max_bytes), most_bytes / max(1, sizes.count()))
+    share = sizes.select("lang", "least", F.least(F.lit(1.0), F.lit(each) / F.col("bytes")).alias("share"))
+    first = F.col("place") == F.col("least")
+    some = known.join(F.broadcast(share), "lang").filter((F.col("place") < F.col("share")) | first)
+    counted = some.filter((part(2) >= 0.1) | first).select("lang", "text").mapInArrow(_count, "lang string, gram string, n long")
     counts = [tuple(r) for r in counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").collect()]
     if not counts:
         return None
@@ -246,10 +252,12 @@ def learn(docs: DataFrame, learnable: Column, *, max_bytes: int = MAX_BYTES, tex
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["lang", "own", "mean", "spread"])
 
-    usual = some.filter(part(2) < 0.1).select("lang", "text").mapInArrow(entropies, "lang string, own boolean, mean double, spread double")
+    usual = some.filter((part(2) < 0.1) & ~first).select("lang", "text").mapInArrow(entropies, "lang string, own boolean, mean double, spread double")
     found = {(r["lang"], r["own"]): r for r in usual.groupBy("lang", "own").agg(F.avg("mean").alias("m"), F.coalesce(F.stddev("mean"), F.lit(0.0)).alias("s"), F.avg("spread").alias("v")).collect()}
     far = {x: found[x, False]["m"] if (x, False) in found else -float(f) for x, f in zip(model.langs, model.floor, strict=True)}
-    model.usual = np.array([(r["m"], r["s"], r["v"], (r["m"] + far[x]) / 2) if (r := found.get((x, True))) else (np.inf, 0, 0, np.inf) for x in model.langs])
+    own = {x: (r["m"], r["s"], r["v"], (r["m"] + far[x]) / 2) for x in model.langs if (r := found.get((x, True)))}
+    loosest = np.max(list(own.values()), axis=0) if own else np.array([np.inf, 0, 0, np.inf])
+    model.usual = np.array([own.get(x, loosest) for x in model.langs])
     return model
 
 
