@@ -34,9 +34,9 @@ def _scaled(value: Column, low: float, high: float, tie: Column) -> Column:
 SENT = 50_000
 
 
-def _join(rows: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
+def _join(rows: DataFrame, nodes: DataFrame, n: int, how: str = "inner") -> DataFrame:
     """``rows`` with what ``nodes`` (of which there are at most ``n``) say of the node of each."""
-    return rows.join(F.broadcast(nodes) if n <= SENT else nodes, "first")
+    return rows.join(F.broadcast(nodes) if n <= SENT else nodes, "first", how)
 
 
 def split(rows: DataFrame, dims: list[str], size: str, shards: int) -> DataFrame:
@@ -63,11 +63,11 @@ def split(rows: DataFrame, dims: list[str], size: str, shards: int) -> DataFrame
             cum = sums.withColumn("before", F.sum("bytes").over(Window.partitionBy("first").orderBy("digit")) - F.col("bytes")).filter(F.col("before") <= F.col("goal"))
             found = cum.groupBy("first", "dim", "goal").agg(F.max_by(F.struct("digit", "before"), "digit").alias("x"))
             nodes = found.select("first", "dim", (F.col("goal") - F.col("x.before")).alias("goal"), F.col("x.digit").alias("prefix"))
-        # rows below the key that holds the goal go low
-        low = key < F.col("prefix")
-        half = F.floor(F.col("leaves") / 2).cast("int")
-        below = _join(at, nodes, open_).select(*(c for c in rows.columns if c not in ("first", "leaves")), F.when(low, F.col("first")).otherwise(F.col("first") + half).alias("first"), F.when(low, half).otherwise(F.col("leaves") - half).alias("leaves"))
-        rows = materialise(rows.filter("leaves = 1").unionByName(below), "level")
+        # rows below the key that holds the goal go low; those of a leaf stay
+        half = F.when(F.col("leaves") > 1, F.floor(F.col("leaves") / 2).cast("int")).otherwise(0)
+        low = (F.col("leaves") > 1) & (key < F.col("prefix"))
+        below = _join(rows, nodes, open_, "left").select(*(c for c in rows.columns if c not in ("first", "leaves")), F.when(low, F.col("first")).otherwise(F.col("first") + half).alias("first"), F.when(low, half).otherwise(F.col("leaves") - half).alias("leaves"))
+        rows = materialise(below, "level")
         largest, open_ = largest - largest // 2, 2 * open_
     return rows.drop("leaves").withColumnRenamed("first", "shard")
 
