@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import struct
@@ -60,6 +61,52 @@ def test_url_rules_are_learnt(spark):
     assert url_rules.judge(pages.filter("false"), labels, []).collect() == []
 
 
+def test_url_rules_by_brute_force(spark):
+    """Host, path and rule on odd and very long URLs, and hosts of very many labels."""
+    rng = random.Random(2)
+    pick = lambda *x: rng.choice(x)
+    urls = [pick("http", "", "x:y") + pick("://", "://", ":/", "://://") + pick("A.", "", "b.c.", ".") + pick("example.", "aexample.", "") + pick("net", "com", "org", "NET.", "") + pick("", "/", "/en/", "/de/x", "/fr/", "?/en/", "#/de/", "/en", "//en/") + pick("", "?a=/fr/", "#x?y", "é") for _ in range(600)]
+    urls += [None, "", "http://" + "a." * 3000 + "net/" + "en/" * 30_000, "http://example.net/en/" + "x" * 200_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(0, 600, 3)] * 2, "doc_id long, quality int, toxic int")
+
+    def plain(url):
+        at = (url or "").find("://")
+        rest = "" if at < 0 else url[at + 3 :]
+        host = re.match("[^/?#]*", rest)[0]
+        path = re.match("[^?#]*", rest[len(host) :])[0]
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for _, r in URL_RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return host, path, max(fits, key=len, default=None)
+
+    for r in url_rules.judge(df, labels, URL_RULES).collect():
+        host, path, rule = plain(urls[r["page_id"]])
+        assert (r["host"], r["path"], r["rule"]) == (host, path, rule)
+        assert r["verdict"] == (dict((b, a) for a, b in URL_RULES)[rule] if rule else "block" if r["learnt_rule"] else "allow")
+
+
+def test_url_rules_are_those_of_all_combinations(spark):
+    """Against all subsets of tokens: support, confidence, lift, and no shorter rule as good; tokens that are always
+    together count as the longest of them."""
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        tokens = {t for t, p in zip("abcdef", (0.5, 0.5, 0.3, 0.3, 0.2, 0.02), strict=True) if rng.random() < p}
+        blocked = rng.random() < (0.9 if {"a", "c"} <= tokens or "e" in tokens else 0.2)
+        rows.append((sorted(tokens | {x for t in tokens & {"a"} for x in ("alpha", "al")}), blocked))
+    rows.append(([], True))
+    got = {(r["rule"], round(r["confidence"], 9), round(r["support"], 9)) for r in url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), min_support=0.03, min_confidence=0.5).collect()}
+    sets = [(frozenset(t) - {"a", "al"}, b) for t, b in rows]
+    n, base, conf = len(rows), sum(b for _, b in rows) / len(rows), {}
+    for size in range(1, 7):
+        for some in itertools.combinations(sorted({t for s, _ in sets for t in s}), size):
+            have = [b for s, b in sets if s.issuperset(some)]
+            if have and sum(have) >= 0.03 * n and sum(have) / len(have) >= 0.5 and sum(have) / len(have) > base:
+                conf[some] = (sum(have) / len(have), sum(have) / n)
+    want = {(" ".join(s), round(c, 9), round(u, 9)) for s, (c, u) in conf.items() if not any(conf.get(tuple(x for x in s if x != t), (0,))[0] >= c for t in s)}
+    assert got == want and len(got) > 3 and any("alpha" in r for r, _, _ in got)
+
+
 def test_warc_round_trip(spark, pages):
     to = scratch(spark, "warc")
     index = warc.write(pages, to)

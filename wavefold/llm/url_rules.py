@@ -1,11 +1,15 @@
 """URL filters by association rules.
 
 FP-growth (Spark's own, on the executors) mines combinations of URL tokens with the label; rules of enough support and
-confidence that beat every shorter rule inside them are kept. They are matched by an inverted index from token to rule:
-a rule fits a URL that has all its tokens. Given rules for hosts and paths go first; the longest that fits decides.
+confidence that beat every shorter rule inside them are kept. Of tokens that occur on the same labelled pages, as a host
+and its suffixes may, the longest stands for all, since their combinations say the same and double with each of them.
+The rules are matched by an inverted index from token to rule: a rule fits a URL that has all its tokens. Given rules for
+hosts and paths go first; the longest that fits decides.
 
 Edge cases: a null URL or one without ``://`` has an empty host and path and no tokens; unlabelled pages are judged
-too; without labels there are no learnt rules and all is allowed; each row gives one row.
+too; without labels there are no learnt rules and all is allowed; a page with several labels is learnt from once for
+each; URLs are read whole however long, and of a host with many labels the tokens are its last LABELS suffixes and the
+whole; each row gives one row.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import materialise
 
 BLOCK_ITEM = "label=block"
+#: Suffixes of a host that are tokens have at most so many labels, but for the whole host.
+LABELS = 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -28,9 +34,8 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: each suffix of the host, the path's segments (numbers as #), the query's keys."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(F.lit("h:"), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    """Distinct tokens: suffixes of the host, the path's segments (numbers as #), the query's keys."""
+    suffixes = F.array(*(F.concat(F.lit("h:"), x) for x in [*(F.substring_index(host, ".", -i) for i in range(1, LABELS + 1)), host]))
     segments = F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.concat(F.lit("p:"), F.regexp_replace(s, "[0-9]+", "#")))
     query = F.coalesce(F.regexp_extract(url, r"\?([^#]*)", 1), F.lit(""))
     keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("q:"), F.substring_index(s, "=", 1)))
@@ -39,9 +44,17 @@ def tokens(url: Column, host: Column, path: Column) -> Column:
 
 def mine(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.6) -> DataFrame | None:
     """Rules (rule, antecedent, confidence, support) for blocking, from rows (tokens, blocked); None without rows."""
-    items = labelled.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCK_ITEM)).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0)
-    if items.isEmpty():
+    labelled = materialise(labelled, "labelled")
+    n = labelled.count()
+    if not n:
         return None
+    # no more tokens are frequent than a page has on average, divided by the support
+    marks = [F.sum(F.xxhash64("tokens", F.lit(seed)).cast("decimal(20,0)")).alias(f"mark{seed}") for seed in (1, 2)]
+    frequent = labelled.select("tokens", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), *marks).filter(F.col("n") >= min_support * n)
+    stand = frequent.groupBy("n", "mark1", "mark2").agg(F.max_by("token", F.struct(F.length("token"), "token")).alias("token"))
+    kept = F.array_intersect("tokens", stand.agg(F.collect_list("token")).scalar())
+    items = materialise(labelled.select("blocked", kept.alias("tokens")), "items")
+    items = items.select(F.when(F.col("blocked"), F.array_append("tokens", BLOCK_ITEM)).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK_ITEM) & (F.col("lift") > 1))
     rules = materialise(rules.select(F.array_sort("antecedent").alias("antecedent"), "confidence", "support"), "rules")
