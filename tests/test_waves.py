@@ -1,6 +1,7 @@
 """Operators on made-up fields and rasters whose results are known."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,13 +108,13 @@ def test_pruning(spark):
     assert tracking.prune(e, None, None).count() == 3
 
 
-def test_track_paths_against_brute_force(spark):
-    import random
-
-    rng = random.Random(3)
-    rows = [edge(t, a, b, round(rng.random(), 3)) for t in range(6) for a in range(5) for b in range(5) if rng.random() < 0.4]
+@pytest.mark.parametrize(("steps", "block"), [(6, 256), (23, 3), (40, 2)])
+def test_track_paths_against_brute_force(spark, steps, block):
+    """In one block of time, and in many, settled over several levels."""
+    rng = random.Random(steps)
+    rows = [edge(t, a, b, rng.randrange(1, 1024) / 1024) for t in range(steps) if t != 11 for a in range(5) for b in range(5) if rng.random() < 0.4]
     got = {}
-    for r in tracking.track_paths(spark.createDataFrame(rows, TRACK), save).collect():
+    for r in tracking.track_paths(spark.createDataFrame(rows, TRACK), save, block=block).collect():
         got.setdefault(r["track_id"], {})[r["pos"]] = r["key"]
     got = [[p[i] for i in range(len(p))] for _, p in sorted(got.items())]
     best = {}
@@ -181,29 +182,98 @@ def feature(t, i, x, strength="strong", lat=50.0, lon=None, kind="max"):
         ([feature(0, 1, 0), feature(1, 1, 1), feature(2, 1, 2)], {"0:1": [0, 1, 2]}),
         ([feature(0, 1, 0), feature(1, 1, 50)], {"0:1": [0], "1:1": [1]}),
         ([feature(0, 1, 0), feature(1, 1, 1, "weak"), feature(2, 1, 2)], {"0:1": [0, 1, 2]}),
-        ([feature(0, 1, 0)] + [feature(t, 1, t, "weak") for t in range(1, 6)], {"0:1": [0, 1, 2, 3]}),
+        # two recovered steps in a row, no more
+        ([feature(0, 1, 0)] + [feature(t, 1, t, "weak") for t in range(1, 6)], {"0:1": [0, 1, 2]}),
+        # the head leaves the band; a seed of the first step need not be in it, a later birth must
         ([feature(0, 1, 0), feature(1, 1, 1, lat=85.0)], {"0:1": [0]}),
-        ([feature(0, 1, 0), feature(1, 1, 1), feature(1, 2, 3)], {"0:1": [0, 1], "1:2": [1]}),
+        ([feature(0, 1, 0, lat=85.0), feature(0, 2, 50), feature(1, 3, 90, lat=85.0)], {"0:1": [0], "0:2": [0]}),
+        # a split has its parent's steps too; a slight overlap splits nothing off, and is no birth either
+        ([feature(0, 1, 0), feature(1, 1, 1), feature(1, 2, 3), feature(2, 2, 3)], {"0:1": [0, 1], "1:2": [0, 1, 2]}),
+        ([feature(0, 1, 0), feature(1, 1, 1), feature(1, 2, 9.8)], {"0:1": [0, 1]}),
+        # weak ones split too, whatever their overlap, but only from what no strong one goes on from
+        ([feature(0, 1, 0), feature(1, 1, 1, "weak"), feature(1, 2, 9.8, "weak")], {"0:1": [0, 1], "1:2": [0, 1]}),
+        ([feature(0, 1, 0), feature(1, 1, 1, "weak"), feature(1, 2, 3)], {"0:1": [0, 1]}),
         ([feature(0, 1, 0), feature(1, 1, 1, kind="min")], {"0:1": [0], "1:1": [1]}),
+        # a step of time without features ends a track
+        ([feature(0, 1, 0), feature(2, 1, 0)], {"0:1": [0], "2:1": [2]}),
     ],
 )
 def test_feature_tracks(spark, rows, tracks):
-    steps = features.track(spark.createDataFrame(rows, FEATURE)).collect()
+    steps = features.track(spark.createDataFrame(rows, FEATURE), save, band=(20.0, 80.0)).collect()
     got = {}
     for r in sorted(steps, key=lambda r: r["time"]):
         got.setdefault(r["track_id"], []).append(r["time"])
     assert got == tracks
 
 
+def random_features(seed, times=9, n=7):
+    rng = random.Random(seed)
+    out = []
+    for run in "ab":
+        for t in range(times):
+            for i in range(rng.randrange(n)):
+                x = rng.randrange(0, 60)
+                out.append((run, *feature(t, i, x, rng.choice(["strong", "strong", "weak"]), lat=float(rng.randrange(15, 85)), lon=float(x), kind=rng.choice(["max", "min"]))[1:]))
+    return out
+
+
+def plain_tracks(rows, shift=20.0, budget=2, band=(20.0, 80.0), least=0.05):
+    """Step by step, with the histories, on lists."""
+    out = []
+    for run in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == run]
+        box = lambda r: [(p["x"], p["y"]) for p in r[7]]
+        live, tracks = [], {}
+        for t in range(min(r[1] for r in own), max(r[1] for r in own) + 1):
+            now, heads = [r for r in own if r[1] == t], list(live)
+            first = t == min(r[1] for r in own)
+            live, used = [], set()
+            for strength in ("strong", "weak"):
+                scored = sorted(((round(frames.iou(box(f), box(h[1])), 9), h[1][2], f[2], h, f) for h in heads for f in now if f[8] == strength and f[3] == h[1][3] and math.hypot((f[4] - h[1][4] + 180) % 360 - 180, f[5] - h[1][5]) <= shift and h[0] not in used), key=lambda x: x[:3], reverse=True)
+                claimed, children = set(), {}
+                for o, _, j, h, f in scored:
+                    if o > 0 and j not in claimed:
+                        claimed.add(j)
+                        children.setdefault(h[0], []).append((o, f, h))
+                used |= children.keys()
+                for name, some in children.items():
+                    before = list(tracks[name])
+                    for nth, (o, f, h) in enumerate(some):
+                        weak = h[2] + 1 if strength == "weak" else 0
+                        if not band[0] <= f[5] <= band[1] or weak > budget or nth and not weak and o < least:
+                            continue
+                        to = name if nth == 0 else f"{t}:{f[2]}"
+                        tracks[to] = [*before, (t, f[2], weak > 0)]
+                        live.append((to, f, weak))
+                if strength == "strong":
+                    for f in now:
+                        if f[8] == "strong" and f[2] not in claimed and (first or band[0] <= f[5] <= band[1]):
+                            tracks[f"{t}:{f[2]}"] = [(t, f[2], False)]
+                            live.append((f"{t}:{f[2]}", f, 0))
+        out += [(run, k, *s) for k, v in tracks.items() for s in v]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_feature_tracks_against_a_plain_version(spark, seed):
+    rows = random_features(seed)
+    steps = features.track(spark.createDataFrame(rows, FEATURE), save, band=(20.0, 80.0)).collect()
+    assert sorted((r["run"], r["track_id"], r["time"], r["id"], r["recovered"]) for r in steps) == plain_tracks(rows)
+
+
 def test_velocity_and_lineage(spark):
-    steps = features.track(spark.createDataFrame([feature(0, 1, 0, lon=359.5), feature(1, 1, 1, lon=0.5), feature(1, 2, 2, lon=3.0), feature(2, 2, 3, lon=3.0), feature(2, 3, 4, lon=3.5)], FEATURE))
+    steps = features.track(spark.createDataFrame([feature(0, 1, 0, lon=359.5), feature(1, 1, 1, lon=0.5), feature(1, 2, 2, lon=3.0), feature(2, 2, 3, lon=3.0), feature(2, 3, 4, lon=3.5)], FEATURE), save)
     v = {r["track_id"]: r["degrees_per_hour"] for r in features.phase_velocity(steps).collect()}
     assert v["0:1"] is not None and features.roots(steps, save).filter("root = '0:1'").count() == len(v)
+    # one degree an hour, across the date line
+    east = features.track(spark.createDataFrame([feature(t, 1, t, lon=(359.0 + t) % 360) for t in range(4)], FEATURE), save)
+    assert features.phase_velocity(east).first()["degrees_per_hour"] == 1
 
 
 def test_streamed_tracks_equal_batch(spark, tmp_path):
-    rows = [feature(t, i, 20 * i + t) for t in range(5) for i in range(3)]
-    batch = {tuple(r) for r in features.track(spark.createDataFrame(rows, FEATURE)).collect()}
+    some = ([r for r in random_features(s, 5) if r[0] == "a"] for s in range(99))
+    rows = next(x for x in some if {r[1] for r in x} == set(range(5)))
+    batch = {tuple(r) for r in features.track(spark.createDataFrame(rows, FEATURE), save, history=False).collect()}
     src = str(tmp_path / "in")
     for t in range(5):
         spark.createDataFrame([r for r in rows if r[1] == t], FEATURE).coalesce(1).write.mode("append").parquet(src)
@@ -226,7 +296,7 @@ def test_streamed_tracks_equal_batch_to_the_end(spark, tmp_path):
     stream = features.stream_track(spark.readStream.schema(FEATURE).option("maxFilesPerTrigger", 1).parquet(src))
     q = stream.writeStream.format("memory").queryName("all_steps").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    batch, got = (sorted((tuple(map(str, r)) for r in d.collect())) for d in (features.track(df), spark.table("all_steps")))
+    batch, got = (sorted((tuple(map(str, r)) for r in d.collect())) for d in (features.track(df, save, history=False), spark.table("all_steps")))
     assert got == batch and len(got) == 27
 
 

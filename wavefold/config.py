@@ -7,6 +7,9 @@ from dataclasses import asdict, dataclass
 import yaml
 
 
+#: The names and the default values below are fixed values: settings files hold them. Read are those of thresholds, of
+#: clusters (but for the members and the xi, by which no point is left out), of hulls, tracks and columns; ``debug`` and
+#: the labels of mesh arrays are only kept for such files.
 @dataclass(frozen=True)
 class Config:
     debug: bool
@@ -42,12 +45,19 @@ class Config:
         base = dict(debug=False, scalar_name="v", latitude_label="latitude", longitude_label="longitude", time_label="time", clip_value=2.0, extrema_threshold=10.0, max_latitude=None, min_latitude=None, node_pruning_threshold=20.0, edge_pruning_threshold=3e-5, max_edge_weight=1.0)
         return cls(**base | changes)
 
-    def to_yaml(self, path: str) -> None:
-        with open(path, "w", encoding="utf-8") as f:
-            yaml.safe_dump(asdict(self), f, sort_keys=False)
+    def to_yaml(self, path: str | None = None) -> str:
+        """The settings as YAML, written to ``path`` if there is one."""
+        text = yaml.safe_dump(asdict(self), sort_keys=False)
+        if path is not None:
+            with open(path, "w", encoding="utf-8") as f:
+                f.write(text)
+        return text
 
     @classmethod
-    def from_yaml(cls, path: str) -> Config:
-        """Unknown keys raise TypeError."""
-        with open(path, encoding="utf-8") as f:
-            return cls.default(**(yaml.safe_load(f) or {}))
+    def from_yaml(cls, source: str) -> Config:
+        """From a file, or from YAML text (which has a line break or a colon and a space). Unknown keys raise TypeError."""
+        text = str(source)
+        if "\n" not in text and ": " not in text:
+            with open(text, encoding="utf-8") as f:
+                text = f.read()
+        return cls.default(**(yaml.safe_load(text) or {}))

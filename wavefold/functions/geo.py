@@ -120,11 +120,11 @@ def grid_bin(x, size) -> Column:
     return F.floor(_c(x) / _c(size)) * _c(size)
 
 
-def consistent_longitudes(df: DataFrame, lon: str, by: list[str]) -> DataFrame:
-    """In groups that span more than 60 degrees, 360 is added to longitudes below the group's least that lie west."""
-    w = Window.partitionBy(*by)
-    wide = F.max(lon).over(w) - F.min(lon).over(w) > 60
-    return df.withColumn(lon, F.when(wide & (F.col(lon) < 0), F.col(lon) + 360).otherwise(F.col(lon)))
+def consistent_longitudes(df: DataFrame, lon: str, by: list[str], least: float = 0.0) -> DataFrame:
+    """In groups that span more than 60 degrees, 360 is added to longitudes below ``least``."""
+    span = df.groupBy(*by).agg((F.max(lon) - F.min(lon)).alias("_span"))
+    wide = (F.col("_span") > 60) & (F.col(lon) < least)
+    return df.join(span, by).withColumn(lon, F.when(wide, F.col(lon) + 360).otherwise(F.col(lon))).select(*df.columns)
 
 
 def weighted_centroid(lon, lat, value) -> tuple[Column, Column]:

@@ -52,6 +52,15 @@ def frequency(a: DataFrame, b: DataFrame, n_times: int) -> DataFrame:
     return n.agg((F.count_if(F.col("a") & F.col("b")) / n_times).alias("both"), (F.count_if(F.col("a") & ~F.col("b")) / n_times).alias("only_a"), (F.count_if(F.col("b") & ~F.col("a")) / n_times).alias("only_b"))
 
 
+def latitude_shares(a: DataFrame, b: DataFrame, lats: DataFrame, n_times: int, *, width: float = 5.0, low: float = 20.0, high: float = 80.0) -> DataFrame:
+    """(band, both, only_a, only_b): shares of each band's pixels over all time steps; bands without either mask too."""
+    near = lats.filter((F.col("lat") >= low) & (F.col("lat") < high))
+    size = near.groupBy(geo.grid_bin("lat", width).alias("band")).agg(F.count("*").alias("n"))
+    n = by_latitude(a, b, near, width)
+    share = lambda c: F.coalesce(F.col(c) / (F.col("n") * n_times), F.lit(0.0)).alias(c)
+    return size.join(n, "band", "left").select("band", share("both"), share("only_a"), share("only_b"))
+
+
 def by_latitude(a: DataFrame, b: DataFrame, lats: DataFrame, width: float = 5.0) -> DataFrame:
     """Pixels of each kind in bands of latitude, over all time steps. ``lats`` has (row, col, lat)."""
     at = _both(a, b, PIXEL).join(lats, ["row", "col"]).groupBy(geo.grid_bin("lat", width).alias("band"))
@@ -63,5 +72,10 @@ def sweep(results: DataFrame) -> DataFrame:
     return results.groupBy("method", "threshold").agg(F.avg("iou").alias("mean_iou"), F.avg(F.col("agree").cast("double")).alias("agreement"), F.count("*").alias("n"))
 
 
+def save_sweep(swept: DataFrame, path: str) -> None:
+    """As CSV with a header, in order."""
+    swept.orderBy("method", "threshold").write.mode("overwrite").csv(path, header=True)
+
+
 def best_threshold(swept: DataFrame) -> DataFrame:
     return swept.groupBy("method").agg(F.max_by("threshold", F.struct("mean_iou", -F.col("threshold"))).alias("threshold"), F.max("mean_iou").alias("mean_iou"))

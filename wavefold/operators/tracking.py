@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -51,53 +52,102 @@ def splits(track_edges: DataFrame) -> DataFrame:
     return track_edges.groupBy(F.col("src").alias("key")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def _best_into(track_edges: DataFrame, save) -> DataFrame:
+#: So many steps of time are settled in one task.
+BLOCK = 256
+_NONE = float("-inf")
+
+
+def _walk(edges: list[tuple[str, str, float]], start: dict[str, float]) -> dict[str, tuple[float, str]]:
+    """{vertex: (weight of the heaviest path into it, vertex before)} along edges in order of time; ``start`` has what
+    paths weigh at the vertices where they may begin, others begin with nothing. Ties go to the smaller vertex before."""
+    best: dict[str, tuple[float, str]] = {}
+    for src, dst, w in edges:
+        base = best[src][0] if src in best else start.get(src, 0.0)
+        if base > _NONE and base + w > 0 and (dst not in best or (base + w, best[dst][1]) > (best[dst][0], src)):
+            best[dst] = (base + w, src)
+    return best
+
+
+def _in_order(pdf) -> list[tuple[str, str, float]]:
+    pdf = pdf.sort_values(["time_to", "dst", "src"])
+    return list(zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True))
+
+
+def _across(key, pdf, block: int):
+    """Of one block: the heaviest way from each vertex of its first step to each of the next one's (from, to, weight), and
+    the heaviest that begins inside (from null)."""
+    edges = _in_order(pdf)
+    begin = sorted(set(pdf.loc[pdf["time_to"] == key[0] * block + 1, "src"]))
+    ends = sorted(set(pdf.loc[pdf["time_to"] == (key[0] + 1) * block, "dst"]))
+    out = [(None, k, x[0]) for k in ends if (x := _walk(edges, {}).get(k))]
+    nowhere = {src: _NONE for src, _, _ in edges}
+    for b in begin:
+        found = _walk(edges, nowhere | {b: 0.0})
+        out += [(b, k, found[k][0]) for k in ends if k in found]
+    return pd.DataFrame(out, columns=["src", "dst", "weight"]).assign(block=key[0])[["block", "src", "dst", "weight"]]
+
+
+def _entries(track_edges: DataFrame, save, block: int) -> DataFrame:
+    """(key, start): what the heaviest path into each vertex weighs that begins a block, but for those of the first. The
+    blocks are contracted to edges from one's first step to the next one's, and these settled the same way."""
+    at = track_edges.withColumn("block", F.floor((F.col("time_to") - 1) / block))
+    across = save(at.groupBy("block").applyInPandas(lambda key, pdf: _across(key, pdf, block), "block long, src string, dst string, weight double"))
+    # an edge for each way, a step of time for each block; what begins inside comes from a vertex of its own
+    inside = F.concat(F.lit("block "), F.col("block"))
+    coarse = across.select(F.coalesce("src", inside).alias("src"), "dst", (F.col("block") + 1).alias("time_to"), "weight")
+    return _best_into(coarse, save, block).filter("before IS NOT NULL").select("key", F.col("best").alias("start"))
+
+
+def _best_into(track_edges: DataFrame, save, block: int = BLOCK) -> DataFrame:
     """For each vertex the weight of the heaviest path into it and the vertex before on it; ties to the smaller key.
-    Edges lead from each time step to the next, so one small join for each step of time settles them."""
+    Edges lead from each time step to the next. Blocks of time are settled each in a task of their own, once it is known
+    what comes into them, which is settled first, on blocks as steps of a coarser graph: for n steps of time there are
+    log n rounds of tasks, and a task holds ``block`` steps."""
     first, last = track_edges.agg(F.min("time_to"), F.max("time_to")).first()
     ends = track_edges.select(F.col("src").alias("key")).union(track_edges.select("dst")).distinct()
     if first is None:
         return ends.select("key", F.lit(0.0).alias("best"), F.lit(None).cast("string").alias("before"))
-    done, front = None, None
-    for t in range(first, last + 1):
-        e = track_edges.filter(F.col("time_to") == t).select("src", "dst", "weight")
-        start = F.lit(0.0) if front is None else F.coalesce("best", F.lit(0.0))
-        e = e if front is None else e.join(front.select(F.col("key").alias("src"), "best"), "src", "left")
-        total = start + F.col("weight")
-        front = e.filter(total > 0).groupBy(F.col("dst").alias("key")).agg(F.min(F.struct((-total).alias("w"), F.col("src"))).alias("x"))
-        front = save(front.select("key", (-F.col("x.w")).alias("best"), F.col("x.src").alias("before")))
-        done = front if done is None else done.unionByName(front)
-    done = save(done)
+    rows = track_edges.select("src", "dst", "time_to", "weight", F.lit(None).cast("double").alias("start"))
+    number = F.floor((F.col("time_to") - 1) / block).alias("block")
+    if (last - 1) // block > (first - 1) // block:
+        come = _entries(track_edges.select("src", "dst", "time_to", "weight"), save, block)
+        begin = track_edges.filter(F.pmod(F.col("time_to") - 1, F.lit(block)) == 0).select("src", "time_to").distinct()
+        known = come.join(begin, come["key"] == begin["src"]).select("src", F.lit(None).cast("string").alias("dst"), "time_to", F.lit(0.0).alias("weight"), "start")
+        rows = rows.unionByName(known)
+
+    def run(pdf):
+        mark = pdf["dst"].isna()
+        found = _walk(_in_order(pdf[~mark]), dict(zip(pdf.loc[mark, "src"], pdf.loc[mark, "start"], strict=True)))
+        return pd.DataFrame([(k, w, b) for k, (w, b) in found.items()], columns=["key", "best", "before"])
+
+    done = rows.groupBy(number).applyInPandas(run, "key string, best double, before string")
     return ends.join(done, "key", "left").select("key", F.coalesce("best", F.lit(0.0)).alias("best"), "before")
 
 
-def track_paths(track_edges: DataFrame, save=lambda df: df.checkpoint()) -> DataFrame:
+def track_paths(track_edges: DataFrame, save=lambda df: df.checkpoint(), *, block: int = BLOCK) -> DataFrame:
     """Vertex-disjoint heaviest tracks (track_id, pos, key).
 
     The heaviest path into each sink is a candidate; of candidates that share a vertex the heavier stays (ties: the
-    smaller sink). The greedy choice is made in rounds: each round takes all candidates that beat every rival still
-    there and drops what they touch, which gives what taking one at a time would. ``save`` cuts lineage."""
-    best = save(_best_into(track_edges, save))
+    smaller sink). Each vertex has one before it, so that candidates that share a vertex share all before it: those of one
+    root are rivals of each other and of no others, and the heaviest of each root is what taking one at a time would
+    choose. Ways back are doubled in each round. ``save`` cuts lineage."""
+    best = save(_best_into(track_edges, save, block))
+    # 1, 2, 4, ... vertices back
+    jumps = [save(best.filter("before IS NOT NULL").select("key", F.col("before").alias("to")))]
+    while not jumps[-1].isEmpty():
+        again = jumps[-1].select(F.col("key").alias("to"), F.col("to").alias("next"))
+        jumps.append(save(jumps[-1].join(again, "to").select("key", F.col("next").alias("to"))))
     sinks = best.join(track_edges.select(F.col("src").alias("key")).distinct(), "key", "left_anti").filter(F.col("before").isNotNull())
-    walk = sinks.select(F.col("key").alias("sink"), F.col("best").alias("weight"), "key", "before", F.lit(0).alias("back"))
-    steps, front = walk, walk
-    while not front.isEmpty():
-        up = front.select("sink", "weight", F.col("before").alias("key"), (F.col("back") + 1).alias("back")).filter("key IS NOT NULL")
-        front = save(up.join(best.select("key", "before"), "key").select("sink", "weight", "key", "before", "back"))
-        steps = save(steps.unionByName(front))
-    rows, chosen = steps.select("sink", "weight", "key", "back"), None
-    while not rows.isEmpty():
-        rank = Window.partitionBy("key").orderBy(F.col("weight").desc(), "sink")
-        wins = rows.withColumn("r", F.row_number().over(rank)).groupBy("sink").agg(F.max("r").alias("r")).filter("r = 1").select("sink")
-        taken = save(rows.join(wins, "sink", "left_semi"))
-        chosen = taken if chosen is None else chosen.unionByName(taken)
-        hit = rows.join(taken.select("key").distinct(), "key", "left_semi").select("sink").distinct()
-        rows = save(rows.join(hit, "sink", "left_anti"))
-    if chosen is None:
-        return rows.select(F.lit(0).cast("long").alias("track_id"), F.col("back").cast("long").alias("pos"), "key")
-    sizes = chosen.groupBy("sink", "weight").agg(F.max("back").alias("length")).filter("length > 0")
+    roots = sinks.select(F.col("key").alias("sink"), F.col("best").alias("weight"), "key")
+    for j in reversed(jumps[:-1]):
+        roots = roots.join(j, "key", "left").select("sink", "weight", F.coalesce("to", "key").alias("key"))
+    chosen = save(roots.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "sink")).alias("x")).select("x.sink", (-F.col("x.w")).alias("weight")))
+    rows = chosen.select("sink", F.col("sink").alias("key"), F.lit(0).alias("back"))
+    for i, j in reversed(list(enumerate(jumps[:-1]))):
+        rows = save(rows.unionByName(rows.join(j, "key").select("sink", F.col("to").alias("key"), (F.col("back") + (1 << i)).alias("back"))))
+    sizes = rows.groupBy("sink").agg(F.max("back").alias("length")).join(chosen, "sink")
     parts = sizes.withColumn("part", F.floor(-F.col("weight"))).groupBy("part").agg(F.count("*").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))  # a row for each whole weight
     ids = sizes.withColumn("part", F.floor(-F.col("weight"))).join(before, "part")
     ids = ids.withColumn("track_id", F.col("ahead") + F.row_number().over(Window.partitionBy("part").orderBy(F.col("weight").desc(), "sink")) - 1)
-    return chosen.join(ids.select("sink", "track_id", "length"), "sink").select("track_id", (F.col("length") - F.col("back")).cast("long").alias("pos"), "key")
+    return rows.join(ids.select("sink", "track_id", "length"), "sink").select("track_id", (F.col("length") - F.col("back")).cast("long").alias("pos"), "key")

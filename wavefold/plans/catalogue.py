@@ -151,6 +151,32 @@ class Catalogue:
         out = points.join(hits.withColumn("matched", F.lit(True)), place, "left")
         return out.select(*points.columns, F.coalesce("matched", F.lit(False)).alias("matched"))
 
+    def path_statistics(self) -> DataFrame:
+        """(time, n_packets, edges_per_packet, mean_km, median_km, max_km, extent_km) by time step: lengths of the edges of
+        packets' paths, and their sum for each packet."""
+        n = self.nodes().select(*PACKET, "node_id", "lon", "lat")
+        end = lambda c, i: n.select(*PACKET, F.col("node_id").alias(c), F.col("lon").alias(f"lon{i}"), F.col("lat").alias(f"lat{i}"))
+        km = geo.haversine_km("lat1", "lon1", "lat2", "lon2")
+        e = self.edges().join(end("src_node_id", 1), [*PACKET, "src_node_id"]).join(end("dst_node_id", 2), [*PACKET, "dst_node_id"]).select(*PACKET, km.alias("km"))
+        # a packet of one node has no edges, and counts
+        each = n.groupBy(*PACKET).agg(F.lit(0).alias("zero")).join(e.groupBy(*PACKET).agg(F.count("*").alias("n"), F.sum("km").alias("extent")), PACKET, "left")
+        packets = each.groupBy("time").agg(F.count("*").alias("n_packets"), F.avg(F.coalesce("n", F.lit(0))).alias("edges_per_packet"), F.avg(F.coalesce("extent", F.lit(0.0))).alias("extent_km"))
+        lengths = e.groupBy("time").agg(F.avg("km").alias("mean_km"), F.percentile("km", 0.5).alias("median_km"), F.max("km").alias("max_km"))
+        return packets.join(lengths, "time", "left")
+
+    def anomalies(self, gate: float = 15.0, order: str = "cluster_id") -> DataFrame:
+        """(time, single, interleaved): how many packets have one node, and how many share arcs and a band of latitude
+        with another of their step. Packets meet by the degrees that their arcs cover."""
+        w = Window.partitionBy(*PACKET).orderBy(order)
+        step = geo.lon_separation(F.lag("lon").over(w), F.col("lon"))
+        shape = self.nodes().withColumn("step", step).groupBy(*PACKET).agg(F.count("*").alias("n"), F.min_by("lon", order).alias("start"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("arc"), F.min("lat").alias("low"), F.max("lat").alias("high"))
+        # an arc of a turn or more covers all degrees
+        bins = shape.withColumn("bin", F.explode(F.array_distinct(geo.arc_bins("start", F.least("arc", F.lit(360.0))))))
+        other = bins.select("time", "bin", F.col("rwp_id").alias("rwp_id_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
+        met = bins.join(other, ["time", "bin"]).filter((F.col("rwp_id") != F.col("rwp_id_b")) & geo.lat_gap_within("low", "high", "low_b", "high_b", gate)).select(*PACKET).distinct()
+        both = shape.join(met.withColumn("met", F.lit(1)), PACKET, "left")
+        return both.groupBy("time").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("met").alias("interleaved"))
+
     def merges(self) -> DataFrame:
         return tracking.merges(self.tables["track_edges"])
 
@@ -173,6 +199,10 @@ class Catalogue:
     def duration_pdf(self, paths: DataFrame, bins: int | list[float] = 10) -> DataFrame:
         return histogram(self.track_durations(paths), "hours", bins)
 
+    def longest_tracks(self, paths: DataFrame, n: int = 8) -> DataFrame:
+        """The ``n`` tracks that last longest; ties to the smaller number."""
+        return self.track_durations(paths).orderBy(F.col("hours").desc(), "track_id").limit(n)
+
     def track_propagation(self, paths: DataFrame) -> DataFrame:
         return self._ends(paths).select("track_id", geo.lon_separation(F.col("a.lon"), F.col("b.lon")).alias("degrees"))
 

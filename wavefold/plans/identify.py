@@ -1,35 +1,51 @@
-"""From a gridded field to packets and their rasters, time step by time step, as one Spark plan."""
+"""From a gridded field to packets, their rasters, tracks and features, time step by time step, as one Spark plan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..config import Config
 from ..functions import geo
-from ..operators import association, frames, stencil
+from ..operators import association, compare, features, frames, stencil, tracking
 from ..sources.staging import save
+from .catalogue import packet_summary, path_edges
 
 
-def extrema_clusters(field: DataFrame, c: Config, n_lon: int) -> tuple[DataFrame, DataFrame]:
-    """Clustered maxima and minima: (time, id, lat, lon, v, region, cell), one row for each cluster, at its strongest member."""
-    cell = (F.col("lat_idx") * n_lon + F.col("lon_idx")).cast("long")
-    band = F.lit(True)
+def _band(c: Config, lat: str = "lat") -> Column:
+    """A bound of 0 or None bounds nothing."""
+    out = F.lit(True)
     if c.min_latitude:
-        band = band & (F.col("lat") >= c.min_latitude)
+        out = out & (F.col(lat) >= c.min_latitude)
     if c.max_latitude:
-        band = band & (F.col("lat") <= c.max_latitude)
-    field = field.withColumn("cell", cell)
-    strong = field.filter((F.abs("v") >= c.clip_value) & band).withColumn("sign", F.signum("v").cast("int"))
-    regions = save(frames.label_regions(strong.select("time", "sign", "lat_idx", "lon_idx"), n_lon), "regions")
-    high = stencil.local_maxima(field.drop("cell"), c.extrema_threshold).withColumn("cell", cell)
-    low = stencil.local_minima(field.drop("cell"), c.extrema_threshold).withColumn("cell", cell)
-    points = save(high.unionByName(low).join(regions, ["time", "cell"]).select("time", "cell", "region", "lat", "lon", "v"), "extrema")
-    marked = strong.join(regions, ["time", "cell"]).join(points.select("time", "cell", F.lit(True).alias("is_extremum")), ["time", "cell"], "left").select("time", "region", "cell", "lat", "lon", "v", F.coalesce("is_extremum", F.lit(False)).alias("is_extremum"))
+        out = out & (F.col(lat) <= c.max_latitude)
+    return out
+
+
+def _with_cell(field: DataFrame, n_lon: int) -> DataFrame:
+    return field.withColumn("cell", (F.col("lat_idx") * n_lon + F.col("lon_idx")).cast("long"))
+
+
+def regions(field: DataFrame, clip: float, n_lon: int) -> DataFrame:
+    """(time, cell, region): connected cells of one sign and at least ``clip`` in magnitude."""
+    strong = field.filter(F.abs("v") >= clip)
+    return frames.label_regions(strong.select("time", F.signum("v").cast("int").alias("sign"), "lat_idx", "lon_idx"), n_lon)
+
+
+def extrema_clusters(field: DataFrame, c: Config, n_lon: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clustered maxima and minima: (time, id, lat, lon, v, region, cell), one row for each cluster, at its strongest member;
+    and the members (time, id, lat, lon, v)."""
+    field = _with_cell(field, n_lon)
+    strong = field.filter((F.abs("v") >= c.clip_value) & _band(c))
+    named = save(regions(field.filter(_band(c)), c.clip_value, n_lon), "regions")
+    high, low = (_with_cell(f(field.drop("cell"), c.extrema_threshold), n_lon) for f in (stencil.local_maxima, stencil.local_minima))
+    points = save(high.unionByName(low).join(named, ["time", "cell"]).select("time", "cell", "region", "lat", "lon", "v"), "extrema")
+    marked = strong.join(named, ["time", "cell"]).join(points.select("time", "cell", F.lit(True).alias("is_extremum")), ["time", "cell"], "left").select("time", "region", "cell", "lat", "lon", "v", F.coalesce("is_extremum", F.lit(False)).alias("is_extremum"))
     ways = frames.grid_ways(marked, n_lon, c.cluster_max_eps_km)
-    clustered = frames.cluster(points, ways, eps_km=c.cluster_max_eps_km, scale_km=c.penalty_length_scale_km)
+    clustered = save(frames.cluster(points, ways, eps_km=c.cluster_max_eps_km, scale_km=c.penalty_length_scale_km), "clustered")
     best = F.max_by(F.struct("lat", "lon", "v", "region", "cell"), F.struct(F.abs("v"), -F.col("cell")))
     one = save(clustered.groupBy("time", F.col("cluster").alias("id")).agg(best.alias("x")).select("time", "id", "x.*"), "clusters")
-    return one.filter("v > 0"), one.filter("v < 0")
+    return one.filter("v > 0"), one.filter("v < 0"), clustered.select("time", F.col("cluster").alias("id"), "lat", "lon", "v")
 
 
 def graph(field: DataFrame, high: DataFrame, low: DataFrame, c: Config) -> DataFrame:
@@ -39,29 +55,48 @@ def graph(field: DataFrame, high: DataFrame, low: DataFrame, c: Config) -> DataF
     return save(association.prune_edges(edges, c.edge_pruning_threshold, c.max_edge_weight, min_dlon=c.min_longitude_separation, max_aspect=c.max_aspect_ratio), "graph")
 
 
+def packet_paths(g: DataFrame, both: DataFrame, c: Config) -> DataFrame:
+    """(time, rwp_id, pos, node): the packets of a pruned graph; ``both`` has its nodes."""
+    links = g.select("time", F.col("max_id").alias("a"), F.col("min_id").alias("b"), "weight", "dlon", *(F.col(f"{k}_{x}").alias(f"{x}_{i}") for i, k in (("a", "max"), ("b", "min")) for x in ("lon", "lat")))
+    east = geo.is_east("lon_a", "lon_b")
+    end = lambda x: (F.when(east, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")), F.when(east, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")))
+    (lon1, lon2), (lat1, lat2) = end("lon"), end("lat")
+    steps = save(links.select("time", F.when(east, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(east, F.col("b")).otherwise(F.col("a")).alias("dst"), F.col("dlon").alias("arc"), "weight", lon1.alias("lon1"), lat1.alias("lat1"), lon2.alias("lon2"), lat2.alias("lat2")), "steps")
+    paths = frames.east_paths(steps, save)
+    return save(frames.rank_paths(paths, links.select("time", "a", "b", "weight"), both.select("time", F.col("id").alias("node"), "lon", "lat"), save, c.lat_gate), "paths")
+
+
+def footprints(field: DataFrame, on: DataFrame, c: Config, n_lon: int) -> DataFrame:
+    """(time, rwp_id, node, cell, lat, lon, v, x, y): of each node of a packet of at least a third of its peak, the cells of
+    such strength that are connected with it, inside the band of latitude. Cells below the clip value never count.
+    ``on``: time, rwp_id, node, cell, v."""
+    field = _with_cell(field, n_lon)
+    named = save(regions(field, c.clip_value, n_lon), "regions")
+    peaks = on.groupBy("time", "rwp_id").agg(F.max(F.abs("v")).alias("peak"))
+    own = on.join(peaks, ["time", "rwp_id"]).filter(F.abs("v") >= F.col("peak") / 3).select("time", "rwp_id", "peak", "node", "cell")
+    around = own.join(named, ["time", "cell"]).select("time", "rwp_id", "peak", "region").distinct()
+    strong = field.filter(F.abs("v") >= c.clip_value).join(named, ["time", "cell"]).join(around, ["time", "region"]).filter(F.abs("v") >= F.col("peak") / 3)
+    strong = save(strong.select("time", "rwp_id", "cell", "lat_idx", "lon_idx", "lat", "lon", "v", F.signum("v").cast("int").alias("sign")), "strong")
+    parts = save(frames.label_regions(strong.select("time", "rwp_id", "sign", "lat_idx", "lon_idx"), n_lon, ("time", "rwp_id")), "parts")
+    nodes = own.join(parts, ["time", "rwp_id", "cell"]).select("time", "rwp_id", "node", "region")
+    x, y = geo.to_stereographic("lat", "lon", c.hemisphere)
+    cells = strong.filter(_band(c)).join(parts, ["time", "rwp_id", "cell"]).join(nodes, ["time", "rwp_id", "region"])
+    return save(cells.select("time", "rwp_id", "node", "cell", "lat", "lon", "v", x.alias("x"), y.alias("y")), "footprints")
+
+
 def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: int = 512) -> dict[str, DataFrame]:
     """The tables nodes, edges, rwps and samples, and rasters labels and energies (sparse pixels)."""
+    if c.hull_method not in ("per_node", "convex"):
+        raise ValueError(f"hull_method {c.hull_method!r} is not one of per_node and convex")
     n_lon = n_lon or field.agg(F.max("lon_idx")).first()[0] + 1
-    high, low = extrema_clusters(field, c, n_lon)
-    g = graph(field, high, low, c)
+    high, low, _ = extrema_clusters(field, c, n_lon)
     both = high.unionByName(low)
-    links = g.select("time", F.col("max_id").alias("a"), F.col("min_id").alias("b"), "weight", "max_lon", "min_lon", "dlon")
-    east = geo.is_east("max_lon", "min_lon")
-    steps = save(links.select("time", F.when(east, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(east, F.col("b")).otherwise(F.col("a")).alias("dst"), F.col("dlon").alias("arc")), "steps")
-    paths = frames.east_paths(steps, save)
-    chosen = save(frames.rank_paths(paths, links.select("time", "a", "b", "weight"), both.select("time", F.col("id").alias("node"), "lon", "lat"), c.lat_gate), "paths")
-    on = chosen.join(both.withColumnRenamed("id", "node"), ["time", "node"])
+    chosen = packet_paths(graph(field, high, low, c), both, c)
+    on = save(chosen.join(both.withColumnRenamed("id", "node"), ["time", "node"]), "on")
     kind = F.when(F.col("v") > 0, "max").otherwise("min")
     nodes = on.select(F.col("time").cast("long").alias("time"), "rwp_id", geo.node_id(kind, F.col("node")).alias("node_id"), kind.alias("node_type"), "lon", "lat", F.col("v").alias("scalar"), F.col("node").alias("cluster_id"), F.col("region").alias("region_id"), "pos")
-    # a node's footprint: cells of its region and sign of at least a third of the packet's peak
-    peaks = on.groupBy("time", "rwp_id").agg(F.max(F.abs("v")).alias("peak"))
-    strong = field.filter(F.abs("v") >= c.clip_value).withColumn("cell", (F.col("lat_idx") * n_lon + F.col("lon_idx")).cast("long"))
-    regions = frames.label_regions(strong.select("time", F.signum("v").cast("int").alias("sign"), "lat_idx", "lon_idx"), n_lon)
-    x, y = geo.to_stereographic("lat", "lon", c.hemisphere)
-    own = on.join(peaks, ["time", "rwp_id"]).select("time", "rwp_id", "node", "region", "peak", F.signum("v").alias("sign"))
-    cells = strong.join(regions, ["time", "cell"]).join(own, ["time", "region"]).filter((F.abs("v") >= F.col("peak") / 3) & (F.signum("v") == F.col("sign")))
-    points = save(cells.select("time", "rwp_id", "node", "cell", "lat", "lon", "v", x.alias("x"), y.alias("y")), "footprints")
-    hulls = save(frames.node_hulls(points), "hulls")
+    points = footprints(field, on, c, n_lon)
+    hulls = save(frames.node_hulls(points if c.hull_method == "per_node" else points.withColumn("node", F.lit(0).cast("long"))), "hulls")
     labels = frames.rasterise(hulls, pixels)
     nx, ny = geo.to_stereographic("lat", "lon", c.hemisphere)
     energies = frames.energy_disks(nodes.select("time", "rwp_id", "scalar", nx.alias("x"), ny.alias("y")), pixels, radius_m=c.energy_radius_km * 1000)
@@ -70,14 +105,67 @@ def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: i
         rings = [[(p["x"], p["y"]) for p in r] for r in pdf.sort_values("node")["ring"]]
         return pdf.iloc[:1][["time", "rwp_id"]].assign(geometry_wkb=[frames.wkb(rings)])
 
-    from .catalogue import packet_summary, path_edges
-
     lon, lat = geo.weighted_centroid("lon", "lat", "v")
     centre = points.groupBy(F.col("time").cast("long").alias("time"), "rwp_id").agg(lon.alias("weighted_lon"), lat.alias("weighted_lat"))
     shape = hulls.groupBy("time", "rwp_id").applyInPandas(geometry, "time long, rwp_id long, geometry_wkb binary")
     rwps = packet_summary(nodes).drop("weighted_lon", "weighted_lat", "geometry_wkb").join(centre, ["time", "rwp_id"]).join(shape, ["time", "rwp_id"])
-    from pyspark.sql.window import Window
-
     nth = F.row_number().over(Window.partitionBy("time", "rwp_id").orderBy("node", "cell")) - 1
     samples = points.withColumn("n", nth).filter(F.col("n") % 5 == 0).select(F.col("time").cast("long").alias("time"), "rwp_id", (F.col("n") / 5).cast("long").alias("pt_idx"), "lon", "lat")
     return {"nodes": nodes.drop("pos"), "edges": path_edges(nodes, "pos"), "rwps": rwps, "samples": samples, "labels": labels, "energies": energies}
+
+
+def track(found: dict[str, DataFrame], *, number_steps: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The catalogue's track_nodes and track_edges (not pruned) of what identify() found, of the first ``number_steps`` steps
+    of time. Packets that others cover in the raster are no vertices."""
+    cells = found["labels"].join(found["energies"], ["time", "row", "col"], "left").select(F.col("time").cast("long").alias("time"), "row", "col", "rwp_id", F.coalesce("energy", F.lit(0.0)).alias("energy"))
+    if number_steps is not None:
+        cells = cells.filter(F.col("time") < number_steps)
+    cells = save(cells, "cells")
+    places = save(found["rwps"].select("time", "rwp_id", F.col("weighted_lon").alias("lon"), F.col("weighted_lat").alias("lat")), "places")
+    seen = cells.select("time", "rwp_id").distinct().join(places, ["time", "rwp_id"])
+    return seen.select("time", F.col("rwp_id").alias("feature"), "lon", "lat", geo.key("time", "rwp_id").alias("key")), save(tracking.edges(cells, places), "track_edges")
+
+
+def tracks(track_edges: DataFrame, c: Config, *, max_km: float | None = None, min_weight: float | None = None) -> DataFrame:
+    """Tracks of the pruned graph; a gate that is None is the settings' (whose own None switches it off)."""
+    max_km = c.track_pruning_threshold if max_km is None else max_km
+    min_weight = c.track_weight_threshold if min_weight is None else min_weight
+    return tracking.track_paths(save(tracking.prune(track_edges, max_km, min_weight), "pruned"), save)
+
+
+def extract_features(field: DataFrame, c: Config, *, threshold: float, fraction: float | None = None, n_lon: int | None = None) -> DataFrame:
+    """Clustered extrema of all time steps as features (run, time, id, node_type, lon, lat, scalar, ring, strength) for
+    features.track. Extrema of one region share it out by floods from each; ``fraction`` leaves cells of at least that
+    part of the peak only, the extremum itself where there are none. Strong ones reach ``threshold``."""
+    n_lon = n_lon or field.agg(F.max("lon_idx")).first()[0] + 1
+    high, low, _ = extrema_clusters(field, c, n_lon)
+    nodes = high.unionByName(low).filter(F.abs("v") >= c.clip_value).select("time", "id", "cell", F.col("lon").alias("node_lon"), F.col("lat").alias("node_lat"), F.col("v").alias("scalar"))
+    nodes = save(nodes, "nodes")
+    field = _with_cell(field, n_lon)
+    named = save(regions(field, c.clip_value, n_lon), "regions")
+    live = named.join(nodes, ["time", "cell"]).select("time", "region").distinct()
+    seeds = named.join(live, ["time", "region"]).join(nodes.select("time", "cell", F.col("id").alias("seed")), ["time", "cell"], "left")
+    owner = save(frames.partition(seeds.select("time", "region", "cell", "seed"), n_lon), "owners")
+    cells = field.join(owner, ["time", "cell"]).join(nodes.drop("cell"), (owner["time"] == nodes["time"]) & (F.col("seed") == F.col("id"))).select(owner["time"], "id", "lat", "lon", "v", "scalar")
+    if fraction is not None:
+        cells = cells.filter(F.when(F.col("scalar") > 0, F.col("v") >= F.col("scalar") / fraction).otherwise(F.col("v") <= F.col("scalar") / fraction))
+    bare = nodes.join(cells.select("time", "id").distinct(), ["time", "id"], "left_anti").select("time", "id", F.col("node_lat").alias("lat"), F.col("node_lon").alias("lon"))
+    x, y = geo.to_stereographic("lat", "lon", c.hemisphere)
+    points = cells.select("time", "id", "lat", "lon").unionByName(bare).select("time", F.lit(0).cast("long").alias("rwp_id"), F.col("id").alias("node"), x.alias("x"), y.alias("y"))
+    rings = frames.node_hulls(points).select("time", F.col("node").alias("id"), "ring")
+    kind = F.when(F.col("scalar") > 0, "max").otherwise("min")
+    return nodes.join(rings, ["time", "id"]).select(F.lit("").alias("run"), F.col("time").cast("long").alias("time"), "id", kind.alias("node_type"), F.col("node_lon").alias("lon"), F.col("node_lat").alias("lat"), "scalar", "ring", geo.strength("scalar", threshold).alias("strength"))
+
+
+def packet_mask(labels: DataFrame, grid: DataFrame) -> DataFrame:
+    """Pixels (time, row, col) of packets inside the band that ``grid`` (row, col, lat) is of."""
+    return labels.join(compare.in_band(grid), ["row", "col"]).select("time", "row", "col")
+
+
+def amplitude_mask(field: DataFrame, c: Config, grid: DataFrame, least: float, *, n_lon: int, pixels: int = 512) -> DataFrame:
+    """The same of the hulls of the extrema of each cluster of at least ``least``, whether linked or not."""
+    high, low, members = extrema_clusters(field, c, n_lon)
+    strong = high.unionByName(low).filter(F.abs("v") >= least).select("time", "id")
+    x, y = geo.to_stereographic("lat", "lon", c.hemisphere)
+    points = members.join(strong, ["time", "id"]).select("time", F.col("id").alias("rwp_id"), F.col("id").alias("node"), x.alias("x"), y.alias("y"))
+    return packet_mask(frames.rasterise(frames.node_hulls(points), pixels), grid)

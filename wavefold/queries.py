@@ -257,6 +257,11 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(catalogue(spark, sf_dir).rwps().drop("geometry_wkb"), "weighted_lon", "weighted_lat")
 
 
+@query(f"WITH {NODES} SELECT time, rwp_id, node_id AS src_node_id, nxt AS dst_node_id FROM (SELECT *, lead(node_id) OVER (PARTITION BY time, rwp_id ORDER BY cluster_id) AS nxt FROM nodes) WHERE nxt IS NOT NULL")
+def path_edges_of_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue(spark, sf_dir).edges()
+
+
 @query(f"WITH {NODES} SELECT time, rwp_id, node_id AS src_node_id, nxt AS dst_node_id FROM (SELECT *, lead(node_id) OVER (PARTITION BY time, rwp_id ORDER BY cluster_id) AS nxt FROM nodes) WHERE nxt IS NOT NULL AND time = 3")
 def path_edges_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue(spark, sf_dir).filter(time=3).edges()
@@ -331,11 +336,11 @@ def phase_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(catalogue(spark, sf_dir).phase_at(20, 50, 4), "fraction")
 
 
-@query(f"""WITH {RWPS}, pts AS (SELECT time, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, lat, node_id, rwp_id AS owner FROM nodes WHERE region_id = 2)
+@query(f"""WITH {RWPS}, pts AS (SELECT time, CASE WHEN lon > 180 THEN lon - 360 ELSE lon END AS lon, lat, node_id, rwp_id AS owner FROM nodes)
 SELECT time, lon, lat, node_id, owner, EXISTS (SELECT 1 FROM rwps r WHERE r.time = pts.time AND {hav('pts.lat', 'pts.lon', 'r.weighted_lat', 'r.weighted_lon')} <= 850) AS matched FROM pts""")
 def match_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = catalogue(spark, sf_dir)
-    points = c.nodes().filter("region_id = 2").select("time", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon")).alias("lon"), "lat", "node_id", F.col("rwp_id").alias("owner"))
+    points = c.nodes().select("time", F.when(F.col("lon") > 180, F.col("lon") - 360).otherwise(F.col("lon")).alias("lon"), "lat", "node_id", F.col("rwp_id").alias("owner"))
     return c.match_points(points)
 
 
@@ -381,17 +386,75 @@ def _tracks(spark: SparkSession, sf_dir: str) -> tuple[Catalogue, DataFrame]:
     return c, save(c.track_paths(save=save), "paths")
 
 
-@query()
+#: Heaviest paths: one row for each step of time, with what is known of its vertices.
+PATHS = f"""{CELLS}, te_ AS MATERIALIZED (SELECT * FROM te),
+walk(t, st) AS (SELECT (SELECT min(time_from) FROM te_), CAST([] AS STRUCT(key VARCHAR, best DOUBLE, before VARCHAR)[])
+  UNION ALL SELECT t + 1, (SELECT list(struct_pack(key := dst, best := best, before := before)) FROM (SELECT dst, max(w) AS best, min(src) FILTER (w = top) AS before
+    FROM (SELECT e.dst, e.src, coalesce(s.best, 0) + e.weight AS w, max(coalesce(s.best, 0) + e.weight) OVER (PARTITION BY e.dst) AS top FROM te_ e LEFT JOIN (SELECT unnest(walk.st, recursive := true)) s ON s.key = e.src WHERE e.time_to = walk.t + 1) GROUP BY dst))
+  FROM walk WHERE t < (SELECT max(time_to) FROM te_)),
+best AS MATERIALIZED (SELECT unnest(st, recursive := true) FROM walk),
+back(sink, weight, key, before, n) AS (SELECT key, best, key, before, 0 FROM best WHERE key NOT IN (SELECT src FROM te_) UNION ALL SELECT sink, weight, b.before, p.before, n + 1 FROM back b LEFT JOIN best p ON p.key = b.before WHERE b.before IS NOT NULL),
+roots AS (SELECT sink, weight, arg_max(key, n) AS root, max(n) AS length FROM back GROUP BY 1, 2),
+won AS (SELECT sink, weight, length FROM roots QUALIFY row_number() OVER (PARTITION BY root ORDER BY weight DESC, sink) = 1),
+numbered AS (SELECT *, row_number() OVER (ORDER BY weight DESC, sink) - 1 AS track_id FROM won),
+paths AS MATERIALIZED (SELECT track_id, CAST(length - n AS BIGINT) AS pos, key FROM back JOIN numbered USING (sink))"""
+
+
+@query(f"WITH RECURSIVE {PATHS} SELECT track_id, pos, key FROM paths")
 def track_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tracks(spark, sf_dir)[1]
+    return _tracks(spark, sf_dir)[1].withColumn("track_id", F.col("track_id").cast("long"))
 
 
-@query()
+_SEP = "least(abs(b.lon - a.lon) % 360, 360 - abs(b.lon - a.lon) % 360)"
+
+
+@query(f"""WITH RECURSIVE {PATHS}, v AS (SELECT track_id, pos, paths.key, time, lon, lat FROM paths JOIN places ON paths.key = time || ':' || rwp_id),
+e AS (SELECT track_id, arg_min(struct_pack(time, lon, lat, key), pos) AS a, arg_max(struct_pack(time, lon, lat, key), pos) AS b FROM v GROUP BY 1),
+s AS (SELECT track_id, ((lon - lag(lon) OVER (PARTITION BY track_id ORDER BY pos) + 180) % 360 + 360) % 360 - 180 AS step FROM v),
+d AS (SELECT track_id, CASE WHEN max(abs(step)) > 40 THEN '-infinity'::DOUBLE ELSE coalesce(sum(step), 0) END AS drift FROM s GROUP BY 1),
+x AS (SELECT track_id, bool_or(lon BETWEEN -90 AND 90 AND lat BETWEEN 30 AND 70) AS through FROM v GROUP BY 1)
+SELECT track_id, (b.time - a.time) * 24.0::DOUBLE AS hours, round({_SEP}, 6) AS degrees, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} * 1000 / nullif((b.time - a.time) * 24 * 3600, 0), 6) AS m_per_s, a.key AS key, round(drift, 6) + 0.0 AS drift, through
+FROM e JOIN d USING (track_id) JOIN x USING (track_id)""")
 def track_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, p = _tracks(spark, sf_dir)
     box = c.tracks_through(p, (-90, 90, 30, 70)).withColumn("through", F.lit(True))
     out = c.track_durations(p).join(c.track_propagation(p), "track_id").join(c.group_velocity(p), "track_id").join(c.provenance(p), "track_id").join(c.drift(p), "track_id").join(box, "track_id", "left")
-    return rounded(out.withColumn("through", F.coalesce("through", F.lit(False))), "degrees", "m_per_s")
+    out = out.withColumn("through", F.coalesce("through", F.lit(False))).withColumn("track_id", F.col("track_id").cast("long"))
+    return rounded(out, "degrees", "m_per_s", "drift")
+
+
+@query(f"""WITH RECURSIVE {PATHS}, h AS (SELECT (max(CAST(split_part(key, ':', 1) AS BIGINT)) - min(CAST(split_part(key, ':', 1) AS BIGINT))) * 24.0::DOUBLE AS hours FROM paths GROUP BY track_id),
+e AS (SELECT min(hours) AS lo, max(hours) AS hi, count(*) AS n FROM h), w AS (SELECT CASE WHEN lo = hi THEN lo - 0.5 ELSE lo END AS lo, CASE WHEN lo = hi THEN hi + 0.5 ELSE hi END AS hi, n FROM e),
+b AS (SELECT i, lo + (hi - lo) * i / 10 AS l, lo + (hi - lo) * (i + 1) / 10 AS r, n FROM w, range(10) t(i))
+SELECT round(l, 6) AS left, round(r, 6) AS right, round((SELECT count(*) FROM h WHERE hours >= l AND (hours < r OR i = 9 AND hours <= r)) / (n * (r - l)), 6) AS density FROM b""")
+def track_duration_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, p = _tracks(spark, sf_dir)
+    return rounded(c.duration_pdf(p, 10), "left", "right", "density")
+
+
+@query(f"""WITH RECURSIVE {PATHS}, h AS (SELECT track_id, (max(CAST(split_part(key, ':', 1) AS BIGINT)) - min(CAST(split_part(key, ':', 1) AS BIGINT))) * 24.0::DOUBLE AS hours FROM paths GROUP BY track_id)
+SELECT track_id, hours FROM h ORDER BY hours DESC, track_id LIMIT 8""")
+def longest_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, p = _tracks(spark, sf_dir)
+    return c.longest_tracks(p, 8).withColumn("track_id", F.col("track_id").cast("long"))
+
+
+@query(f"""WITH {NODES}, p AS (SELECT time, rwp_id, lon AS lon1, lat AS lat1, lead(lon) OVER w AS lon2, lead(lat) OVER w AS lat2 FROM nodes WINDOW w AS (PARTITION BY time, rwp_id ORDER BY cluster_id)),
+e AS (SELECT time, rwp_id, {hav('lat1', 'lon1', 'lat2', 'lon2')} AS km FROM p WHERE lon2 IS NOT NULL),
+x AS (SELECT n.time, n.rwp_id, count(km) AS n, coalesce(sum(km), 0) AS extent FROM (SELECT DISTINCT time, rwp_id FROM nodes) n LEFT JOIN e USING (time, rwp_id) GROUP BY 1, 2),
+y AS (SELECT time, count(*) AS n_packets, avg(n) AS edges_per_packet, avg(extent) AS extent_km FROM x GROUP BY 1), z AS (SELECT time, avg(km) AS mean_km, quantile_cont(km, 0.5) AS median_km, max(km) AS max_km FROM e GROUP BY 1)
+SELECT time, n_packets, round(edges_per_packet, 6) AS edges_per_packet, round(extent_km, 5) AS extent_km, round(mean_km, 5) AS mean_km, round(median_km, 5) AS median_km, round(max_km, 5) AS max_km FROM y LEFT JOIN z USING (time)""")
+def path_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(catalogue(spark, sf_dir).path_statistics(), "edges_per_packet"), "extent_km", "mean_km", "median_km", "max_km", places=5)
+
+
+@query(f"""WITH {NODES}, s AS (SELECT *, least(abs(lon - lag(lon) OVER w), 360 - abs(lon - lag(lon) OVER w)) AS step FROM nodes WINDOW w AS (PARTITION BY time, rwp_id ORDER BY cluster_id)),
+p AS (SELECT time, rwp_id, count(*) AS n, arg_min(lon, cluster_id) AS start, coalesce(sum(step), 0) AS arc, min(lat) AS low, max(lat) AS high FROM s GROUP BY 1, 2),
+b AS (SELECT DISTINCT time, rwp_id, low, high, CAST(round_even((start + k) % 360, 0) AS BIGINT) % 360 AS bin FROM p, range(0, 361) r(k) WHERE k <= least(floor(arc), 360)),
+m AS (SELECT DISTINCT a.time, a.rwp_id FROM b a JOIN b c ON a.time = c.time AND a.bin = c.bin AND a.rwp_id <> c.rwp_id AND greatest(a.low, c.low) - least(a.high, c.high) <= 15)
+SELECT time, count(*) FILTER (n = 1) AS single, count(m.rwp_id) AS interleaved FROM p LEFT JOIN m USING (time, rwp_id) GROUP BY time""")
+def packet_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalogue(spark, sf_dir).anomalies()
 
 
 # comparison of masks
@@ -424,6 +487,32 @@ def mask_by_latitude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.by_latitude(a, b, lats)
 
 
+_AB = """a AS (SELECT time, lat_idx, lon_idx, 1 AS x FROM env WHERE envelope >= 14), b AS (SELECT time, lat_idx, lon_idx, 1 AS y FROM field WHERE abs(v) >= 20),
+j AS (SELECT f.time, lat_idx, lon_idx, f.lat, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM field f LEFT JOIN a USING (time, lat_idx, lon_idx) LEFT JOIN b USING (time, lat_idx, lon_idx))"""
+
+
+@query(f"""WITH {ENVELOPE}, {_AB}, g AS (SELECT DISTINCT lat_idx, lon_idx, floor(lat / 5.0) * 5.0 AS band FROM field WHERE lat < 80), n AS (SELECT band, count(*) * (SELECT count(DISTINCT time) FROM field) AS n FROM g GROUP BY 1)
+SELECT band, round(coalesce(sum(x * y), 0) / n, 9) AS both, round(coalesce(sum(x * (1 - y)), 0) / n, 9) AS only_a, round(coalesce(sum(y * (1 - x)), 0) / n, 9) AS only_b FROM n LEFT JOIN (SELECT floor(lat / 5.0) * 5.0 AS band, x, y FROM j WHERE lat < 80) USING (band) GROUP BY band, n""")
+def mask_shares_by_latitude(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, times = _masks(spark, sf_dir)
+    lats = adapters.field(spark, sf_dir).select(F.col("lat_idx").alias("row"), F.col("lon_idx").alias("col"), "lat").distinct()
+    return rounded(compare.latitude_shares(a, b, lats, times.count()), "both", "only_a", "only_b", places=9)
+
+
+@query(f"""WITH {ENVELOPE}, {_AB}, n AS (SELECT count(DISTINCT time) AS n FROM field)
+SELECT lat_idx AS row, lon_idx AS col, round(sum(x * y) / max(n), 9) AS both, round(sum(x * (1 - y)) / max(n), 9) AS only_a, round(sum(y * (1 - x)) / max(n), 9) AS only_b FROM j, n GROUP BY 1, 2 HAVING sum(x + y) > 0""")
+def mask_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, times = _masks(spark, sf_dir)
+    return rounded(compare.frequency(a, b, times.count()), "both", "only_a", "only_b", places=9)
+
+
+@query(f"""WITH {ENVELOPE}, {_AB}, n AS (SELECT time, count(*) AS n FROM field GROUP BY 1)
+SELECT time, round(sum(x * (1 - y)) / 3600, 9) AS only_a, round(sum(y * (1 - x)) / 3600, 9) AS only_b FROM j GROUP BY time HAVING sum(x + y) > 0""")
+def mask_disagreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b, _ = _masks(spark, sf_dir)
+    return rounded(compare.disagreement(a, b, adapters.NLAT * adapters.NLON), "only_a", "only_b", places=9)
+
+
 @query(f"""WITH {ENVELOPE}, s AS (SELECT t AS threshold, f.time, count(*) FILTER (envelope >= 14 AND abs(v) >= t) AS i, count(*) FILTER (envelope >= 14 OR abs(v) >= t) AS u, max((envelope >= 14)::INT) = max((abs(v) >= t)::INT) AS agree
 FROM env JOIN field f USING (time, lat_idx, lon_idx), (VALUES (10.0), (15.0), (20.0), (25.0)) x(t) GROUP BY 1, 2),
 means AS (SELECT threshold, avg(coalesce(i / nullif(u, 0), 1)) AS m FROM s GROUP BY 1)
@@ -442,14 +531,61 @@ def best_amplitude_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 # whole plans
 
 
+@query(f"""WITH RECURSIVE {FIELD}, s AS MATERIALIZED (SELECT time, lat_idx * 144 + lon_idx AS cell, lat_idx, lon_idx, sign(v) AS sign FROM field WHERE abs(v) >= 8),
+n AS MATERIALIZED (SELECT a.time * 3600 + a.cell AS a, b.time * 3600 + b.cell AS b FROM s a JOIN s b ON a.time = b.time AND a.sign = b.sign AND abs(a.lat_idx - b.lat_idx) <= 1 AND (abs(a.lon_idx - b.lon_idx) <= 1 OR abs(a.lon_idx - b.lon_idx) = 143) AND a.cell <> b.cell),
+r(node, name) USING KEY (node) AS (SELECT time * 3600 + cell, time * 3600 + cell FROM s UNION (SELECT n.b, min(r.name) FROM r JOIN n ON n.a = r.node JOIN recurring.r o ON o.node = n.b GROUP BY n.b HAVING min(r.name) < min(o.name)))
+SELECT CAST(node // 3600 AS INTEGER) AS time, CAST(node % 3600 AS BIGINT) AS cell, CAST(name % 3600 AS BIGINT) AS region FROM r""")
+def field_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.identify import regions
+
+    return regions(adapters.field(spark, sf_dir), 8.0, adapters.NLON)
+
+
+def _settings():
+    from .config import Config
+
+    return Config.default(min_latitude=20.0, max_latitude=80.0, extrema_threshold=15.0, edge_pruning_threshold=0.02)
+
+
+def _identified(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    from .plans.identify import identify
+
+    return identify(adapters.field(spark, sf_dir), _settings(), n_lon=adapters.NLON)
+
+
 @query()
 def identified_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packets of the field, from extrema to footprints."""
-    from .config import Config
-    from .plans.identify import identify
+    return _identified(spark, sf_dir)["rwps"].drop("geometry_wkb")
 
-    c = Config.default(min_latitude=20.0, max_latitude=80.0, extrema_threshold=15.0, edge_pruning_threshold=0.02)
-    return identify(adapters.field(spark, sf_dir), c, n_lon=adapters.NLON, pixels=128)["rwps"].drop("geometry_wkb")
+
+@query()
+def identified_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and energies of the packets' footprints, on the raster of 512 x 512."""
+    out = _identified(spark, sf_dir)
+    return out["labels"].join(out["energies"], ["time", "row", "col"], "full")
+
+
+@query()
+def identified_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field's packets followed through time: edges between adjacent steps, and which lie on a track."""
+    from .plans.identify import track, tracks
+
+    _, edges = track(_identified(spark, sf_dir))
+    paths = tracks(edges, _settings()).select("track_id", "key")
+    on = paths.select(F.col("key").alias("src"), "track_id").join(paths.select(F.col("key").alias("dst"), "track_id"), "track_id")
+    return edges.join(on, ["src", "dst"], "left")
+
+
+@query()
+def identified_feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field's crests and troughs, each with its share of its region, followed through time."""
+    from .operators import features
+    from .plans.identify import extract_features
+    from .sources.staging import save
+
+    found = save(extract_features(adapters.field(spark, sf_dir), _settings(), threshold=20.0, fraction=3.0, n_lon=adapters.NLON))
+    return features.track(found, save, most_shift=15.0, band=(20.0, 80.0))
 
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -459,31 +595,70 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.nodes(spark, sf_dir).select(F.col("rwp_id").cast("string").alias("run"), "time", F.col("cluster_id").alias("id"), F.lit("max").alias("node_type"), "lon", "lat", "scalar", ring.alias("ring"), geo.strength("scalar", 60).alias("strength"))
 
 
-@query()
-def feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Settings of the feature tracks below, and the same in SQL: one row for each step of time, with its live features.
+TRACKED = {"most_shift": 40.0, "band": (25.0, 75.0)}
+STEPS = f"""{NODES}, f AS MATERIALIZED (SELECT CAST(rwp_id AS VARCHAR) AS run, time, cluster_id AS id, lon, lat, abs(scalar) >= 60 AS strong, lat BETWEEN 25 AND 75 AS inside, time = min(time) OVER (PARTITION BY rwp_id) AS first FROM nodes),
+boxes AS (SELECT a.run, a.time, a.id, a.strong, b.id AS before, greatest(0, 40 - abs(a.lon - b.lon)) * greatest(0, 20 - abs(a.lat - b.lat)) AS shared
+  FROM f a JOIN f b ON a.run = b.run AND a.time = b.time + 1 WHERE sqrt(pow(((a.lon - b.lon + 180) % 360 + 360) % 360 - 180, 2) + pow(a.lat - b.lat, 2)) <= 40),
+near AS MATERIALIZED (SELECT run, time, id, strong, before, round(shared / (1600 - shared), 9) AS iou FROM boxes WHERE shared > 0),
+live(t, st) AS (SELECT (SELECT min(time) FROM f) - 1, CAST([] AS STRUCT(run VARCHAR, time BIGINT, id BIGINT, lon DOUBLE, lat DOUBLE, before BIGINT, nth BIGINT, weak BIGINT)[])
+  UNION ALL SELECT t + 1, (WITH heads AS (SELECT unnest(live.st, recursive := true)),
+    met AS (SELECT n.*, h.weak FROM near n JOIN heads h ON n.run = h.run AND n.before = h.id WHERE n.time = live.t + 1),
+    claim AS (SELECT * FROM met WHERE strong OR NOT EXISTS (SELECT 1 FROM (SELECT run, id, before FROM met WHERE strong QUALIFY row_number() OVER (PARTITION BY run, id ORDER BY iou DESC, before DESC) = 1) s WHERE s.run = met.run AND s.before = met.before)
+              QUALIFY row_number() OVER (PARTITION BY run, id ORDER BY iou DESC, before DESC) = 1),
+    nth AS (SELECT *, row_number() OVER (PARTITION BY run, before ORDER BY iou DESC, id DESC) AS nth FROM claim),
+    now AS (SELECT f.*, c.before, c.nth, CASE WHEN f.strong OR c.weak IS NULL THEN 0 ELSE c.weak + 1 END AS weak, c.iou FROM f LEFT JOIN nth c ON c.run = f.run AND c.id = f.id WHERE f.time = live.t + 1)
+    SELECT list(struct_pack(run, time, id, lon, lat, before, nth, weak)) FROM now
+    WHERE CASE WHEN before IS NULL THEN strong AND (inside OR first) ELSE inside AND weak <= 2 AND (NOT strong OR nth = 1 OR iou >= 0.05) END) FROM live WHERE t < (SELECT max(time) FROM f)),
+steps AS MATERIALIZED (SELECT unnest(st, recursive := true) FROM live),
+named(run, time, id, track_id, began) AS (SELECT run, time, id, time || ':' || id, before FROM steps WHERE before IS NULL OR nth > 1
+  UNION ALL SELECT s.run, s.time, s.id, n.track_id, n.began FROM named n JOIN steps s ON s.run = n.run AND s.time = n.time + 1 AND s.before = n.id AND s.nth = 1),
+births AS MATERIALIZED (SELECT n.run, n.track_id, n.time AS cut, p.track_id AS parent_id FROM named n LEFT JOIN named p ON p.run = n.run AND p.time = n.time - 1 AND p.id = n.began WHERE n.track_id = n.time || ':' || n.id),
+lines(run, track_id, parent_id, above, cut) AS (SELECT run, track_id, parent_id, parent_id, cut FROM births WHERE parent_id IS NOT NULL UNION ALL SELECT l.run, l.track_id, l.parent_id, b.parent_id, b.cut FROM lines l JOIN births b ON b.run = l.run AND b.track_id = l.above WHERE b.parent_id IS NOT NULL),
+tracks AS MATERIALIZED (SELECT n.run, n.track_id, b.parent_id, n.time, n.id, s.lon, s.lat, s.weak > 0 AS recovered FROM named n JOIN births b USING (run, track_id) JOIN steps s ON s.run = n.run AND s.time = n.time AND s.id = n.id
+  UNION ALL SELECT l.run, l.track_id, l.parent_id, n.time, n.id, s.lon, s.lat, s.weak > 0 FROM lines l JOIN named n ON n.run = l.run AND n.track_id = l.above AND n.time < l.cut JOIN steps s ON s.run = n.run AND s.time = n.time AND s.id = n.id)"""
+
+
+def _feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import features
+    from .sources.staging import save
 
-    return features.track(_features(spark, sf_dir), most_shift=40.0)
+    return features.track(save(_features(spark, sf_dir)), save, **TRACKED)
 
 
-@query()
+@query(f"WITH RECURSIVE {STEPS} SELECT * FROM tracks")
+def feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _feature_tracks(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {STEPS}, s AS (SELECT *, ((lon - lag(lon) OVER (PARTITION BY run, track_id ORDER BY time) + 180) % 360 + 360) % 360 - 180 AS d FROM tracks)
+SELECT run, track_id, round(sum(d) / nullif((max(time) - min(time)) * 24, 0), 6) + 0.0 AS degrees_per_hour FROM s GROUP BY 1, 2""")
 def feature_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import features
 
-    return rounded(features.phase_velocity(features.track(_features(spark, sf_dir), most_shift=40.0), 24.0), "degrees_per_hour")
+    return rounded(features.phase_velocity(_feature_tracks(spark, sf_dir), 24.0), "degrees_per_hour")
 
 
-@query()
+@query(f"""WITH RECURSIVE {STEPS}, up(run, track_id, root) AS (SELECT run, track_id, track_id FROM births WHERE parent_id IS NULL UNION ALL SELECT b.run, b.track_id, u.root FROM up u JOIN births b ON b.run = u.run AND b.parent_id = u.track_id)
+SELECT run, track_id, root FROM up""")
+def feature_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .operators import features
+    from .sources.staging import save
+
+    return features.roots(_feature_tracks(spark, sf_dir), save)
+
+
+@query(f"WITH RECURSIVE {STEPS} SELECT * FROM tracks")
 def streamed_feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same tracks from a stream of feature files, whose last ones hold the ends of the runs."""
     from .operators import features
-    from .sources.staging import path as new_path
+    from .sources.staging import path as new_path, save
 
     source = new_path(spark, "features")
     _features(spark, sf_dir).write.parquet(source)
     features.ends(spark.read.parquet(source)).write.mode("append").parquet(source)
-    stream = features.stream_track(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), most_shift=40.0)
+    stream = features.stream_track(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source), **TRACKED)
     out = new_path(spark, "streamed")
     q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "progress")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return features.with_history(spark.read.schema(stream.schema).parquet(out), save)

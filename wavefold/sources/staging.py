@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def path(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir, or under a new local folder where that is unset."""
+    """A new path under spark.checkpoint.dir; only a local session may leave it unset and gets a new local folder."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="wavefold-")
         spark.sparkContext.setCheckpointDir(at)
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
