@@ -46,8 +46,15 @@ def test_centroid(spark):
     assert r["lon"] == pytest.approx(9, abs=0.02) and r["lat"] == 50
 
 
+def test_consistent_longitudes(spark):
+    df = spark.createDataFrame([("a", 10.0), ("a", 350.0), ("b", 10.0), ("b", 50.0)], "g string, lon double")
+    got = {(r["g"], r["lon"]) for r in geo.consistent_longitudes(df, "lon", ["g"], 100.0).collect()}
+    assert got == {("a", 370.0), ("a", 350.0), ("b", 10.0), ("b", 50.0)}
+
+
 def test_config_round_trip(tmp_path):
     c = Config.default(min_latitude=20.0, lat_gate=10.0)
+    assert Config.from_yaml(c.to_yaml()) == c
     c.to_yaml(tmp_path / "c.yaml")
     assert Config.from_yaml(tmp_path / "c.yaml") == c
     (tmp_path / "bad.yaml").write_text("nonsense: 1\n")

@@ -44,8 +44,12 @@ def _stretched() -> Column:
 
 def zero_contour(df: DataFrame) -> DataFrame:
     """Where the field changes sign between neighbours east or north, by linear interpolation in lat and lon."""
-    step = lambda a, b: df.select("time", (F.col("lat_idx") - a).alias("lat_idx"), (F.col("lon_idx") - b).alias("lon_idx"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("v").alias("v2"))
-    pairs = df.join(step(0, 1), ["time", "lat_idx", "lon_idx"]).unionByName(df.join(step(1, 0), ["time", "lat_idx", "lon_idx"]))
+    # one shuffle, by frames, serves both windows
+    frames = df.repartition("time")
+    near = lambda by, along: F.lead(F.struct("lat", "lon", "v", F.col(along).alias("at"))).over(Window.partitionBy("time", by).orderBy(along))
+    both = frames.select("*", near("lat_idx", "lon_idx").alias("east"), near("lon_idx", "lat_idx").alias("north"))
+    side = F.explode(F.array(F.when(F.col("east.at") == F.col("lon_idx") + 1, F.col("east")), F.when(F.col("north.at") == F.col("lat_idx") + 1, F.col("north"))))
+    pairs = both.select("time", "lat", "lon", "v", side.alias("n")).select("time", "lat", "lon", "v", F.col("n.lat").alias("lat2"), F.col("n.lon").alias("lon2"), F.col("n.v").alias("v2"))
     crossed = pairs.filter(((F.col("v") < 0) & (F.col("v2") >= 0)) | ((F.col("v") >= 0) & (F.col("v2") < 0)))
     f = F.try_divide("v", F.col("v") - F.col("v2"))
     return crossed.select("time", (F.col("lat") + f * (F.col("lat2") - F.col("lat"))).alias("lat"), (F.col("lon") + f * (F.col("lon2") - F.col("lon"))).alias("lon"))
