@@ -27,7 +27,7 @@ from .common import small_batches
 
 LONG = 100
 #: Words whose codes a task keeps.
-KEPT = 1 << 19
+KEPT = 1 << 18
 _NONE = 1 << 60
 #: Letters of Unicode 16.0, which the tokenizers library knows and unicodedata here does not.
 LETTERS_16 = [

@@ -160,10 +160,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id
     run, schema = _items(window)
     items = materialise(benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).mapInArrow(run, schema), "items")
     short = [r[0] for r in items.select("kind").filter(F.col("kind") < window).distinct().collect()]  # fewer than ``window`` values
-    run, schema = _texts(window, short, spark.sparkContext.broadcast(_filter(items.select("hash"))))
+    sent = spark.sparkContext.broadcast(_filter(items.select("hash")))
+    run, schema = _texts(window, short, sent)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).mapInArrow(run, schema)
     # written, since rows are numbered by their order in a task
     texts = materialise(texts, "windows")
+    sent.destroy()
     # the least item of a window stands for it where only places matter
     named = items.groupBy("hash", "kind", "words").agg(F.min("item").alias("lead"))
     right = materialise(items.join(named, ["hash", "kind", "words"]).select("hash", "kind", "words", "item", F.coalesce(F.col("item") == F.col("lead"), F.col("lead").isNull()).alias("leads")).distinct(), "named")

@@ -382,9 +382,11 @@ def _across(sets: DataFrame, th: Threshold) -> DataFrame:
     part = F.pmod(F.xxhash64("id", F.lit(3)), F.ceil(about["n_key1"] / GROUP))
     groups = materialise(slim.select("id", F.xxhash64(about["key1"], F.col("n_comp") > 1, part).alias("grp")), "groups")
     sets = materialise(sets.join(groups, "id").select("grp", "comp", "n", "tokens"), "members")
-    prefix = sets.mapInArrow(_prefixes(th, spark.sparkContext.broadcast(counts)), "token long, grp long, comp long, n long")
+    sent = spark.sparkContext.broadcast(counts)
+    prefix = sets.mapInArrow(_prefixes(th, sent), "token long, grp long, comp long, n long")
     matrix = prefix.groupBy("token", "grp").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.min("n").alias("low"), F.max("n").alias("high"))
     matrix = materialise(matrix, "matrix")
+    sent.destroy()
     # tokens of one component alone join nothing; of a token's groups those wholly of its most frequent component are
     # only held against the others, so that a large component's groups don't all meet one another
     pure = F.when(F.col("c1") == F.col("c2"), F.col("c1"))
@@ -410,8 +412,8 @@ def _across(sets: DataFrame, th: Threshold) -> DataFrame:
 FILTER_BITS = 1 << 22
 
 
-def _again(slim: DataFrame, left: DataFrame) -> DataFrame:
-    """Rows of ``slim`` whose id may be in ``left``: all that are, and others by chance."""
+def _again(slim: DataFrame, left: DataFrame):
+    """Rows of ``slim`` whose id may be in ``left``: all that are, and others by chance; and what was broadcast for it."""
     spark = slim.sparkSession
     slot = F.xxhash64("id").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
     found = left.select(slot.cast("int").alias("slot")).distinct().toArrow()["slot"].to_numpy()
@@ -426,7 +428,7 @@ def _again(slim: DataFrame, left: DataFrame) -> DataFrame:
             if keep.num_rows:
                 yield keep
 
-    return slim.filter("id IS NOT NULL").select(slot.cast("int").alias("slot"), "text").mapInArrow(run, "slot int, text string").select("text")
+    return slim.filter("id IS NOT NULL").select(slot.cast("int").alias("slot"), "text").mapInArrow(run, "slot int, text string").select("text"), sent
 
 
 def join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -450,9 +452,11 @@ def join(docs: DataFrame, *, k: int = 5, num: int = 80, den: int = 100, id_col:
     left = classes.join(counts, F.col("sig") == F.col("grp")).filter(F.col("shared") >= needs).select(F.col("rep").alias("id"), "sig", "sig2", "cls")
     left = materialise(left, "left")
     run, schema = _tokenise(th)
-    again = _again(slim, left).mapInArrow(run, schema)
+    again, sent = _again(slim, left)
+    again = again.mapInArrow(run, schema)
     sets = again.join(left.select("sig", "sig2", F.col("cls").alias("id")), ["sig", "sig2"]).drop("sig", "sig2")
     sets = materialise(sets.dropDuplicates(["id"]), "sets")
+    sent.destroy()
     edges = None
     for key, seed in (("key1", 1), ("key2", 2)):
         found = _grouped(sets, key, seed).select("grp", "id", "n", "tokens").groupBy("grp").applyInPandas(_local_links(th), "a long, b long").filter("a <> b")

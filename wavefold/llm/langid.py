@@ -33,7 +33,6 @@ MAX_BYTES = 4_000_000
 MOST_BYTES = 200_000_000
 #: A text is rejected beyond so many standard deviations from its language's usual entropy.
 DEVIATIONS = 8.0
-_TOP = 20
 
 
 def _kinds() -> np.ndarray:
@@ -74,14 +73,16 @@ class Table:
     values: np.ndarray
 
     def __post_init__(self):
-        self.start = np.searchsorted(self.keys, np.arange(1 << _TOP, dtype=np.uint64) << np.uint64(64 - _TOP)).astype(np.int32)
+        top = max(1, len(self.keys).bit_length())  # about one key for each entry of the index
+        self.shift = np.uint64(64 - top)
+        self.start = np.searchsorted(self.keys, np.arange(1 << top, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Places in ``keys``, or -1."""
         out = np.full(len(h), -1, np.int32)
         if not len(self.keys):
             return out
-        at = self.start[(h >> np.uint64(64 - _TOP)).astype(np.int64)]
+        at = self.start[(h >> self.shift).astype(np.int64)]
         todo = None
         while True:
             here = np.minimum(at, len(self.keys) - 1)
@@ -254,6 +255,7 @@ def learn(docs: DataFrame, learnable: Column, *, max_bytes: int = MAX_BYTES, mos
 
     usual = some.filter((part(2) < 0.1) & ~first).select("lang", "text").mapInArrow(entropies, "lang string, own boolean, mean double, spread double")
     found = {(r["lang"], r["own"]): r for r in usual.groupBy("lang", "own").agg(F.avg("mean").alias("m"), F.coalesce(F.stddev("mean"), F.lit(0.0)).alias("s"), F.avg("spread").alias("v")).collect()}
+    sent.destroy()  # nothing is read through it any more
     far = {x: found[x, False]["m"] if (x, False) in found else -float(f) for x, f in zip(model.langs, model.floor, strict=True)}
     own = {x: (r["m"], r["s"], r["v"], (r["m"] + far[x]) / 2) for x in model.langs if (r := found.get((x, True)))}
     loosest = np.max(list(own.values()), axis=0) if own else np.array([np.inf, 0, 0, np.inf])
