@@ -15,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from wavefold.llm import topk, url_rules, warc, wrappers
-from wavefold.llm.common import scratch
+from wavefold.llm.common import scratch, shared_dir
 from wavefold.llm.queries import URL_RULES
 
 PAGES = [
@@ -145,6 +145,29 @@ def test_bundles_are_seekable_zstandard(spark, pages):
         assert zstandard.ZstdDecompressor().decompressobj(read_across_frames=True).decompress(data).count(b"WARC/1.1\r\nWARC-Type") >= 1
 
 
+def test_warc_very_large_record(spark):
+    """A record larger than a frame and a bundle should hold, among small ones, and a copy of it."""
+    big = "".join(f"{i:x}é" for i in range(6_000_000))
+    assert len(big.encode()) > warc.BUNDLE_BYTES
+    df = spark.createDataFrame([(1, "http://a/", big), (2, "http://b/", "x"), (3, "http://c/", big)], "page_id long, url string, html string")
+    to = scratch(spark, "warc")
+    index = warc.write(df, to)
+    got = {r["page_id"]: (r["record_type"], r["payload_bytes"], len(r["payload"])) for r in warc.read(spark, to).collect()}
+    n = len(big.encode())
+    assert got == {1: ("revisit", n, 0), 2: ("response", 1, 1), 3: ("response", n, n)}
+    [one] = warc.fetch(index.filter("page_id = 3"), to).collect()
+    assert bytes(one["payload"]) == big.encode()
+
+
+def test_shared_folder_is_asked_for_off_local():
+    class Fake:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "yarn", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Fake())
+
+
 def test_warc_empty(spark, pages):
     to = scratch(spark, "warc")
     assert warc.write(pages.filter("false"), to).collect() == [] and warc.read(spark, to).collect() == []
