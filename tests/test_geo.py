@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from wavefold.config import Config
 from wavefold.functions import geo
+from wavefold.sources import staging
 
 
 @pytest.fixture
@@ -52,6 +53,15 @@ def test_consistent_longitudes(spark):
     assert got == {("a", 370.0), ("a", 350.0), ("b", 10.0), ("b", 50.0)}
 
 
+def test_shared_folder_is_asked_for_off_local():
+    class Fake:
+        conf = {}
+        sparkContext = type("Context", (), {"master": "spark://a:7077", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(RuntimeError):
+        staging.path(Fake(), "x")
+
+
 def test_config_round_trip(tmp_path):
     c = Config.default(min_latitude=20.0, lat_gate=10.0)
     assert Config.from_yaml(c.to_yaml()) == c
