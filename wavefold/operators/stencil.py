@@ -59,10 +59,11 @@ def running_mean(df: DataFrame, n: int) -> DataFrame:
     """Centred mean over n steps at each cell; beyond the ends the first and the last value are repeated."""
     before, after = n // 2, (n - 1) // 2
     w = Window.partitionBy("lat_idx", "lon_idx").orderBy("time")
-    full = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pos, last = F.row_number().over(w), F.count("*").over(full)
-    at = df.withColumn("lead_in", F.greatest(F.lit(before) + 1 - pos, F.lit(0))).withColumn("lead_out", F.greatest(pos + after - last, F.lit(0)))
-    total = F.sum("v").over(w.rowsBetween(-before, after)) + F.col("lead_in") * F.first("v").over(full) + F.col("lead_out") * F.last("v").over(full)
+    # a row for each cell of the grid
+    ends = df.groupBy("lat_idx", "lon_idx").agg(F.min_by("v", "time").alias("begin"), F.max_by("v", "time").alias("end"), F.count("*").alias("last"))
+    at = df.withColumn("pos", F.row_number().over(w)).withColumn("near", F.sum("v").over(w.rowsBetween(-before, after))).join(ends, ["lat_idx", "lon_idx"])
+    lead_in, lead_out = F.greatest(F.lit(before) + 1 - F.col("pos"), F.lit(0)), F.greatest(F.col("pos") + after - F.col("last"), F.lit(0))
+    total = F.col("near") + lead_in * F.col("begin") + lead_out * F.col("end")
     return at.select("time", "lat_idx", "lon_idx", (total / n).alias("v"))
 
 
