@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import bpe, decontaminate, jaccard, langid, pii, sharding, topk, url_rules, warc, wrappers
+from . import bpe, decontaminate, jaccard, langid, merkle, pii, repeats, sharding, topk, url_rules, warc, whitening, wrappers
 from .common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -80,7 +80,30 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), k=4, num=85, den=100).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_rules, op2_warc, op3_decontaminate, op4_bpe, op5_language, op6_main_text, op7_topk, op8_shards, op9_pii, op10_jaccard)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda n_chars: merkle.digest(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, leaf(F.col("n_chars") + 1))
+    whole = merkle.build(docs, leaf(F.col("n_chars")), F.col("lang"), F.col("doc_id"), {"doc_id": F.col("doc_id"), "tampered": tampered})
+    found = merkle.prove(whole)
+    hexed = lambda c: F.lower(F.hex(c))
+    folded = merkle.folded(F.coalesce("own.tampered", "own.leaf"), F.col("path"), F.col("idx"), F.col("n"), F.col("tree"), F.col("groups"))
+    out = found.select("own.doc_id", hexed("own.leaf").alias("leaf"), hexed("subroot").alias("subroot"), F.lit(whole.root).cast("string").alias("root"), F.sha2(hexed("path").cast("binary"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, models = whitening.whiten(table(spark, sf_dir, "embeddings"), components=8)
+    rows = rows.select("vec_id", "dim", "n", "deviation", F.posexplode("w").alias("at", "whitened"))
+    explained = F.when(F.col("trace") > 0, F.element_at("values", F.col("at") + 1) / F.col("trace")).otherwise(0.0)
+    return rows.join(models.select("dim", "values", "trace", F.col("error").alias("identity_error")), "dim").select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", explained.alias("explained"), "identity_error")
+
+
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"), k=13).select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_rules, op2_warc, op3_decontaminate, op4_bpe, op5_language, op6_main_text, op7_topk, op8_shards, op9_pii, op10_jaccard, op11_manifest, op12_whiten, op13_repeats)}
 
 ORACLES: dict[str, str] = {}
 
@@ -163,3 +186,44 @@ SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in list(_PII)[:
 
 
 ORACLES["op9_pii"] = _pii_sql()
+
+def _manifest_sql() -> str:
+    # crc32 bit by bit, since SQL here has none
+    crc = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, 8 * length(s)), lambda i: CASE WHEN i % 8 = 0 THEN CAST(ascii(substr(s, 1 + i // 8, 1)) AS BIGINT) ELSE CAST(0 AS BIGINT) END)), lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+    part = lambda c: f"coalesce(octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: "sha256(" + " || ".join(map(part, ["doc_id", "source", "lang", n, "text"])) + ")"
+    # levels of a forest (g, i, h) with t nodes a tree; of its leaves, the siblings (sib, by level) and the folded value
+    up = lambda src: f"SELECT g, l + 1 AS l, i // 2 AS i, (t + 1) // 2 AS t, sha256(string_agg(h, '' ORDER BY i)) AS h FROM {src} WHERE t > 1 GROUP BY g, l, i // 2, t"
+    fold = lambda: "sha256(CASE WHEN s.h IS NULL THEN p.f WHEN (p.i >> p.l) % 2 = 1 THEN s.h || p.f ELSE p.f || s.h END)"
+    return f"""
+WITH RECURSIVE d AS (SELECT *, CAST(doc_id AS VARCHAR) AS s FROM documents),
+a AS (SELECT doc_id, coalesce(lang, chr(1)) AS g, {leaf('n_chars')} AS leaf, {leaf('(n_chars + 1)')} AS bad, {crc} AS c FROM d),
+b AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS t FROM a),
+n AS (SELECT g, 0 AS l, i, t, leaf AS h FROM b UNION ALL {up('n')}),
+q AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS t FROM n WHERE t = 1),
+m AS (SELECT 0 AS g, 0 AS l, i, t, h FROM q UNION ALL {up('m')}),
+p AS (SELECT doc_id, g, i, 0 AS l, t, CASE WHEN c % 7 = 0 THEN bad ELSE leaf END AS f, '' AS path FROM b
+      UNION ALL SELECT p.doc_id, p.g, p.i, p.l + 1, (p.t + 1) // 2, {fold()}, p.path || coalesce(s.h, '')
+      FROM p LEFT JOIN n s ON s.g = p.g AND s.l = p.l AND s.i = xor(p.i >> p.l, 1) WHERE p.t > 1),
+r AS (SELECT p.doc_id, q.i, 0 AS l, q.t, p.f, p.path, q.h AS subroot FROM p JOIN q ON q.g = p.g WHERE p.t = 1
+      UNION ALL SELECT p.doc_id, p.i, p.l + 1, (p.t + 1) // 2, {fold()}, p.path || coalesce(s.h, ''), p.subroot
+      FROM r p LEFT JOIN m s ON s.l = p.l AND s.i = xor(p.i >> p.l, 1) WHERE p.t > 1),
+o AS (SELECT h AS root FROM m WHERE t = 1)
+SELECT r.doc_id, b.leaf, r.subroot, o.root, sha256(r.path) AS proof_sha256, r.f AS folded_root, r.f = o.root AS verified
+FROM r JOIN b ON b.doc_id = r.doc_id, o WHERE r.t = 1
+"""
+
+
+ORACLES["op11_manifest"] = _manifest_sql()
+
+_WORDS13 = r"string_split_regex(trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '), '[\x20\x09-\x0D]+')"
+ORACLES["op13_repeats"] = f"""
+WITH w AS (SELECT doc_id, CASE WHEN x = [''] THEN [] ELSE x END AS w FROM (SELECT doc_id, {_WORDS13} AS x FROM documents)),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM w, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i) t),
+f AS (SELECT g, min(doc_id) AS least FROM g GROUP BY g),
+r AS (SELECT DISTINCT doc_id, i + j AS i FROM g JOIN f USING (g), LATERAL (SELECT unnest(range(0, 13)) AS j) t WHERE least < doc_id),
+p AS (SELECT doc_id, i, w[i] AS x FROM w, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i) t),
+k AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS kept FROM p ANTI JOIN r USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
