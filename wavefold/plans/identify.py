@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..config import Config
 from ..functions import geo
-from ..operators import association, compare, features, frames, stencil, tracking
+from ..operators import association, compare, features, frames, routes, stencil, tracking
 from ..sources.staging import save
 from .catalogue import packet_summary, path_edges
 
@@ -55,15 +55,14 @@ def graph(field: DataFrame, high: DataFrame, low: DataFrame, c: Config) -> DataF
     return save(association.prune_edges(edges, c.edge_pruning_threshold, c.max_edge_weight, min_dlon=c.min_longitude_separation, max_aspect=c.max_aspect_ratio), "graph")
 
 
-def packet_paths(g: DataFrame, both: DataFrame, c: Config) -> DataFrame:
-    """(time, rwp_id, pos, node): the packets of a pruned graph; ``both`` has its nodes."""
+def packet_paths(g: DataFrame, c: Config) -> DataFrame:
+    """(time, rwp_id, pos, node): the packets of a pruned graph."""
     links = g.select("time", F.col("max_id").alias("a"), F.col("min_id").alias("b"), "weight", "dlon", *(F.col(f"{k}_{x}").alias(f"{x}_{i}") for i, k in (("a", "max"), ("b", "min")) for x in ("lon", "lat")))
     east = geo.is_east("lon_a", "lon_b")
     end = lambda x: (F.when(east, F.col(f"{x}_a")).otherwise(F.col(f"{x}_b")), F.when(east, F.col(f"{x}_b")).otherwise(F.col(f"{x}_a")))
     (lon1, lon2), (lat1, lat2) = end("lon"), end("lat")
-    steps = save(links.select("time", F.when(east, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(east, F.col("b")).otherwise(F.col("a")).alias("dst"), F.col("dlon").alias("arc"), "weight", lon1.alias("lon1"), lat1.alias("lat1"), lon2.alias("lon2"), lat2.alias("lat2")), "steps")
-    paths = frames.east_paths(steps, save)
-    return save(frames.rank_paths(paths, links.select("time", "a", "b", "weight"), both.select("time", F.col("id").alias("node"), "lon", "lat"), save, c.lat_gate), "paths")
+    steps = links.select("time", F.when(east, F.col("a")).otherwise(F.col("b")).alias("src"), F.when(east, F.col("b")).otherwise(F.col("a")).alias("dst"), F.col("dlon").alias("arc"), "weight", lon1.alias("lon1"), lat1.alias("lat1"), lon2.alias("lon2"), lat2.alias("lat2"))
+    return save(routes.packets(steps, c.lat_gate), "paths")
 
 
 def footprints(field: DataFrame, on: DataFrame, c: Config, n_lon: int) -> DataFrame:
@@ -91,7 +90,7 @@ def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: i
     n_lon = n_lon or field.agg(F.max("lon_idx")).first()[0] + 1
     high, low, _ = extrema_clusters(field, c, n_lon)
     both = high.unionByName(low)
-    chosen = packet_paths(graph(field, high, low, c), both, c)
+    chosen = packet_paths(graph(field, high, low, c), c)
     on = save(chosen.join(both.withColumnRenamed("id", "node"), ["time", "node"]), "on")
     kind = F.when(F.col("v") > 0, "max").otherwise("min")
     nodes = on.select(F.col("time").cast("long").alias("time"), "rwp_id", geo.node_id(kind, F.col("node")).alias("node_id"), kind.alias("node_type"), "lon", "lat", F.col("v").alias("scalar"), F.col("node").alias("cluster_id"), F.col("region").alias("region_id"), "pos")
@@ -99,7 +98,7 @@ def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: i
     hulls = save(frames.node_hulls(points if c.hull_method == "per_node" else points.withColumn("node", F.lit(0).cast("long"))), "hulls")
     labels = frames.rasterise(hulls, pixels)
     nx, ny = geo.to_stereographic("lat", "lon", c.hemisphere)
-    energies = frames.energy_disks(nodes.select("time", "rwp_id", "scalar", nx.alias("x"), ny.alias("y")), pixels, radius_m=c.energy_radius_km * 1000)
+    energies = frames.energy_disks(nodes.select("time", "rwp_id", "pos", "scalar", nx.alias("x"), ny.alias("y")), pixels, radius_m=c.energy_radius_km * 1000)
 
     def geometry(pdf):
         rings = [[(p["x"], p["y"]) for p in r] for r in pdf.sort_values("node")["ring"]]
