@@ -81,10 +81,13 @@ def from_stereographic(x, y, hemisphere: str = "north") -> tuple[Column, Column]
     s = _sign(hemisphere)
     x, y = _c(x), _c(y)
     t = F.sqrt(x * x + y * y) * math.sqrt((1 + ECC) ** (1 + ECC) * (1 - ECC) ** (1 - ECC)) / (2 * A_METRES)
-    phi = math.pi / 2 - 2 * F.atan(t)
-    for _ in range(6):
+
+    def closer(phi, _):
         con = ECC * F.sin(phi)
-        phi = math.pi / 2 - 2 * F.atan(t * F.pow((1 - con) / (1 + con), ECC / 2))
+        return math.pi / 2 - 2 * F.atan(t * F.pow((1 - con) / (1 + con), ECC / 2))
+
+    # a fold, since an expression that holds the one before twice doubles with each round
+    phi = F.aggregate(F.sequence(F.lit(1), F.lit(6)), math.pi / 2 - 2 * F.atan(t), closer)
     return F.degrees(phi) * s, F.degrees(F.atan2(x, -s * y))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.window import Window
 
 from ..functions import geo
 
@@ -27,6 +29,58 @@ def envelope_mask(envelope: DataFrame, threshold: float = 14.0) -> DataFrame:
     return envelope.filter(F.col("envelope") >= threshold)
 
 
+def nearest_cells(grid: DataFrame, field: DataFrame) -> DataFrame:
+    """(row, col, lat_idx, lon_idx): the field's cell nearest to each of the ``grid``'s pixels (row, col, lat, lon) by
+    latitude and by longitude, the lower one in the middle; pixels beyond the first and last of either have none."""
+    axes = []
+    for idx, value in (("lat_idx", "lat"), ("lon_idx", "lon")):
+        # a row for each latitude or longitude of the field
+        rows = sorted((r[1], r[0]) for r in field.groupBy(idx).agg(F.min(value)).collect())
+        axes.append((np.array([x for x, _ in rows]), np.array([i for _, i in rows])))
+
+    def find(batches):
+        for pdf in batches:
+            out = pdf[["row", "col"]].copy()
+            there = np.ones(len(pdf), bool)
+            for (at, idx), value in zip(axes, ("lat", "lon"), strict=True):
+                x = pdf[value].to_numpy(float)
+                there &= (x >= at[0]) & (x <= at[-1]) if len(at) else False
+                out[f"{value}_idx"] = idx[np.searchsorted((at[1:] + at[:-1]) / 2, x, side="left")] if len(at) else 0
+            yield out[there]
+
+    return grid.mapInPandas(find, "row int, col int, lat_idx int, lon_idx int")
+
+
+def regrid(mask: DataFrame, cells: DataFrame) -> DataFrame:
+    """Pixels (time, row, col) of a mask on the field's cells (time, lat_idx, lon_idx), by the pixels' ``cells``."""
+    return mask.select("time", "lat_idx", "lon_idx").join(cells, ["lat_idx", "lon_idx"]).select(*PIXEL)
+
+
+def agreement(hits: DataFrame, reference: DataFrame, thresholds: DataFrame, times: DataFrame, n_pixels: int) -> DataFrame:
+    """(method, threshold, time, shared, joint, iou, agree, only_a, only_b) of masks at all ``thresholds`` (method,
+    threshold, suffix) against one reference mask. A row of ``hits`` (method, threshold, time, row, col) is a pixel of the
+    mask at its threshold and, for methods with ``suffix``, of those at all lower ones: such a pixel is counted once, at the
+    highest threshold that it reaches, and the counts are summed from there down."""
+    known = reference.select(*PIXEL).distinct().withColumn("there", F.lit(1))
+    n = hits.select("method", "threshold", *PIXEL).distinct().join(known, PIXEL, "left").groupBy("method", "threshold", "time").agg(F.count("*").alias("n"), F.count("there").alias("shared"))
+    total = known.groupBy("time").agg(F.count("*").alias("total"))
+    # some thresholds for each time step, whatever the raster's size
+    grid = times.select("time").distinct().join(thresholds, how="cross").join(total, "time", "left").join(n, ["method", "threshold", "time"], "left")
+    down = Window.partitionBy("method", "time").orderBy(F.col("threshold").desc())
+    at = lambda c: F.when(F.col("suffix"), F.sum(F.coalesce(c, F.lit(0))).over(down)).otherwise(F.coalesce(c, F.lit(0)))
+    out = grid.select("method", "threshold", "time", F.coalesce("total", F.lit(0)).alias("total"), at("n").alias("n"), at("shared").alias("shared"))
+    out = out.withColumn("joint", F.col("n") + F.col("total") - F.col("shared"))
+    only = lambda c: (F.col(c) - F.col("shared")) / F.lit(float(max(n_pixels, 1)))
+    return out.select("method", "threshold", "time", "shared", "joint", F.coalesce(F.try_divide("shared", "joint"), F.lit(1.0)).alias("iou"), ((F.col("n") > 0) == (F.col("total") > 0)).alias("agree"), only("n").alias("only_a"), only("total").alias("only_b"))
+
+
+def levelled(pixels: DataFrame, method: str, thresholds: list[float]) -> DataFrame:
+    """Hits of pixels (time, row, col, level), at the highest of the ``thresholds`` that the pixel's level reaches."""
+    top = pixels.groupBy(*PIXEL).agg(F.max("level").alias("level"))
+    reached = F.array_max(F.filter(F.array(*(F.lit(float(t)) for t in thresholds)), lambda t: t <= F.col("level")))
+    return top.select(F.lit(method).alias("method"), reached.alias("threshold"), *PIXEL).filter("threshold IS NOT NULL")
+
+
 def _both(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     left, right = a.select(*keys).distinct().withColumn("a", F.lit(True)), b.select(*keys).distinct().withColumn("b", F.lit(True))
     return left.join(right, keys, "full_outer").select(*keys, F.coalesce("a", F.lit(False)).alias("a"), F.coalesce("b", F.lit(False)).alias("b"))
@@ -68,8 +122,10 @@ def by_latitude(a: DataFrame, b: DataFrame, lats: DataFrame, width: float = 5.0)
 
 
 def sweep(results: DataFrame) -> DataFrame:
-    """Means over time for each method and threshold; results has (method, threshold, time, iou, agree)."""
-    return results.groupBy("method", "threshold").agg(F.avg("iou").alias("mean_iou"), F.avg(F.col("agree").cast("double")).alias("agreement"), F.count("*").alias("n"))
+    """Means over time for each method and threshold; results has (method, threshold, time, iou, agree), and shares of
+    pixels that one mask alone has (only_a, only_b), or not."""
+    more = [F.avg(c).alias(f"mean_{c}") for c in ("only_a", "only_b") if c in results.columns]
+    return results.groupBy("method", "threshold").agg(F.avg("iou").alias("mean_iou"), F.avg(F.col("agree").cast("double")).alias("agreement"), *more, F.count("*").alias("n"))
 
 
 def save_sweep(swept: DataFrame, path: str) -> None:

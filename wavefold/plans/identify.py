@@ -65,6 +65,18 @@ def packet_paths(g: DataFrame, c: Config) -> DataFrame:
     return save(routes.packets(steps, c.lat_gate), "paths")
 
 
+def packet_paths_at(field: DataFrame, high: DataFrame, low: DataFrame, c: Config, prunings: list[float]) -> DataFrame:
+    """(time, rwp_id, pos, node): the packets of the graph pruned at each of the ``prunings``, all in one pass: those of
+    the k-th have ids that are k modulo their number."""
+    n = len(prunings)
+    edges = graph(field, high, low, Config(**vars(c) | {"edge_pruning_threshold": min(prunings)}))
+    kept = F.filter(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(float(p)).alias("p")) for k, p in enumerate(prunings))), lambda x: x["p"] <= F.col("weight"))
+    # a frame for each pruning
+    runs = edges.withColumn("at", F.explode(kept)).withColumn("time", F.col("time") * n + F.col("at.k")).drop("at")
+    paths = packet_paths(runs, c)
+    return paths.select(F.floor(F.col("time") / n).cast("int").alias("time"), (F.col("rwp_id") * n + F.pmod("time", F.lit(n))).alias("rwp_id"), "pos", "node")
+
+
 def footprints(field: DataFrame, on: DataFrame, c: Config, n_lon: int) -> DataFrame:
     """(time, rwp_id, node, cell, lat, lon, v, x, y): of each node of a packet of at least a third of its peak, the cells of
     such strength that are connected with it, inside the band of latitude. Cells below the clip value never count.
@@ -161,6 +173,35 @@ def packet_mask(labels: DataFrame, grid: DataFrame) -> DataFrame:
     return labels.join(compare.in_band(grid), ["row", "col"]).select("time", "row", "col")
 
 
+def method_sweep(field: DataFrame, c: Config, *, amplitudes: list[float], prunings: list[float], n_lon: int | None = None, pixels: int = 512, reference: float = 14.0, waves: tuple[int, int] = (3, 11), smooth: int = 1, band: tuple[float, float] = (20.0, 80.0)) -> DataFrame:
+    """How packets of pruned graphs (edge_pruning) and hulls of strong extrema (node_amplitude) agree with the wave
+    envelope of at least ``reference``, at each threshold and time step, on one raster in a band of latitude: the columns
+    of compare.agreement, for compare.sweep. Extrema, graph and raster are made once for all thresholds; ``smooth`` is the
+    width of the envelope's running mean in steps of time."""
+    field = save(field, "field")
+    n_lon = n_lon or field.agg(F.max("lon_idx")).first()[0] + 1
+    grid = save(compare.in_band(compare.pixel_grid(field.sparkSession, pixels, frames.HALF_WIDTH, c.hemisphere), *band), "grid")
+    inside = grid.select("row", "col")
+    envelope = stencil.envelope(field, *waves, n_lon=n_lon)
+    if smooth > 1:
+        envelope = stencil.running_mean(envelope.withColumnRenamed("envelope", "v"), smooth).withColumnRenamed("v", "envelope")
+    seen = compare.regrid(compare.envelope_mask(envelope, reference), compare.nearest_cells(grid, field))
+    high, low, members = extrema_clusters(field, c, n_lon)
+    both = high.unionByName(low)
+    x, y = geo.to_stereographic("lat", "lon", c.hemisphere)
+    level = both.select("time", F.col("id").alias("node"), F.abs("v").alias("level"))
+    points = members.select("time", F.lit(0).cast("long").alias("rwp_id"), F.col("id").alias("node"), x.alias("x"), y.alias("y"))
+    strong = frames.touched(frames.node_hulls(points).join(level, ["time", "node"]), pixels).join(inside, ["row", "col"])
+    hits = compare.levelled(strong, "node_amplitude", amplitudes)
+    on = packet_paths_at(field, high, low, c, prunings).join(both.withColumnRenamed("id", "node"), ["time", "node"])
+    hulls = frames.node_hulls(footprints(field, save(on, "on"), c, n_lon))
+    at = F.element_at(F.array(*(F.lit(float(p)) for p in prunings)), (F.pmod("rwp_id", F.lit(len(prunings))) + 1).cast("int"))
+    hits = hits.unionByName(frames.touched(hulls, pixels).join(inside, ["row", "col"]).select(F.lit("edge_pruning").alias("method"), at.alias("threshold"), "time", "row", "col"))
+    runs = [("node_amplitude", float(t), True) for t in amplitudes] + [("edge_pruning", float(t), False) for t in prunings]
+    thresholds = field.sparkSession.createDataFrame(runs, "method string, threshold double, suffix boolean")
+    return compare.agreement(hits, seen, thresholds, field.select("time"), grid.count())
+
+
 def amplitude_mask(field: DataFrame, c: Config, grid: DataFrame, least: float, *, n_lon: int, pixels: int = 512) -> DataFrame:
     """The same of the hulls of the extrema of each cluster of at least ``least``, whether linked or not."""
     high, low, members = extrema_clusters(field, c, n_lon)

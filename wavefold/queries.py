@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geo
-from .operators import association, compare, stencil, tracking
+from .operators import association, compare, frames, stencil, tracking
 from .plans.catalogue import Catalogue, packet_summary, path_edges
 from .sources import adapters, field as fields
+from .sources.staging import save
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -378,8 +379,6 @@ def track_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> tuple[Catalogue, DataFrame]:
-    from .sources.staging import save
-
     c = catalogue(spark, sf_dir)
     tables = c.tables | {n: save(c.tables[n], n) for n in ("track_nodes", "track_edges")}
     c = Catalogue(tables, c.meta)
@@ -528,6 +527,58 @@ def best_amplitude_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.best_threshold(compare.sweep(runs)), "mean_iou")
 
 
+# The polar raster in SQL: pixels of the band with the field's nearest cells, and the envelope's mask there.
+_RASTER = 512
+_T = "sqrt(x * x + y * y) * sqrt(pow(1 + e, 1 + e) * pow(1 - e, 1 - e)) / (2 * 6378137.0)"
+_PHI = "SELECT * EXCLUDE (phi), pi() / 2 - 2 * atan(t * pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2)) AS phi FROM"
+POLAR = f"""{ENVELOPE}, xy AS (SELECT CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, -hw + (c + 0.5) * (2 * hw / {_RASTER}) AS x, hw - (r + 0.5) * (2 * hw / {_RASTER}) AS y, 0.0818191908426215 AS e
+  FROM range({_RASTER}) a(r), range({_RASTER}) b(c), (SELECT CAST(12713600.098850505 AS DOUBLE) AS hw)),
+phi0 AS (SELECT *, {_T} AS t, pi() / 2 - 2 * atan({_T}) AS phi FROM xy), {", ".join(f"phi{i + 1} AS ({_PHI} phi{i})" for i in range(6))},
+px AS (SELECT row, col, degrees(phi) AS lat, (degrees(atan2(x, -y)) + 360) % 360 AS lon FROM phi6 WHERE degrees(phi) BETWEEN 20 AND 80),
+pc AS (SELECT row, col, CAST(ceil((lat - 20) / 2.5 - 0.5) AS INTEGER) AS lat_idx, CAST(ceil(lon / 2.5 - 0.5) AS INTEGER) AS lon_idx FROM px WHERE lon <= 357.5),
+seen AS (SELECT time, row, col FROM env JOIN pc USING (lat_idx, lon_idx) WHERE envelope >= 6)"""
+
+
+@query(f"WITH {POLAR} SELECT time, row, count(*) AS n, CAST(sum(col) AS BIGINT) AS cols FROM seen GROUP BY 1, 2")
+def polar_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wave envelope's mask on the polar raster: pixels of each of its rows."""
+    f = adapters.field(spark, sf_dir)
+    grid = compare.in_band(compare.pixel_grid(spark, _RASTER, frames.HALF_WIDTH))
+    seen = compare.regrid(compare.envelope_mask(stencil.envelope(f), 6.0), compare.nearest_cells(grid, f))
+    return seen.groupBy("time", "row").agg(F.count("*").alias("n"), F.sum("col").alias("cols"))
+
+
+_CELL = "CAST(floor(({v} + 12713600.098850505) / (2 * 12713600.098850505 / 512)) AS INTEGER)"
+
+
+@query(f"""WITH {POLAR}, p AS (SELECT f.*, n_lon, n_lat FROM field f JOIN (SELECT time, max(lon_idx) + 1 AS n_lon, max(lat_idx) + 1 AS n_lat FROM field GROUP BY time) USING (time)),
+{_extrema_cte('hi', 'max', 'greatest', 'v > 20')}, {_extrema_cte('lo', 'min', 'least', 'v < -20 AND p.lat_idx > 0')}, ex AS (SELECT time, lat, lon, abs(v) AS level FROM hi UNION ALL SELECT time, lat, lon, abs(v) FROM lo),
+er AS (SELECT time, level, lon, 0.0818191908426215 AS e, radians(lat) AS phi FROM ex),
+exy AS (SELECT time, level, rho * sin(radians(lon)) AS x, -rho * cos(radians(lon)) AS y FROM (SELECT *, tan(pi() / 4 - phi / 2) / pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2) * 2 * 6378137.0 / sqrt(pow(1 + e, 1 + e) * pow(1 - e, 1 - e)) AS rho FROM er)),
+hit AS (SELECT time, 511 - up AS row, col, max(level) AS level FROM exy, LATERAL (SELECT unnest(range({_CELL.format(v='x - 10000')}, {_CELL.format(v='x + 10000')} + 1)) AS col) a, LATERAL (SELECT unnest(range({_CELL.format(v='y - 10000')}, {_CELL.format(v='y + 10000')} + 1)) AS up) b GROUP BY 1, 2, 3),
+lv AS (SELECT time, row, col, level FROM hit JOIN px USING (row, col)),
+th AS (SELECT time, t AS threshold FROM (SELECT DISTINCT time FROM field), (VALUES (10.0), (20.0), (30.0), (40.0), (50.0), (60.0)) x(t)),
+n AS (SELECT th.time, threshold, count(lv.time) AS n, count(seen.time) AS shared FROM th LEFT JOIN lv ON lv.time = th.time AND level >= threshold LEFT JOIN seen ON seen.time = lv.time AND seen.row = lv.row AND seen.col = lv.col GROUP BY 1, 2),
+tot AS (SELECT time, count(*) AS total FROM seen GROUP BY time),
+r AS (SELECT threshold, n, shared, coalesce(total, 0) AS total, (SELECT count(*) FROM px) AS np FROM n LEFT JOIN tot USING (time))
+SELECT 'node_amplitude' AS method, CAST(threshold AS DOUBLE) AS threshold, round(avg(coalesce(shared / nullif(n + total - shared, 0), 1)), 9) AS mean_iou, avg(CAST((n > 0) = (total > 0) AS INT)) AS agreement,
+round(avg((n - shared) / np), 9) AS mean_only_a, round(avg((total - shared) / np), 9) AS mean_only_b, count(*) AS n FROM r GROUP BY threshold""")
+def amplitude_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extrema as footprints, at six thresholds, against the wave envelope on the polar raster, in one pass."""
+    f = adapters.field(spark, sf_dir)
+    grid = save(compare.in_band(compare.pixel_grid(spark, _RASTER, frames.HALF_WIDTH)), "grid")
+    seen = compare.regrid(compare.envelope_mask(stencil.envelope(f), 6.0), compare.nearest_cells(grid, f))
+    high, low = _extrema(spark, sf_dir)
+    x, y = geo.to_stereographic("lat", "lon")
+    points = high.unionByName(low).select("time", F.lit(0).cast("long").alias("rwp_id"), F.col("id").alias("node"), F.abs("v").alias("level"), x.alias("x"), y.alias("y"))
+    hulls = frames.node_hulls(points).join(points.select("time", "node", "level"), ["time", "node"])
+    levels = [10.0, 20.0, 30.0, 40.0, 50.0, 60.0]
+    hits = compare.levelled(frames.touched(hulls, _RASTER).join(grid.select("row", "col"), ["row", "col"]), "node_amplitude", levels)
+    thresholds = spark.createDataFrame([("node_amplitude", t, True) for t in levels], "method string, threshold double, suffix boolean")
+    runs = compare.agreement(hits, seen, thresholds, f.select("time"), grid.count())
+    return rounded(compare.sweep(runs), "mean_iou", "mean_only_a", "mean_only_b", places=9)
+
+
 # whole plans
 
 
@@ -566,6 +617,15 @@ def identified_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out["labels"].join(out["energies"], ["time", "row", "col"], "full")
 
 
+@query()
+def identified_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of pruned graphs and hulls of strong extrema against the wave envelope, at six thresholds each."""
+    from .plans.identify import method_sweep
+
+    runs = method_sweep(adapters.field(spark, sf_dir), _settings(), amplitudes=[15.0, 20.0, 25.0, 30.0, 35.0, 40.0], prunings=[0.0, 0.01, 0.02, 0.04, 0.06, 0.08], n_lon=adapters.NLON, pixels=_RASTER, reference=6.0)
+    return compare.sweep(runs)
+
+
 @query()
 def identified_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The field's packets followed through time: edges between adjacent steps, and which lie on a track."""
@@ -582,8 +642,6 @@ def identified_feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The field's crests and troughs, each with its share of its region, followed through time."""
     from .operators import features
     from .plans.identify import extract_features
-    from .sources.staging import save
-
     found = save(extract_features(adapters.field(spark, sf_dir), _settings(), threshold=20.0, fraction=3.0, n_lon=adapters.NLON))
     return features.track(found, save, most_shift=15.0, band=(20.0, 80.0))
 
@@ -621,8 +679,6 @@ tracks AS MATERIALIZED (SELECT n.run, n.track_id, b.parent_id, n.time, n.id, s.l
 
 def _feature_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import features
-    from .sources.staging import save
-
     return features.track(save(_features(spark, sf_dir)), save, **TRACKED)
 
 
@@ -643,8 +699,6 @@ def feature_velocities(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT run, track_id, root FROM up""")
 def feature_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .operators import features
-    from .sources.staging import save
-
     return features.roots(_feature_tracks(spark, sf_dir), save)
 
 
