@@ -3,12 +3,19 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which ``run`` writes as Parquet and reads again as the
 next stage's docs. All but the last keep the columns of documents.
 
+Columns beside those of documents, whatever they are called, travel in one struct, so that no stage meets or overwrites
+them; all but the last stage return them as they came. Very long texts are read whole; of rows that tie in all columns of
+documents the first by the other columns, as JSON, stays.
+
 Rows are told apart by id and text, a null id being one id, so that a hit or a group drops the rows it is about and no
 others of their id. Rows without id are no copies of rows that have one; of each group of them one stays. Null texts are rejected with the texts without letters; an empty table passes through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +24,31 @@ from wavefold.llm.common import materialise, scratch
 from wavefold.llm.queries import held_out, table, tokenizer_path
 
 
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: What holds the other columns while a stage works.
+OTHERS = "other_columns"
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def apart(stage: Stage) -> Stage:
+    """``stage`` on the columns of documents, beside a struct of all others."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        others = [c for c in docs.columns if c not in COLUMNS]
+        if not others:
+            return stage(spark, docs, sf_dir)
+        quoted = lambda c: "`" + c.replace("`", "``") + "`"
+        packed = docs.select(*(c for c in docs.columns if c in COLUMNS), F.struct(*map(quoted, others)).alias(OTHERS))
+        out = stage(spark, packed, sf_dir)
+        if OTHERS not in out.columns:
+            return out
+        return out.select(*(F.col(OTHERS)[c].alias(c) if c in others else F.col(c) for c in docs.columns))
+
+    return run
+
+
+@apart
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language models do not reject."""
     model = langid.learn(docs, ~held_out(F.col("doc_id")))
@@ -28,6 +60,7 @@ def _same(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
 
 
+@apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): that of the least id, and of
     rows of one id that of the least text hash."""
@@ -45,11 +78,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # of rows that repeat an id and its text one stays; they are told apart by nothing else
     again = keyed.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", "text_hash")
     once = kept.join(again, _same(kept, again), "left_anti").select(*docs.columns)
-    w = Window.partitionBy("doc_id", "text_hash").orderBy(*(F.col(c) for c in docs.columns if c != "doc_id"))
+    by = [F.to_json(c) if c == OTHERS else F.col(c) for c in docs.columns if c != "doc_id"]
+    w = Window.partitionBy("doc_id", "text_hash").orderBy(*by)
     more = kept.join(again, _same(kept, again), "left_semi").withColumn("nth", F.row_number().over(w)).filter("nth = 1").select(*docs.columns)
     return once.unionByName(more)
 
 
+@apart
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no ten consecutive words with the benchmark."""
     keyed = docs.withColumn("text_hash", F.xxhash64("text"))
@@ -58,12 +93,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return keyed.join(hit, _same(keyed, hit), "left_anti").select(*docs.columns)
 
 
+@apart
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind and n_chars to match."""
     clean = pii.redact(pii.find(docs))
     return clean.withColumn("n_chars", F.when(F.size("pii") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
+@apart
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each text."""
     return bpe.encode(docs, tokenizer_path()).select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
