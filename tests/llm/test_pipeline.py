@@ -128,3 +128,22 @@ def test_rows_and_not_ids_are_dropped(spark, tmp_path):
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminate(spark, df.unionByName(df.filter("doc_id = 1").withColumn("doc_id", F.lit(None).cast("long"))), f"file://{tmp_path}").collect())
     hit = {text, near}
     assert got == Counter((i, t) for i, t in [*rows, (None, other)] if t not in hit)
+
+
+def test_other_columns_stay_as_they_are(spark, docs, sf_dir):
+    """Every name that a stage uses inside, an odd name, a map and a struct; the values go with their rows."""
+    names = ["text_hash", "nth", "pii", "rejected", "score", "entropy", "lang_pred", "place", "grp", "n", "best", "component", "component_id", "n_shingles", "n_hit", "items", "spans", "ids", "own", "rid", "other_columns", "_text", "__text", "odd `name`.x"]
+    base = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    mine = base.withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for c in names})
+    mine = mine.withColumn("some map", F.create_map(F.lit("k"), F.col("doc_id"))).withColumn("some struct", F.struct("doc_id", F.col("text").alias("pii")))
+    plain = base
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, mine = (stage(spark, df, sf_dir) for df in (plain, mine))
+        assert mine.columns == [*base.columns, *names, "some map", "some struct"]
+        rows = mine.collect()
+        assert Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows) == Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in plain.collect()), name
+        for r in rows:
+            at = "-" if r["doc_id"] is None else str(r["doc_id"])
+            assert all(r[c] == f"{c}:{at}" for c in names) and r["some map"] == {"k": r["doc_id"]} and r["some struct"]["doc_id"] == r["doc_id"]
+        plain, mine = spark.createDataFrame(plain.collect(), plain.schema), spark.createDataFrame(rows, mine.schema)
+    assert set(corpus_pipeline.tokens(spark, mine, sf_dir).columns) == {"doc_id", "lang", "source", "n_tokens", "ids"}
