@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..config import Config
 from ..functions import geo
-from ..operators import association, compare, features, frames, routes, stencil, tracking
+from ..operators import association, compare, features, frames, routes, stencil, surface, tracking
 from ..sources.staging import save
 from .catalogue import packet_summary, path_edges
 
@@ -35,14 +35,16 @@ def regions(field: DataFrame, clip: float, n_lon: int) -> DataFrame:
 def extrema_clusters(field: DataFrame, c: Config, n_lon: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Clustered maxima and minima: (time, id, lat, lon, v, region, cell), one row for each cluster, at its strongest member;
     and the members (time, id, lat, lon, v)."""
-    field = _with_cell(field, n_lon)
-    strong = field.filter((F.abs("v") >= c.clip_value) & _band(c))
-    named = save(regions(field.filter(_band(c)), c.clip_value, n_lon), "regions")
-    high, low = (_with_cell(f(field.drop("cell"), c.extrema_threshold), n_lon) for f in (stencil.local_maxima, stencil.local_minima))
-    points = save(high.unionByName(low).join(named, ["time", "cell"]).select("time", "cell", "region", "lat", "lon", "v"), "extrema")
-    marked = strong.join(named, ["time", "cell"]).join(points.select("time", "cell", F.lit(True).alias("is_extremum")), ["time", "cell"], "left").select("time", "region", "cell", "lat", "lon", "v", F.coalesce("is_extremum", F.lit(False)).alias("is_extremum"))
-    ways = frames.grid_ways(marked, n_lon, c.cluster_max_eps_km)
-    clustered = save(frames.cluster(points, ways, eps_km=c.cluster_max_eps_km, scale_km=c.penalty_length_scale_km), "clustered")
+    mesh = surface.triangles(field, n_lon)
+    for bound, sign in ((c.min_latitude, 1), (c.max_latitude, -1)):
+        if bound:
+            mesh = surface.clip(mesh, lambda p, s=sign: p["lat"] * s, bound * sign)
+    signed = mesh.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    strong = surface.clip(signed, lambda p: p["v"] * F.col("sign"), c.clip_value)
+    high, low = (_with_cell(f(field, c.extrema_threshold), n_lon) for f in (stencil.local_maxima, stencil.local_minima))
+    points = save(high.unionByName(low).filter(_band(c)).select("time", F.signum("v").cast("int").alias("sign"), "cell", "lat", "lon", "v"), "extrema")
+    named = surface.cluster(strong, points, eps_km=c.cluster_max_eps_km, scale_km=c.penalty_length_scale_km)
+    clustered = save(points.drop("sign").join(named, ["time", "cell"]), "clustered")
     best = F.max_by(F.struct("lat", "lon", "v", "region", "cell"), F.struct(F.abs("v"), -F.col("cell")))
     one = save(clustered.groupBy("time", F.col("cluster").alias("id")).agg(best.alias("x")).select("time", "id", "x.*"), "clusters")
     return one.filter("v > 0"), one.filter("v < 0"), clustered.select("time", F.col("cluster").alias("id"), "lat", "lon", "v")
@@ -78,21 +80,17 @@ def packet_paths_at(field: DataFrame, high: DataFrame, low: DataFrame, c: Config
 
 
 def footprints(field: DataFrame, on: DataFrame, c: Config, n_lon: int) -> DataFrame:
-    """(time, rwp_id, node, cell, lat, lon, v, x, y): of each node of a packet of at least a third of its peak, the cells of
-    such strength that are connected with it, inside the band of latitude. Cells below the clip value never count.
-    ``on``: time, rwp_id, node, cell, v."""
-    field = _with_cell(field, n_lon)
-    named = save(regions(field, c.clip_value, n_lon), "regions")
-    peaks = on.groupBy("time", "rwp_id").agg(F.max(F.abs("v")).alias("peak"))
-    own = on.join(peaks, ["time", "rwp_id"]).filter(F.abs("v") >= F.col("peak") / 3).select("time", "rwp_id", "peak", "node", "cell")
-    around = own.join(named, ["time", "cell"]).select("time", "rwp_id", "peak", "region").distinct()
-    strong = field.filter(F.abs("v") >= c.clip_value).join(named, ["time", "cell"]).join(around, ["time", "region"]).filter(F.abs("v") >= F.col("peak") / 3)
-    strong = save(strong.select("time", "rwp_id", "cell", "lat_idx", "lon_idx", "lat", "lon", "v", F.signum("v").cast("int").alias("sign")), "strong")
-    parts = save(frames.label_regions(strong.select("time", "rwp_id", "sign", "lat_idx", "lon_idx"), n_lon, ("time", "rwp_id")), "parts")
-    nodes = own.join(parts, ["time", "rwp_id", "cell"]).select("time", "rwp_id", "node", "region")
+    """(time, rwp_id, node, id, lat, lon, v, x, y): of each node of a packet of at least a third of its peak, the points of
+    the surface that is clipped at that third and connected with the node, inside the band of latitude: those of the grid
+    and those where edges are cut. ``on``: time, rwp_id, node, cell, v."""
+    peaks = on.groupBy("time", "rwp_id").agg((F.max(F.abs("v")) / 3).alias("least"))
+    own = save(on.join(peaks, ["time", "rwp_id"]).filter(F.abs("v") >= F.col("least")).select("time", "rwp_id", "least", F.signum("v").cast("int").alias("sign"), "node", "cell"), "own")
+    # a frame's triangles meet its packets
+    size = F.greatest(*(F.col(f"{x}.v") * F.col("sign") for x in "abc"))
+    mesh = surface.triangles(field, n_lon).join(own.select("time", "rwp_id", "sign", "least").distinct(), "time").filter(size >= F.col("least"))
+    strong = surface.clip(mesh, lambda p: p["v"] * F.col("sign"), F.col("least"))
     x, y = geo.to_stereographic("lat", "lon", c.hemisphere)
-    cells = strong.filter(_band(c)).join(parts, ["time", "rwp_id", "cell"]).join(nodes, ["time", "rwp_id", "region"])
-    return save(cells.select("time", "rwp_id", "node", "cell", "lat", "lon", "v", x.alias("x"), y.alias("y")), "footprints")
+    return save(surface.around(strong, own).filter(_band(c)).select("time", "rwp_id", "node", "id", "lat", "lon", "v", x.alias("x"), y.alias("y")), "footprints")
 
 
 def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: int = 512) -> dict[str, DataFrame]:
@@ -120,7 +118,7 @@ def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: i
     centre = points.groupBy(F.col("time").cast("long").alias("time"), "rwp_id").agg(lon.alias("weighted_lon"), lat.alias("weighted_lat"))
     shape = hulls.groupBy("time", "rwp_id").applyInPandas(geometry, "time long, rwp_id long, geometry_wkb binary")
     rwps = packet_summary(nodes).drop("weighted_lon", "weighted_lat", "geometry_wkb").join(centre, ["time", "rwp_id"]).join(shape, ["time", "rwp_id"])
-    nth = F.row_number().over(Window.partitionBy("time", "rwp_id").orderBy("node", "cell")) - 1
+    nth = F.row_number().over(Window.partitionBy("time", "rwp_id").orderBy("node", "lat", "lon", "id")) - 1
     samples = points.withColumn("n", nth).filter(F.col("n") % 5 == 0).select(F.col("time").cast("long").alias("time"), "rwp_id", (F.col("n") / 5).cast("long").alias("pt_idx"), "lon", "lat")
     return {"nodes": nodes.drop("pos"), "edges": path_edges(nodes, "pos"), "rwps": rwps, "samples": samples, "labels": labels, "energies": energies}
 

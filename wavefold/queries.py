@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geo
-from .operators import association, compare, frames, stencil, tracking
+from .operators import association, compare, frames, stencil, surface, tracking
 from .plans.catalogue import Catalogue, packet_summary, path_edges
 from .sources import adapters, field as fields
 from .sources.staging import save
@@ -456,6 +456,40 @@ def packet_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalogue(spark, sf_dir).anomalies()
 
 
+# the field as a surface
+
+MESH = f"""{FIELD}, pt AS (SELECT time, lat_idx AS r, lon_idx AS c, CAST(lat_idx * 144 + lon_idx AS VARCHAR) AS id, lat, lon, v FROM field),
+quad AS (SELECT p1.time, p1 AS p, p2 AS q, p3 AS s, p4 AS t FROM pt p1 JOIN pt p2 ON p2.time = p1.time AND p2.r = p1.r AND p2.c = (p1.c + 1) % 144 JOIN pt p3 ON p3.time = p1.time AND p3.r = p1.r + 1 AND p3.c = p2.c JOIN pt p4 ON p4.time = p1.time AND p4.r = p1.r + 1 AND p4.c = p1.c),
+tri AS (SELECT time, p AS a, q AS b, s AS c FROM quad UNION ALL SELECT time, p, s, t FROM quad),
+side AS (SELECT DISTINCT time, CASE WHEN x.id < y.id THEN x ELSE y END AS a, CASE WHEN x.id < y.id THEN y ELSE x END AS b FROM (SELECT time, a AS x, b AS y FROM tri UNION ALL SELECT time, b, c FROM tri UNION ALL SELECT time, a, c FROM tri))"""
+
+
+@query(f"""WITH {MESH} SELECT time, a.id AS a, b.id AS b, round(2 * 6371 * sin({hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} / (2 * 6371)), 6) AS km FROM side""")
+def surface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(surface.edges(surface.triangles(adapters.field(spark, sf_dir), adapters.NLON)), "km")
+
+
+def _clipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signed = surface.triangles(adapters.field(spark, sf_dir), adapters.NLON).withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
+    return surface.clip(signed, lambda p: p["v"] * F.col("sign"), 8.0)
+
+
+@query(f"""WITH {MESH}, sides AS (SELECT time, sign, a, b, a.v * sign AS f, b.v * sign AS g FROM side, (VALUES (1), (-1)) s(sign)),
+cut AS (SELECT time, sign, a, b, (8 - f) / (g - f) AS t FROM sides WHERE (f > 8 AND g < 8) OR (f < 8 AND g > 8))
+SELECT time, sign, '(' || a.id || '|' || b.id || ')' AS id, round(a.lat + t * (b.lat - a.lat), 6) AS lat, round((((a.lon + t * (((b.lon - a.lon + 180) % 360 + 360) % 360 - 180)) % 360) + 360) % 360, 6) AS lon, round(a.v + t * (b.v - a.v), 6) AS v FROM cut
+UNION ALL SELECT DISTINCT time, sign, x.id, x.lat, x.lon, x.v FROM (SELECT time, sign, unnest([a, b]) AS x FROM sides WHERE f >= 8 OR g >= 8) WHERE x.v * sign >= 8 AND (time, sign, x.id) IN
+  (SELECT (time, sign, unnest([a.id, b.id, c.id])) FROM tri, (VALUES (1), (-1)) s(sign) WHERE (a.v * sign > 8)::INT + (b.v * sign > 8)::INT + (c.v * sign > 8)::INT > 0 OR (a.v * sign >= 8 AND b.v * sign >= 8 AND c.v * sign >= 8))""")
+def clip_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The points of both clips at 8: those of the grid, and where edges are cut."""
+    return rounded(surface.corners(_clipped(spark, sf_dir)).distinct(), "lat", "lon", "v")
+
+
+@query(f"""WITH {MESH}, n AS (SELECT time, sign, (a.v * sign >= 8)::INT + (b.v * sign >= 8)::INT + (c.v * sign >= 8)::INT AS inside, (a.v * sign = 8)::INT + (b.v * sign = 8)::INT + (c.v * sign = 8)::INT AS ties FROM tri, (VALUES (1), (-1)) s(sign))
+SELECT time, sign, CAST(sum(CASE WHEN inside = 3 THEN 1 WHEN inside = 2 THEN 2 - ties WHEN inside = 1 THEN 1 - ties ELSE 0 END) AS BIGINT) AS n FROM n GROUP BY 1, 2""")
+def clip_triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _clipped(spark, sf_dir).groupBy("time", "sign").agg(F.count("*").alias("n"))
+
+
 # comparison of masks
 
 
