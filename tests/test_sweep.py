@@ -72,3 +72,33 @@ def test_sweep_equals_masks_made_one_at_a_time(spark, two_steps):
     assert len({tuple(got["edge_pruning", p, t]["joint"] for t in (0, 1)) for p in prunings}) > 1 and got["edge_pruning", 9.0, 0]["shared"] == 0
     means = compare.sweep(runs).collect()
     assert len(means) == 7 and all(r["n"] == 2 and 0 <= r["mean_only_a"] <= 1 for r in means)
+
+
+def plain_touched(ring, n, all_touched):
+    """Pixels of unit size whose square (or centre) no line along an edge of a convex ring leaves outside."""
+    out = set()
+    for r in range(n):
+        for c in range(n):
+            x, y = c + 0.5, n - 1 - r + 0.5
+            sides = [((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1), (abs(x2 - x1) + abs(y2 - y1)) / 2) for (x1, y1), (x2, y2) in zip(ring, [*ring[1:], *ring[:1]], strict=True)]
+            box = max(p[0] for p in ring) >= c and min(p[0] for p in ring) <= c + 1 and max(p[1] for p in ring) >= y - 0.5 and min(p[1] for p in ring) <= y + 0.5
+            if box and all(s + (reach if all_touched else 0) >= 0 for s, reach in sides):
+                out.add((r, c))
+    return out
+
+
+def test_pixels_of_hulls(spark):
+    """Random hulls, some of them partly or wholly beyond the raster, slivers and upright edges."""
+    rng = np.random.default_rng(3)
+    n, rings = 12, {}
+    for i in range(60):
+        points = rng.uniform(-3, n + 3, (int(rng.integers(3, 9)), 2)) if i % 3 else rng.uniform(2, 9, 2) + rng.uniform(0, 1.5, (5, 2)) * [1, 0.1]
+        rings[i] = frames.convex_hull([tuple(map(float, p)) for p in points])
+    rings[60] = [(2.25, 2.25), (6.75, 2.25), (6.75, 5.5), (2.25, 5.5)]
+    df = spark.createDataFrame([(i, "x", [{"x": x - n / 2, "y": y - n / 2} for x, y in r]) for i, r in rings.items()], "i int, name string, ring array<struct<x:double,y:double>>")
+    for all_touched in (True, False):
+        got = {}
+        for r in frames.touched(df.repartition(3), n, n / 2, all_touched=all_touched).collect():
+            got.setdefault(r["i"], set()).add((r["row"], r["col"]))
+        assert got == {i: p for i, r in rings.items() if (p := plain_touched(r, n, all_touched))}
+    assert frames.touched(df.filter("false"), n, n / 2).collect() == []

@@ -10,7 +10,7 @@ from wavefold import queries, schema
 from wavefold.config import Config
 from wavefold.operators import compare, features, frames, stencil, tracking
 from wavefold.plans.catalogue import Catalogue, histogram, path_edges
-from wavefold.plans.identify import amplitude_mask, extract_features, identify, packet_mask, track, tracks
+from wavefold.plans.identify import amplitude_mask, extract_features, extrema_clusters, identify, packet_mask, track, tracks
 from wavefold.sources import catalogue_io
 from wavefold.sources.staging import save
 
@@ -68,6 +68,16 @@ def test_identification_finds_a_packet(two_steps):
     assert out["samples"].count() > 0
 
 
+def test_identification_inside_a_band(two_steps):
+    """Bounds between the grid's rows: extrema and footprints lie inside, cut where the bound is."""
+    narrow = Config(**vars(CONFIG) | {"min_latitude": 33.3, "max_latitude": 61.9})
+    high, low, members = extrema_clusters(two_steps, narrow, 144)
+    assert high.count() and low.count() and members.filter("lat < 33.3 OR lat > 61.9").count() == 0
+    out = {k: save(v) for k, v in identify(two_steps, narrow, n_lon=144).items()}
+    assert out["nodes"].count() and out["samples"].filter("lat < 33.3 OR lat > 61.9").count() == 0
+    assert out["labels"].count() < identify(two_steps, CONFIG, n_lon=144)["labels"].count()
+
+
 def test_flat_fields_have_no_packets(two_steps):
     out = identify(two_steps.withColumn("v", F.lit(0.0)), CONFIG, n_lon=144)
     assert all(out[t].count() == 0 for t in ("nodes", "edges", "rwps", "samples", "labels", "energies"))

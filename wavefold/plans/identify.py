@@ -36,8 +36,10 @@ def extrema_clusters(field: DataFrame, c: Config, n_lon: int) -> tuple[DataFrame
     """Clustered maxima and minima: (time, id, lat, lon, v, region, cell), one row for each cluster, at its strongest member;
     and the members (time, id, lat, lon, v)."""
     mesh = surface.triangles(field, n_lon)
-    for bound, sign in ((c.min_latitude, 1), (c.max_latitude, -1)):
-        if bound:
+    reach = field.agg(F.min("lat"), F.max("lat")).first()
+    for bound, sign, end in ((c.min_latitude, 1, reach[0]), (c.max_latitude, -1, reach[1])):
+        # a field that ends inside the band needs no cut there
+        if bound and end is not None and end * sign < bound * sign:
             mesh = surface.clip(mesh, lambda p, s=sign: p["lat"] * s, bound * sign)
     signed = mesh.withColumn("sign", F.explode(F.array(F.lit(1), F.lit(-1))))
     strong = surface.clip(signed, lambda p: p["v"] * F.col("sign"), c.clip_value)
