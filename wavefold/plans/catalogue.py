@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -142,12 +143,21 @@ class Catalogue:
 
     def match_points(self, points: DataFrame, radius_km: float = 850.0) -> DataFrame:
         """``points`` (lon, lat, time) with whether a packet of that time lies within the radius. Points and packets
-        meet by time and band of latitude, as wide as the radius."""
-        band = radius_km / 111.19
+        meet by time and by cubes in space whose side is the radius's chord: poles and seams are like other places, and a
+        point meets the packets of 27 cubes."""
+        side = 2 * math.sin(min(radius_km / (2 * geo.EARTH_KM), math.pi / 2)) * (1 + 1e-9) or 1e-9
         place = ["time", "lon", "lat"]
-        keyed = points.select(*place).distinct().withColumn("_band", F.explode(F.array(*(F.floor(F.col("lat") / band) + i for i in (-1, 0, 1)))))
-        r = self.rwps().select("time", "weighted_lon", "weighted_lat", F.floor(F.col("weighted_lat") / band).alias("_band"))
-        hits = keyed.join(r, ["time", "_band"]).filter(geo.haversine_km("lat", "lon", "weighted_lat", "weighted_lon") <= radius_km).select(*place).distinct()
+
+        def cube(lat: str, lon: str) -> list[Column]:
+            a, b = F.radians(lat), F.radians(lon)
+            return [F.floor(x / side).alias(f"_{i}") for i, x in enumerate((F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)))]
+
+        cubes = ["_0", "_1", "_2"]
+        keyed = points.select(*place).distinct().select(*place, *cube("lat", "lon"))
+        r = self.rwps().select("time", "weighted_lon", "weighted_lat", *cube("weighted_lat", "weighted_lon"))
+        for c in cubes:
+            r = r.withColumn(c, F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1)))))
+        hits = keyed.join(r, ["time", *cubes]).filter(geo.haversine_km("lat", "lon", "weighted_lat", "weighted_lon") <= radius_km).select(*place).distinct()
         out = points.join(hits.withColumn("matched", F.lit(True)), place, "left")
         return out.select(*points.columns, F.coalesce("matched", F.lit(False)).alias("matched"))
 

@@ -8,7 +8,7 @@ from .functions import geo
 from .operators import association, compare, frames, stencil, surface, tracking
 from .plans.catalogue import Catalogue, packet_summary, path_edges
 from .sources import adapters, field as fields
-from .sources.staging import save
+from .sources.staging import path, save
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,6 +94,14 @@ def field_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.select(adapters.field(spark, sf_dir), low=25, high=70, every=2)
 
 
+@query(f"WITH {FIELD} SELECT * FROM field WHERE lat BETWEEN 32.5 AND 45 AND time >= 1 AND time < 20 AND (time - 1) % 3 = 0")
+def field_store_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field written to a store, and a selection read from it."""
+    to = path(spark, "store")
+    fields.write_store(adapters.field(spark, sf_dir), to, steps=4)
+    return fields.read_store(spark, to, low=32.5, high=45, start=1, stop=20, every=3)
+
+
 @query(f"""WITH {FIELD} SELECT time, lat_idx // 4 AS lat_idx, lon_idx // 4 AS lon_idx, round(avg(lat), 6) AS lat, round(avg(lon) % 360, 6) AS lon, round(avg(v), 8) AS v FROM field
 GROUP BY time, lat_idx // 4, lon_idx // 4 HAVING count(*) = 16""")
 def field_coarsened(spark: SparkSession, sf_dir: str) -> DataFrame:

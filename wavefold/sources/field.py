@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schema
@@ -31,8 +33,31 @@ def read_netcdf(spark: SparkSession, path: str, scalar: str = "v", time: str = "
     return spark.range(n).repartition(max(1, n // 8)).mapInPandas(run, schema.FIELD)
 
 
+def write_store(df: DataFrame, path: str, *, steps: int = 24, width: float = 10.0) -> None:
+    """A field on disk in folders of ``steps`` time steps and ``width`` degrees of latitude, rows in order of time and
+    latitude in each file, so that a selection reads the folders and the row groups that it needs and no others."""
+    band = F.floor(F.col("lat") / width).cast("int")
+    parts = df.withColumns({"steps": F.floor(F.col("time") / steps).cast("int"), "band": band}).repartition("steps", "band").sortWithinPartitions("steps", "band", "time", "lat_idx", "lon_idx")
+    parts.write.partitionBy("steps", "band").parquet(f"{path}/cells")
+    df.sparkSession.createDataFrame([(steps, float(width))], "steps int, width double").coalesce(1).write.parquet(f"{path}/layout")
+
+
+def read_store(spark: SparkSession, path: str, *, low: float = -90.0, high: float = 90.0, start: int | None = None, stop: int | None = None, every: int = 1) -> DataFrame:
+    """As select(), from such a store: bounds become bounds on folders and on what the files say of their rows."""
+    steps, width = spark.read.parquet(f"{path}/layout").first()
+    out = spark.read.schema(schema.FIELD + ", steps int, band int").parquet(f"{path}/cells")
+    out = out.filter(F.col("band").between(math.floor(low / width), math.floor(high / width)) & F.col("lat").between(low, high))
+    if start is not None:
+        out = out.filter((F.col("steps") >= start // steps) & (F.col("time") >= start))
+    if stop is not None:
+        out = out.filter((F.col("steps") <= (stop - 1) // steps) & (F.col("time") < stop))
+    if every > 1:
+        out = out.filter((F.col("time") - (start or 0)) % every == 0)
+    return out.drop("steps", "band")
+
+
 def select(df: DataFrame, *, low: float, high: float, start: int = 0, stop: int | None = None, every: int = 1) -> DataFrame:
-    """A latitude band, a time range and each ``every``-th step of it; all pushed down to the scan."""
+    """A latitude band, a time range and each ``every``-th step of it; a field that is stored is filtered in its scan."""
     out = df.filter(F.col("lat").between(low, high) & (F.col("time") >= start))
     out = out if stop is None else out.filter(F.col("time") < stop)
     return out.filter((F.col("time") - start) % every == 0)
