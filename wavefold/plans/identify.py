@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from ..config import Config
 from ..functions import geo
-from ..operators import association, compare, features, frames, routes, stencil, surface, tracking
+from ..operators import association, compare, features, frames, routes, spectral, stencil, surface, tracking
 from ..sources.staging import save
 from .catalogue import packet_summary, path_edges
 
@@ -173,16 +173,19 @@ def packet_mask(labels: DataFrame, grid: DataFrame) -> DataFrame:
     return labels.join(compare.in_band(grid), ["row", "col"]).select("time", "row", "col")
 
 
-def method_sweep(field: DataFrame, c: Config, *, amplitudes: list[float], prunings: list[float], n_lon: int | None = None, pixels: int = 512, reference: float = 14.0, waves: tuple[int, int] = (3, 11), smooth: int = 1, band: tuple[float, float] = (20.0, 80.0)) -> DataFrame:
+def method_sweep(field: DataFrame, c: Config, *, amplitudes: list[float], prunings: list[float], n_lon: int | None = None, pixels: int = 512, reference: float = 14.0, waves: tuple[int, int] = (3, 11), smooth: int = 1, truncation: int | None = None, band: tuple[float, float] = (20.0, 80.0)) -> DataFrame:
     """How packets of pruned graphs (edge_pruning) and hulls of strong extrema (node_amplitude) agree with the wave
     envelope of at least ``reference``, at each threshold and time step, on one raster in a band of latitude: the columns
     of compare.agreement, for compare.sweep. Extrema, graph and raster are made once for all thresholds; ``smooth`` is the
-    width of the envelope's running mean in steps of time."""
+    width of the envelope's running mean in steps of time, after it is truncated at total wave number ``truncation``."""
     field = save(field, "field")
     n_lon = n_lon or field.agg(F.max("lon_idx")).first()[0] + 1
     grid = save(compare.in_band(compare.pixel_grid(field.sparkSession, pixels, frames.HALF_WIDTH, c.hemisphere), *band), "grid")
     inside = grid.select("row", "col")
     envelope = stencil.envelope(field, *waves, n_lon=n_lon)
+    if truncation is not None:
+        n_lat = field.agg(F.max("lat_idx")).first()[0] + 1
+        envelope = spectral.truncate(envelope, truncation, n_lat=n_lat, n_lon=n_lon, value="envelope")
     if smooth > 1:
         envelope = stencil.running_mean(envelope.withColumnRenamed("envelope", "v"), smooth).withColumnRenamed("v", "envelope")
     seen = compare.regrid(compare.envelope_mask(envelope, reference), compare.nearest_cells(grid, field))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import geo
-from .operators import association, compare, frames, stencil, surface, tracking
+from .operators import association, compare, frames, spectral, stencil, surface, tracking
 from .plans.catalogue import Catalogue, packet_summary, path_edges
 from .sources import adapters, field as fields
 from .sources.staging import path, save
@@ -171,6 +171,28 @@ def wave_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stencil.envelope(adapters.field(spark, sf_dir)), "envelope")
 
 
+#: T21 in SQL: 25 latitudes mirrored to 50 rows, integrals over 72 nodes between the poles.
+TRUNCATED = f"""{FIELD},
+node AS (SELECT 'fine' AS kind, j, (j + 0.5) * pi() / 72 AS th FROM range(72) r(j) UNION ALL SELECT 'row', i, (24 - i) * pi() / 49 FROM range(25) r(i)),
+leg(kind, j, x, m, l, p0, p1) AS (SELECT kind, j, cos(th), m, m, CAST(0 AS DOUBLE), sqrt((2 * m + 1) / 2.0 * exp(coalesce(list_sum(list_transform(range(1, m + 1), lambda k: ln((2 * k - 1) / (2.0 * k)))), 0.0))) * pow(sin(th), m) FROM node, range(22) r(m)
+  UNION ALL SELECT kind, j, x, m, l + 1, p1, sqrt((4.0 * (l + 1) * (l + 1) - 1) / ((l + 1) * (l + 1) - m * m)) * (x * p1 - sqrt((l * l - m * m) / (4.0 * l * l - 1 + CASE WHEN l = 0 THEN 2 ELSE 0 END)) * p0) FROM leg WHERE l < 21),
+w AS (SELECT j, th, 2.0 / 72 * (1 - 2 * list_sum(list_transform(range(1, 37), lambda k: cos(2 * k * th) / (4 * k * k - 1)))) AS w FROM node WHERE kind = 'fine'),
+card AS (SELECT 0 AS odd, a.j AS i, b.j, CASE WHEN a.j = 24 THEN 0.5 ELSE 1 END * 2.0 / 49 * list_sum(list_transform(range(0, 50), lambda k: CASE WHEN k IN (0, 49) THEN 0.5 ELSE 1 END * cos(k * a.th) * cos(k * b.th))) AS c FROM node a, w b WHERE a.kind = 'row'
+  UNION ALL SELECT 1, a.j, b.j, 2.0 / 49 * list_sum(list_transform(range(1, 49), lambda k: sin(k * a.th) * sin(k * b.th))) FROM node a, w b WHERE a.kind = 'row'),
+z AS (SELECT i, m, l, 2 * sum(w * p1 * c) AS z FROM leg JOIN w USING (j) JOIN card USING (j) WHERE kind = 'fine' AND (l + m) % 2 = 0 AND odd = m % 2 GROUP BY 1, 2, 3),
+fourier AS (SELECT time, lat_idx, m, sum(v * cos(2 * pi() * ((m * lon_idx) % 144) / 144)) AS c, sum(v * sin(2 * pi() * ((m * lon_idx) % 144) / 144)) AS s FROM field, range(22) r(m) GROUP BY 1, 2, 3),
+harmonic AS (SELECT time, z.m, l, sum(z * c) AS c, sum(z * s) AS s FROM fourier f JOIN z ON z.i = f.lat_idx AND z.m = f.m GROUP BY 1, 2, 3),
+back AS (SELECT time, j AS lat_idx, h.m, sum(p1 * c) AS c, sum(p1 * s) AS s FROM harmonic h JOIN leg ON leg.kind = 'row' AND leg.m = h.m AND leg.l = h.l GROUP BY 1, 2, 3),
+smooth AS (SELECT f.time, f.lat_idx, f.lon_idx, sum(CASE WHEN m = 0 THEN 1 ELSE 2 END * (c * cos(2 * pi() * ((m * lon_idx) % 144) / 144) + s * sin(2 * pi() * ((m * lon_idx) % 144) / 144))) / 144 AS v
+  FROM field f JOIN back USING (time, lat_idx) GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH RECURSIVE {TRUNCATED} SELECT time, lat_idx, lon_idx, round(v, 6) + 0.0 AS v FROM smooth")
+def truncated_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field's harmonics of total wave number up to 21."""
+    return rounded(spectral.truncate(adapters.field(spark, sf_dir), 21, n_lat=adapters.NLAT, n_lon=adapters.NLON), "v")
+
+
 # crests and troughs as a graph
 
 
