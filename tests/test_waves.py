@@ -204,8 +204,15 @@ def test_pixel_grid_and_masks(spark, two_steps):
     wide = identify(two_steps, Config.default(**vars(CONFIG) | {"hull_method": "convex"}), n_lon=144, pixels=64)
     # a packet's one hull covers those of its nodes
     assert found["labels"].join(wide["labels"], ["time", "row", "col"], "left_anti").count() == 0 and wide["labels"].count() > found["labels"].count()
+    # the concave hull lies in the convex one, and its pixels in that one's
+    hollow = identify(two_steps, Config.default(**vars(CONFIG) | {"hull_method": "concave"}), n_lon=144, pixels=64)
+    assert hollow["labels"].join(wide["labels"], ["time", "row", "col"], "left_anti").count() == 0 and hollow["labels"].count() > 0
+    of = lambda x: {(r["time"], r["rwp_id"]): r for r in x["shapes"].collect()}
+    whole, inner, own = of(wide), of(hollow), of(found)
+    assert whole.keys() == inner.keys() == own.keys() and whole
+    assert all(inner[k]["area"] < whole[k]["area"] and own[k]["area"] < whole[k]["area"] and inner[k]["polygons"] == 1 and inner[k]["holes"] == 0 for k in whole)
     with pytest.raises(ValueError):
-        identify(two_steps, Config.default(hull_method="concave"), n_lon=144)
+        identify(two_steps, Config.default(hull_method="round"), n_lon=144)
 
 
 def test_tracking_of_identified_packets_and_features(two_steps):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
-from . import frames
+from . import frames, shapes
 
 #: (run, time, id, node_type, lon, lat, scalar, ring, strength) in; one row for each step of a track out.
 STEPS = "run string, track_id string, parent_id string, time long, id long, lon double, lat double, recovered boolean"
@@ -25,8 +25,8 @@ _KEY = ["run", "time", "id"]
 
 
 def _iou(a: list, b: list) -> float:
-    """To nine places, so that equal overlaps are equal whichever way they lie."""
-    return round(frames.iou(a, b), 9)
+    """To nine places, so that equal overlaps are equal whichever way they lie. Rings that are not convex take the longer way."""
+    return round(frames.iou(a, b) if shapes.is_convex(a) and shapes.is_convex(b) else shapes.iou([a], [b]), 9)
 
 
 def pairs(features: DataFrame, most_shift: float | None = 20.0) -> DataFrame:

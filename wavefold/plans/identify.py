@@ -96,9 +96,10 @@ def footprints(field: DataFrame, on: DataFrame, c: Config, n_lon: int) -> DataFr
 
 
 def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: int = 512) -> dict[str, DataFrame]:
-    """The tables nodes, edges, rwps and samples, and rasters labels and energies (sparse pixels)."""
-    if c.hull_method not in ("per_node", "convex"):
-        raise ValueError(f"hull_method {c.hull_method!r} is not one of per_node and convex")
+    """The tables nodes, edges, rwps and samples, rasters labels and energies (sparse pixels), and shapes, the packets'
+    footprints with their areas (square metres), polygons and holes."""
+    if c.hull_method not in ("per_node", "convex", "concave"):
+        raise ValueError(f"hull_method {c.hull_method!r} is not one of per_node, convex and concave")
     n_lon = n_lon or field.agg(F.max("lon_idx")).first()[0] + 1
     high, low, _ = extrema_clusters(field, c, n_lon)
     both = high.unionByName(low)
@@ -107,22 +108,21 @@ def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: i
     kind = F.when(F.col("v") > 0, "max").otherwise("min")
     nodes = on.select(F.col("time").cast("long").alias("time"), "rwp_id", geo.node_id(kind, F.col("node")).alias("node_id"), kind.alias("node_type"), "lon", "lat", F.col("v").alias("scalar"), F.col("node").alias("cluster_id"), F.col("region").alias("region_id"), "pos")
     points = footprints(field, on, c, n_lon)
-    hulls = save(frames.node_hulls(points if c.hull_method == "per_node" else points.withColumn("node", F.lit(0).cast("long"))), "hulls")
-    labels = frames.rasterise(hulls, pixels)
+    together = points.withColumn("node", F.lit(0).cast("long"))
+    hulls = save(frames.concave_hulls(together) if c.hull_method == "concave" else frames.node_hulls(points if c.hull_method == "per_node" else together), "hulls")
+    # pixels are found for convex rings
+    convex = hulls.select("time", "rwp_id", "node", F.explode("parts").alias("ring")) if c.hull_method == "concave" else hulls
+    labels = frames.rasterise(convex, pixels)
     nx, ny = geo.to_stereographic("lat", "lon", c.hemisphere)
     energies = frames.energy_disks(nodes.select("time", "rwp_id", "pos", "scalar", nx.alias("x"), ny.alias("y")), pixels, radius_m=c.energy_radius_km * 1000)
 
-    def geometry(pdf):
-        rings = [[(p["x"], p["y"]) for p in r] for r in pdf.sort_values("node")["ring"]]
-        return pdf.iloc[:1][["time", "rwp_id"]].assign(geometry_wkb=[frames.wkb(rings)])
-
     lon, lat = geo.weighted_centroid("lon", "lat", "v")
     centre = points.groupBy(F.col("time").cast("long").alias("time"), "rwp_id").agg(lon.alias("weighted_lon"), lat.alias("weighted_lat"))
-    shape = hulls.groupBy("time", "rwp_id").applyInPandas(geometry, "time long, rwp_id long, geometry_wkb binary")
-    rwps = packet_summary(nodes).drop("weighted_lon", "weighted_lat", "geometry_wkb").join(centre, ["time", "rwp_id"]).join(shape, ["time", "rwp_id"])
+    shape = frames.merged(hulls)
+    rwps = packet_summary(nodes).drop("weighted_lon", "weighted_lat", "geometry_wkb").join(centre, ["time", "rwp_id"]).join(shape.select("time", "rwp_id", "geometry_wkb"), ["time", "rwp_id"])
     nth = F.row_number().over(Window.partitionBy("time", "rwp_id").orderBy("node", "lat", "lon", "id")) - 1
     samples = points.withColumn("n", nth).filter(F.col("n") % 5 == 0).select(F.col("time").cast("long").alias("time"), "rwp_id", (F.col("n") / 5).cast("long").alias("pt_idx"), "lon", "lat")
-    return {"nodes": nodes.drop("pos"), "edges": path_edges(nodes, "pos"), "rwps": rwps, "samples": samples, "labels": labels, "energies": energies}
+    return {"nodes": nodes.drop("pos"), "edges": path_edges(nodes, "pos"), "rwps": rwps, "samples": samples, "labels": labels, "energies": energies, "shapes": shape}
 
 
 def track(found: dict[str, DataFrame], *, number_steps: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -674,6 +674,20 @@ def identified_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _identified(spark, sf_dir)["rwps"].drop("geometry_wkb")
 
 
+@query()
+def identified_footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The area of each packet's footprint in square kilometres, its polygons and holes, for each kind of hull."""
+    from .config import Config
+    from .plans.identify import identify
+
+    out = None
+    for kind in ("per_node", "convex", "concave"):
+        found = identify(adapters.field(spark, sf_dir), Config.default(**vars(_settings()) | {"hull_method": kind}), n_lon=adapters.NLON)
+        one = found["shapes"].select(F.lit(kind).alias("hull_method"), "time", "rwp_id", (F.col("area") / 1e6).alias("km2"), "polygons", "holes")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query()
 def identified_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and energies of the packets' footprints, on the raster of 512 x 512."""
@@ -717,6 +731,29 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapters.nodes(spark, sf_dir).select(F.col("rwp_id").cast("string").alias("run"), "time", F.col("cluster_id").alias("id"), F.lit("max").alias("node_type"), "lon", "lat", "scalar", ring.alias("ring"), geo.strength("scalar", 60).alias("strength"))
 
 
+@query(f"""WITH {NODES}, cells AS (SELECT DISTINCT time, rwp_id, CAST(lon * 2 AS BIGINT) + x AS x, CAST(lat * 2 AS BIGINT) + y AS y FROM nodes, range(-10, 10) i(x), range(-5, 5) j(y))
+SELECT time, rwp_id, count(*) / 4.0 AS area FROM cells GROUP BY 1, 2""")
+def packet_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packet's footprint as the union of boxes of 10 x 5 degrees round its nodes."""
+    corner = lambda a, b: F.struct((F.col("lon") + a).alias("x"), (F.col("lat") + b).alias("y"))
+    ring = F.array(corner(-5, -2.5), corner(5, -2.5), corner(5, 2.5), corner(-5, 2.5))
+    boxes = adapters.nodes(spark, sf_dir).select("time", "rwp_id", ring.alias("ring"))
+    return frames.merged(boxes).select("time", "rwp_id", "area")
+
+
+@query(f"""WITH {NODES}, parts AS (SELECT rwp_id, time, cluster_id AS id, lon, lat, lon - 20 AS x1, lon + x AS x2, lat + y1 AS y1, lat + y2 AS y2 FROM nodes, (VALUES (20, -10, 0), (0, 0, 10)) p(x, y1, y2)),
+lap AS (SELECT a.rwp_id, a.time, a.id, b.id AS before, sum(greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1))) AS shared FROM parts a JOIN parts b ON a.rwp_id = b.rwp_id AND a.time = b.time + 1
+  WHERE sqrt(pow(((a.lon - b.lon + 180) % 360 + 360) % 360 - 180, 2) + pow(a.lat - b.lat, 2)) <= 40 GROUP BY 1, 2, 3, 4)
+SELECT CAST(rwp_id AS VARCHAR) AS run, time, id, before, round(shared / (1200 - shared), 6) AS iou FROM lap WHERE shared > 0""")
+def angular_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far features of adjacent steps overlap whose footprints are not convex: angles of two boxes."""
+    from .operators import features
+
+    corner = lambda a, b: F.struct((F.col("lon") + a).alias("x"), (F.col("lat") + b).alias("y"))
+    ring = F.array(*(corner(*p) for p in ((-20, -10), (20, -10), (20, 0), (0, 0), (0, 10), (-20, 10))))
+    return rounded(features.pairs(save(_features(spark, sf_dir).withColumn("ring", ring)), 40.0), "iou")
+
+
 #: Settings of the feature tracks below, and the same in SQL: one row for each step of time, with its live features.
 TRACKED = {"most_shift": 40.0, "band": (25.0, 75.0)}
 STEPS = f"""{NODES}, f AS MATERIALIZED (SELECT CAST(rwp_id AS VARCHAR) AS run, time, cluster_id AS id, lon, lat, abs(scalar) >= 60 AS strong, lat BETWEEN 25 AND 75 AS inside, time = min(time) OVER (PARTITION BY rwp_id) AS first FROM nodes),
