@@ -388,6 +388,23 @@ def overlap_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(tracking.overlaps(adapters.cells(spark, sf_dir)), "overlap")
 
 
+@query(f"WITH {CELLS} SELECT time_to, feat_from, feat_to, round(overlap, 6) AS overlap FROM lap")
+def streamed_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of files of cells, whose last one ends the last step."""
+    from .streaming import overlap
+
+    start = F.lit("2024-01-01").cast("timestamp")
+    cells = adapters.cells(spark, sf_dir).select((start + F.make_dt_interval(days=F.col("time").cast("int"))).alias("ts"), "row", "col", "rwp_id", "energy")
+    source, out = path(spark, "cells"), path(spark, "streamed")
+    cells.write.parquet(source)
+    whole = spark.read.parquet(source)
+    save(overlap.end_mark(whole)).write.mode("append").parquet(source)
+    stream = overlap.overlap_edges(spark.readStream.schema(whole.schema).parquet(source))
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", path(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema(stream.schema).parquet(out)
+    return rounded(found.select(F.datediff("ts", start).cast("long").alias("time_to"), "feat_from", "feat_to", "overlap"), "overlap")
+
+
 @query(f"WITH {CELLS} SELECT src, dst, time_from, feat_from, time_to, feat_to, round(weight, 6) AS weight, round(distance, 5) AS distance FROM te")
 def track_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(catalogue(spark, sf_dir).tracks()[1], "weight"), "distance", places=5)
