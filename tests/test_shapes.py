@@ -136,3 +136,11 @@ def test_wkb_of_holes():
     first, last = struct.unpack_from("<dd", b, 13), struct.unpack_from("<dd", b, 13 + 16 * (n - 1))
     assert first == last and struct.unpack_from("<I", b, 13 + 16 * n)[0] >= 5
     assert struct.unpack_from("<BII", shapes.wkb(shapes.union([box(0, 0, 1, 1), box(5, 5, 1, 1)]))) == (1, 6, 2)
+
+
+def test_packets_of_rings_of_any_length(spark):
+    ring = lambda r: [{"x": float(x), "y": float(y)} for x, y in r]
+    rows = [(0, 1, ring(box(0, 0, 4, 4))), (0, 1, ring([(4, 0), (8, 0), (4, 4)])), (0, 1, ring(L)), (0, 2, ring(U)), (1, 1, ring(box(0, 0, 1, 1))), (1, 1, ring([(5, 5), (6, 5), (5, 6)]))]
+    df = spark.createDataFrame(rows, "time int, rwp_id long, ring array<struct<x:double,y:double>>")
+    got = {(r["time"], r["rwp_id"]): (r["area"], r["polygons"], r["holes"]) for r in frames.merged(df).collect()}
+    assert got == {(0, 1): (size(shapes.union([box(0, 0, 4, 4), [(4, 0), (8, 0), (4, 4)], L])), 1, 0), (0, 2): (28, 1, 0), (1, 1): (1.5, 2, 0)}
