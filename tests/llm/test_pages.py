@@ -223,7 +223,7 @@ def accepts(w, symbols):
     def plain(nodes):
         out = ""
         for x in nodes:
-            one = letter("#") if x.label == "#" else plain(x.parts) if x.label == "(" else letter("<" + x.label) + plain(x.parts) + letter("</" + x.label)
+            one = letter("#") if x.label == "#" else plain(x.parts) if x.label in wrappers.GROUPS else letter("<" + x.label) + plain(x.parts) + letter("</" + x.label)
             out += f"(?:{one})" + {(0, 0): "", (0, 1): "?", (1, 0): "+", (1, 1): "*"}[x.repeated, x.optional]
         return out
 
@@ -294,6 +294,75 @@ def test_wrappers_of_a_hot_host_and_of_streams_that_differ(spark):
         assert got[i] == want, (i, u)
 
 
+def irregular(i, blocks):
+    """A page of so many blocks in no order, between a notice and a line that all pages of the host have; nothing is named."""
+    rng = random.Random(i)
+    kinds = ["<p>{}</p>", "<h2>{}</h2>", "<pre>{}</pre>", "<blockquote>{}</blockquote>", "<ul><li>{}</li></ul>", "<section><p>{}</p></section>"]
+    texts = [f"words of page {i} and block {j} {rng.randrange(10**6)}" for j in range(blocks)]
+    inner = "".join(rng.choice(kinds).format(t) for t in texts)
+    return f"<body><div><p>{'This site keeps data on your device. ' * 9}</p></div><div>{inner}</div><div><p>All rights are ours.</p></div></body>", "\n".join(texts)
+
+
+def test_wrappers_of_long_irregular_pages(spark):
+    """A stream's length decides nothing: the host tells notice from article on pages of 40 blocks and of 1500."""
+    for blocks in (40, 130, 1500):
+        rows = [irregular(i, blocks) for i in range(12)]
+        df = spark.createDataFrame([(i, "http://long.com/", h) for i, (h, _) in enumerate(rows)], "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()}
+        assert [i for i, (_, want) in enumerate(rows) if got[i] != want] == [], blocks
+
+
+def test_menus_go_at_any_depth(spark):
+    """Elements count however deep they are, for names and for what the host's pages have in common."""
+    deep = lambda i: "<div>" * 200 + f"<nav><ul><li>menu {i}</li></ul></nav><div><p>the same on every page of this host</p></div><div><p>text {i} of this page and of no other</p></div>" + "</div>" * 200
+    df = spark.createDataFrame([(i, "http://deep.com/", f"<body>{deep(i)}</body>") for i in range(6)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in wrappers.extract(df).collect()} == {i: f"text {i} of this page and of no other" for i in range(6)}
+
+
+def test_every_template_of_a_host_has_one_wrapper(spark):
+    """64 templates of two variants each: more than a task aligns at once, and no two variants need meet by chance. In the end
+    no two wrappers would become one."""
+    page = lambda t, v: "".join(f"<div class='{'abcdefgh'[t % 8]}{'abcdefgh'[t // 8]}{'klmnop'[j]}'><p>x</p></div>" for j in range(6)) + ("<h2>y</h2>" if v else "")
+    rows = []
+    for n, (t, v) in enumerate((t, v) for t in range(64) for v in range(2)):
+        w = wrappers.fold(wrappers.read(wrappers.Page(page(t, v)).symbols))
+        counts = wrappers.labels(w)
+        rows.append(("h.com", n, n, wrappers.pack(w), counts.total(), wrappers.sketch(counts)))
+    schema = "host string, skey long, key long, wrapper string, nodes long, marks array<long>"
+    # as sketches deal them; and with sketches that say nothing, so that blocks have to find what belongs together
+    for marks in (F.col("marks"), F.array(*[F.col("key")] * wrappers.SKETCHES)):
+        route, found = wrappers.infer(spark.createDataFrame(rows, schema).withColumn("marks", marks))
+        to = {r["skey"]: r["key"] for r in route.collect()}
+        assert all(to[2 * t] == to[2 * t + 1] for t in range(64)) and len(set(to.values())) == 64 == found.count()
+        end = [wrappers.Candidate(r["wrapper"], wrappers.labels(wrappers.unpack(r["wrapper"])), 20) for r in found.collect()]
+        assert all(wrappers.together(a, b) is None for i, a in enumerate(end) for b in end[:i])
+
+
+def test_alignment_by_rows_is_that_of_the_table():
+    rng = random.Random(3)
+    kinds = ["p", "h2", "div", "div.a", "section", "#"]
+    node = lambda: wrappers.Node(rng.choice(kinds), parts=[wrappers.Node(rng.choice(kinds)) for _ in range(rng.randrange(3))])
+    for _ in range(60):
+        x, y = ([node() for _ in range(rng.randrange(1, n))] for n in (90, 60))
+        assert wrappers._pairs_by_rows(x, y) == wrappers._pairs(x, y)
+
+
+def test_figures_by_brute_force(spark):
+    """Of pages with repeated texts in a slot, texts without a slot, and no texts at all."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), [(rng.randrange(-1, 4), rng.randrange(5), rng.randrange(9), rng.randrange(3)) for _ in range(rng.randrange(8))]) for _ in range(200)]
+    df = spark.createDataFrame([(k, *([x[i] for x in t] for i in range(4))) for k, t in rows], "key long, slots array<int>, hashes array<long>, chars array<int>, links array<int>").repartition(7)
+    want = {}
+    for n, (k, texts) in enumerate(rows):
+        for slot, h, chars, links in texts:
+            if slot >= 0:
+                f = want.setdefault((k, slot), [set(), set(), set(), 0, 0])
+                f[0].add(n), f[1].add(h), f[2].add((n, h))
+                f[3:] = [f[3] + chars, f[4] + links]
+    got = {(r["key"], r["slot"]): wrappers.Figures(*(r[c] for c in wrappers.Figures._fields)) for r in wrappers.gather(df).collect()}
+    assert got == {k: wrappers.Figures(len(a), len(b), len(c), d, e) for k, (a, b, c, d, e) in want.items()}
+
+
 def test_topk(spark):
     rows = [(i, [((i * 37 + j * 11) % 19 - 9) / 10 for j in range(8)]) for i in range(400)]
     rows += [(1000 + i, [0.5] * 8) for i in range(60)] + [(2000, None), (2050, [None] + [1.0] * 7), (2100, [float("nan")] * 8), (2150, [float("inf")] * 8), (2200, [1.0] * 3), (3000, []), (0, rows[0][1])]

@@ -3,7 +3,8 @@
 A page is a stream of block tags and text slots in which adjacent repetitions are folded into repeated groups. The
 distinct streams of a host are aligned with one another, a few at a time in rounds of Spark groups, until one wrapper
 accepts them all: what two have in common is kept, a group that one of them repeats is repeated, and what only one has
-becomes optional. Streams of a host with little in common stay apart, as wrappers of their own.
+becomes optional. Neighbours that follow one another in no order, as in long texts, become a flow: a repeated group of
+their kinds, each optional. Streams of a host with little in common stay apart, as wrappers of their own.
 
 Every page is then matched against its wrapper, which gives each of its texts a slot, and Spark gathers for each slot on
 how many different pages it occurs, how many different texts it has, how long they are and how much of them is links. By
@@ -14,38 +15,49 @@ counts more, and menus, headers, footers, sidebars, notices, adverts, forms and
 host has next to no other prose. A page that has none of the article's slots keeps its own slots that are no template.
 
 Edge cases: null pages are empty and have no text; broken or cut markup is read as far as it goes; a page without host
-has a wrapper for its own stream; a stream of more than MOST nodes is a wrapper of its own;
-elements nested deeper than DEPTH count as part of the element around them; equal pages of a host count
+has a wrapper for its own stream; streams of any length and depth are aligned; equal pages of a host count
 once in the figures, and where fewer than PAGES pages differ nothing counts as unchanging; each row gives one row, and
-nothing is cut off.
+nothing is cut off. Two wrappers become one if they have COMMON of the smaller one's nodes in common and the result is no
+more than GROWTH times its largest page (or SMALL nodes), which bounds what a host of pages that all differ holds in memory;
+when the rounds end no two wrappers of a host would.
 """
 
 from __future__ import annotations
 
 import hashlib
 import html as entities
+import itertools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import materialise, small_batches
 from .url_rules import host_and_path
 
-#: About so many streams of a host are aligned in one task in a round.
-FAN = 16
+#: About so many wrappers of a host are aligned in one task in a round; so many are held against as many others in the end.
+FAN, BLOCK = 16, 64
+#: In so many rounds wrappers are dealt by different sketches of their labels; when all find nothing, all pairs are tried.
+SKETCHES = 4
 #: Longest group of neighbours that is looked for in repetitions.
 PERIOD = 6
-#: Elements inside so many others count as part of the innermost of them.
-DEPTH = 100
-#: Nodes of a wrapper at most, and the share of the smaller one's nodes that two streams must have in common.
-MOST, COMMON = 1000, 0.5
-#: Up to so many pairs of neighbours the best alignment is looked for, above one by longest common passages.
-TABLE = 10_000
+#: The share of the smaller one's nodes that two wrappers must have in common to become one.
+COMMON = 0.5
+#: Neighbours that nothing names, with so many for each of their kinds once repetitions are folded, are in no order.
+LOOSE = 8
+#: A wrapper has at most so many times the nodes of its largest page, or so many.
+GROWTH, SMALL = 8, 1000
+#: From so many pairs of neighbours on the best alignment is computed a row at a time, with the same result.
+CELLS = 2000
+#: Frames of Python's own that nested elements may take; they are on the heap.
+FRAMES = 1 << 24
 #: From so many different pages on a slot with a quarter as many texts as occurrences is template.
 PAGES, CHANGES = 4, 4
 #: The innermost element with this share of the prose is the article.
@@ -108,7 +120,7 @@ class Page:
         self.parts: list[list[str]] = []
         self.blocks: list[int] = []
         self.links: list[int] = []
-        self.block = self.linked = self.silent = self.depth = 0
+        self.block = self.linked = self.silent = 0
         self.stack: list[tuple[str, str | None]] = []  # name, sign if it is in the stream
         self.open: Counter[str] = Counter()
         at, n = 0, len(text)
@@ -168,7 +180,7 @@ class Page:
                 value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4]
                 marks.append({"class": ".", "id": "#", "role": "@"}[key] + re.sub(r"[0-9]+", "0", re.sub(r"[\s/<>]+", ".", value.strip())))
         sign = name + "".join(sorted(marks))
-        seen = self.depth < DEPTH and (name in BLOCKS or bool(boilerplate(sign, True)))
+        seen = name in BLOCKS or bool(boilerplate(sign, True))
         if name == "br":
             self._text(" ")
         if seen and not self.silent:
@@ -178,7 +190,6 @@ class Page:
                 self.symbols.append("</" + sign)
             return
         self.stack.append((name, sign if seen and not self.silent else None))
-        self.depth += self.stack[-1][1] is not None
         self.open[name] += 1
         self.linked += name == "a"
         self.silent += name in NO_TEXT
@@ -208,13 +219,12 @@ class Page:
             self.linked -= name == "a"
             self.silent -= name in NO_TEXT
             if sign is not None:
-                self.depth -= 1
                 self.symbols.append("</" + sign)
 
 
 class Node:
-    """A part of a wrapper or a page: ``#`` for text, an element's sign, or ``(`` for a group of parts that are repeated
-    together. A wrapper is a list of nodes; read in order, their tags and texts are its union-free expression."""
+    """A part of a wrapper or a page: ``#`` for text, an element's sign, ``(`` for a group of parts that are repeated
+    together, or ``~`` for a flow, a group whose parts are each optional. A wrapper is a list of nodes; read in order, their tags and texts are its union-free expression."""
 
     __slots__ = ("label", "repeated", "optional", "parts", "_below")
 
@@ -244,6 +254,7 @@ class Node:
 
 
 Wrapper = list[Node]
+GROUPS = ("(", "~")
 
 
 def read(symbols: list[str]) -> list[Node]:
@@ -299,7 +310,7 @@ def fold(nodes: list[Node]) -> Wrapper:
 
 def _both(a: Node, b: Node) -> tuple[Node, int]:
     parts, common = align(a.parts, b.parts)
-    return Node(a.label, a.repeated or b.repeated, a.optional or b.optional, parts), common + 1
+    return Node(a.label, a.repeated or b.repeated, a.optional or b.optional, parts), common + (a.label not in GROUPS)
 
 
 def refold(w: list[Node], groups: list[Node]) -> list[tuple[Node, list[list[Node]]]]:
@@ -332,6 +343,84 @@ def _merged(w: list[Node], groups: list[Node]) -> Wrapper:
     return out
 
 
+def _pairs(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+    """Pairs of the greatest likeness in all, from a table of what can be had from each pair of places on."""
+    likes = [[s.alike(t) for t in y] for s in x]
+    best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for p in range(len(x) - 1, -1, -1):
+        for q in range(len(y) - 1, -1, -1):
+            best[p][q] = max(best[p + 1][q], best[p][q + 1], best[p + 1][q + 1] + likes[p][q])
+    p, q, out = 0, 0, []
+    while p < len(x) and q < len(y):
+        if likes[p][q] and best[p][q] == best[p + 1][q + 1] + likes[p][q]:
+            out.append((p, q))
+            p, q = p + 1, q + 1
+        elif best[p][q] == best[p + 1][q]:
+            p += 1
+        else:
+            q += 1
+    return out
+
+
+def _pairs_by_rows(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
+    """The same pairs, for long lists. Of the table's rows, which follow from the last one up, one in sixteen is kept on
+    each of a few levels and those between are computed again, so that memory grows with the rows' width alone."""
+    kinds: dict[tuple, int] = {}
+    code = lambda nodes: np.array([kinds.setdefault((t.label, None if t.plain else t.below), len(kinds)) for t in nodes])
+    xs, ys = code(x), code(y)
+    samples = {**dict(zip(ys.tolist(), y, strict=True))}
+    named: dict[str, list[int]] = {}
+    for k, t in samples.items():
+        named.setdefault(t.label, []).append(k)
+
+    @lru_cache(256)
+    def likes(kind: int, first: int) -> np.ndarray:
+        out = np.zeros(len(kinds))
+        for k in named.get(x[first].label, ()):
+            out[k] = x[first].alike(samples[k])
+        return out[ys]
+
+    firsts: dict[int, int] = {}
+    for p, k in enumerate(xs.tolist()):
+        firsts.setdefault(k, p)
+    like = lambda p: likes(int(xs[p]), firsts[int(xs[p])])
+
+    def above(row: np.ndarray, p: int) -> np.ndarray:
+        out = np.zeros(len(row))
+        np.maximum(row[:-1], row[1:] + like(p), out=out[:-1])
+        return np.maximum.accumulate(out[::-1])[::-1]
+
+    out: list[tuple[int, int]] = []
+
+    def walk(lo: int, hi: int, last: np.ndarray, q: int) -> int:
+        """Pairs of x from ``lo`` to ``hi``, whose row is ``last``, with y from ``q`` on."""
+        if q == len(y):
+            return q
+        step = -(-(hi - lo) // 16)
+        rows, row = {hi: last}, last
+        for p in range(hi - 1, lo - 1, -1):
+            row = above(row, p)
+            if (p - lo) % step == 0:
+                rows[p] = row
+        for p in range(lo, hi, step):
+            if step > 1:
+                q = walk(p, min(p + step, hi), rows[min(p + step, hi)], q)
+                continue
+            a, b, near = rows[p], rows[p + 1], like(p)
+            while q < len(y):
+                if near[q] and a[q] == b[q + 1] + near[q]:
+                    out.append((p, q))
+                    q += 1
+                    break
+                if a[q] == b[q]:
+                    break
+                q += 1
+        return q
+
+    walk(0, len(x), np.zeros(len(y) + 1), 0)
+    return out
+
+
 def match(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     """Pairs of nodes that stand for each other, in order, of the greatest likeness in all."""
     most, i, j = min(len(a), len(b)), 0, 0
@@ -341,54 +430,116 @@ def match(a: list[Node], b: list[Node]) -> list[tuple[int, int]]:
     while j < most - i and sure(a[-1 - j], b[-1 - j]):
         j += 1
     x, y = a[i : len(a) - j], b[i : len(b) - j]
-    out = [(t, t) for t in range(i)]
-    if len(x) * len(y) > TABLE:
-        for m in SequenceMatcher(None, [t.label for t in x], [t.label for t in y], autojunk=False).get_matching_blocks():
-            out += [(i + m.a + t, i + m.b + t) for t in range(m.size)]
-    elif x and y:
-        likes = [[s.alike(t) for t in y] for s in x]
-        best = [[0.0] * (len(y) + 1) for _ in range(len(x) + 1)]
-        for p in range(len(x) - 1, -1, -1):
-            for q in range(len(y) - 1, -1, -1):
-                best[p][q] = max(best[p + 1][q], best[p][q + 1], best[p + 1][q + 1] + likes[p][q])
-        p = q = 0
-        while p < len(x) and q < len(y):
-            if likes[p][q] and best[p][q] == best[p + 1][q + 1] + likes[p][q]:
-                out.append((i + p, i + q))
-                p, q = p + 1, q + 1
-            elif best[p][q] == best[p + 1][q]:
-                p += 1
-            else:
-                q += 1
-    return out + [(len(a) - t, len(b) - t) for t in range(j, 0, -1)]
+    between = (_pairs if len(x) * len(y) < CELLS else _pairs_by_rows)(x, y) if x and y else []
+    return [(t, t) for t in range(i)] + [(i + p, i + q) for p, q in between] + [(len(a) - t, len(b) - t) for t in range(j, 0, -1)]
+
+
+def _kinds(nodes: list[Node]) -> list[str]:
+    """Labels of nodes that may be part of a flow; for groups those of their parts."""
+    inner = [y.label for x in nodes for y in (x.parts if x.label in GROUPS else (x,))]
+    return [x for x in inner if x not in GROUPS and not any(c in x for c in ".#@")]
+
+
+def _flow(nodes: list[Node]) -> Node:
+    parts: dict[str, Node] = {}
+    for x in nodes:
+        for y in x.parts if x.label in GROUPS else (x,):
+            parts[y.label] = Node(y.label, True, True, _both(parts[y.label], y)[0].parts if y.label in parts else y.parts)
+    return Node("~", True, False, [parts[k] for k in sorted(parts)])
+
+
+def _ends(a: list[Node], b: list[Node]) -> tuple[int, int]:
+    """How many nodes have the same labels at the beginning and at the end, but for flows."""
+    i, j, most = 0, 0, min(len(a), len(b))
+    while i < most and a[i].label == b[i].label != "~":
+        i += 1
+    while j < most - i and a[-1 - j].label == b[-1 - j].label != "~":
+        j += 1
+    return i, j
+
+
+def _stretches(nodes: list[Node], kinds: set[str]) -> list[tuple[bool, list[Node]]]:
+    """Neighbours of these kinds together, as a flow, others alone."""
+    out: list[tuple[bool, list[Node]]] = []
+    for x in nodes:
+        flows = x.label in kinds or x.label in GROUPS and all(y.label in kinds for y in x.parts)
+        if flows and out and out[-1][0]:
+            out[-1][1].append(x)
+        else:
+            out.append((flows, [x]))
+    return out
+
+
+def _loosened(a: list[Node], b: list[Node]) -> list[list[tuple[bool, list[Node]]]]:
+    """Both lists in stretches between ends of the same labels; none if nothing flows."""
+    i, j = _ends(a, b)
+    middle = [w[i : len(w) - j] for w in (a, b)]
+    kinds = {y.label for x in (*a, *b) if x.label == "~" for y in x.parts}
+    if not kinds:
+        if min(map(len, middle)) == 0 or max(map(len, middle)) < LOOSE:
+            return []
+        own = [_kinds(x) for x in middle]
+        if not all(k and len(k) >= LOOSE * len(set(k)) for k in own):
+            return []
+        kinds = {*own[0], *own[1]}
+    return [[(False, [t]) for t in w[:i]] + _stretches(mid, kinds) + [(False, [t]) for t in w[len(w) - j :]] for w, mid in zip((a, b), middle, strict=True)]
 
 
 def align(a: list[Node], b: list[Node]) -> tuple[Wrapper, int]:
-    """The wrapper of both, and how many nodes they have in common."""
+    """The wrapper of both, and how many nodes they have in common; of flows, as many as their labels allow."""
     if not a or not b:
         return [Node(x.label, x.repeated, True, x.parts) for x in (*a, *b)], 0
     groups = [x for x in (*a, *b) if x.label == "("]
     if groups:
         a, b = _merged(a, groups), _merged(b, groups)
+    if loose := _loosened(a, b):
+        a, b = ([_flow(x) if flows else x[0] for flows, x in w] for w in loose)
     out: Wrapper = []
     common = at = bt = 0
     for i, j in [*match(a, b), (len(a), len(b))]:
         out += [Node(x.label, x.repeated, True, x.parts) for x in (*a[at:i], *b[bt:j])]
         if i < len(a):
             one, n = _both(a[i], b[j])
+            if one.label == "~":
+                one, n = _flow([a[i], b[j]]), (labels(loose[0][i][1]) & labels(loose[1][j][1])).total()
+                one.optional = a[i].optional or b[j].optional
             out.append(one)
             common += n
         at, bt = i + 1, j + 1
     return out, common
 
 
-def size(w: list[Node]) -> int:
-    return sum(1 + size(x.parts) for x in w)
+def labels(w: list[Node]) -> Counter[str]:
+    """How many nodes of each label a wrapper has, groups not counted."""
+    out: Counter[str] = Counter()
+    left = [w]
+    while left:
+        for x in left.pop():
+            out[x.label] += 1
+            if x.parts:
+                left.append(x.parts)
+    for x in GROUPS:
+        del out[x]
+    return out
+
+
+def sketch(counts: Counter[str]) -> list[int]:
+    """For each sketch the least hash of the labels: wrappers that share most of their labels mostly share it."""
+    return [min((hash64(str(i), x) for x in counts), default=0) for i in range(SKETCHES)]
 
 
 def pack(w: list[Node]) -> str:
     """A wrapper as text: each node opens with + or 1, ? or 1, and its label, and ends with a bracket."""
-    return " ".join(("+" if x.repeated else "1") + ("?" if x.optional else "1") + x.label + (" " + pack(x.parts) if x.parts else "") + " >" for x in w)
+    out: list[str] = []
+
+    def go(nodes: list[Node]) -> None:
+        for x in nodes:
+            out.append(("+" if x.repeated else "1") + ("?" if x.optional else "1") + x.label)
+            go(x.parts)
+            out.append(">")
+
+    go(w)
+    return " ".join(out)
 
 
 def unpack(text: str) -> Wrapper:
@@ -420,6 +571,15 @@ def place(w: Wrapper, symbols: list[str]) -> list[int]:
 
     def go(page: list[Node], here: list[Node]) -> None:
         """``page`` may repeat what ``here`` repeats."""
+        flowing: dict[int, list[Node]] = {}
+        if any(x.label == "~" for x in here):
+            i, j = _ends(page, here)
+            between = []
+            for flows, nodes in _stretches(page[i : len(page) - j], {y.label for x in here if x.label == "~" for y in x.parts}):
+                between.append(_flow(nodes) if flows else nodes[0])
+                if flows:
+                    flowing[id(between[-1])] = nodes
+            page = [*page[:i], *between, *page[len(page) - j :]]
         groups = [x for x in here if x.label == "("]
         seq = refold(page, groups) if groups else [(x, []) for x in page]
         # neighbours that are one repeated node in the wrapper
@@ -434,6 +594,13 @@ def place(w: Wrapper, symbols: list[str]) -> list[int]:
             for node, passages in firsts[i][1]:
                 if node.label == "#":
                     found[id(node)] = first[id(here[j])]
+                elif node.label == "~":
+                    kinds = {x.label: x for x in here[j].parts}
+                    for x in flowing[id(node)]:
+                        if x.label == "#" and "#" in kinds:
+                            found[id(x)] = first[id(kinds["#"])]
+                        elif x.label in kinds:
+                            go(x.parts, kinds[x.label].parts)
                 elif node.label == "(":
                     for part in passages:
                         go(part, here[j].parts)
@@ -484,20 +651,27 @@ def tree_of(w: Wrapper) -> tuple[list[Element], list[Slot]]:
     """The elements of a wrapper, each behind the one around it, the root first; and its slots in order."""
     elements, slots = [Element(-1, "", False, None, False, False)], []
 
-    def texts(nodes: list[Node]) -> int:
-        return sum((x.label == "#") + texts(x.parts) for x in nodes)
+    def several(nodes: list[Node]) -> bool:
+        """Whether there is more than one text."""
+        n, left = 0, [nodes]
+        while left and n < 2:
+            for x in left.pop():
+                n += x.label == "#"
+                if x.parts:
+                    left.append(x.parts)
+        return n > 1
 
     def go(nodes: list[Node], at: int, repeated: bool) -> None:
         for x in nodes:
             if x.label == "#":
                 slots.append(Slot(at, repeated or x.repeated))
-            elif x.label == "(":
+            elif x.label in GROUPS:
                 go(x.parts, at, True)
             else:
                 around = elements[at]
                 name = _NAME.match(x.label)[0]
                 inside = around.inside or name in MAIN
-                teaser = around.teaser or x.repeated and not x.plain and texts(x.parts) > 1
+                teaser = around.teaser or x.repeated and not x.plain and several(x.parts)
                 elements.append(Element(at, x.label, inside, _worse(around.against, boilerplate(x.label, inside)), around.listed or name in LISTS, teaser))
                 go(x.parts, len(elements) - 1, repeated or x.repeated)
 
@@ -575,13 +749,14 @@ def text_of(texts: list[str], blocks: list[int], kept: list[bool]) -> str:
     return "\n".join(x for parts in out if (x := " ".join("".join(parts).split())))
 
 
-_PARSED = pa.schema([("skey", pa.int64()), ("page", pa.int64()), ("stream", pa.string()), ("key", pa.int64()), ("wrapper", pa.string()), ("texts", pa.list_(pa.string())), ("blocks", pa.list_(pa.int32())), ("chars", pa.list_(pa.int32())), ("links", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
-PARSED = "host string, skey long, page long, stream string, key long, wrapper string, texts array<string>, blocks array<int>, chars array<int>, links array<int>, hashes array<long>"
+_PARSED = pa.schema([("skey", pa.int64()), ("page", pa.int64()), ("stream", pa.string()), ("key", pa.int64()), ("wrapper", pa.string()), ("nodes", pa.int64()), ("marks", pa.list_(pa.int64())), ("texts", pa.list_(pa.string())), ("blocks", pa.list_(pa.int32())), ("chars", pa.list_(pa.int32())), ("links", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+PARSED = "host string, skey long, page long, stream string, key long, wrapper string, nodes long, marks array<long>, texts array<string>, blocks array<int>, chars array<int>, links array<int>, hashes array<long>"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pages read once: texts with their figures, and the key of host and stream; where a stream is first met in a task
-    also the stream itself, folded as a first wrapper, and that one's key."""
+    also the stream itself, folded as a first wrapper, that one's key, number of nodes and sketches."""
+    sys.setrecursionlimit(FRAMES)
     seen: set[int] = set()
     for batch in batches:
         rows = []
@@ -589,11 +764,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = Page(page or "")
             stream = " ".join(p.symbols)
             skey = hash64(host, stream)
-            first = (None, None, None)
+            first = (None,) * 5
             if skey not in seen:
                 seen.add(skey)
-                folded = pack(fold(read(p.symbols)))
-                first = (stream, hash64(host, folded) if host else skey, folded)
+                w = fold(read(p.symbols))
+                folded, counts = pack(w), labels(w)
+                first = (stream, hash64(host, folded) if host else skey, folded, counts.total(), sketch(counts))
             texts = p.texts
             hashes = [hash64(" ".join(t.split())) for t in texts]
             rows.append((skey, hash64(*map(str, hashes)), *first, texts, p.blocks, list(map(len, texts)), p.links, hashes))
@@ -602,43 +778,108 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *cols], names=["page_id", "url", "host", *_PARSED.names])
 
 
+class Candidate(NamedTuple):
+    """A wrapper on its way: its text, how many nodes it has of each label, and how many its largest page has."""
+
+    text: str
+    counts: Counter[str]
+    nodes: int
+
+
+def _ordered(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["wrapper", "key"], key=lambda c: c.str.len() if c.name == "wrapper" else c, ascending=[False, True])
+
+
+def together(a: Candidate, b: Candidate) -> Candidate | None:
+    """The wrapper of both, if they have enough in common. What they have in common is no more than their labels tell, which
+    mostly settles it."""
+    small, shared = min(a.counts.total(), b.counts.total()), (a.counts & b.counts).total()
+    nodes = max(a.nodes, b.nodes)
+    if shared < COMMON * small or a.counts.total() + b.counts.total() - shared > max(GROWTH * nodes, SMALL):
+        return None
+    w, common = align(unpack(a.text), unpack(b.text))
+    return Candidate(pack(w), labels(w), nodes) if common >= COMMON * small else None
+
+
+def _candidates(pdf: pd.DataFrame) -> list[Candidate]:
+    sys.setrecursionlimit(FRAMES)
+    return [Candidate(t, labels(unpack(t)), n) for t, n in zip(pdf["wrapper"].tolist(), pdf["nodes"].tolist(), strict=True)]
+
+
 def _merge(key, pdf):
-    """Wrappers of some streams or wrappers of a host: (host, key, to, wrapper), the wrapper on one row of each."""
-    rows = pdf.sort_values(["wrapper", "key"], key=lambda c: c.str.len() if c.name == "wrapper" else c, ascending=[False, True])
-    found: list[tuple[int, Wrapper]] = []
+    """Wrappers of some streams or wrappers of a host: (host, key, to, wrapper, nodes, marks), the last three on one row of
+    each wrapper."""
+    rows = _ordered(pdf)
+    found: dict[int, Candidate] = {}
     to = []
-    for k, text in zip(rows["key"].tolist(), rows["wrapper"].tolist(), strict=True):
-        w = unpack(text)
-        for i, (name, have) in enumerate(found):
-            small = min(size(have), size(w))
-            if max(size(have), size(w)) > MOST:
-                continue
-            both, common = align(have, w)
-            if common >= COMMON * small and size(both) <= MOST:
-                found[i] = (name, both)
+    for k, one in zip(rows["key"].tolist(), _candidates(rows), strict=True):
+        for name, have in found.items():
+            if (both := together(have, one)) is not None:
+                found[name] = both
                 to.append(name)
                 break
         else:
-            found.append((k, w))
+            found[k] = one
             to.append(k)
-    packed = {name: pack(w) for name, w in found}
-    keys = rows["key"].tolist()
-    return rows[["host", "key"]].assign(to=to, wrapper=[packed[k] if k == t else None for k, t in zip(keys, to, strict=True)])
+    out = [(h, k, t, found[k].text, found[k].nodes, sketch(found[k].counts)) if k == t else (h, k, t, None, None, None) for h, k, t in zip(rows["host"], rows["key"].tolist(), to, strict=True)]
+    return pd.DataFrame(out, columns=["host", "key", "to", "wrapper", "nodes", "marks"]).astype({"nodes": "Int64"})
+
+
+def _links(key, pdf):
+    """(a, b) for the wrappers of two blocks of a host, or of one, that would become one."""
+    rows = _ordered(pdf)
+    known = list(zip(rows["key"].tolist(), rows["block"].tolist(), _candidates(rows), strict=True))
+    pairs = ((a, b) for (a, i, x), (b, j, y) in itertools.combinations(known, 2) if (i != j or key[1] == key[2]) and together(x, y) is not None)
+    return pd.DataFrame(list(pairs), columns=["a", "b"], dtype="int64")
+
+
+def _pairs_of_blocks(now: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(a, b): those of a host with more wrappers than a task aligns that would still become one."""
+    n = F.ceil(F.col("n") / BLOCK)
+    dealt = now.join(sizes.filter(F.col("n") > FAN), "host").select("host", "key", "wrapper", "nodes", F.pmod(F.xxhash64("key"), n).alias("block"), F.explode(F.sequence(F.lit(0), n - 1)).alias("other"))
+    return dealt.groupBy("host", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).applyInPandas(_links, "a long, b long")
 
 
 def infer(streams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From the distinct streams (host, skey, key, wrapper), each folded as a first wrapper: which wrapper each has in the
-    end (skey, key), and the wrappers (key, wrapper)."""
-    route, now = streams.select("skey", "key"), streams.select("host", "key", "wrapper").dropDuplicates(["key"])
-    while True:
-        several = now.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n")).filter("n > 1")
-        some = now.join(several, "host").withColumn("part", F.pmod(F.xxhash64("wrapper"), F.ceil(F.col("n") / FAN))).groupBy("host", "part")
-        merged = materialise(some.applyInPandas(_merge, "host string, key long, to long, wrapper string"), "merged")
-        moved = merged.filter("key <> to").select("key", "to")
+    """From the distinct streams (host, skey, key, wrapper, nodes, marks), each folded as a first wrapper: which wrapper
+    each has in the end (skey, key), and the wrappers (key, wrapper).
+
+    A host of few wrappers is one part. Of others those go to one part that share a sketch, a different one each round;
+    when all sketches find nothing, blocks of wrappers meet block by block, and what would still become one does."""
+    route, now = streams.select("skey", "key"), streams.select("host", "key", "wrapper", "nodes", "marks").dropDuplicates(["key"])
+    active = None
+
+    def settle(parts: DataFrame) -> DataFrame | None:
+        """Merge each part; the hosts in which something did."""
+        nonlocal route, now
+        merged = materialise(parts.groupBy("host", "part").applyInPandas(_merge, "host string, key long, to long, wrapper string, nodes long, marks array<long>"), "merged")
+        moved = merged.filter("key <> to").select("host", "key", "to")
         if moved.isEmpty():
-            break  # each host has one, or such as have little in common
-        now = now.join(merged.select("key"), "key", "left_anti").unionByName(merged.filter("wrapper IS NOT NULL").select("host", "key", "wrapper"))
-        route = route.join(moved, "key", "left").select("skey", F.coalesce("to", "key").alias("key"))
+            return None
+        now = now.join(merged.select("key"), "key", "left_anti").unionByName(merged.filter("wrapper IS NOT NULL").select("host", "key", "wrapper", "nodes", "marks"))
+        route = route.join(moved.select("key", "to"), "key", "left").select("skey", F.coalesce("to", "key").alias("key"))
+        return moved.select("host").distinct()
+
+    sizes = lambda: now.filter("host <> ''").groupBy("host").agg(F.count("*").alias("n")).filter("n > 1")
+    turn = quiet = 0
+    while quiet < SKETCHES:
+        some = now.join(sizes(), "host")
+        if turn:  # hosts of one part are done once nothing moves
+            some = some.filter(F.col("n") > FAN) if active is None else some.join(active.withColumn("again", F.lit(True)), "host", "left").filter(F.col("again") | (F.col("n") > FAN))
+        some = some.withColumn("mark", F.when(F.col("n") <= FAN, 0).otherwise(F.element_at("marks", turn % SKETCHES + 1)))
+        many = some.groupBy("host", "mark").agg(F.count("*").alias("m")).filter("m > 1")
+        dealt = some.join(many, ["host", "mark"]).withColumn("part", F.struct("mark", F.pmod(F.xxhash64("key", F.lit(turn)), F.ceil(F.col("m") / FAN)).alias("nth")))
+        active = settle(dealt.select("host", "part", "key", "wrapper", "nodes"))
+        turn, quiet = turn + 1, 0 if active is not None else quiet + 1
+        if quiet and sizes().filter(F.col("n") > FAN).isEmpty():
+            break
+    while quiet == SKETCHES:
+        links = materialise(_pairs_of_blocks(now, sizes()), "links")
+        if links.isEmpty():
+            break
+        # each goes to the least of those it would become one with: so do all that the least of all has links to
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("key")).agg(F.min("b").alias("b"))
+        settle(now.join(ends, "key").select("host", F.least("key", "b").alias("part"), "key", "wrapper", "nodes"))
     return route, now.select("key", "wrapper")
 
 
@@ -650,6 +891,7 @@ def _plain(symbols: list[str]) -> list[bool]:
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Slots of each stream's texts in its wrapper, and what a text without a slot is by its path alone."""
+    sys.setrecursionlimit(FRAMES)
     last, w = None, []
     for batch in batches:
         rows = []
@@ -663,7 +905,31 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.bool_()))], names=["skey", "key", "slots", "plain"])
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pages that differ (key, slots, hashes, chars, links): (key, slot, hash, pages, pairs, chars, links) of each batch.
+    A page counts for a slot with the first of its texts there, and as a pair with each text that differs."""
+    names = ["key", "slot", "hash", "pages", "pairs", "chars", "links"]
+    for batch in batches:
+        n = np.array([len(x) for x in batch.column(1)], dtype=np.int64)
+        cols = [batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in range(1, 5)]
+        all_texts = pd.DataFrame({"row": np.repeat(np.arange(len(n)), n), "key": np.repeat(batch.column(0).to_numpy(), n), **dict(zip(["slot", "hash", "chars", "links"], cols, strict=True))})
+        one = all_texts[all_texts["slot"] >= 0].groupby(["row", "key", "slot", "hash"], as_index=False).sum()
+        one["pages"] = (~one.duplicated(["row", "slot"])).astype("int64")
+        one["pairs"] = 1
+        out = one.groupby(["key", "slot", "hash"], as_index=False)[["pages", "pairs", "chars", "links"]].sum()
+        yield pa.RecordBatch.from_arrays([pa.array(out[c].to_numpy(), pa.int32() if c == "slot" else pa.int64()) for c in names], names=names)
+
+
+def gather(texts: DataFrame) -> DataFrame:
+    """(key, slot, pages, texts, pairs, chars, links) from the pages that differ (key, slots, hashes, chars, links), exactly:
+    rows meet by text first, so that what leaves a task is a row for each text that differs there."""
+    counted = texts.mapInArrow(_count, "key long, slot int, hash long, pages long, pairs long, chars long, links long")
+    sums = lambda *names: [F.sum(c).alias(c) for c in names]
+    return counted.groupBy("key", "slot", "hash").agg(*sums("pages", "pairs", "chars", "links")).groupBy("key", "slot").agg(F.count("*").alias("texts"), *sums("pages", "pairs", "chars", "links"))
+
+
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sys.setrecursionlimit(FRAMES)
     for batch in batches:
         rows = []
         for wrapper, figures in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -680,11 +946,8 @@ def decide(parsed: DataFrame, route: DataFrame, wrappers: DataFrame) -> DataFram
     wrappers = materialise(wrappers, "wrappers")
     placed = streams.join(route, "skey").join(wrappers, "key").select("skey", "key", "stream", "wrapper").mapInArrow(_slots, "skey long, key long, slots array<int>, plain array<boolean>")
     placed = materialise(placed, "slots")
-    texts = parsed.select("skey", "page", "hashes", "chars", "links").join(placed.select("skey", "key", "slots"), "skey")
-    one = texts.select("key", "page", F.explode(F.arrays_zip("slots", "hashes", "chars", "links")).alias("t")).filter("t.slots >= 0")
-    # sketches, so that no more than a row for each slot leaves a task
-    distinct = lambda c: F.approx_count_distinct(c, 0.02)
-    figures = one.groupBy("key", F.col("t.slots").alias("slot")).agg(distinct("page").alias("pages"), distinct("t.hashes").alias("texts"), distinct(F.xxhash64("page", "t.hashes")).alias("pairs"), F.sum("t.chars").alias("chars"), F.sum("t.links").alias("links"))
+    differ = parsed.select("skey", "page", "hashes", "chars", "links").groupBy("skey", "page").agg(F.min(F.struct("hashes", "chars", "links")).alias("t"))
+    figures = gather(differ.join(placed.select("skey", "key", "slots"), "skey").select("key", "slots", "t.hashes", "t.chars", "t.links"))
     # as many entries as the wrapper has slots
     figures = figures.groupBy("key").agg(F.collect_list(F.struct("slot", *Figures._fields)).alias("figures"))
     chosen = materialise(wrappers.join(figures, "key", "left").select("key", "wrapper", "figures").mapInArrow(_choose, "key long, main array<boolean>, spare array<boolean>"), "chosen")
@@ -700,7 +963,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
     kind = pages.schema[id_col].dataType.simpleString()
     parsed = materialise(rows.mapInArrow(_parse, f"page_id {kind}, url string, {PARSED}"), "parsed", "zstd")
-    route, wrappers = infer(parsed.filter("stream IS NOT NULL").select("host", "skey", "key", "wrapper").dropDuplicates(["skey"]))
+    route, wrappers = infer(parsed.filter("stream IS NOT NULL").select("host", "skey", "key", "wrapper", "nodes", "marks").dropDuplicates(["skey"]))
     kept = materialise(decide(parsed, route, wrappers), "kept")
     joined = parsed.select("page_id", "url", "skey", "texts", "blocks").join(kept, "skey").select("page_id", "url", "texts", "blocks", "kept")
 
