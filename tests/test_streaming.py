@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wavefold.operators import tracking
 from wavefold.sources.staging import path
-from wavefold.streaming import overlap
+from wavefold.streaming import overlap, tracks
 
 SCHEMA = "ts timestamp, row int, col int, rwp_id long, energy double"
 DAY = datetime(2024, 1, 1)
@@ -64,3 +64,54 @@ def test_late_null_and_no_cells(spark):
     none = table.limit(0)
     assert overlap.end_mark(none).collect() == []
     same(run(spark, [none, none]), {})
+
+
+def graph(seed, steps, wide):
+    """Edges (time_to, src, dst, weight) between some of the vertices of adjacent steps; some steps have none."""
+    rand = random.Random(seed)
+    for t in range(1, steps):
+        for i in range(wide):
+            for j in range(wide):
+                if t % 11 and rand.random() < 1.2 / wide:
+                    yield t, f"{t - 1}:{i}", f"{t}:{j}", rand.choice([0.25, 0.5, 0.75])
+
+
+def rows_of(df):
+    return {(r["track_id"], r["pos"], r["key"]) for r in df.collect()}
+
+
+def test_streamed_tracks_equal_those_of_batch(spark):
+    """In one batch, in batches of a few steps, with steps that wait, and with a batch that is repeated."""
+    table = spark.createDataFrame(list(graph(1, 18, 5)), tracks.EDGE)
+    want = rows_of(tracking.track_paths(table))
+    assert len({r[0] for r in want}) > 4
+    for cut, delay in ((100, 0), (6, 1)):
+        folder, sizes = path(spark, "tracks"), []
+        tracks.begin(spark, folder)
+        parts = [table.filter(F.col("time_to").between(t, t + cut - 1)) for t in range(0, 18, cut)]
+        for i, part in enumerate([*parts, tracks.end_mark(table, delay)]):
+            for _ in range(2 if i == 1 else 1):
+                tracks.step(part, i, folder, delay)
+            sizes.append([spark.read.schema(schema).parquet(f"{folder}/state{i % 2}/{name}").count() for name, schema in tracks.STATE.items()])
+        assert rows_of(tracks.tracks(spark, folder)) == want
+        # no more than the live step's vertices, their roots and the steps that wait, and in the end nothing
+        assert sizes[-1] == [0, 0, 0, 1]
+        assert cut == 100 or all(live <= 5 and heads <= live for _, live, heads, _ in sizes)
+        assert spark.read.schema(tracks.EDGE).parquet(f"{folder}/late").count() == 0
+
+
+def test_streamed_tracks_go_on_and_set_late_edges_apart(spark):
+    edges = list(graph(2, 12, 3))
+    table = spark.createDataFrame(edges, tracks.EDGE)
+    odd = [(1, None, "1:0", 1.0), (2, "1:0", None, 1.0), (3, "2:0", "3:0", None), (None, "2:0", "3:0", 1.0)]
+    source, folder = path(spark, "edges"), path(spark, "tracks")
+    parts = [table.filter("time_to <= 6").unionByName(table.filter("time_to <= 6")), spark.createDataFrame([*odd, *(e for e in edges if e[0] > 6)], tracks.EDGE), spark.createDataFrame([(2, "1:0", "2:2", 99.0)], tracks.EDGE), tracks.end_mark(table)]
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(source)
+        tracks.follow(spark.readStream.schema(tracks.EDGE).parquet(source), folder).trigger(availableNow=True).start().awaitTermination()
+    assert rows_of(tracks.tracks(spark, folder)) == rows_of(tracking.track_paths(table))
+    assert [tuple(r) for r in spark.read.schema(tracks.EDGE).parquet(f"{folder}/late").drop("batch").collect()] == [(2, "1:0", "2:2", 99.0)]
+    nothing = path(spark, "none")
+    tracks.begin(spark, nothing)
+    tracks.step(table.limit(0), 0, nothing)
+    assert tracks.end_mark(table.limit(0)).collect() == [] and tracks.tracks(spark, nothing).collect() == []

@@ -95,10 +95,10 @@ def _entries(track_edges: DataFrame, save, block: int) -> DataFrame:
     # an edge for each way, a step of time for each block; what begins inside comes from a vertex of its own
     inside = F.concat(F.lit("block "), F.col("block"))
     coarse = across.select(F.coalesce("src", inside).alias("src"), "dst", (F.col("block") + 1).alias("time_to"), "weight")
-    return _best_into(coarse, save, block).filter("before IS NOT NULL").select("key", F.col("best").alias("start"))
+    return best_into(coarse, save, block).filter("before IS NOT NULL").select("key", F.col("best").alias("start"))
 
 
-def _best_into(track_edges: DataFrame, save, block: int = BLOCK) -> DataFrame:
+def best_into(track_edges: DataFrame, save, block: int = BLOCK) -> DataFrame:
     """For each vertex the weight of the heaviest path into it and the vertex before on it; ties to the smaller key.
     Edges lead from each time step to the next. Blocks of time are settled each in a task of their own, once it is known
     what comes into them, which is settled first, on blocks as steps of a coarser graph: for n steps of time there are
@@ -131,17 +131,31 @@ def track_paths(track_edges: DataFrame, save=lambda df: df.checkpoint(), *, bloc
     smaller sink). Each vertex has one before it, so that candidates that share a vertex share all before it: those of one
     root are rivals of each other and of no others, and the heaviest of each root is what taking one at a time would
     choose. Ways back are doubled in each round. ``save`` cuts lineage."""
-    best = save(_best_into(track_edges, save, block))
-    # 1, 2, 4, ... vertices back
-    jumps = [save(best.filter("before IS NOT NULL").select("key", F.col("before").alias("to")))]
-    while not jumps[-1].isEmpty():
-        again = jumps[-1].select(F.col("key").alias("to"), F.col("to").alias("next"))
-        jumps.append(save(jumps[-1].join(again, "to").select("key", F.col("next").alias("to"))))
+    best = save(best_into(track_edges, save, block))
+    jumps = jumps_back(best, save)
     sinks = best.join(track_edges.select(F.col("src").alias("key")).distinct(), "key", "left_anti").filter(F.col("before").isNotNull())
     roots = sinks.select(F.col("key").alias("sink"), F.col("best").alias("weight"), "key")
     for j in reversed(jumps[:-1]):
         roots = roots.join(j, "key", "left").select("sink", "weight", F.coalesce("to", "key").alias("key"))
     chosen = save(roots.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "sink")).alias("x")).select("x.sink", (-F.col("x.w")).alias("weight")))
+    return _numbered(chosen, jumps, save)
+
+
+def as_rows(chosen: DataFrame, best: DataFrame, save=lambda df: df.checkpoint()) -> DataFrame:
+    """(track_id, pos, key) of the tracks that end at ``chosen`` (sink, weight), from the vertices before (key, before)."""
+    return _numbered(chosen, jumps_back(best, save), save)
+
+
+def jumps_back(best: DataFrame, save) -> list[DataFrame]:
+    """(key, to): ways back by 1, 2, 4, ... vertices, the last one empty."""
+    jumps = [save(best.filter("before IS NOT NULL").select("key", F.col("before").alias("to")))]
+    while not jumps[-1].isEmpty():
+        again = jumps[-1].select(F.col("key").alias("to"), F.col("to").alias("next"))
+        jumps.append(save(jumps[-1].join(again, "to").select("key", F.col("next").alias("to"))))
+    return jumps
+
+
+def _numbered(chosen: DataFrame, jumps: list[DataFrame], save) -> DataFrame:
     rows = chosen.select("sink", F.col("sink").alias("key"), F.lit(0).alias("back"))
     for i, j in reversed(list(enumerate(jumps[:-1]))):
         rows = save(rows.unionByName(rows.join(j, "key").select("sink", F.col("to").alias("key"), (F.col("back") + (1 << i)).alias("back"))))

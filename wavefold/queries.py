@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.window import Window
 
 from .functions import geo
 from .operators import association, compare, frames, spectral, stencil, surface, tracking
@@ -451,6 +452,23 @@ def track_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tracks(spark, sf_dir)[1].withColumn("track_id", F.col("track_id").cast("long"))
 
 
+@query(f"WITH RECURSIVE {PATHS} SELECT track_id, pos, key FROM paths")
+def streamed_track_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream of edges that stops and goes on twice, each time with a later part of the steps."""
+    from .streaming import tracks
+
+    edges = save(catalogue(spark, sf_dir).tracks()[1].select(F.col("time_to").cast("long").alias("time_to"), "src", "dst", "weight"), "edges")
+    third = F.ntile(3).over(Window.orderBy("time_to"))  # a row for each step of time
+    parts = edges.join(edges.select("time_to").distinct().select("time_to", third.alias("part")), "time_to")
+    source, folder = path(spark, "arriving"), path(spark, "tracks")
+    for i in (1, 2, 3):
+        parts.filter(F.col("part") == i).drop("part").write.mode("append").parquet(source)
+        if i == 3:
+            tracks.end_mark(edges).write.mode("append").parquet(source)
+        tracks.follow(spark.readStream.schema(tracks.EDGE).parquet(source), folder).trigger(availableNow=True).start().awaitTermination()
+    return tracks.tracks(spark, folder).withColumn("track_id", F.col("track_id").cast("long"))
+
+
 _SEP = "least(abs(b.lon - a.lon) % 360, 360 - abs(b.lon - a.lon) % 360)"
 
 
