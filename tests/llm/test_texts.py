@@ -258,6 +258,17 @@ def test_pii_many_matches_take_time_in_proportion(spark):
     assert masked[3] == "x" * 3000 + "card [CARD] " * 700
 
 
+def test_pii_context_reaches_over_any_matches_that_are_near(spark):
+    """A word within NEAR code points counts, before and behind, however many short matches lie between."""
+    before = [(n, "card," + "11," * n + "4111111111111111") for n in range(20)]
+    behind = [(100 + n, "4111111111111111" + ",11" * n + ",card") for n in range(20)]
+    df = spark.createDataFrame(before + behind, "doc_id long, text string")
+    got = {r["doc_id"]: next(s["score"] for s in r["pii"] if s["end"] - s["start"] == 16) for r in pii.find(df).collect()}
+    near = {i: "card" in t[: -16][-pii.NEAR :] for i, t in before} | {i: "card" in t[16:][: pii.NEAR] for i, t in behind}
+    assert {i: abs(x - 0.9) < 1e-9 for i, x in got.items()} == near
+    assert near[10] and near[110] and not near[19] and not near[119]
+
+
 def test_pii_redaction_merges_overlaps(spark):
     """Spans of several kinds over blocks' bounds, against a plain version."""
     texts = ["é" * (i * 7) + " +1 222.1.1.1 4111 1111 1111 1111 a1.2.3.4@x.yz " * (i * 9) for i in range(1, 9)]

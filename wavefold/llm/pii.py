@@ -37,8 +37,8 @@ CONTEXT = {
     "iban": "iban|account|bank|transfer|bic|swift",
 }
 NEAR, ADDS = 40, 0.2
-#: Context reaches over at most so many neighbouring matches on either side.
-AROUND = 8
+#: No kind has matches of fewer than two code points, so that no more of them lie within NEAR on either side.
+AROUND = NEAR // 2
 #: Matches are handled in runs of so many, and texts to be masked cut into blocks of so many code points.
 CHUNK, BLOCK = 256, 1024
 KINDS = list(PATTERNS)
