@@ -368,7 +368,7 @@ def _pairs_by_rows(x: list[Node], y: list[Node]) -> list[tuple[int, int]]:
     kinds: dict[tuple, int] = {}
     code = lambda nodes: np.array([kinds.setdefault((t.label, None if t.plain else t.below), len(kinds)) for t in nodes])
     xs, ys = code(x), code(y)
-    samples = {**dict(zip(ys.tolist(), y, strict=True))}
+    samples = dict(zip(ys.tolist(), y, strict=True))
     named: dict[str, list[int]] = {}
     for k, t in samples.items():
         named.setdefault(t.label, []).append(k)
