@@ -238,6 +238,33 @@ def test_packet_statistics_and_anomalies(spark):
     assert {(r["time"], r["single"], r["interleaved"]) for r in c.anomalies().collect()} == {(0, 2, 2), (1, 2, 0)}
 
 
+def plain_interleaved(packets, gate):
+    """{packets that meet another}, of {name: (first degree, degrees, low, high)}, by pairs."""
+    bins = {k: {round(a + i) % 360 for i in range(int(n) + 1)} for k, (a, n, _, _) in packets.items()}
+    return {k for k, p in packets.items() for j, q in packets.items() if j != k and bins[j] & bins[k] and max(p[2], q[2]) - min(p[3], q[3]) <= gate}
+
+
+def test_anomalies_against_pairs(spark):
+    rng = random.Random(8)
+    packets = {(t, k): (rng.randrange(360), rng.randrange(30), low := rng.randrange(0, 180) / 2, low + rng.choice((0, 0.5, 7.5, 20))) for t in range(6) for k in range(4 + 3 * t)}
+    rows = [(t, k, i, "max", float((a + x) % 360), y, 1.0, i, 0) for (t, k), (a, n, low, high) in packets.items() for i, (x, y) in enumerate(((0, low), (n, high)))]
+    c = Catalogue({"nodes": save(spark.createDataFrame(rows, schema.TABLES["nodes"]))}, {})
+    for gate in (15.0, 3.0, 0.0, -0.25):
+        want = {t: len(plain_interleaved({k: p for k, p in packets.items() if k[0] == t}, gate)) for t in range(6)}
+        assert {r["time"]: r["interleaved"] for r in c.anomalies(gate).collect()} == want
+
+
+def test_anomalies_of_many_packets_in_one_place(spark):
+    """20000 packets on a degree, which are 4e8 pairs, and two apart."""
+    many = spark.range(20000).select(F.lit(0).cast("long").alias("time"), F.col("id").alias("rwp_id"), F.lit(0).cast("long").alias("node_id"), F.lit("max").alias("node_type"), F.lit(10.0).alias("lon"), (20 + F.pmod("id", F.lit(40))).cast("double").alias("lat"), F.lit(1.0).alias("scalar"), F.lit(0).cast("long").alias("cluster_id"), F.lit(0).cast("long").alias("region_id"))
+    apart = spark.createDataFrame([(0, -1, 0, "max", 100.0, 50.0, 1.0, 0, 0), (0, -2, 0, "max", 100.0, 65.5, 1.0, 0, 0)], many.schema)
+    c = Catalogue({"nodes": many.unionByName(apart)}, {})
+    plan = c.anomalies()._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in c.anomalies().collect()] == [(0, 20002, 20000)]
+    # the one join is with a row for each step and cell, grouped
+    assert plan.count("Join") == 1
+
+
 def test_sweep_is_written_as_csv(spark, tmp_path):
     runs = spark.createDataFrame([("m", t, i, float(i == t), True) for t in (1.0, 2.0) for i in range(3)], "method string, threshold double, time int, iou double, agree boolean")
     compare.save_sweep(compare.sweep(runs), str(tmp_path / "csv"))

@@ -176,16 +176,25 @@ class Catalogue:
 
     def anomalies(self, gate: float = 15.0, order: str = "cluster_id") -> DataFrame:
         """(time, single, interleaved): how many packets have one node, and how many share arcs and a band of latitude
-        with another of their step. Packets meet by the degrees that their arcs cover."""
+        with another of their step. No pairs are made: packets are counted by the degrees that their arcs cover and by
+        cells of their low ends, half as high as the gate. All in one cell meet; one that is alone in its cell meets
+        another if the highest end below or the lowest above is within the gate."""
         w = Window.partitionBy(*PACKET).orderBy(order)
         step = geo.lon_separation(F.lag("lon").over(w), F.col("lon"))
         shape = self.nodes().withColumn("step", step).groupBy(*PACKET).agg(F.count("*").alias("n"), F.min_by("lon", order).alias("start"), F.coalesce(F.sum("step"), F.lit(0.0)).alias("arc"), F.min("lat").alias("low"), F.max("lat").alias("high"))
+        shape = shape.withColumn("cell", F.floor(F.col("low") / (gate / 2)) if gate > 0 else F.col("low"))
         # an arc of a turn or more covers all degrees
-        bins = shape.withColumn("bin", F.explode(F.array_distinct(geo.arc_bins("start", F.least("arc", F.lit(360.0))))))
-        other = bins.select("time", "bin", F.col("rwp_id").alias("rwp_id_b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"))
-        met = bins.join(other, ["time", "bin"]).filter((F.col("rwp_id") != F.col("rwp_id_b")) & geo.lat_gap_within("low", "high", "low_b", "high_b", gate)).select(*PACKET).distinct()
-        both = shape.join(met.withColumn("met", F.lit(1)), PACKET, "left")
-        return both.groupBy("time").agg(F.count_if(F.col("n") == 1).alias("single"), F.count("met").alias("interleaved"))
+        bins = F.array_distinct(geo.arc_bins("start", F.least("arc", F.lit(360.0))))
+        covered = shape.filter(F.col("low") - F.col("high") <= gate).select("time", "cell", "low", "high", F.explode(bins).alias("bin"))
+        # a row for each step, degree and cell, however many packets there are
+        cells = covered.groupBy("time", "bin", "cell").agg(F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+        w = Window.partitionBy("time", "bin").orderBy("cell")
+        below, above = F.max("high").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lead("low").over(w)
+        cells = cells.select("*", below.alias("below"), above.alias("above"))
+        met = (F.col("n") > 1) | F.coalesce(F.col("low") - F.col("below") <= gate, F.lit(False)) | F.coalesce(F.col("above") - F.col("high") <= gate, F.lit(False))
+        where = cells.filter(met).groupBy("time", "cell").agg(F.collect_set("bin").alias("met"))
+        both = shape.join(where, ["time", "cell"], "left").withColumn("meets", F.arrays_overlap(bins, "met"))
+        return both.groupBy("time").agg(F.count_if(F.col("n") == 1).alias("single"), F.count_if("meets").alias("interleaved"))
 
     def merges(self) -> DataFrame:
         return tracking.merges(self.tables["track_edges"])
