@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wavefold import queries, schema
 from wavefold.config import Config
+from wavefold.functions import geo
 from wavefold.operators import compare, features, frames, stencil, tracking
 from wavefold.plans.catalogue import Catalogue, histogram, path_edges
 from wavefold.plans.identify import amplitude_mask, extract_features, extrema_clusters, identify, packet_mask, track, tracks
@@ -265,6 +266,27 @@ def test_anomalies_of_many_packets_in_one_place(spark):
     assert plan.count("Join") == 1
 
 
+def test_nearest_as_the_c_library_has_it(spark):
+    """Of mirrored places the nearer by a bit is found as C's functions round, which are Python's too."""
+
+    def km(lat, lon):
+        (a, b), (c, d) = ((x * (math.pi / 180), y * (math.pi / 180)) for x, y in ((lat, lon), (50.0, 20.0)))
+        h = math.pow(math.sin((c - a) / 2), 2) + math.cos(a) * math.cos(c) * math.pow(math.sin((d - b) / 2), 2)
+        return 2 * 6371.0 * math.atan2(math.sqrt(h), math.sqrt(1 - h))
+
+    places = [(t, i, lon, lat) for t, (x, lat) in enumerate((x / 2, 20 + y / 2) for x in range(1, 40) for y in range(0, 121, 12)) for i, lon in enumerate((20 + x, 20 - x))]
+    df = spark.createDataFrame([(t, i, x, y) for t, i, x, y in places], "time long, rwp_id long, weighted_lon double, weighted_lat double")
+    got = df.select("time", "rwp_id", geo.exact_haversine_km("weighted_lat", "weighted_lon", 50, 20).alias("km")).collect()
+    assert [(r["time"], r["rwp_id"], r["km"]) for r in sorted(got)] == [(t, i, km(y, x)) for t, i, x, y in places]
+    plain = df.select("time", "rwp_id", geo.haversine_km("weighted_lat", "weighted_lon", 50, 20).alias("km")).collect()
+    first = lambda rows: {t: min((r["km"], r["rwp_id"]) for r in rows if r["time"] == t)[1] for t in {r["time"] for r in rows}}
+    a, b = first(got), first(plain)
+    t = min(t for t in a if a[t] != b[t])
+    c = Catalogue({"rwps": df}, {})
+    assert c.packet_at(20, 50, t).first()["rwp_id"] == a[t]
+    assert spark.range(1).select(geo.exact_haversine_km(F.lit(None).cast("double"), 0, 0, 0)).first()[0] is None
+
+
 def test_sweep_is_written_as_csv(spark, tmp_path):
     runs = spark.createDataFrame([("m", t, i, float(i == t), True) for t in (1.0, 2.0) for i in range(3)], "method string, threshold double, time int, iou double, agree boolean")
     compare.save_sweep(compare.sweep(runs), str(tmp_path / "csv"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -24,6 +25,23 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_KM) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
+def exact_haversine_km(lat1, lon1, lat2, lon2) -> Column:
+    """The same from the C library's functions, as SQL engines written in C have it to the last bit. Ways of one length come
+    out equal or differ by a bit as the functions round, and what is nearest by one library may not be by another."""
+
+    def km(lat1, lon1, lat2, lon2):
+        lat1, lon1, lat2, lon2 = (x * (math.pi / 180) for x in (lat1, lon1, lat2, lon2))
+        a = math.sin((lat2 - lat1) / 2) ** 2 + math.cos(lat1) * math.cos(lat2) * math.sin((lon2 - lon1) / 2) ** 2
+        a = min(max(a, 0.0), 1.0)
+        return 2 * EARTH_KM * math.atan2(math.sqrt(a), math.sqrt(1 - a))
+
+    def run(*columns):
+        rows = zip(*(c.astype(float) for c in columns), strict=True)
+        return pd.Series([None if any(map(math.isnan, row)) else km(*row) for row in rows], dtype=float)
+
+    return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR)(*(_c(x) for x in (lat1, lon1, lat2, lon2)))
+
+
 def is_east(lon1, lon2) -> Column:
     """Whether lon2 lies short-arc east of lon1; a difference of exactly 180 keeps its sign."""
     d = _c(lon2) - _c(lon1)

@@ -130,15 +130,15 @@ class Catalogue:
 
     def packet_at(self, lon: float, lat: float, time: int) -> DataFrame:
         """The packet whose centroid is nearest; no row if the step has none."""
-        d = geo.haversine_km("weighted_lat", "weighted_lon", lat, lon)
-        return self.rwps().filter(F.col("time") == time).groupBy("time").agg(F.min(F.struct(d.alias("km"), F.col("rwp_id"))).alias("x")).select("time", "x.rwp_id", "x.km")
+        d = geo.exact_haversine_km("weighted_lat", "weighted_lon", lat, lon)
+        return self.rwps().filter(F.col("time") == time).withColumn("km", d).groupBy("time").agg(F.min(F.struct("km", "rwp_id")).alias("x")).select("time", "x.rwp_id", "x.km")
 
     def phase_at(self, lon: float, lat: float, time: int) -> DataFrame:
         """Type of the nearest node of the nearest packet, and where the longitude falls between its bracketing nodes."""
         n = self.nodes().join(self.packet_at(lon, lat, time).select(*PACKET), PACKET)
         d = geo.haversine_km("lat", "lon", lat, lon)
         west, east = F.max(F.when(F.col("lon") <= lon, F.col("lon"))), F.min(F.when(F.col("lon") > lon, F.col("lon")))
-        x = n.groupBy(*PACKET).agg(F.min(F.struct(d.alias("km"), F.col("node_id"), F.col("node_type"))).alias("x"), west.alias("west"), east.alias("east"))
+        x = n.withColumn("km", d).groupBy(*PACKET).agg(F.min(F.struct("km", "node_id", "node_type")).alias("x"), west.alias("west"), east.alias("east"))
         return x.select(*PACKET, "x.node_type", F.try_divide(F.lit(lon) - F.col("west"), F.col("east") - F.col("west")).alias("fraction"))
 
     def match_points(self, points: DataFrame, radius_km: float = 850.0) -> DataFrame:
