@@ -136,7 +136,7 @@ class Catalogue:
     def phase_at(self, lon: float, lat: float, time: int) -> DataFrame:
         """Type of the nearest node of the nearest packet, and where the longitude falls between its bracketing nodes."""
         n = self.nodes().join(self.packet_at(lon, lat, time).select(*PACKET), PACKET)
-        d = geo.haversine_km("lat", "lon", lat, lon)
+        d = geo.exact_haversine_km("lat", "lon", lat, lon)
         west, east = F.max(F.when(F.col("lon") <= lon, F.col("lon"))), F.min(F.when(F.col("lon") > lon, F.col("lon")))
         x = n.withColumn("km", d).groupBy(*PACKET).agg(F.min(F.struct("km", "node_id", "node_type")).alias("x"), west.alias("west"), east.alias("east"))
         return x.select(*PACKET, "x.node_type", F.try_divide(F.lit(lon) - F.col("west"), F.col("east") - F.col("west")).alias("fraction"))
