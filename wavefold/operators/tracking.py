@@ -18,7 +18,8 @@ def overlaps(cells: DataFrame) -> DataFrame:
     """(time_to, feat_from, feat_to, overlap): sums of the root of both energies over shared cells of adjacent steps."""
     live = cells.filter("rwp_id <> 0")
     prev = live.select((F.col("time") + 1).alias("time"), "row", "col", F.col("rwp_id").alias("feat_from"), F.col("energy").alias("e_from"))
-    both = live.join(prev, ["time", "row", "col"])
+    # cells of all steps do not go through the driver, however few bytes their files are
+    both = live.join(prev.hint("merge"), ["time", "row", "col"])
     sums = both.groupBy(F.col("time").alias("time_to"), "feat_from", F.col("rwp_id").alias("feat_to")).agg(F.sum(F.sqrt(F.col("e_from") * F.col("energy"))).alias("overlap"))
     return sums.filter("overlap > 0")
 

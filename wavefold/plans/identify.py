@@ -128,7 +128,7 @@ def identify(field: DataFrame, c: Config, *, n_lon: int | None = None, pixels: i
 def track(found: dict[str, DataFrame], *, number_steps: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The catalogue's track_nodes and track_edges (not pruned) of what identify() found, of the first ``number_steps`` steps
     of time. Packets that others cover in the raster are no vertices."""
-    cells = found["labels"].join(found["energies"], ["time", "row", "col"], "left").select(F.col("time").cast("long").alias("time"), "row", "col", "rwp_id", F.coalesce("energy", F.lit(0.0)).alias("energy"))
+    cells = found["labels"].join(found["energies"].hint("merge"), ["time", "row", "col"], "left").select(F.col("time").cast("long").alias("time"), "row", "col", "rwp_id", F.coalesce("energy", F.lit(0.0)).alias("energy"))
     if number_steps is not None:
         cells = cells.filter(F.col("time") < number_steps)
     cells = save(cells, "cells")

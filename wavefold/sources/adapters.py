@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from .staging import sized
 
 #: A frame of the field holds so many latitudes and longitudes.
 NLAT, NLON = 25, 144
@@ -14,6 +15,7 @@ RASTER = 32
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized(spark)
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
