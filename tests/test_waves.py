@@ -287,6 +287,23 @@ def test_nearest_as_the_c_library_has_it(spark):
     assert spark.range(1).select(geo.exact_haversine_km(F.lit(None).cast("double"), 0, 0, 0)).first()[0] is None
 
 
+def test_many_rows_in_small_files_are_not_sent_through_the_driver(spark):
+    """Features whose files are smaller than what is broadcast, and in memory far larger."""
+    box = F.array(*(F.struct((F.lit(x) + F.pmod("id", F.lit(10))).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))))
+    rows = spark.range(20000).select(F.lit("r").alias("run"), F.floor(F.col("id") / 10).alias("time"), F.pmod("id", F.lit(10)).alias("id"), F.lit("max").alias("node_type"), F.lit(2.0).alias("lon"), F.lit(1.0).alias("lat"), F.lit(1.0).alias("scalar"), box.alias("ring"), F.lit("strong").alias("strength"))
+    found = save(rows)
+    plan = features.pairs(found, 20.0)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert float(spark.conf.get("spark.sql.sources.fileCompressionFactor")) > 1
+
+
+def test_groups_of_much_work_are_spread(spark):
+    """Few bytes, which would be joined to one task, keep the session's number of tasks."""
+    points = spark.createDataFrame([(0, k, 0, float(x), float(y)) for k in range(40) for x, y in ((0, 0), (1, 0), (0, 1))], "time int, rwp_id long, node long, x double, y double")
+    found = frames.node_hulls(points)
+    assert found.count() == 40 and found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_sweep_is_written_as_csv(spark, tmp_path):
     runs = spark.createDataFrame([("m", t, i, float(i == t), True) for t in (1.0, 2.0) for i in range(3)], "method string, threshold double, time int, iou double, agree boolean")
     compare.save_sweep(compare.sweep(runs), str(tmp_path / "csv"))

@@ -39,7 +39,8 @@ def pairs(features: DataFrame, most_shift: float | None = 20.0) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / widest)
     cells = box.withColumn("cx", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("cy", F.explode(F.sequence(at("y1"), at("y2"))))
     old = cells.select("run", (F.col("time") + 1).alias("time"), "node_type", "cx", "cy", *(F.col(c).alias(f"{c}_b") for c in ("id", "lon", "lat", "ring", "x1", "x2", "y1", "y2")))
-    both = cells.join(old, ["run", "time", "node_type", "cx", "cy"])
+    # rows with rings, each as often as it has cells, do not go through the driver
+    both = cells.join(old.hint("merge"), ["run", "time", "node_type", "cx", "cy"])
     low = lambda c: F.greatest(f"{c}1", f"{c}1_b")
     both = both.filter((low("x") < F.least("x2", "x2_b")) & (low("y") < F.least("y2", "y2_b")) & (F.floor(low("x") / widest) == F.col("cx")) & (F.floor(low("y") / widest) == F.col("cy")))
     if most_shift is not None:
