@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo
+from ..sources.staging import spread
 
 #: Weights are compared in whole units, of which the frame's largest has so many: sums do not depend on their order.
 UNITS = 1 << 40
@@ -279,4 +280,4 @@ def packets(edges: DataFrame, gate: float = 15.0) -> DataFrame:
         rows = [(i + 1, k, n) for i, p in enumerate(frame.adopt(frame.packets())) for k, n in enumerate(p)]
         return pd.DataFrame(rows, columns=["rwp_id", "pos", "node"], dtype="int64").assign(time=pdf["time"].iloc[0])[["time", "rwp_id", "pos", "node"]]
 
-    return edges.withColumn("turn", geo.arc_bins("lon1", F.lit(359.0))).groupBy("time").applyInPandas(run, "time int, rwp_id long, pos long, node long")
+    return spread(edges.withColumn("turn", geo.arc_bins("lon1", F.lit(359.0))), "time").groupBy("time").applyInPandas(run, "time int, rwp_id long, pos long, node long")

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import spread
+
 
 def _extremes(df: DataFrame, sign: int) -> DataFrame:
     """v against the 3 x 3 extreme: longitudes wrap, and beyond the first and last latitude stands 0."""
@@ -45,7 +47,7 @@ def _stretched() -> Column:
 def zero_contour(df: DataFrame) -> DataFrame:
     """Where the field changes sign between neighbours east or north, by linear interpolation in lat and lon."""
     # one shuffle, by frames, serves both windows
-    frames = df.repartition("time")
+    frames = spread(df, "time")
     near = lambda by, along: F.lead(F.struct("lat", "lon", "v", F.col(along).alias("at"))).over(Window.partitionBy("time", by).orderBy(along))
     both = frames.select("*", near("lat_idx", "lon_idx").alias("east"), near("lon_idx", "lat_idx").alias("north"))
     side = F.explode(F.array(F.when(F.col("east.at") == F.col("lon_idx") + 1, F.col("east")), F.when(F.col("north.at") == F.col("lat_idx") + 1, F.col("north"))))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geo
+from ..sources.staging import spread
 
 VERTEX = "struct<id:string,lat:double,lon:double,v:double>"
 
@@ -22,7 +23,7 @@ VERTEX = "struct<id:string,lat:double,lon:double,v:double>"
 def triangles(field: DataFrame, n_lon: int) -> DataFrame:
     """(time, a, b, c): each cell of four neighbouring points (around the seam too) as two triangles."""
     point = F.struct((F.col("lat_idx") * n_lon + F.col("lon_idx")).cast("string").alias("id"), *(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "v")))
-    rows = field.repartition("time").select("time", "lat_idx", "lon_idx", point.alias("p"))
+    rows = spread(field, "time").select("time", "lat_idx", "lon_idx", point.alias("p"))
     # the first column comes a second time, beyond the last
     at = F.explode(F.when(F.col("lon_idx") == 0, F.array(F.lit(0), F.lit(n_lon))).otherwise(F.array("lon_idx")))
     wide = rows.withColumn("at", at)
@@ -190,7 +191,8 @@ def cluster(surface: DataFrame, extrema: DataFrame, *, eps_km: float = 3000.0, s
         name = parts(len(own), a, b)
         return pd.DataFrame({"time": np.int32(left["time"].iloc[0]), "cell": [c for c, _ in own], "region": [least[g.region[i]] for _, i in own], "cluster": [own[k][0] for k in name]})
 
-    return flat(surface).groupBy("time", "sign").cogroup(extrema.select(F.col("time").alias("on_time"), F.col("sign").alias("on_sign"), "cell").groupBy("on_time", "on_sign")).applyInPandas(run, "time int, cell long, region long, cluster long")
+    right = extrema.select(F.col("time").alias("on_time"), F.col("sign").alias("on_sign"), "cell")
+    return spread(flat(surface), "time", "sign").groupBy("time", "sign").cogroup(spread(right, "on_time", "on_sign").groupBy("on_time", "on_sign")).applyInPandas(run, "time int, cell long, region long, cluster long")
 
 
 def around(surface: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -211,5 +213,5 @@ def around(surface: DataFrame, nodes: DataFrame) -> DataFrame:
         return pd.concat(out)[names] if out else pd.DataFrame(columns=names)
 
     # names of its own, as both sides may come from one table
-    right = nodes.select(*(F.col(k).alias(f"on_{k}") for k in keys), "node", "cell").groupBy(*(f"on_{k}" for k in keys))
-    return flat(surface).groupBy(*keys).cogroup(right).applyInPandas(run, "time int, rwp_id long, node long, id string, lat double, lon double, v double")
+    right = spread(nodes.select(*(F.col(k).alias(f"on_{k}") for k in keys), "node", "cell"), *(f"on_{k}" for k in keys))
+    return spread(flat(surface), *keys).groupBy(*keys).cogroup(right.groupBy(*(f"on_{k}" for k in keys))).applyInPandas(run, "time int, rwp_id long, node long, id string, lat double, lon double, v double")
