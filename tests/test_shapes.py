@@ -144,3 +144,14 @@ def test_packets_of_rings_of_any_length(spark):
     df = spark.createDataFrame(rows, "time int, rwp_id long, ring array<struct<x:double,y:double>>")
     got = {(r["time"], r["rwp_id"]): (r["area"], r["polygons"], r["holes"]) for r in frames.merged(df).collect()}
     assert got == {(0, 1): (size(shapes.union([box(0, 0, 4, 4), [(4, 0), (8, 0), (4, 4)], L])), 1, 0), (0, 2): (28, 1, 0), (1, 1): (1.5, 2, 0)}
+
+
+def test_rings_apart_make_no_arrangement(monkeypatch):
+    """Convex rings whose boxes do not touch are their own unions; others are arranged with their neighbours only."""
+    box = lambda x, y: [(x, y), (x + 2.0, y), (x + 2.0, y + 1.0), (x, y + 1.0)]
+    asked = []
+    plane = shapes._Plane
+    monkeypatch.setattr(shapes, "_Plane", lambda groups: asked.append(len(groups[0])) or plane(groups))
+    assert shapes.union([box(0.0, 0.0), box(10.0, 0.0)[::-1]]) == [[box(0.0, 0.0)], [box(10.0, 0.0)]] and not asked
+    found = shapes.union([box(0.0, 0.0), box(10.0, 0.0), box(11.0, 0.5), box(30.0, 5.0)])
+    assert asked == [2] and len(found) == 3 and found[:2] == [[box(0.0, 0.0)], [box(30.0, 5.0)]]
