@@ -5,6 +5,7 @@ import math
 import random
 import struct
 
+import numpy as np
 import pytest
 
 from wavefold.operators import frames, shapes
@@ -155,3 +156,33 @@ def test_rings_apart_make_no_arrangement(monkeypatch):
     assert shapes.union([box(0.0, 0.0), box(10.0, 0.0)[::-1]]) == [[box(0.0, 0.0)], [box(10.0, 0.0)]] and not asked
     found = shapes.union([box(0.0, 0.0), box(10.0, 0.0), box(11.0, 0.5), box(30.0, 5.0)])
     assert asked == [2] and len(found) == 3 and found[:2] == [[box(0.0, 0.0)], [box(30.0, 5.0)]]
+
+
+def test_overlaps_of_many_pairs():
+    """Angles, boxes, stars of either direction and rings that cross themselves, all at once: as pair by pair."""
+    rng = random.Random(7)
+
+    def star(n):
+        x, y, turns = rng.randrange(8), rng.randrange(8), sorted(rng.uniform(0, 6.28) for _ in range(n))
+        ring = [(round(x + r * math.cos(a), 2), round(y + r * math.sin(a), 2)) for a in turns for r in [rng.uniform(1, 6)]]
+        return ring[:: rng.choice((1, -1))]
+
+    def angle():
+        x, y = rng.randrange(20) / 2, rng.randrange(20) / 2
+        return [(x + a, y + b) for a, b in ((-5, -5), (5, -5), (5, 0), (0, 0), (0, 5), (-5, 5))]
+
+    def any_ring():
+        return rng.choice((lambda: star(rng.randrange(3, 9)), angle, lambda: [(rng.randrange(5), rng.randrange(5)) for _ in range(rng.randrange(1, 7))]))()
+
+    def flat(rings):
+        n = np.array([len(r) for r in rings])
+        return np.array([p for r in rings for p in r], float), np.cumsum(n) - n, n
+
+    some, left = [(any_ring(), any_ring()) for _ in range(400)], []
+    slow = lambda a, b: left.append(1) or shapes.iou([a], [b])
+    got = shapes.ious(flat([a for a, _ in some]), flat([b for _, b in some]), slow)
+    # the exact way has its points on a grid
+    assert got == pytest.approx([shapes.iou([a], [b]) for a, b in some], abs=1e-8) and 0 < len(left) < 300
+    angles = [(angle(), angle()) for _ in range(100)]
+    got = shapes.ious(flat([a for a, _ in angles]), flat([b for _, b in angles]), None)
+    assert got == pytest.approx([shapes.iou([a], [b]) for a, b in angles], abs=1e-12)

@@ -12,7 +12,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
@@ -29,6 +32,12 @@ def _iou(a: list, b: list) -> float:
     return round(frames.iou(a, b) if shapes.is_convex(a) and shapes.is_convex(b) else shapes.iou([a], [b]), 9)
 
 
+def _flat(rings: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All points of rings, where each ring begins, and how many points it has."""
+    n, p = pa.compute.list_value_length(rings).to_numpy(zero_copy_only=False), rings.flatten()
+    return np.stack([p.field(c).to_numpy(zero_copy_only=False) for c in "xy"], axis=1), np.cumsum(n) - n, n
+
+
 def pairs(features: DataFrame, most_shift: float | None = 20.0) -> DataFrame:
     """(run, time, id, before, iou) for features of adjacent steps of one run and type whose footprints overlap, and which
     are at most ``most_shift`` degrees apart; ``before`` is the id in the step before. Footprints meet by the cells
@@ -47,12 +56,13 @@ def pairs(features: DataFrame, most_shift: float | None = 20.0) -> DataFrame:
         dlon, dlat = geo.signed_east("lon_b", "lon"), F.col("lat") - F.col("lat_b")
         both = both.filter(F.sqrt(dlon * dlon + dlat * dlat) <= most_shift)
 
-    def score(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ring = lambda r: [(p["x"], p["y"]) for p in r]
-        for pdf in pdfs:
-            yield pdf[[*_KEY, "before"]].assign(iou=[_iou(ring(a), ring(b)) for a, b in zip(pdf["ring"], pdf["ring_b"], strict=True)])
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rings = (_flat(batch.column(c)) for c in ("ring", "ring_b"))
+            found = pa.array([round(x, 9) for x in shapes.ious(*rings, _iou)], pa.float64())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], names=[*_KEY, "before", "iou"])
 
-    scored = both.select(*_KEY, F.col("id_b").alias("before"), "ring", "ring_b").mapInPandas(score, "run string, time long, id long, before long, iou double")
+    scored = both.select(*_KEY, F.col("id_b").alias("before"), "ring", "ring_b").mapInArrow(score, "run string, time long, id long, before long, iou double")
     return scored.filter("iou > 0")
 
 
