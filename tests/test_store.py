@@ -5,7 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from wavefold.functions import geo
 from wavefold import schema
 from wavefold.plans.catalogue import Catalogue
 from wavefold.sources import field
@@ -58,3 +60,30 @@ def test_points_meet_packets_over_poles_and_seams(spark, radius):
 
     want = sorted(((p, p[1] is not None and any(q[0] == p[0] and km(p, q) <= radius for q in packets)) for p in points), key=str)
     assert sorted((((r["time"], r["lon"], r["lat"]), r["matched"]) for r in got), key=str) == want
+
+
+def test_points_among_many_packets_are_not_measured(spark, monkeypatch):
+    """Distances are for small cubes that the radius cuts, not for all packets near a point."""
+    rng = random.Random(9)
+    near = lambda lon, lat: (0, lon + rng.uniform(-0.4, 0.4), lat + rng.uniform(-0.4, 0.4))
+    rwps = spark.createDataFrame([(t, i, lon, lat, 1.0, 1, 0.0, None) for i, (t, lon, lat) in enumerate(near(10, 50) for _ in range(200))], schema.TABLES["rwps"])
+    points = spark.createDataFrame([near(*at) for at in ((10, 50), (12, 53), (40, 50), (10, 80)) for _ in range(50)], "time bigint, lon double, lat double")
+    monkeypatch.setattr(geo, "haversine_km", lambda *_: F.raise_error(F.concat(F.lit("measured "), F.lit("a pair"))).cast("double"))
+    got = Catalogue({"rwps": rwps}, {}).match_points(points, 850.0).collect()
+    assert len(got) == 200 and all(r["matched"] == (r["lon"] < 20 and r["lat"] < 60) for r in got)
+
+
+def test_points_round_many_packets(spark):
+    """Places on a ring as wide as the radius round a cloud of packets: some within it, some not."""
+    rng = random.Random(10)
+    packets = [(10 + rng.uniform(-1, 1), 50 + rng.uniform(-1, 1)) for _ in range(150)]
+    points = [(10 + 14 * math.cos(a), 50 + 8.6 * math.sin(a)) for a in (rng.uniform(0, 6.28) for _ in range(150))]
+    rwps = spark.createDataFrame([(0, i, lon, lat, 1.0, 1, 0.0, None) for i, (lon, lat) in enumerate(packets)], schema.TABLES["rwps"])
+
+    def km(x, a, y, b):
+        x, a, y, b = map(math.radians, (x, a, y, b))
+        return 2 * 6371 * math.asin(math.sqrt(math.sin((a - b) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((x - y) / 2) ** 2))
+
+    got = Catalogue({"rwps": rwps}, {}).match_points(spark.createDataFrame([(0, *p) for p in points], "time bigint, lon double, lat double"), 850.0).collect()
+    want = {p: any(km(*p, *q) <= 850 for q in packets) for p in points}
+    assert {(r["lon"], r["lat"]): r["matched"] for r in got} == want and 20 < sum(want.values()) < 130

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geo
 from ..operators import tracking
 from ..sources import catalogue_io
+from ..sources.staging import save
 
 PACKET = ["time", "rwp_id"]
 
@@ -142,22 +143,37 @@ class Catalogue:
         return x.select(*PACKET, "x.node_type", F.try_divide(F.lit(lon) - F.col("west"), F.col("east") - F.col("west")).alias("fraction"))
 
     def match_points(self, points: DataFrame, radius_km: float = 850.0) -> DataFrame:
-        """``points`` (lon, lat, time) with whether a packet of that time lies within the radius. Points and packets
-        meet by time and by cubes in space whose side is the radius's chord: poles and seams are like other places, and a
-        point meets the packets of 27 cubes."""
-        side = 2 * math.sin(min(radius_km / (2 * geo.EARTH_KM), math.pi / 2)) * (1 + 1e-9) or 1e-9
-        place = ["time", "lon", "lat"]
-
-        def cube(lat: str, lon: str) -> list[Column]:
+        """``points`` (lon, lat, time) with whether a packet of that time lies within the radius. Places are in cubes in
+        space, so that poles and seams are like other places. One with a packet in its cube of half the radius's chord is
+        matched. What is left meets small cubes with packets, of which there are so many at most, however many packets;
+        only packets of those that the radius cuts are measured, and only if no small cube is wholly within it."""
+        chord, parts = 2 * math.sin(min(radius_km / (2 * geo.EARTH_KM), math.pi / 2)), 16
+        size = (chord * (1 + 1e-9) if chord > 0 else 1e-9) / parts
+        place, cube, wide = ["time", "lon", "lat"], ["_0", "_1", "_2"], ["w0", "w1", "w2"]
+
+        def placed(df: DataFrame, lat: str, lon: str) -> DataFrame:
             a, b = F.radians(lat), F.radians(lon)
-            return [F.floor(x / side).alias(f"_{i}") for i, x in enumerate((F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)))]
-
-        cubes = ["_0", "_1", "_2"]
-        keyed = points.select(*place).distinct().select(*place, *cube("lat", "lon"))
-        r = self.rwps().select("time", "weighted_lon", "weighted_lat", *cube("weighted_lat", "weighted_lon"))
-        for c in cubes:
-            r = r.withColumn(c, F.explode(F.array(*(F.col(c) + i for i in (-1, 0, 1)))))
-        hits = keyed.join(r, ["time", *cubes]).filter(geo.haversine_km("lat", "lon", "weighted_lat", "weighted_lon") <= radius_km).select(*place).distinct()
+            df = df.withColumns({"x0": F.cos(a) * F.cos(b), "x1": F.cos(a) * F.sin(b), "x2": F.sin(a)})
+            # neither null nor NaN
+            return df.filter(F.col("x0").between(-1, 1) & F.col("x1").between(-1, 1) & F.col("x2").between(-1, 1)).withColumns({c: F.floor(F.col(f"x{c[1]}") / size) for c in cube})
+
+        def larger(df: DataFrame, n: int) -> DataFrame:
+            return df.withColumns({w: F.floor(F.col(c) / n) for w, c in zip(wide, cube, strict=True)})
+
+        r = save(placed(self.rwps().select("time", "weighted_lon", "weighted_lat"), "weighted_lat", "weighted_lon").select("time", "weighted_lon", "weighted_lat", *cube), "packets")
+        full = r.select("time", *cube).distinct()
+        near = larger(full, parts // 2).select("time", *wide).distinct().withColumn("sure", F.lit(chord > 0))
+        known = save(larger(placed(points.select(*place).distinct(), "lat", "lon"), parts // 2).join(near, ["time", *wide], "left").drop(*wide, *cube), "places")
+        rest = larger(placed(known.filter("sure IS NULL OR NOT sure").select(*place), "lat", "lon"), parts).drop(*cube)
+        for w in wide:
+            rest = rest.withColumn(w, F.explode(F.array(*(F.col(w) + i for i in (-1, 0, 1)))))
+        middle = sum((F.col(f"x{c[1]}") - (F.col(c) + 0.5) * size) ** 2 for c in cube)
+        met = rest.join(larger(full, parts), ["time", *wide]).withColumn("d", F.sqrt(middle)).filter(F.col("d") <= size * (parts + 1))
+        met = save(met.select(*place, *cube, (F.col("d") + size <= chord).alias("sure")), "met")
+        held = met.filter("sure").select(*place).distinct()
+        cut = met.filter("NOT sure").join(held, place, "left_anti").join(r, ["time", *cube])
+        cut = cut.filter(geo.haversine_km("lat", "lon", "weighted_lat", "weighted_lon") <= radius_km).select(*place).distinct()
+        hits = known.filter("sure").select(*place).unionByName(held).unionByName(cut)
         out = points.join(hits.withColumn("matched", F.lit(True)), place, "left")
         return out.select(*points.columns, F.coalesce("matched", F.lit(False)).alias("matched"))
 
