@@ -51,6 +51,20 @@ def test_agreement_against_sets(spark):
         assert (r["only_a"], r["only_b"]) == pytest.approx((len(a - b) / 36, len(b - a) / 36))
 
 
+def test_agreement_by_cells_of_the_field(spark):
+    """A mask of the field's cells counts as its pixels do: cells of several pixels and of none, pixels of no cell, rows that come twice."""
+    rng = np.random.default_rng(3)
+    cells = spark.createDataFrame([(r, c, r // 3, c // 2) for r in range(6) for c in range(5)], "row int, col int, lat_idx int, lon_idx int")
+    mask = spark.createDataFrame([(int(t), int(i), int(j)) for t, i, j in rng.integers(0, 4, (12, 3))] * 2, "time int, lat_idx int, lon_idx int")
+    pixels = [("m", float(x), int(t), int(r), int(c)) for x, t, r, c in rng.integers(0, 7, (60, 4))]
+    hits = spark.createDataFrame(pixels, "method string, threshold double, time int, row int, col int")
+    thresholds = spark.createDataFrame([("m", float(t), s) for t, s in ((0, True), (3, True), (6, True))], "method string, threshold double, suffix boolean")
+    times = spark.range(6).select(F.col("id").cast("int").alias("time"))
+    want = compare.agreement(hits, compare.regrid(mask, cells), thresholds, times, 36)
+    got = compare.agreement(hits, mask, thresholds, times, 36, cells)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.agg(F.sum("shared")).first()[0] > 5
+
+
 def test_sweep_equals_masks_made_one_at_a_time(spark, two_steps):
     prunings, amplitudes = [0.0, 0.02, 0.03, 9.0], [12.0, 20.0, 25.0]
     c = Config(**vars(CONFIG) | {"max_edge_weight": 10.0})

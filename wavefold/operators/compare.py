@@ -56,14 +56,22 @@ def regrid(mask: DataFrame, cells: DataFrame) -> DataFrame:
     return mask.select("time", "lat_idx", "lon_idx").join(cells, ["lat_idx", "lon_idx"]).select(*PIXEL)
 
 
-def agreement(hits: DataFrame, reference: DataFrame, thresholds: DataFrame, times: DataFrame, n_pixels: int) -> DataFrame:
+def agreement(hits: DataFrame, reference: DataFrame, thresholds: DataFrame, times: DataFrame, n_pixels: int, cells: DataFrame | None = None) -> DataFrame:
     """(method, threshold, time, shared, joint, iou, agree, only_a, only_b) of masks at all ``thresholds`` (method,
     threshold, suffix) against one reference mask. A row of ``hits`` (method, threshold, time, row, col) is a pixel of the
     mask at its threshold and, for methods with ``suffix``, of those at all lower ones: such a pixel is counted once, at the
-    highest threshold that it reaches, and the counts are summed from there down."""
-    known = reference.select(*PIXEL).distinct().withColumn("there", F.lit(1))
-    n = hits.select("method", "threshold", *PIXEL).distinct().join(known, PIXEL, "left").groupBy("method", "threshold", "time").agg(F.count("*").alias("n"), F.count("there").alias("shared"))
-    total = known.groupBy("time").agg(F.count("*").alias("total"))
+    highest threshold that it reaches, and the counts are summed from there down. With ``cells``, each pixel's cell of
+    the field (row, col, lat_idx, lon_idx), the reference is a mask of the field (time, lat_idx, lon_idx), whose pixels are
+    counted by cell and never listed."""
+    hits = hits.select("method", "threshold", *PIXEL).distinct()
+    if cells is None:
+        at, known = PIXEL, reference.select(*PIXEL).distinct()
+        total = known.groupBy("time").agg(F.count("*").alias("total"))
+    else:
+        at, known = ["time", "lat_idx", "lon_idx"], reference.select("time", "lat_idx", "lon_idx").distinct()
+        hits = hits.join(cells, ["row", "col"], "left")
+        total = known.join(cells.groupBy("lat_idx", "lon_idx").agg(F.count("*").alias("pixels")), ["lat_idx", "lon_idx"]).groupBy("time").agg(F.sum("pixels").alias("total"))
+    n = hits.join(known.withColumn("there", F.lit(1)), at, "left").groupBy("method", "threshold", "time").agg(F.count("*").alias("n"), F.count("there").alias("shared"))
     # some thresholds for each time step, whatever the raster's size
     grid = times.select("time").distinct().join(thresholds, how="cross").join(total, "time", "left").join(n, ["method", "threshold", "time"], "left")
     down = Window.partitionBy("method", "time").orderBy(F.col("threshold").desc())

@@ -188,7 +188,7 @@ def method_sweep(field: DataFrame, c: Config, *, amplitudes: list[float], prunin
         envelope = spectral.truncate(envelope, truncation, n_lat=n_lat, n_lon=n_lon, value="envelope")
     if smooth > 1:
         envelope = stencil.running_mean(envelope.withColumnRenamed("envelope", "v"), smooth).withColumnRenamed("v", "envelope")
-    seen = compare.regrid(compare.envelope_mask(envelope, reference), compare.nearest_cells(grid, field))
+    seen, cells = compare.envelope_mask(envelope, reference), save(compare.nearest_cells(grid, field), "cells")
     high, low, members = extrema_clusters(field, c, n_lon)
     both = high.unionByName(low)
     x, y = geo.to_stereographic("lat", "lon", c.hemisphere)
@@ -202,7 +202,7 @@ def method_sweep(field: DataFrame, c: Config, *, amplitudes: list[float], prunin
     hits = hits.unionByName(frames.touched(hulls, pixels).join(inside, ["row", "col"]).select(F.lit("edge_pruning").alias("method"), at.alias("threshold"), "time", "row", "col"))
     runs = [("node_amplitude", float(t), True) for t in amplitudes] + [("edge_pruning", float(t), False) for t in prunings]
     thresholds = field.sparkSession.createDataFrame(runs, "method string, threshold double, suffix boolean")
-    return compare.agreement(hits, seen, thresholds, field.select("time"), grid.count())
+    return compare.agreement(hits, seen, thresholds, field.select("time"), grid.count(), cells)
 
 
 def amplitude_mask(field: DataFrame, c: Config, grid: DataFrame, least: float, *, n_lon: int, pixels: int = 512) -> DataFrame:

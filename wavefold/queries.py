@@ -666,7 +666,7 @@ def amplitude_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Extrema as footprints, at six thresholds, against the wave envelope on the polar raster, in one pass."""
     f = adapters.field(spark, sf_dir)
     grid = save(compare.in_band(compare.pixel_grid(spark, _RASTER, frames.HALF_WIDTH)), "grid")
-    seen = compare.regrid(compare.envelope_mask(stencil.envelope(f), 6.0), compare.nearest_cells(grid, f))
+    seen, cells = compare.envelope_mask(stencil.envelope(f), 6.0), save(compare.nearest_cells(grid, f), "cells")
     high, low = _extrema(spark, sf_dir)
     x, y = geo.to_stereographic("lat", "lon")
     points = high.unionByName(low).select("time", F.lit(0).cast("long").alias("rwp_id"), F.col("id").alias("node"), F.abs("v").alias("level"), x.alias("x"), y.alias("y"))
@@ -674,7 +674,7 @@ def amplitude_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = [10.0, 20.0, 30.0, 40.0, 50.0, 60.0]
     hits = compare.levelled(frames.touched(hulls, _RASTER).join(grid.select("row", "col"), ["row", "col"]), "node_amplitude", levels)
     thresholds = spark.createDataFrame([("node_amplitude", t, True) for t in levels], "method string, threshold double, suffix boolean")
-    runs = compare.agreement(hits, seen, thresholds, f.select("time"), grid.count())
+    runs = compare.agreement(hits, seen, thresholds, f.select("time"), grid.count(), cells)
     return rounded(compare.sweep(runs), "mean_iou", "mean_only_a", "mean_only_b", places=9)
 
 
