@@ -4,13 +4,14 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from wavefold import queries, schema
 from wavefold.config import Config
 from wavefold.functions import geo
-from wavefold.operators import compare, features, frames, stencil, tracking
+from wavefold.operators import association, compare, features, frames, stencil, tracking
 from wavefold.plans.catalogue import Catalogue, histogram, path_edges
 from wavefold.plans.identify import amplitude_mask, extract_features, extrema_clusters, identify, packet_mask, track, tracks
 from wavefold.sources import catalogue_io
@@ -478,3 +479,31 @@ def test_histograms(spark):
     df = spark.createDataFrame([(1.0,), (1.0,)], "x double")
     assert [(r["left"], r["right"], r["density"]) for r in histogram(df, "x", 2).orderBy("left").collect()] == [(0.5, 1.0, 0.0), (1.0, 1.5, 2.0)]
     assert histogram(df.filter("false"), "x", 3).collect() == []
+
+
+def test_association_sorts_no_candidates(spark):
+    """Nearest of each kind by plain distances, with ties, points far from all, and steps that lack a kind or a contour; a
+    frame's points meet its extrema in one group, and windows over frames share one shuffle."""
+    rng = random.Random(5)
+    spot = lambda t: (t, round(rng.uniform(-90, 90)), round(rng.uniform(0, 360)))
+    contour = [spot(t) for t in (0, 1, 2, 4) for _ in range(40)] + [(0, 10, 30)] * 2
+    high, low = ([(t, i, *spot(t)[1:], s * 30.0) for t in times for i in rng.sample(range(90), 9)] for s, times in ((1, (0, 1, 3, 4)), (-1, (0, 2, 3, 4))))
+    # two at one place
+    high += [(0, 95, 10, 20, 30.0), (0, 94, 10, 20, 30.0)]
+    extrema = [spark.createDataFrame([(t, i, float(a), float(b), v) for t, i, a, b, v in some], "time int, id long, lat double, lon double, v double") for some in (high, low)]
+    points = spark.createDataFrame([(t, float(a), float(b)) for t, a, b in contour], "time int, lat double, lon double")
+
+    def near(t, lat, lon, some):
+        xyz = lambda a, b: [math.cos(math.radians(a)) * math.cos(math.radians(b)), math.cos(math.radians(a)) * math.sin(math.radians(b)), math.sin(math.radians(a))]
+        return min((round(math.dist(xyz(lat, lon), xyz(a, b)), 12), i) for s, i, a, b, _ in some if s == t)[1]
+
+    want = {(t, near(t, a, b, high), near(t, a, b, low)) for t, a, b in contour if t in (0, 4)}
+    pairs = association.associate(points, *extrema)
+    rows = [tuple(r) for r in pairs.collect()]
+    assert set(rows) == want and len(rows) == len(want) and any(m == 94 for _, m, _ in rows)
+    assert association.associate(points.filter("false"), *extrema).collect() == []
+    at = np.array([[rng.uniform(-1, 1) for _ in range(3)] for _ in range(30)])
+    assert association._nearest(at, at[:7], 20).tolist() == association._nearest(at, at[:7]).tolist()
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    maxima = stencil.local_maxima(save(spark.createDataFrame([(t, i, j, 20.0 + i, 1.0 * j, float(i * j)) for t in range(2) for i in range(3) for j in range(4)], schema.FIELD)), 1.0)
+    assert maxima._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

@@ -2,47 +2,49 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import geo
+from ..sources.staging import spread
 
 
 def _xyz(lat: str, lon: str) -> list:
     a, b = F.radians(lat), F.radians(lon)
-    return [F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)]
-
-
-def nearest(points: DataFrame, extrema: DataFrame, name: str) -> DataFrame:
-    """For each point the nearest extremum of its time step (by chord, ties to the smaller id) as column ``name``.
-
-    Both sides are cut into cells of 30 degrees. Candidates come from a point's own cell and those around it; a point
-    whose nearest there is further than the cells surely reach looks at all extrema of its time step."""
-    size = 30
-    cells = lambda lat, lon: (F.floor(lat / size).cast("int").alias("band"), F.floor(F.pmod(lon, F.lit(360.0)) / size).cast("int").alias("column"))
-    e = extrema.select("time", F.col("id").alias(name), F.col("lat").alias("elat"), F.col("lon").alias("elon"))
-    p = points.select("time", "pid", "lat", "lon", *cells(F.col("lat"), F.col("lon")))
-    near = e.select("*", *cells(F.col("elat"), F.col("elon")))
-    around = near.withColumn("d", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))))
-    around = around.select("time", name, "elat", "elon", (F.col("band") + F.col("d.i")).alias("band"), F.pmod(F.col("column") + F.col("d.j"), F.lit(360 // size)).alias("column"))
-    dist = sum((a - b) * (a - b) for a, b in zip(_xyz("lat", "lon"), _xyz("elat", "elon"), strict=True))
-    best = lambda df: df.groupBy("time", "pid").agg(F.min(F.struct(dist.alias("d"), F.col(name))).alias("best"))
-    local = best(p.join(around, ["time", "band", "column"]))
-    # what is in no cell around is at least 30 degrees of latitude or of longitude away; the shorter of the two ways, that
-    # to the meridian, as a squared chord
-    reach = 2 - 2 * F.sqrt(1 - F.pow(math.sin(math.radians(size)) * F.cos(F.radians("lat")), 2))
-    known = p.join(local, ["time", "pid"], "left")
-    sure = known.filter(F.col("best.d") < reach)
-    rest = known.join(sure.select("time", "pid"), ["time", "pid"], "left_anti").select("time", "pid", "lat", "lon")
-    far = best(rest.join(e, "time"))
-    return sure.select("time", "pid", f"best.{name}").unionByName(far.select("time", "pid", f"best.{name}"))
+    return [x.alias(c) for x, c in zip((F.cos(a) * F.cos(b), F.cos(a) * F.sin(b), F.sin(a)), "xyz", strict=True)]
+
+
+def _nearest(points: np.ndarray, extrema: np.ndarray, at_once: int = 2**20) -> np.ndarray:
+    """For each point (x, y, z) the first of the extrema at the least chord, a block of points at a time."""
+    size = max(at_once // max(len(extrema), 1), 1)
+    out = np.zeros(len(points), np.int64)
+    for k in range(0, len(points), size):
+        x, y, z = ((points[k : k + size, None, i] - extrema[None, :, i]) ** 2 for i in range(3))
+        d = x + y + z
+        # what has no place is far from all
+        out[k : k + size] = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+    return out
 
 
 def associate(contour: DataFrame, maxima: DataFrame, minima: DataFrame) -> DataFrame:
-    """Distinct pairs (time, max_id, min_id) that share a contour point."""
-    c = contour.withColumn("pid", F.xxhash64("time", "lat", "lon"))
-    return nearest(c, maxima, "max_id").join(nearest(c, minima, "min_id"), ["time", "pid"]).select("time", "max_id", "min_id").distinct()
+    """Distinct pairs (time, max_id, min_id): of each contour point the nearest maximum and the nearest minimum of its time
+    step (by chord, ties to the smaller id). A frame's points meet its extrema in one group, of which distances are made a
+    block at a time; frames are dealt to tasks, which sort rows of places, never candidates."""
+    places = spread(contour.select("time", *_xyz("lat", "lon")), "time")
+    ends = maxima.select(F.lit(1).alias("kind"), "time", "id", "lat", "lon").unionByName(minima.select(F.lit(-1).alias("kind"), "time", "id", "lat", "lon"))
+    ends = spread(ends.select(F.col("time").alias("on_time"), "kind", F.col("id").cast("long").alias("id"), *_xyz("lat", "lon")), "on_time")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        points, right = left[["x", "y", "z"]].to_numpy(float), right.sort_values("id")
+        kinds = [(right["id"].to_numpy()[own], right[["x", "y", "z"]].to_numpy(float)[own]) for own in (right["kind"].to_numpy() == k for k in (1, -1))]
+        if not len(points) or not all(len(i) for i, _ in kinds):
+            return pd.DataFrame({"time": [], "max_id": [], "min_id": []})
+        found = np.unique(np.stack([i[_nearest(points, at)] for i, at in kinds], axis=1), axis=0)
+        return pd.DataFrame({"time": left["time"].iloc[0], "max_id": found[:, 0], "min_id": found[:, 1]})
+
+    kind = contour.schema["time"].dataType.simpleString()
+    return places.groupBy("time").cogroup(ends.groupBy("on_time")).applyInPandas(run, f"time {kind}, max_id long, min_id long")
 
 
 def weigh(pairs: DataFrame, maxima: DataFrame, minima: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ def _extremes(df: DataFrame, sign: int) -> DataFrame:
     """v against the 3 x 3 extreme: longitudes wrap, and beyond the first and last latitude stands 0."""
     pick, both = (F.max, F.greatest) if sign > 0 else (F.min, F.least)
     size = Window.partitionBy("time")
-    ends = df.withColumn("n_lon", F.max("lon_idx").over(size) + 1).withColumn("n_lat", F.max("lat_idx").over(size) + 1)
+    # one shuffle, by frames, serves all windows
+    ends = spread(df, "time").withColumn("n_lon", F.max("lon_idx").over(size) + 1).withColumn("n_lat", F.max("lat_idx").over(size) + 1)
     # the first and the last column come a second time, beyond the other end
     twice = F.when(F.col("lon_idx") == 0, F.array(F.lit(0), F.col("n_lon"))).when(F.col("lon_idx") == F.col("n_lon") - 1, F.array(F.col("lon_idx"), F.lit(-1))).otherwise(F.array("lon_idx"))
     wide = ends.withColumn("at", F.explode(twice))

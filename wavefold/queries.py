@@ -204,7 +204,7 @@ def _extrema(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    high, low = _extrema(spark, sf_dir)
+    high, low = map(save, _extrema(spark, sf_dir))
     pairs = association.associate(stencil.zero_contour(adapters.field(spark, sf_dir)), high, low)
     return association.weigh(pairs, high, low)
 
