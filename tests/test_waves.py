@@ -507,3 +507,30 @@ def test_association_sorts_no_candidates(spark):
     assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     maxima = stencil.local_maxima(save(spark.createDataFrame([(t, i, j, 20.0 + i, 1.0 * j, float(i * j)) for t in range(2) for i in range(3) for j in range(4)], schema.FIELD)), 1.0)
     assert maxima._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_overlaps_of_a_runs_steps_at_once(monkeypatch):
+    """Those of each step and the one before, near and of one type: as pair by pair, and none pair by pair."""
+    rng = random.Random(6)
+
+    def some(t):
+        out = []
+        for i in range(4):
+            x, y = rng.uniform(0, 60), rng.uniform(30, 60)
+            ring = [(x + a, y + b) for a, b in ((-20, -10), (20, -10), (20, 0), (0, 0), (0, 10), (-20, 10))]
+            out.append({"time": t, "id": i, "lon": x, "lat": y, "node_type": rng.choice(("max", "min")), "strength": "strong", "ring": ring if rng.random() < 0.9 else []})
+        return out
+
+    times = [some(t) for t in range(6)]
+    want = {}
+    for before, now in zip(times, times[1:], strict=False):
+        for f in now:
+            for t in before:
+                if f["node_type"] == t["node_type"] and math.hypot(f["lon"] - t["lon"], f["lat"] - t["lat"]) <= 20 and f["ring"] and t["ring"] and (o := features._iou(f["ring"], t["ring"])) > 0:
+                    want[f["time"], f["id"], t["id"]] = o
+    monkeypatch.setattr(features, "_iou", None)
+    got = {k: v for k, v in features._overlaps(list(zip(times[1:], times, strict=False)), 20.0).items() if v > 0}
+    assert got == pytest.approx(want, abs=2e-9) and len(want) > 5
+    assert features._overlaps([(times[0], [])], 20.0) == {}
+    after, steps = features.advance([], times[0], first=True)
+    assert len(after) == len(steps) == 4

@@ -142,15 +142,39 @@ def track(features: DataFrame, save, *, most_shift: float | None = 20.0, history
     return with_history(steps, save) if history else steps
 
 
-def advance(live: list[dict], features: list[dict], *, first: bool = False, most_shift: float | None = 20.0, budget: int = 2, band: tuple[float, float] | None = None, min_split: float = 0.05) -> tuple[list[dict], list[dict]]:
-    """The same for one step of one run: live features after it, and the steps taken."""
+def _near(f: dict, t: dict, most_shift: float | None) -> bool:
+    dlon, dlat = (f["lon"] - t["lon"] + 180) % 360 - 180, f["lat"] - t["lat"]
+    return t["node_type"] == f["node_type"] and (most_shift is None or (dlon**2 + dlat**2) ** 0.5 <= most_shift)
+
+
+def _overlaps(steps: list[tuple[list[dict], list[dict]]], most_shift: float | None) -> dict:
+    """{(time, id, id before): iou} of the near features of each step and the one before whose boxes meet, all at once."""
+    box: dict = {}
+
+    def meet(f: dict, t: dict) -> bool:
+        for g in (f, t):
+            if id(g) not in box:
+                xs, ys = zip(*g["ring"], strict=True)
+                box[id(g)] = min(xs), min(ys), max(xs), max(ys)
+        (a, b, c, d), (e, g, h, i) = box[id(f)], box[id(t)]
+        return a < h and e < c and b < i and g < d
+
+    some = [(f, t) for now, before in steps for f in now if f["ring"] for t in before if t["ring"] and _near(f, t, most_shift) and meet(f, t)]
+    if not some:
+        return {}
+    sides = []
+    for rings in zip(*((f["ring"], t["ring"]) for f, t in some), strict=True):
+        n = np.array([len(r) for r in rings])
+        sides.append((np.array([p for r in rings for p in r], float), np.cumsum(n) - n, n))
+    return {(f["time"], f["id"], t["id"]): round(x, 9) for (f, t), x in zip(some, shapes.ious(*sides, _iou), strict=True)}
+
+
+def advance(live: list[dict], features: list[dict], *, first: bool = False, most_shift: float | None = 20.0, budget: int = 2, band: tuple[float, float] | None = None, min_split: float = 0.05, known: dict | None = None) -> tuple[list[dict], list[dict]]:
+    """The same for one step of one run: live features after it, and the steps taken. ``known``: the overlaps, if they are."""
     inside = lambda f: band is None or band[0] <= f["lat"] <= band[1]
+    known = _overlaps([(features, live)], most_shift) if known is None else known
     after, steps, taken = [], [], set()
 
-    def near(t: dict, f: dict) -> bool:
-        dlon, dlat = (f["lon"] - t["lon"] + 180) % 360 - 180, f["lat"] - t["lat"]
-        return t["node_type"] == f["node_type"] and (most_shift is None or (dlon**2 + dlat**2) ** 0.5 <= most_shift)
-
     def step(track_id: str, parent: str | None, f: dict, weak: int) -> None:
         after.append({k: f[k] for k in ("id", "lon", "lat", "ring", "node_type")} | {"track_id": track_id, "parent_id": parent, "weak": weak})
         steps.append({"track_id": track_id, "parent_id": parent, "time": f["time"], "id": f["id"], "lon": f["lon"], "lat": f["lat"], "recovered": weak > 0})
@@ -159,7 +183,7 @@ def advance(live: list[dict], features: list[dict], *, first: bool = False, most
         claims: dict[int, list] = {}
         free = [t for t in live if t["id"] not in taken]
         for f in (f for f in features if f["strength"] == strength):
-            best = max(((o, t["id"], t) for t in free if near(t, f) and (o := _iou(f["ring"], t["ring"])) > 0), key=lambda x: x[:2], default=None)
+            best = max(((o, t["id"], t) for t in free if (o := known.get((f["time"], f["id"], t["id"]), 0.0)) > 0), key=lambda x: x[:2], default=None)
             if best:
                 claims.setdefault(best[1], []).append((best[0], f["id"], f, best[2]))
             elif strength == "strong" and (first or inside(f)):
@@ -174,7 +198,8 @@ def advance(live: list[dict], features: list[dict], *, first: bool = False, most
 
 
 def _rows(pdf: pd.DataFrame) -> list[dict]:
-    return [{"time": int(r.time), "id": int(r.id), "node_type": r.node_type, "lon": float(r.lon), "lat": float(r.lat), "strength": r.strength, "ring": [(p["x"], p["y"]) for p in r.ring]} for r in pdf.sort_values("id").itertuples()]
+    columns = (pdf[c].tolist() for c in ("time", "id", "node_type", "lon", "lat", "strength", "ring"))
+    return [{"time": int(t), "id": int(i), "node_type": kind, "lon": lon, "lat": lat, "strength": strength, "ring": [] if ring is None else list(zip(ring[::2].tolist(), ring[1::2].tolist(), strict=True))} for t, i, kind, lon, lat, strength, ring in zip(*columns, strict=True)]
 
 
 def phase_velocity(steps: DataFrame, hours: float = 1.0) -> DataFrame:
@@ -219,24 +244,30 @@ def stream_track(features: DataFrame, **options) -> DataFrame:
         live = [x | {"ring": [tuple(p) for p in x["ring"]]} for x in old["live"]]
         end = []
         for pdf in pdfs:
-            mark = pdf["strength"] == END
-            end += pdf.loc[mark, "time"].tolist()
-            for r in _rows(pdf[~mark]):
+            for r in _rows(pdf):
+                if r["strength"] == END:
+                    end.append(r["time"])
+                    continue
                 (wait if old["done"] is None or r["time"] > old["done"] else late).append(r)
         out = [{"track_id": None, "parent_id": None, "time": r["time"], "id": r["id"], "lon": r["lon"], "lat": r["lat"], "recovered": False} for r in late]
         done = old["done"]
         if wait:
-            last = max(*(r["time"] for r in wait), *(int(t) + 1 for t in end), wait[0]["time"])
+            last = max(*(r["time"] for r in wait), *(t + 1 for t in end), wait[0]["time"])
             by_time: dict[int, list] = {}
             for r in wait:
                 by_time.setdefault(r["time"], []).append(r)
             first = min(by_time) if done is None else None
-            for t in range(first if done is None else done + 1, last):
-                live, steps = advance(live, sorted(by_time.get(t, ()), key=lambda r: r["id"]), first=t == first, **options)
+            times = range(first if done is None else done + 1, last)
+            known = _overlaps([(by_time.get(t, []), live if t == times[0] else by_time.get(t - 1, [])) for t in times], options.get("most_shift", 20.0))
+            for t in times:
+                live, steps = advance(live, sorted(by_time.get(t, ()), key=lambda r: r["id"]), first=t == first, known=known, **options)
                 out += steps
                 done = t
             wait = [r for r in wait if r["time"] >= last]
         state.update((json.dumps({"live": live, "wait": wait, "done": done}),))
-        yield pd.DataFrame(out, columns=["track_id", "parent_id", "time", "id", "lon", "lat", "recovered"]).assign(run=key[0])[columns]
+        yield pd.DataFrame({"run": key[0]} | {c: [r[c] for r in out] for c in columns[1:]}, columns=columns)
 
+    # rings go to Python as numbers, x and y in turn
+    flat = F.flatten(F.transform("ring", lambda p: F.array(p["x"].cast("double"), p["y"].cast("double")))).alias("ring")
+    features = features.select("run", "time", "id", "node_type", "lon", "lat", "strength", flat)
     return features.groupBy("run").applyInPandasWithState(run, STEPS, "state string", "append", "NoTimeout")
