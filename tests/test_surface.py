@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -47,6 +48,14 @@ def test_clip_of_a_linear_field(spark, value):
     assert sum(map(flat_area, out)) + sum(map(flat_area, below)) == pytest.approx(360 * 50)
 
 
+def test_clip_is_little_code(spark):
+    """Which of two vertices comes first is decided once for each cut, not in each part of it, so that the JVM compiles it."""
+    tri = surface.triangles(field(spark, lambda t, i, j: float(i - j), 3, 6), 6)
+    plan = surface.clip(tri, lambda p: p["v"], 0.5)._jdf.queryExecution().optimizedPlan()
+    from_ids = re.findall(r"CASE WHEN \([pqr]#\d+\.id < ", plan.toString())
+    assert 0 < len(from_ids) <= 4
+
+
 def test_clips_of_clips(spark):
     """A band of latitude and a column's own value, in either order, leave the same area."""
     mesh = surface.triangles(field(spark, lambda t, i, j: 3 * i + j % 4), 8).withColumn("least", F.lit(5.5))

@@ -36,16 +36,13 @@ def triangles(field: DataFrame, n_lon: int) -> DataFrame:
     return quads.select("time", both.alias("t")).select("time", "t.*")
 
 
-def _cut(p: Column, q: Column, f, value: Column) -> Column:
-    """Where f crosses ``value`` between two vertices; a vertex where it lies on one."""
-    first = p["id"] < q["id"]
-    lo, hi = (lambda c: F.when(first, p[c]).otherwise(q[c])), (lambda c: F.when(first, q[c]).otherwise(p[c]))
-    fp, fq = F.when(first, f(p)).otherwise(f(q)), F.when(first, f(q)).otherwise(f(p))
-    t = F.try_divide(value - fp, fq - fp)
-    on = lambda c: lo(c) + t * (hi(c) - lo(c))
-    lon = F.pmod(lo("lon") + t * geo.signed_east(lo("lon"), hi("lon")), F.lit(360.0))
-    new = F.struct(F.concat(F.lit("("), lo("id"), F.lit("|"), hi("id"), F.lit(")")).alias("id"), on("lat").alias("lat"), lon.alias("lon"), on("v").alias("v"))
-    return F.when(f(p) == value, p).when(f(q) == value, q).otherwise(new)
+def _cut(lo: Column, hi: Column, f, value: Column, t: Column) -> Column:
+    """Where f crosses ``value`` between two vertices, ``t`` of the way from the one of smaller id; a vertex where it lies on
+    one."""
+    on = lambda c: lo[c] + t * (hi[c] - lo[c])
+    lon = F.pmod(lo["lon"] + t * geo.signed_east(lo["lon"], hi["lon"]), F.lit(360.0))
+    new = F.struct(F.concat(F.lit("("), lo["id"], F.lit("|"), hi["id"], F.lit(")")).alias("id"), on("lat").alias("lat"), lon.alias("lon"), on("v").alias("v"))
+    return F.when(f(lo) == value, lo).when(f(hi) == value, hi).otherwise(new)
 
 
 def clip(surface: DataFrame, f, value) -> DataFrame:
@@ -59,7 +56,12 @@ def clip(surface: DataFrame, f, value) -> DataFrame:
     turn = lambda x, y, z: F.when(F.col("in_a") == odd, F.col(x)).when(F.col("in_b") == odd, F.col(y)).otherwise(F.col(z))
     rows = rows.select(*keys, "value", "inside", "a", "b", "c", turn("a", "b", "c").alias("p"), turn("b", "c", "a").alias("q"), turn("c", "a", "b").alias("r"))
     cuts = F.col("inside") < 3
-    rows = rows.select("*", *(F.when(cuts, _cut(F.col("p"), F.col(x), f, F.col("value"))).alias(f"p{x}") for x in "qr"))
+    # step by step, as one expression of all this is more code than the JVM compiles
+    first = {x: F.col("p.id") < F.col(f"{x}.id") for x in "qr"}
+    rows = rows.select("*", *(F.when(first[x], F.col(y)).otherwise(F.col(z)).alias(f"{n}_{x}") for x in "qr" for n, y, z in (("lo", "p", x), ("hi", x, "p"))))
+    way = lambda x: F.try_divide(F.col("value") - f(F.col(f"lo_{x}")), f(F.col(f"hi_{x}")) - f(F.col(f"lo_{x}")))
+    rows = rows.select("*", *(F.when(cuts, way(x)).alias(f"t_{x}") for x in "qr"))
+    rows = rows.select("*", *(F.when(cuts, _cut(F.col(f"lo_{x}"), F.col(f"hi_{x}"), f, F.col("value"), F.col(f"t_{x}"))).alias(f"p{x}") for x in "qr"))
     t = lambda *x: F.struct(*(F.col(c).cast(VERTEX).alias(n) for c, n in zip(x, "abc", strict=True)))
     parts = F.when(F.col("inside") == 3, F.array(t("a", "b", "c"))).when(F.col("inside") == 1, F.array(t("p", "pq", "pr"))).otherwise(F.array(t("pq", "q", "r"), t("pq", "r", "pr")))
     out = rows.select(*keys, F.explode(parts).alias("t")).select(*keys, "t.*")
